@@ -71,6 +71,12 @@ def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import link_classes
+
+    return link_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
