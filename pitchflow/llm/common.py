@@ -74,13 +74,13 @@ def slices(sizes: Iterable[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int
         yield start, stop + 1
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches with the column's values; null is the empty value."""
     for batch in batches:
         col = batch.column(column)
         empty = b"" if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else ""
         sizes = pc.binary_length(col).to_pylist() if batch.num_rows else []
-        for a, b in slices(n or 0 for n in sizes):
+        for a, b in slices((n or 0 for n in sizes), limit):
             part = batch.slice(a, b - a)
             yield part, [empty if x is None else x for x in part.column(column).to_pylist()]
 

@@ -30,6 +30,12 @@ def op2_digest_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), _word_tokenizer())
 
 
+def op3_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gru_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
