@@ -8,6 +8,7 @@ import hashlib
 import json
 import os
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -20,6 +21,8 @@ NOT_SPACE = tuple("\x1c\x1d\x1e\x1f")
 #: A space that does not begin a chunk: white space follows, or nothing.
 LOOSE = re.compile(r" (?=\s)| \Z")
 BEFORE_SPACE = re.compile(r"(?= \S)")
+#: A chunk of letters and marks, as a key; the byte-level pattern always cuts between the two.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%&#|]+)")
 
 
 def tokenizer_version(path: str) -> str:
@@ -81,59 +84,97 @@ class ChunkEncoder:
             self.mode = "whole"
 
     def chunks(self, text: str) -> list[str]:
+        """The text's chunks as keys: in byte mode a chunk stands without the space that begins it, and the first, which
+        has none, after a space."""
         if self.mode == "word":
             return split_words(text)
+        if not text:
+            return []
         if self.mode == "whole" or any(s in text for s in self.specials):
-            return [text] if text else []
+            return [" " + text]
         if LOOSE.search(text):
-            return [x for x in BEFORE_SPACE.split(text) if x]
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
-
-    def fill(self, texts: list[str], value) -> tuple[list[list[str]], dict]:
-        """Each text's chunks, and a map with value(ids) of every chunk among them."""
+            first, *rest = [x for x in BEFORE_SPACE.split(text) if x]
+            return [first[1:] if BEFORE_SPACE.match(first) else " " + first, *(x[1:] for x in rest)]
+        out = text.split(" ")
+        if out[0]:
+            out[0] = " " + out[0]
+            return out
+        return out[1:]
+
+    def fill(self, texts: list[str], width: int = 0) -> tuple[list[list[str]], dict]:
+        """Each text's chunks, and a map with the ids of every chunk among them: how many they are, or (width > 0) the ids
+        themselves as little-endian integers of so many bytes."""
         cut = [self.chunks(t) for t in texts]
         missing = self.memo.missing(set(chain.from_iterable(cut)))
         young = self.memo.young
-        for chunk, ids in zip(missing, self._encode(missing), strict=True):
-            young[chunk] = value(ids)
+        if self.mode == "byte":
+            whole = []
+            for key in missing:
+                if m := PLAIN.fullmatch(key):  # letters and marks are cut apart by the tokenizer: each is looked up alone
+                    whole.append((key, m[1], " " + m[2]))
+            if whole:
+                plain = {k for k, _, _ in whole}
+                parts = {x for _, a, b in whole for x in (a, b)}
+                missing = [k for k in missing if k not in plain] + [x for x in parts if x not in young and x not in plain]
+                self._into(young, missing, width)
+                for key, a, b in whole:
+                    young[key] = young[a] + young[b]
+                return cut, young
+        self._into(young, missing, width)
         return cut, young
 
-    def _encode(self, chunks: list[str]) -> list:
-        """Many chunks in one call of the library, told apart afterwards by what must begin or part them."""
-        out: list = []
-        for i in range(0, len(chunks), 512):
-            part = chunks[i : i + 512]
-            if self.mode == "byte":
-                single = [k for k, c in enumerate(part) if not (c[0] == " " and c.count(" ") == 1 and len(c) > 1 and not c[1].isspace() and not c[-1].isspace() and not any(s in c for s in self.specials))]
-                alone = set(single)
-                joined = [k for k in range(len(part)) if k not in alone]
-                found: list = [None] * len(part)
-                if joined:
-                    ids = np.asarray(self.encode_all(["".join(part[k] for k in joined)])[0], np.uint32)
-                    at = np.flatnonzero(self.starts[ids])
-                    if len(at) == len(joined) and at[0] == 0:
-                        for k, x in zip(joined, np.split(ids, at[1:]), strict=True):
-                            found[k] = x
-                    else:
-                        single = list(range(len(part)))
-                for k, x in zip(single, self.encode_all([part[k] for k in single]), strict=True):
-                    found[k] = x
-                out += found
-            elif self.mode == "word" and self.specials:
-                mark = self.specials[-1]
-                stop = self.model.token_to_id(mark)
-                ids = np.asarray(self.encode_all([f" {mark} ".join(part)])[0], np.uint32)
-                at = np.flatnonzero(ids == stop)
-                if len(at) == len(part) - 1:
-                    ends = np.append(at, len(ids))
-                    begins = np.concatenate(([0], at + 1))
-                    out += [ids[a:b] for a, b in zip(begins, ends, strict=True)]
-                else:  # some chunk holds the mark itself
-                    out += self.encode_all(part)
+    def _into(self, to: dict, keys: list[str], width: int) -> None:
+        for part, ids, bounds in self._encode(keys):
+            if width:
+                data = ids.astype(f"<u{width}").tobytes()
+                at = (bounds * width).tolist()
+                to.update(zip(part, map(data.__getitem__, map(slice, at, at[1:])), strict=True))
             else:
-                out += self.encode_all(part)
-        return out
+                to.update(zip(part, np.diff(bounds).tolist(), strict=True))
+
+    def _encode(self, keys: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """(keys, all their ids, bounds): many chunks in one call of the library, told apart afterwards by what must begin
+        or part them; else (what holds other white space or a special string) chunk by chunk."""
+        single: list[str] = []
+        if self.mode == "whole":
+            single = keys
+        else:
+            fit = keys
+            if self.mode == "byte":
+                fit = [k for k in keys if k[0] != " " and "\n" not in k]
+                single = [k for k in keys if k[0] == " " or "\n" in k]
+            for i in range(0, len(fit), 512):
+                part = fit[i : i + 512]
+                found = self._byte_ids(part) if self.mode == "byte" else self._word_ids(part)
+                if found is None:
+                    single += part
+                else:
+                    yield part, *found
+        for i in range(0, len(single), 512):
+            part = single[i : i + 512]
+            texts = part if self.mode == "word" else [k[1:] if k[0] == " " else " " + k for k in part]
+            ids = self.encode_all(texts)
+            yield part, np.fromiter(chain.from_iterable(ids), np.uint32), np.cumsum([0, *map(len, ids)])
+
+    def _byte_ids(self, part: list[str]):
+        text = " " + " ".join(part)
+        if text.count(" ") != len(part) or len(text.split()) != len(part) or any(s in text for s in self.specials):
+            return None
+        ids = np.asarray(self.encode_all([text])[0], np.uint32)
+        at = np.flatnonzero(self.starts[ids])
+        return (ids, np.append(at, len(ids))) if len(at) == len(part) and not at[0] else None
+
+    def _word_ids(self, part: list[str]):
+        if not self.specials:
+            return None
+        mark = self.specials[-1]
+        ids = np.asarray(self.encode_all([f" {mark} ".join(part)])[0], np.uint32)
+        at = np.flatnonzero(ids == self.model.token_to_id(mark))
+        if len(at) != len(part) - 1:  # some chunk holds the mark itself
+            return None
+        keep = np.ones(len(ids), bool)
+        keep[at] = False
+        return ids[keep], np.concatenate([[0], at - np.arange(len(at)), [len(ids) - len(at)]])
 
 
 @functools.lru_cache(maxsize=4)

@@ -17,6 +17,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ DIGEST = 16
 #: Chunks end where the rolling hash of the last 16 ids has zeros under MASK (one place in 512), within these lengths.
 MASK, LEAST, MOST = 0x1FF << 15, 64, 4096
 STAGED = "kind int, key binary, data binary, doc_id {id}, n_tokens bigint"
-CRC_POLYNOMIAL = 0xEDB88320
+CRC_POLYNOMIAL = np.uint32(0xEDB88320)
 
 
 def digest_of(data: bytes) -> bytes:
@@ -72,7 +73,7 @@ def _stage(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: int
     seen: set[bytes] = set()  # a chunk leaves a task once, unless the set was emptied meanwhile
     serial = 0
     for part, texts in text_slices(batches, "text"):
-        cut, data = enc.fill(texts, lambda ids: np.asarray(ids, kind).tobytes())
+        cut, data = enc.fill(texts, width)
         rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
         if len(seen) > 500_000:
             seen.clear()
@@ -133,31 +134,32 @@ def manifest_of(recipes: DataFrame) -> DataFrame:
     return recipes.groupBy("part").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_ids"), F.sha2(F.array_join(roots, ""), 256).alias("root"))
 
 
-def crc_times(a: int, b: int) -> int:
-    """Product of two polynomials modulo that of CRC-32, bits reflected."""
-    out = 0
-    for _ in range(32):
-        if a & 0x80000000:
-            out ^= b
-        a = (a << 1) & 0xFFFFFFFF
-        b = (b >> 1) ^ CRC_POLYNOMIAL if b & 1 else b >> 1
+def crc_times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of two polynomials modulo that of CRC-32, bits reflected, element by element."""
+    out = np.zeros(np.broadcast(a, b).shape, np.uint32)
+    for bit in range(31, -1, -1):
+        out ^= b * ((a >> np.uint32(bit)) & np.uint32(1))
+        b = (b >> np.uint32(1)) ^ (CRC_POLYNOMIAL * (b & np.uint32(1)))
     return out
 
 
-@functools.lru_cache(maxsize=8192)
-def crc_shift(n_bytes: int) -> int:
-    """x to the power 8 * n_bytes, by squaring."""
-    out, square, n = 0x80000000, 0x40000000, 8 * n_bytes
-    while n:
-        if n & 1:
-            out = crc_times(square, out)
-        square, n = crc_times(square, square), n >> 1
-    return out
+@functools.lru_cache(maxsize=1)
+def crc_powers() -> np.ndarray:
+    """x to the power 8 * 2^k."""
+    out = [np.array(0x00800000, np.uint32)]
+    for _ in range(40):
+        out.append(crc_times(out[-1], out[-1]))
+    return np.array(out, np.uint32)
 
 
-def crc_joined(first: int, second: int, n_bytes: int) -> int:
-    """CRC-32 of two byte strings in a row, from theirs and the second's length."""
-    return crc_times(crc_shift(n_bytes), first) ^ second
+def crc_before(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """What byte strings with these CRCs add to that of a longer one in which so many bytes follow them; a string's CRC is
+    the exclusive or of what its pieces add."""
+    for k, power in enumerate(crc_powers()):
+        on = (n_bytes >> k) & 1 == 1
+        if on.any():
+            crc[on] = crc_times(crc[on], power)
+    return crc
 
 
 def _read_chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -174,15 +176,19 @@ def _read_chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
 
 def _join_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        crcs, sizes = [], []
-        for pieces in batch.column("pieces").to_pylist():
-            crc = total = 0
-            for p in sorted(pieces, key=lambda p: p["pos"]):
-                crc = crc_joined(crc, p["crc"], 4 * p["n"])
-                total += p["n"]
-            crcs.append(crc)
-            sizes.append(total)
-        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("seq"), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], ["part", "seq", "n_read", "ids_crc32"])
+        pieces = batch.column("pieces")
+        sizes = pc.list_value_length(pieces).to_numpy(zero_copy_only=False)
+        flat = pieces.flatten()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        pos, crc, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("pos", "crc", "n"))
+        order = np.lexsort((pos, row))
+        row, crc, n = row[order], crc[order].astype(np.uint32), n[order]
+        through = np.cumsum(n)
+        ends = np.cumsum(sizes)
+        total = np.diff(np.concatenate([[0], through[ends - 1]])) if len(ends) else through
+        after = 4 * (np.repeat(through[ends - 1], sizes) - through) if len(ends) else through
+        joined = np.bitwise_xor.reduceat(crc_before(crc, after), ends - sizes) if len(ends) else crc
+        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("seq"), pa.array(total, pa.int64()), pa.array(joined.astype(np.int64))], ["part", "seq", "n_read", "ids_crc32"])
 
 
 def verify_manifest(spark: SparkSession, path: str) -> None:

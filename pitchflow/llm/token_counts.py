@@ -18,7 +18,7 @@ CACHE_SCHEMA = "digest binary, n_tokens bigint"
 def _counts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     enc = encoder(path, "counts")
     for part, texts in text_slices(batches, "text"):
-        cut, size = enc.fill(texts, len)
+        cut, size = enc.fill(texts)
         n = [sum(map(size.__getitem__, c)) for c in cut]
         yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
