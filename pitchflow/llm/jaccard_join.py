@@ -17,7 +17,6 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, fresh, stored, text_slices
+from .common import fresh, stored, text_slices
 
 #: Frequent shingles are told apart by at most so many counts (16 bytes each); they go to all tasks.
-HOT = 1 << 17
-#: A shingle that fewer sets share may count as rare.
-LEAST_HOT = 16
+HOT = 1 << 20
+#: Shingles known to recur fewer times count as rare.
+LEAST_HOT = 2
 #: Shingles of about so many bytes are looked through for repeats at once.
 FLUSH = 4_000_000
 #: Bits of the filter of candidate sets (8 MB), which spares moving most other sets.
@@ -40,8 +39,22 @@ A, M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uin
 
 
 @functools.lru_cache(maxsize=1)
-def _words() -> Memo:
-    return Memo(400_000)
+def _bytes() -> tuple[np.ndarray, np.ndarray]:
+    """(a number for each byte, A-Z as a-z; whether it parts words)."""
+    number = np.random.default_rng(1710).integers(1, 1 << 63, 256, np.uint64)
+    number[65:91] = number[97:123]
+    space = np.zeros(256, bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    number[space] = 0
+    return number, space
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    up, down = np.full(n, A), np.full(n, np.uint64(pow(int(A), -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -52,20 +65,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> Iterator[np.ndarray]:
     """Sorted 64-bit hashes of each text's distinct shingles: runs of `width` words, A-Z lower-cased; all words of a
-    shorter text; none without words. bytes.lower() and bytes.split() know ASCII only, as the words' definition does."""
-    cut = [t.lower().split() for t in texts]
-    memo = _words()
-    missing = memo.missing(set(chain.from_iterable(cut)))
-    hashes = memo.young
-    for w in missing:
-        hashes[w] = xxhash.xxh3_64_intdigest(w)
-    for words in cut:
-        h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        k = min(width, len(h))
-        s = np.full(max(0, len(h) - k + 1) if k else 0, k, np.uint64)
-        for i in range(k):
-            s = s * A + h[i : len(h) - k + 1 + i]
-        yield np.unique(mixed(s)).view(np.int64) if k else s.view(np.int64)
+    shorter text; none without words. Words are hashed all at once: the hash is a difference of running sums of the
+    bytes' numbers times powers, shifted to the word's beginning."""
+    number, space = _bytes()
+    data = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    size = 1 << max(16, (len(data) - 1).bit_length())
+    up, down = _powers(size)
+    sums = np.cumsum(number[data] * up[: len(data)])
+    parts = space[data]
+    begins, ends = np.flatnonzero(parts[:-1] & ~parts[1:]) + 1, np.flatnonzero(~parts[:-1] & parts[1:])
+    h = mixed((sums[ends] - sums[begins - 1]) * down[begins])
+    lengths = np.array([len(t) + 1 for t in texts])
+    edges = np.searchsorted(begins, np.concatenate([[0], np.cumsum(lengths)]) + 1)
+    runs = np.zeros(0, np.uint64)
+    if len(h) >= width:
+        n = len(h) - width + 1
+        runs = np.full(n, width, np.uint64)
+        for i in range(width):
+            runs = runs * A + h[i : n + i]
+        runs = mixed(runs)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if b - a >= width:
+            s = np.sort(runs[a : b - width + 1])
+            yield s[np.concatenate([[True], s[1:] != s[:-1]])].view(np.int64)
+        elif b > a:
+            one = np.full(1, b - a, np.uint64)
+            for i in range(a, b):
+                one = one * A + h[i : i + 1]
+            yield mixed(one).view(np.int64)
+        else:
+            yield np.zeros(0, np.int64)
 
 
 def node_of(s: np.ndarray) -> int:
@@ -108,6 +137,10 @@ def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 def _postings(batches: Iterator[pa.RecordBatch], width: int, percent: int, hot) -> Iterator[pa.RecordBatch]:
     keys, counts = hot.value
+    keys = np.append(keys, np.iinfo(np.int64).max)  # a search's end
+    counts = np.append(counts, 0)
+    bits = np.zeros(1 << 24, bool)  # most shingles are told to be rare by their last bits
+    bits[keys & (len(bits) - 1)] = True
     seen: set[int] = set()
     for _, texts in text_slices(batches, "text"):
         cols: tuple[list, ...] = ([], [], [], [], [])
@@ -116,13 +149,15 @@ def _postings(batches: Iterator[pa.RecordBatch], width: int, percent: int, hot)
             if not n or (node := node_of(s)) in seen:
                 continue
             seen.add(node)
-            at = np.minimum(np.searchsorted(keys, s), max(len(keys) - 1, 0))
-            frequent = keys[at] == s if len(keys) else np.zeros(n, bool)
-            rare = s[~frequent]
+            frequent = bits[s & (len(bits) - 1)]
+            f = s[frequent]
+            at = np.searchsorted(keys, f)
+            found = keys[at] == f
+            frequent[np.flatnonzero(frequent)[~found]] = False
+            rare, f, c = s[~frequent], f[found], counts[at[found]]
             p = n - (percent * n + 99) // 100 + 1
             prefix, is_hot = rare[:p], np.zeros(min(p, len(rare)), bool)
             if len(rare) < p:
-                f, c = s[frequent], counts[at[frequent]]
                 f = f[np.lexsort((f, c))][: p - len(rare)]
                 prefix, is_hot = np.concatenate([rare, f]), np.concatenate([is_hot, np.ones(len(f), bool)])
             for col, v in zip(cols, (prefix, np.full(p, node), np.full(p, n), np.arange(p), is_hot), strict=True):
@@ -134,19 +169,31 @@ def _postings(batches: Iterator[pa.RecordBatch], width: int, percent: int, hot)
             yield pa.RecordBatch.from_arrays([pa.array(arrays[0]), pa.array(arrays[1], pa.int64()), pa.array(arrays[2], pa.int32()), pa.array(arrays[3], pa.int32()), pa.array(arrays[4])], ["shingle", "node", "size", "pos", "is_hot"])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a rare shingle are in one partition: those of shingles that two sets share stay."""
+def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """All rows of a rare shingle are in one partition: those stay that some other row of the list may link to, by
+    sizes and positions. In order of size, a row's partners are near it, so each step compares rows further apart, and
+    only lists that are long enough."""
     all_rows = list(batches)
     if not all_rows:
         return
     table = pa.Table.from_batches(all_rows)
-    s = table.column("shingle").to_numpy()
-    order = np.argsort(s, kind="stable")
-    same = s[order][1:] == s[order][:-1]
+    s, n, p = (table.column(c).to_numpy() for c in ("shingle", "size", "pos"))
+    order = np.lexsort((n, s))
+    s, n, p = s[order], n[order].astype(np.int64), p[order].astype(np.int64)
     stay = np.zeros(len(s), bool)
-    stay[order[1:][same]] = True
-    stay[order[:-1][same]] = True
-    yield from table.filter(pa.array(stay)).combine_chunks().to_batches(max_chunksize=10_000)
+    at, step = np.arange(len(s)), 1
+    while True:
+        at = at[: np.searchsorted(at, len(s) - step)]
+        at = at[(s[at] == s[at + step]) & (100 * n[at] >= percent * n[at + step])]
+        if not len(at):
+            break
+        i, j = at, at + step
+        ok = (100 + percent) * (1 + np.minimum(n[i] - p[i] - 1, n[j] - p[j] - 1)) >= percent * (n[i] + n[j])
+        stay[i[ok]] = stay[j[ok]] = True
+        step += 1
+    keep = np.zeros(len(s), bool)
+    keep[order] = stay
+    yield from table.filter(pa.array(keep)).combine_chunks().to_batches(max_chunksize=10_000)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int, bits) -> Iterator[pa.RecordBatch]:
@@ -245,7 +292,7 @@ def link_classes(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     path = fresh(spark, "postings")
     # a frequent shingle's rows need no partition of their own, where they would meet: they are dealt by set as well
     dealt = all_postings.repartition(F.when(F.col("is_hot"), F.xxhash64("shingle", "node")).otherwise(F.col("shingle")))
-    dealt.mapInArrow(_shared_or_hot, schema).write.parquet(path)
+    dealt.mapInArrow(partial(_shared_or_hot, percent=percent), schema).write.parquet(path)
     lists = spark.read.schema(schema).parquet(path).drop("is_hot")
     bits = node_filter(spark, lists.select("node"))
     sets = stored(texts.mapInArrow(partial(_sets, width=width, bits=bits), "node bigint, s array<bigint>").dropDuplicates(["node"]), fresh(spark, "sets"))
@@ -289,7 +336,7 @@ def frequent(repeats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
-def _shared_or_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared_or_hot(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     def rare() -> Iterator[pa.RecordBatch]:
         for b in batches:
             hot = b.column("is_hot").to_numpy(zero_copy_only=False)
@@ -299,5 +346,5 @@ def _shared_or_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield b.filter(pa.array(~hot))
 
     passed: list[pa.RecordBatch] = []
-    yield from _shared(rare())
+    yield from _shared(rare(), percent)
     yield from passed
