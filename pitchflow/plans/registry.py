@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import team_queries
+
+MODULES = (team_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.oracle_sql().items()}
