@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from .common import fresh, stored, text_slices
 
 #: Frequent shingles are told apart by at most so many counts (16 bytes each); they go to all tasks.
-HOT = 1 << 20
+HOT = 1 << 18
 #: Shingles known to recur fewer times count as rare.
 LEAST_HOT = 2
 #: Shingles of about so many bytes are looked through for repeats at once.
 FLUSH = 4_000_000
-#: Bits of the filter of candidate sets (8 MB), which spares moving most other sets.
-FILTER_BITS = 26
+#: Bits of the filter of candidate sets (2 MB), which spares moving most other sets.
+FILTER_BITS = 24
 LEADER_ROUNDS = 2
 A, M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -218,9 +218,9 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, bits) -> Iterator[pa.Re
 def node_filter(spark: SparkSession, nodes: DataFrame):
     """A broadcast bit map of the nodes' last FILTER_BITS bits: at most 2^FILTER_BITS bits, whatever their number."""
     at = F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    found = nodes.groupBy(F.shiftright(at, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(node & 63 as int)))").alias("bits")).toPandas()
+    found = nodes.groupBy(F.shiftright(at, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(node & 63 as int)))").alias("bits")).toArrow()
     words = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    words[found["word"].to_numpy()] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return spark.sparkContext.broadcast(words)
 
 
@@ -330,8 +330,8 @@ def frequent(repeats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     while bound and 1 << (bound - 1) >= LEAST_HOT and total + by_size.get(bound - 1, 0) <= HOT:
         bound -= 1
         total += by_size.get(bound, 0)
-    top = counts.filter(F.col("n") >= 1 << min(bound, 62)).toPandas()
-    keys, n = top["node"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    top = counts.filter(F.col("n") >= 1 << min(bound, 62)).toArrow()
+    keys, n = top["node"].to_numpy(), top["n"].to_numpy()
     order = np.argsort(keys)
     return keys[order], n[order]
 

@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     picked = texts.join(F.broadcast(chosen), "id").select("id", "quality", "text")  # at most `sample` rows of two numbers
     kind = picked.schema["id"].dataType.simpleString()
-    rows: pd.DataFrame = picked.mapInArrow(_sampled, f"id {kind}, quality int, idx array<int>, x array<float>").toPandas()
+    rows: pd.DataFrame = picked.mapInArrow(_sampled, f"id {kind}, quality int, idx array<int>, x array<float>").toArrow().to_pandas()
     model = FactorisationMachine()
     if len(rows):
         rows["n"] = rows["x"].map(lambda x: float(np.sum(x)))
