@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import team_queries, telemetry_queries
+from . import player_queries, team_queries, telemetry_queries
 
-MODULES = (team_queries, telemetry_queries)
+MODULES = (team_queries, telemetry_queries, player_queries)
 
 
 def queries() -> dict:
