@@ -35,6 +35,8 @@ FLUSH = 4_000_000
 #: Bits of the filter of candidate sets (2 MB), which spares moving most other sets.
 FILTER_BITS = 24
 LEADER_ROUNDS = 2
+#: Texts of about so many bytes are hashed at once: some twenty times as much memory.
+SLICE = 1 << 19
 A, M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -109,13 +111,17 @@ def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
     empty = pa.nulls
 
     def repeats() -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        s = np.concatenate(held)
+        held.clear()
+        s.sort()
+        ends = np.flatnonzero(np.append(s[1:] != s[:-1], True))
+        counts = np.diff(ends, prepend=-1)
         many = counts > 1
         k = int(many.sum())
-        return pa.RecordBatch.from_arrays([empty(k, kind), pa.array(values[many]), pa.array(counts[many], pa.int64()), pa.array([True] * k, pa.bool_())], ["doc_id", "node", "n", "is_shingle"])
+        return pa.RecordBatch.from_arrays([empty(k, kind), pa.array(s[ends[many]]), pa.array(counts[many], pa.int64()), pa.array([True] * k, pa.bool_())], ["doc_id", "node", "n", "is_shingle"])
 
     kind = pa.int64()
-    for part, texts in text_slices(batches, "text"):
+    for part, texts in text_slices(batches, "text", SLICE):
         kind = part.schema.field("doc_id").type
         nodes, sizes = [], []
         for s in shingle_sets(texts, width):
@@ -128,7 +134,7 @@ def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array([False] * len(nodes), pa.bool_())], ["doc_id", "node", "n", "is_shingle"])
         if total > FLUSH:
             yield repeats()
-            held, total = [], 0
+            total = 0
             if len(seen) > 1_000_000:
                 seen.clear()
     if held:
@@ -142,7 +148,7 @@ def _postings(batches: Iterator[pa.RecordBatch], width: int, percent: int, hot)
     bits = np.zeros(1 << 24, bool)  # most shingles are told to be rare by their last bits
     bits[keys & (len(bits) - 1)] = True
     seen: set[int] = set()
-    for _, texts in text_slices(batches, "text"):
+    for _, texts in text_slices(batches, "text", SLICE):
         cols: tuple[list, ...] = ([], [], [], [], [])
         for s in shingle_sets(texts, width):
             n = len(s)
@@ -200,7 +206,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, bits) -> Iterator[pa.Re
     words: np.ndarray = bits.value
     mask = (1 << FILTER_BITS) - 1
     seen: set[int] = set()
-    for _, texts in text_slices(batches, "text"):
+    for _, texts in text_slices(batches, "text", SLICE):
         nodes, sets = [], []
         for s in shingle_sets(texts, width):
             node = node_of(s)
