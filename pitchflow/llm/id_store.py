@@ -28,6 +28,7 @@ from .common import dropped, text_slices
 DIGEST = 16
 #: Chunks end where the rolling hash of the last 16 ids has zeros under MASK (one place in 512), within these lengths.
 MASK, LEAST, MOST = 0x1FF << 15, 64, 4096
+CHUNKS = "kind int, key binary, data binary"
 STAGED = "kind int, key binary, data binary, doc_id {id}, n_tokens bigint"
 CRC_POLYNOMIAL = np.uint32(0xEDB88320)
 
@@ -206,7 +207,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     chunks, so no ids are shuffled. Starts are running sums inside a part, after the manifest's totals of those before."""
     verify_manifest(spark, path)
     width = spark.read.parquet(f"{path}/format").first()[0]
-    chunks = spark.read.parquet(f"{path}/staged").filter("kind = 0").select("key", "data").mapInArrow(partial(_read_chunks, width=width), "key binary, crc bigint, n bigint")
+    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/staged").filter("kind = 0").select("key", "data").mapInArrow(partial(_read_chunks, width=width), "key binary, crc bigint, n bigint")
     recipes = spark.read.parquet(f"{path}/recipes")
     pieces = recipes.select("part", "seq", F.posexplode(F.expr(f"transform(sequence(0, cast(length(digests) / {DIGEST} as int) - 1), i -> substring(digests, i * {DIGEST} + 1, {DIGEST}))")).alias("pos", "key"))
     joined = pieces.join(chunks, "key").groupBy("part", "seq").agg(F.collect_list(F.struct("pos", "crc", "n")).alias("pieces")).mapInArrow(_join_crcs, "part int, seq bigint, n_read bigint, ids_crc32 bigint")
@@ -220,7 +221,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, ids (array<int>) rebuilt from the store."""
     width = spark.read.parquet(f"{path}/format").first()[0]
-    chunks = spark.read.parquet(f"{path}/staged").filter("kind = 0").select("key", "data")
+    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/staged").filter("kind = 0").select("key", "data")
     recipes = spark.read.parquet(f"{path}/recipes")
     pieces = recipes.select("part", "seq", "doc_id", F.posexplode(F.expr(f"transform(sequence(0, cast(length(digests) / {DIGEST} as int) - 1), i -> substring(digests, i * {DIGEST} + 1, {DIGEST}))")).alias("pos", "key"))
     whole = pieces.join(chunks, "key").groupBy("part", "seq", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("p"))
