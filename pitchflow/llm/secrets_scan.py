@@ -25,6 +25,8 @@ CLASS = np.zeros(256, np.int64)
 for _i, _c in enumerate(CHARACTERS):
     CLASS[ord(_c)] = _i + 1
 K = len(CHARACTERS) + 1
+#: Weight of a character's own frequency where the one before it was rarely seen.
+BACK_OFF = 5.0
 COUNTS = "random boolean, bigram int, n bigint"
 
 
@@ -46,13 +48,23 @@ def secret_value(text: str, start: int, kind: int, end: int) -> str:
     return ASSIGN.match(text, start)[2] if kind == 0 else text[start:end]
 
 
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """Long runs with letters and digits that no base span touches."""
+    for m in CANDIDATE.finditer(text):
+        if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and not any(a < m.end() and m.start() < b for a, _, b in taken):
+            yield m
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     every, random = np.zeros(K * K, np.int64), np.zeros(K * K, np.int64)
     for _, texts in text_slices(batches, "text"):
         for text in texts:
             every += np.bincount(bigrams(text.encode()), minlength=K * K)
-            for span in base_spans(text):
+            base = base_spans(text)
+            for span in base:
                 random += np.bincount(bigrams(secret_value(text, *span).encode()), minlength=K * K)
+            for m in candidates(text, base):  # neither sample: it is still to be judged
+                every -= np.bincount(bigrams(m[0].encode()), minlength=K * K)
     for label, n in ((True, random), (False, np.maximum(every - random, 0))):
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.bool_()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["random", "bigram", "n"])
@@ -60,7 +72,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, text_col: str = "text", smooth: float = 0.5) -> np.ndarray | None:
     """The log-likelihood ratio of each bigram of characters, random over ordinary, or None without any sample of random
-    strings. Labelled samples: the secrets that the rules find in all documents, and all that surrounds them. Counts
+    strings. Labelled samples: the secrets that the rules find in all documents, and all other text but the runs that are to be judged. Counts
     are added up per task, then by Spark: what reaches the driver is at most 2 * K * K numbers, whatever the input."""
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_count, COUNTS).groupBy("random", "bigram").agg(F.sum("n").alias("n")).collect()
     table = np.zeros((2, K * K))
@@ -68,19 +80,16 @@ def train(docs: DataFrame, text_col: str = "text", smooth: float = 0.5) -> np.nd
         table[int(r.random), r.bigram] = r.n
     if not table[1].sum():
         return None
-    table = table.reshape(2, K, K)[:, :, 1:] + smooth  # strings end where a character of class 0 follows
-    logs = np.log(table / table.sum(2, keepdims=True))
+    table = table.reshape(2, K, K)[:, :, 1:]  # strings end where a character of class 0 follows
+    single = table.sum(1, keepdims=True) + smooth
+    single /= single.sum(2, keepdims=True)
+    logs = np.log((table + BACK_OFF * single) / (table.sum(2, keepdims=True) + BACK_OFF))
     return np.concatenate([np.zeros((K, 1)), logs[1] - logs[0]], 1).ravel()
 
 
 def markov_spans(text: str, ratio: np.ndarray, per_char: float, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates with letters and digits that no base span touches, whose mean log-likelihood ratio is at least per_char."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not any(a < m.end() and m.start() < b for a, _, b in taken) and ratio[bigrams(s.encode())].mean() >= per_char:
-            out.append((m.start(), 3, m.end()))
-    return out
+    return [(m.start(), 3, m.end()) for m in candidates(text, taken) if ratio[bigrams(m[0].encode())].mean() >= per_char]
 
 
 def spans_of(text: str, ratio: np.ndarray | None, per_char: float) -> tuple[list, list]:
@@ -117,7 +126,7 @@ def _redact(batches: Iterator[pa.RecordBatch], ratio: np.ndarray | None, per_cha
         yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.schema.field("text").type))
 
 
-def scan(docs: DataFrame, per_char: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, per_char: float = 3.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_spans, spans per row of docs: kind:start:end of each span in order of
     start, then kind (code points, end exclusive). spans also has what the models add: runs of 20 or more characters with
     letters and digits, outside base spans, whose mean log-likelihood ratio per character is per_char or more.
@@ -130,6 +139,6 @@ def scan(docs: DataFrame, per_char: float = 0.75, id_col: str = "doc_id", text_c
     return narrow.mapInArrow(partial(_scan, ratio=train(docs, text_col), per_char=per_char), schema)
 
 
-def redact(docs: DataFrame, per_char: float = 0.75, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, per_char: float = 3.0, mark: str = "[SECRET]") -> DataFrame:
     """docs (with a column text) with every secret's value replaced by mark; texts without secrets stay as they are."""
     return docs.mapInArrow(partial(_redact, ratio=train(docs), per_char=per_char, mark=mark), docs.schema)

@@ -291,7 +291,7 @@ def test_secret_rules(spark, odd):
         want += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
     assert base == [f"{k}:{a}:{b}" for a, k, b in sorted(want, key=lambda s: (s[0], secrets_scan.KINDS.index(s[1])))]
     out = secrets_scan.scan(odd).collect()
-    assert sum(r.n_assign + r.n_access + r.n_hex for r in out) == 3 and len(out) == len(ODD)
+    assert sum(r.n_assign + r.n_access + r.n_hex for r in out) == 4 and len(out) == len(ODD)
     assert secrets_scan.scan(odd.limit(0)).count() == 0
 
 
