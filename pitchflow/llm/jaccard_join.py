@@ -354,3 +354,15 @@ def _shared_or_hot(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
     passed: list[pa.RecordBatch] = []
     yield from _shared(rare(), percent)
     yield from passed
+
+
+def oracle(percent: int = 80, width: int = 5) -> str:
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[i + 1 : i + least({width}, len(w))], ' ') AS sh FROM d, LATERAL (SELECT unnest(range(0, len(w) - least({width}, len(w)) + 1)) AS i) WHERE len(w) > 0),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.rid <> b.rid GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * k >= {percent} * (x.n + y.n - k)),
+r AS (SELECT rid, rid AS root FROM d UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.rid)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n USING (rid) JOIN r USING (rid) JOIN d o ON o.rid = r.root GROUP BY d.rid, d.doc_id, n.n"""

@@ -88,6 +88,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, sharding, topk
+    from . import decontaminate, jaccard_join, sharding, topk
 
-    return {"op1_maxscore_topk": topk.ORACLE, "op4_extendible_shards": sharding.oracle(SHARD_BYTES), "op7_decontamination": decontaminate.oracle()}
+    return {"op1_maxscore_topk": topk.ORACLE, "op4_extendible_shards": sharding.oracle(SHARD_BYTES), "op7_decontamination": decontaminate.oracle(), "op10_jaccard_classes": jaccard_join.oracle()}
