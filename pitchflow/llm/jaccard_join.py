@@ -6,8 +6,8 @@ What spares work:
 
 * Index level. A list's rows carry size and position, in two blocks: where the position leaves too little of the set
   behind it for any partner of at least its size (9 * position > size), a row is skipped as the smaller of a pair.
-* Answer level. A set that is highly similar to another takes over its answer: a first round joins each list only to one
-  leader, and whoever links to it gets its class; later rounds look only at pairs of different classes, so a group of
+* Answer level. A set that is highly similar to another takes over its answer: rounds join each list only to one
+  leader, and whoever links to it gets its class; each round looks only at pairs of different classes, so a group of
   copies costs pairs in proportion to its size. The last round leaves no pair out: in every list, each set outside the
   list's largest class meets all sets of other classes.
 """
@@ -34,7 +34,7 @@ LEAST_HOT = 2
 FLUSH = 4_000_000
 #: Bits of the filter of candidate sets (2 MB), which spares moving most other sets.
 FILTER_BITS = 24
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 3
 #: Texts of about so many bytes are hashed at once: some twenty times as much memory.
 SLICE = 1 << 19
 A, M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -309,8 +309,8 @@ def link_classes(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
         several = now.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("shingle")
         now = now.join(several, "shingle", "left_semi")
         if turn < LEADER_ROUNDS:
-            # lists that share the last two bits of their shingle's hash prefer the same leaders
-            order = F.xxhash64("node", F.col("shingle").bitwiseAND(F.lit(3)), F.lit(turn))
+            # lists that share their shingle's last bits prefer the same leaders: 4 orders, then 16 and 64 for the few left
+            order = F.xxhash64("node", F.col("shingle").bitwiseAND(F.lit(4 ** (turn + 1) - 1)), F.lit(turn))
             other = now.groupBy("shingle").agg(F.min(F.struct(order.alias("o"), "node", "size", "pos", "comp")).alias("l")).select("shingle", "l.node", "l.size", "l.pos", "l.comp")
             x = now
         else:
