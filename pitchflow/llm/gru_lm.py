@@ -18,9 +18,8 @@ from .common import fresh, stored, text_slices
 HIDDEN, VOCABULARY, CLASSES = 24, 2048, 40
 #: Truncated backpropagation: so many steps a window, so many streams side by side.
 STEPS, STREAMS, RATE, DAMP, WARM = 32, 64, 0.05, 1e-3, 50
-#: One training document in so many is learned from (all of them are counted), but about so many tokens at least; a task
-#: of a round learns about so many.
-LEARN_ONE_IN, LEARN_LEAST, TASK_TOKENS, ROUNDS = 12, 2_000_000, 1_000_000, 2
+#: A task of a round learns about so many tokens; each training document is learned from in one of so many rounds.
+TASK_TOKENS, ROUNDS = 1_000_000, 2
 #: Texts of about so many bytes are scored side by side.
 SCORE_BYTES, SCORE_STREAMS, SCORE_STEPS = 8 << 20, 512, 64
 #: Counts of at most so many frequent tokens go to every task; the others are joined by a shuffle.
@@ -167,7 +166,9 @@ class Gru:
         flat = d_in.reshape(-1, 3 * k)
         g["zr"] += before.T @ flat[:, : 2 * k]
         g["h"] += gated.T @ flat[:, 2 * k :]
-        np.add.at(g["x"], x.ravel(), flat)
+        order = np.argsort(x, axis=None, kind="stable")
+        words, first = np.unique(x.ravel()[order], return_index=True)
+        g["x"][words] = np.add.reduceat(flat[order], first)
         n = max(1, int(valid.sum()))
         return {name: a / n for name, a in g.items()}, last
 
@@ -242,10 +243,10 @@ def ids_of(words: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
 
 def _learn(batches: Iterator[pa.RecordBatch], vocabulary, frequency: np.ndarray, weights) -> Iterator[pa.RecordBatch]:
     words = vocabulary.value
-    texts = sorted(t for _, part in text_slices(batches, "text") for t in part)  # a shuffle's order is no order
-    if not texts:
+    documents = [ids_of(tokens(t), words) for _, part in text_slices(batches, "text") for t in part]
+    if not documents:
         return
-    documents = [ids_of(tokens(t), words) for t in texts]
+    documents.sort(key=np.ndarray.tobytes)  # a shuffle's order is no order
     model = Gru(frequency).load(weights.value)
     order = np.random.default_rng(3).permutation(len(documents))
     model.learn([documents[i] for i in order], words[END])
@@ -257,17 +258,17 @@ def _learn(batches: Iterator[pa.RecordBatch], vocabulary, frequency: np.ndarray,
 
 
 def train(training: DataFrame, vocabulary, frequency: np.ndarray, total: int) -> np.ndarray:
-    """Weights after ROUNDS rounds: in each, tasks learn from their own documents, starting at the same weights, and the
-    weights are averaged by Spark, each task's by its tokens. The number of tasks follows the corpus, the number of
-    weights doesn't, so what reaches the driver is bounded."""
+    """Weights after ROUNDS rounds that share out all rows of training: in each, tasks learn from their own documents,
+    starting at the same weights, and the weights are averaged by Spark, each task's by its tokens. Rows go to rounds in
+    turn as they are read, so copies of a text are spread as well. The number of tasks follows the corpus, the number
+    of weights doesn't, so what reaches the driver is bounded."""
     sc = training.sparkSession.sparkContext
     weights = Gru(frequency).flat()
-    share = min(1.0, max(1 / LEARN_ONE_IN, LEARN_LEAST / max(total, 1)))
-    tasks = max(1, math.ceil(total * share / (ROUNDS * TASK_TOKENS)))
-    pick = F.floor(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) * (ROUNDS / share / (1 << 20)))
+    tasks = max(1, math.ceil(total / (ROUNDS * TASK_TOKENS)))
+    dealt = training.select("text", (F.monotonically_increasing_id() % ROUNDS).alias("turn"))
     for turn in range(ROUNDS):
-        sample = training.filter(pick == turn).select("text").repartition(tasks)  # in turn: tasks learn about as much each
-        step = sample.mapInArrow(partial(_learn, vocabulary=vocabulary, frequency=frequency, weights=sc.broadcast(weights)), "i int, w double, n bigint")
+        part = dealt.filter(F.col("turn") == turn).select("text").repartition(tasks)  # in turn: tasks learn about as much each
+        step = part.mapInArrow(partial(_learn, vocabulary=vocabulary, frequency=frequency, weights=sc.broadcast(weights)), "i int, w double, n bigint")
         mean = step.groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
         if len(mean):
             weights[mean["i"].to_numpy()] = mean["w"].to_numpy()
@@ -324,8 +325,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Tokens of all training documents (held-out ones aside) are counted; counts grow with the corpus and stay
     distributed. The model's vocabulary is the most frequent tokens; of any other token it gives the unknown word's
     probability times the token's share, by add-one counts, among all others. Frequent tokens' counts are at hand in
-    every task, rarer ones are joined by token, each a document's token once. The model learns from one training
-    document in LEARN_ONE_IN or as many as hold LEARN_LEAST tokens, so its training follows the corpus, too. Scores are log10 probabilities of whole texts.
+    every task, rarer ones are joined by token, each a document's token once. The model learns from every training
+    row. Scores are log10 probabilities of whole texts.
 
     Null and empty texts are their end token alone. Rows with equal or null ids each keep a row (null counts as the
     empty text in the fold); without training documents all counts are 0 and the model is uniform over its end token

@@ -230,6 +230,29 @@ def test_language_model_gradients():
         assert g[k][at] == pytest.approx((up - down) / 2e-3, abs=2e-4)
 
 
+def test_language_model_learns_from_all_rows(spark, monkeypatch, tmp_path):
+    """However large the corpus, each training row is learned from once, and copies of a text are in all rounds."""
+    folder = str(tmp_path)
+
+    def learn(batches, vocabulary, frequency, weights):
+        import uuid
+
+        import pyarrow as pa
+
+        texts = [t for b in batches for t in b.column("text").to_pylist()]
+        Path(folder, uuid.uuid4().hex).write_bytes(b"\n".join(texts))
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0.0]), pa.array([1], pa.int64())], ["i", "w", "n"])
+
+    monkeypatch.setattr(gru_lm, "_learn", learn)
+    monkeypatch.setattr(gru_lm, "TASK_TOKENS", 1 << 40)
+    rows = [b"the same text"] * 300 + [f"text {i}".encode() for i in range(300)]
+    training = spark.createDataFrame([(t,) for t in rows], "text binary")
+    gru_lm.train(training, spark.sparkContext.broadcast({}), np.array([1.0, 1]), 10**9)
+    rounds = [p.read_bytes().split(b"\n") for p in tmp_path.iterdir()]
+    assert Counter(t for part in rounds for t in part) == Counter(rows)
+    assert len(rounds) == gru_lm.ROUNDS and all(part.count(rows[0]) > 100 for part in rounds)
+
+
 # 4 sharding
 
 
