@@ -20,26 +20,42 @@ from pitchflow.llm.secrets_scan import redact
 from pitchflow.llm.trie_bpe import encode_digests
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is among ids (doc_id), null ids included: one of each row of docs stays one row."""
-    return docs.join(ids.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+#: What link_classes finds no words in: such texts link to nothing.
+BLANK = "\\A[\\x20\\x09-\\x0D]*\\z"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a column _key of id and text, by which rows are judged: ids may repeat or be null. In order of ids, null
+    ones last."""
+    return docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
+
+
+def _kept(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of keyed whose key is among keys (doc_id), without the key."""
+    return keyed.join(keys.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_semi").drop("_key")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    scored = score_quality(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, scored.filter("predicted = 1"))
+    keyed = _keyed(docs)
+    scored = score_quality(keyed, table(spark, sf_dir, "labels"), key_col="_key")
+    return _kept(keyed, scored.filter("predicted = 1"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the smallest id stays."""
+    """Of each class of linked documents one row stays: that of the smallest id, among equal ids of the smallest hash of
+    the text. Texts without words are in no class and stay."""
     importable(spark)
-    return _kept(docs, link_classes(docs).filter("doc_id <=> component_id"))
+    blank = F.coalesce("text", F.lit("")).rlike(BLANK)
+    keyed = _keyed(docs.filter(~blank))
+    heads = link_classes(keyed, id_col="_key").filter("doc_id = component_id")
+    return _kept(keyed.dropDuplicates(["_key"]), heads).select(docs.columns).union(docs.filter(blank))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated with benchmark items go."""
-    return _kept(docs, contamination(docs, table(spark, sf_dir, "benchmark")).filter("NOT contaminated"))
+    keyed = _keyed(docs)
+    return _kept(keyed, contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").filter("NOT contaminated"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -157,16 +157,16 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= threshold) per row of docs.
 
     Features are hashed words, statistics of the text's structure and its length; language, source and id are none.
     The model (about half a MB) is broadcast, each task scores its own documents: no shuffle. Null text is empty and
     scored like it; labels of unknown documents and null labels are passed over; a document labelled twice takes its
     larger label. Rows with equal or null ids each keep a row; an empty table gives an empty result; other columns are
-    not read."""
+    not read. With key_col, doc_id in the result is that column; labels and folds still go by id_col."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col))
-    narrow = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.col(key_col or id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     schema = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double"
     scored = narrow.mapInArrow(partial(_score, model=model), schema)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -455,6 +455,28 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in final.collect()} == {r.doc_id for r in docs.collect()} and set(source) >= {r.doc_id for r in final.collect()}
 
 
+def test_pipeline_judges_rows_not_ids(spark):
+    """Ids that repeat or are null, with different texts."""
+    import corpus_pipeline
+
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    labelled = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = [(r.doc_id if r.doc_id in labelled else None if r.doc_id % 2 else 100_000, r.text) for r in source.collect()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    kept = lambda stage, df: sorted(map(tuple, stage(spark, df, SF).collect()), key=key)
+    model = quality_fm.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    good = [r for r, f in zip(rows, quality_fm._featurise([t or "" for _, t in rows]), strict=True) if model.score(*f) >= 0.3]
+    assert 0 < len(good) < len(rows) and kept(corpus_pipeline.quality, docs) == sorted(good, key=key)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    dirty = {i for i, *_, c in brute_contamination(list(enumerate(t for _, t in rows)), items) if c}
+    assert dirty and kept(corpus_pipeline.decontaminate, docs) == sorted((r for k, r in enumerate(rows) if k not in dirty), key=key)
+    base = [f"{w} " + " ".join(f"{w}{i}" for i in range(40)) for w in "abc"]
+    near = [(None, base[0]), (None, base[0] + " x"), (None, base[0]), (4, base[1]), (4, base[1]), (4, base[1] + " y"), (9, base[1]), (4, base[2]), (4, ""), (4, ""), (None, " \n"), (None, None)]
+    left = kept(corpus_pipeline.near_duplicates, spark.createDataFrame(near, "doc_id bigint, text string"))
+    assert [(i, (t or "").strip()[:1]) for i, t in left] == [(4, ""), (4, ""), (4, "b"), (4, "c"), (None, ""), (None, ""), (None, "a")]
+
+
 def test_json_spec_is_what_the_trie_assumes():
     with open(WORD, encoding="utf-8") as f:
         spec = json.load(f)
