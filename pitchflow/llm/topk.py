@@ -13,24 +13,40 @@ from pyspark.sql import functions as F
 SHARD, BLOCK = 8192, 256
 #: Documents of a shard are worked through in ranges of so many, the threshold rising from one to the next.
 RANGE = 2048
-#: Components beyond this are none that the scores' integers can hold; products of smaller ones add up exactly.
+#: Vectors with larger components have postings of their own in a shard, so that the others' bounds stay low.
 LARGEST = 1 << 24
+#: Doubles hold whole numbers up to this exactly; scores that may be larger are computed in Python's integers.
+EXACT = 1 << 53
 RESULT = "query_id bigint, vec_id bigint, score bigint"
 
 
 class Postings:
     """A shard's vectors by component: documents (in order of id) and weights where the weight isn't zero."""
 
-    def __init__(self, ids: np.ndarray, vectors: list[np.ndarray]):
+    def __init__(self, ids: np.ndarray, vectors: list[np.ndarray], kind: type = float):
         order = np.argsort(ids, kind="stable")
-        self.ids = ids[order]
+        self.ids, self.kind = ids[order], kind
         self.dims = max((len(v) for v in vectors), default=0)
-        self.rows = np.zeros((len(ids), self.dims))
+        self.rows = np.full((len(ids), self.dims), kind(0), kind)
         for at, k in enumerate(order):
             self.rows[at, : len(vectors[k])] = vectors[k]
         self.columns = np.ascontiguousarray(self.rows.T)
         self.docs = [np.flatnonzero(c) for c in self.columns]
         self.low, self.high = (self.rows.min(0), self.rows.max(0)) if len(ids) else (np.zeros(self.dims), np.zeros(self.dims))
+        self._whole: Postings | None = None
+
+    def whole(self) -> Postings:
+        """The same in Python's integers."""
+        if self._whole is None:
+            self._whole = Postings(self.ids, [np.array([int(x) for x in r], object) for r in self.rows], int) if self.kind is float else self
+        return self._whole
+
+    def exact(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """search() in doubles where all sums are exact in them, else in integers."""
+        n = min(len(query), self.dims)
+        if self.kind is float and np.abs(query[:n]) @ np.maximum(-self.low, self.high)[:n] < EXACT:
+            return self.search(query_id, query, k)
+        return self.whole().search(query_id, np.array([int(x) for x in query], object), k)
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k highest scores, ties to smaller ids, the query's own id left out.
@@ -40,13 +56,13 @@ class Postings:
         other, essential lists can't reach it. Essential lists are traversed and their documents' scores summed;
         the others are probed one by one, largest bound first, and only for documents that can still reach the
         threshold."""
-        q = np.zeros(self.dims)
+        q = np.full(self.dims, self.kind(0), self.kind)
         n = min(len(query), self.dims)
         q[:n] = query[:n]
         bound = np.maximum(0, np.maximum(q * self.low, q * self.high))
         order = np.argsort(bound, kind="stable")
         together = np.cumsum(bound[order])  # of the terms up to and with this one
-        best_ids, best = np.empty(0, np.int64), np.empty(0)
+        best_ids, best = np.empty(0, np.int64), np.empty(0, self.kind)
         for a in range(0, len(self.ids), RANGE):
             b = min(a + RANGE, len(self.ids))
             threshold = best[-1] if len(best) >= k else -np.inf
@@ -85,20 +101,24 @@ class Postings:
 def _search(key, postings: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
     if len(postings) and len(queries):
-        shard = Postings(postings["vec_id"].to_numpy(np.int64), [np.asarray(v, float) for v in postings["v"]])
+        ids, vectors = postings["vec_id"].to_numpy(np.int64), [np.asarray(v, float) for v in postings["v"]]
+        large = np.array([np.abs(v).max(initial=0) >= LARGEST for v in vectors], bool)
+        parts = [Postings(ids[at], [vectors[i] for i in np.flatnonzero(at)]) for at in (~large, large) if at.any()]
         for query_id, v in zip(queries["vec_id"], queries["v"], strict=True):
-            ids, scores = shard.search(query_id, np.asarray(v, float), k)
-            out["query_id"] += [query_id] * len(ids)
-            out["vec_id"] += ids.tolist()
-            out["score"] += scores.astype(np.int64).tolist()
+            for part in parts:
+                found, scores = part.exact(query_id, np.asarray(v, float), k)
+                out["query_id"] += [query_id] * len(found)
+                out["vec_id"] += found.tolist()
+                out["score"] += [int(s) for s in scores]  # beyond 64 bits the result's column fails, as SQL's cast does
     return pd.DataFrame(out).astype("int64")
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, v: floor(scale * x) of each component as double. Left out: null ids, null vectors, vectors with a null,
-    non-finite or (beyond LARGEST) oversized component."""
-    v = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    fine = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < LARGEST))
+    """vec_id, v: floor(scale * x) of each component as double (doubles from 2^53 on are whole). Left out: null ids, null
+    vectors, vectors with a null or non-finite component."""
+    whole = lambda y: F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)
+    v = F.transform(F.col(vector_col), lambda x: whole(x.cast("double") * scale))
+    fine = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     return vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
 
 
@@ -107,8 +127,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_
     inner product, ties to smaller ids.
 
     Vectors are dealt to shards and queries to blocks by hashed id; a task meets one shard and one block, both of about
-    fixed size, and gives k rows a query at most, which are merged by query. Scores are exact: components are integers
-    below 2^24, so sums of up to 32 products are whole numbers of 53 bits, and of more while components are smaller.
+    fixed size, and gives k rows a query at most, which are merged by query. Scores are exact: where a query's
+    sums may pass 2^53 they are computed in Python's integers. A score beyond 64 bits is an error.
 
     Missing components of shorter vectors are 0. Rows with equal ids and vectors each stand for themselves as
     candidates but their id is one query; different vectors of one id are each searched for and share the id's ranks. Empty tables

@@ -82,6 +82,14 @@ def test_topk_ties_nulls_and_ranges(spark, monkeypatch):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_keeps_large_components(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.choice([-0.5, 0.0, 0.25, 0.5]) for _ in range(6)]) for i in range(300)]
+    rows += [(350, [65536.0] * 6), (351, [70000.5, -0.5, 0.25, 0.0, 0.5, 0.5]), (352, [-1e6] * 6), (400, [2e6, 1.0, 0.0, 0.0, 0.25, -65536.0]), (401, [3e6 + 0.25, 3e6, 1.0, 0.5, 0.25, -0.5]), (402, [3e6, 3e6, 1.0, 0.5, 0.25, 1e6])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    assert sorted(map(tuple, topk.top_k(df).collect())) == brute_topk(rows)
+
+
 def test_topk_prunes_and_agrees():
     rng = np.random.default_rng(0)
     rows = rng.integers(-60, 60, (5000, 16)).astype(float)
