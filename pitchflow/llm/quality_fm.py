@@ -136,13 +136,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     chosen = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = chosen.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(sample).select(F.col("doc_id").alias("id"), "quality")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    picked = texts.join(F.broadcast(chosen), "id").select("id", "quality", "text")  # at most `sample` rows of two numbers
+    picked = texts.join(F.broadcast(chosen), "id")  # chosen: at most `sample` rows of two numbers
+    # of repeated ids one text each, so that what is brought to the driver is as many rows at most
+    picked = picked.groupBy("id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", "quality", "t.text")
     kind = picked.schema["id"].dataType.simpleString()
     rows: pd.DataFrame = picked.mapInArrow(_sampled, f"id {kind}, quality int, idx array<int>, x array<float>").toArrow().to_pandas()
     model = FactorisationMachine()
     if len(rows):
-        rows["n"] = rows["x"].map(lambda x: float(np.sum(x)))
-        rows = rows.sort_values(["id", "n"]).drop_duplicates("id")
+        rows = rows.sort_values("id")
         labels_ = rows["quality"].to_numpy(float)
         rate = min(max(labels_.mean(), 0.01), 0.99)
         model.b = math.log(rate / (1 - rate))

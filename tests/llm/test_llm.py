@@ -356,6 +356,15 @@ def test_quality(spark, odd, texts):
     assert quality_fm.score_quality(odd.limit(0), bad.limit(0)).count() == 0
 
 
+def test_quality_brings_one_row_of_an_id_to_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(4, f"text {i}") for i in range(60)] + [(6, "other"), (8, "one more")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 4 // 2) for i in (4, 6, 8)], "doc_id bigint, quality int")
+    frame, brought = type(docs), []
+    monkeypatch.setattr(frame, "toArrow", lambda self, f=frame.toArrow: (brought.append((t := f(self)).num_rows), t)[1])
+    quality_fm.train(docs, labels)
+    assert brought and max(brought) <= 3
+
+
 def test_machine_equals_pair_sum():
     m = quality_fm.FactorisationMachine(0.3)
     idx, x = np.array([1, 5, 30]), np.array([0.5, 2.0, -1.0], np.float32)
