@@ -56,4 +56,25 @@ class TelemetryThresholds:
     degraded: float = 0.8
 
 
-TEAM, TELEMETRY = TeamThresholds(), TelemetryThresholds()
+@dataclass(frozen=True)
+class FindingThresholds:
+    hr_high: float = 175.0
+    hr_critical: float = 185.0
+    recovery_flat: float = 0.02
+    z_high: float = 1.5
+    z_very_high: float = 2.5
+    speed_low: float = 2.5
+    acwr_high: float = 1.30
+    fatigue_residual: float = 80.0
+    speed_drop: float = 15.0
+    drift: float = 1.2
+    drift_high: float = 1.8
+    relevant: float = 0.05
+    strong: float = 0.15
+    persistence: int = 3
+    recurrence: int = 2
+    substitute_after: int = 4
+    restrict_after: int = 2
+
+
+TEAM, TELEMETRY, FINDINGS = TeamThresholds(), TelemetryThresholds(), FindingThresholds()

@@ -70,18 +70,6 @@ def regime_threshold(losses: DataFrame, regime: str, by: str, value: str) -> Dat
     return pairs.select(by, regime, F.when(own, F.col("threshold")).otherwise(F.col("_whole")).alias("threshold"), F.when(own, "regime").otherwise("player").alias("tracker"))
 
 
-def semantic_findings(rows: DataFrame) -> DataFrame:
-    """Findings on a window's speed, load and heart rate against its player's season; needs z_speed, z_distance, z_hr."""
-    zs, zd, zh = F.col("z_speed"), F.col("z_distance"), F.col("z_hr")
-    rule = lambda when, name, z: F.when(when, F.struct(F.lit(name).alias("finding"), F.when(F.abs(z) >= 3, 3).when(F.abs(z) >= 2.5, 2).otherwise(1).alias("severity"), F.round(F.least(F.lit(1.0), 0.5 + (F.abs(z) - 2) * 0.25), 6).alias("confidence")))
-    found = F.array(rule(zh >= 2, "cardio_overload", zh), rule(zd >= 2, "locomotor_overload", zd), rule(zs <= -2, "locomotor_suppression", zs), rule((zh >= 2) & (zs <= 0), "fatigue_accumulation", zh))
-    return rows.withColumn("f", F.explode(F.array_compact(found))).select(*[c for c in rows.columns], "f.*")
-
-
-def recommendation(severity: Column, recurrence: Column, persistence: Column) -> Column:
-    return F.when((severity >= 3) & (persistence >= 5), "substitute").when(severity >= 3, "reduce_load").when((severity >= 2) & (recurrence >= 2), "monitor_closely").when(severity >= 2, "monitor").when(persistence >= 3, "review").otherwise("none")
-
-
 def kmeans_background(rows: DataFrame, k: int, columns: tuple[str, ...] = FEATURES, seed: int = 7) -> DataFrame:
     """Centres of k-means over distinct rows; no more centres than rows."""
     d = VectorAssembler(inputCols=list(columns), outputCol="v", handleInvalid="skip").transform(rows.select(*columns).distinct())

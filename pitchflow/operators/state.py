@@ -2,32 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-STATES = ("NONE", "WATCH", "WARNING", "CRITICAL", "HOLD")
+STATES = ("NONE", "WATCH", "WARNING", "CRITICAL", "HOLD", "SAFE_MODE")
 
 
-def alert_states(signals: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], warn: int = 3, critical: int = 10, recover: int = 3, hold_below: float = 0.4) -> DataFrame:
+def alert_states(signals: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], warn: int = 3, critical: int = 10, recover: int = 3, hold_below: float = 0.4, safe_mode: str | None = None) -> DataFrame:
     """State after each signal (active, confidence). Under hold_below: HOLD, counters untouched. Active: one more in a row,
     WARNING from `warn` on, CRITICAL from `critical` on, only upward (so HOLD, the highest, is left by recovering alone).
-    Inactive: the run ends, and `recover` of them in a row lead to NONE. Leaving NONE begins an episode."""
-    packed = signals.select(*keys, F.struct(*order, F.col("active").cast("boolean").alias("on"), F.col("confidence").cast("double").alias("c")).alias("r")).groupBy(*keys).agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    row = "array<struct<s:int,p:int,e:int>>"
-    start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("e"), F.expr(f"CAST(array() AS {row})").alias("out"))
+    Inactive: the run ends, and `recover` of them in a row lead to NONE. An episode begins where an active signal lifts
+    NONE. Rows whose column safe_mode is true are SAFE_MODE and change nothing.
 
-    def step(a, r):
-        hold = r.c < hold_below
-        p = F.when(hold, a.p).when(r.on, a.p + 1).otherwise(0)
-        q = F.when(hold, a.q).when(r.on, 0).otherwise(a.q + 1)
-        rise = F.when(p >= critical, 3).when(p >= warn, 2).otherwise(a.s)
-        s = F.when(hold, 4).when(r.on, F.greatest(a.s, rise)).when(q >= recover, 0).otherwise(a.s)
-        e = F.when((a.s == 0) & (s > 0), a.e + 1).otherwise(a.e)
-        return F.struct(s.alias("s"), p.alias("p"), q.alias("q"), e.alias("e"), F.concat(a.out, F.array(F.struct(s.alias("s"), p.alias("p"), e.alias("e")))).alias("out"))
-
-    out = packed.withColumn("o", F.aggregate("rs", start, step, lambda a: a.out)).select(*keys, F.explode(F.arrays_zip("rs", "o")).alias("z"))
-    return out.select(*keys, *[F.col(f"z.rs.{o}").alias(o) for o in order], F.element_at(F.array(*map(F.lit, STATES)), F.col("z.o.s") + 1).alias("state"), F.col("z.o.p").alias("persistence"), F.col("z.o.e").alias("episode"))
+    No fold: runs are islands, a recovery begins an era, and a state is the highest that its era has seen. All windows
+    share the partitioning by keys."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    safe = F.coalesce(F.col(safe_mode).cast("boolean"), F.lit(False)) if safe_mode else F.lit(False)
+    on = F.coalesce(F.col("active").cast("boolean"), F.lit(False))
+    hold = ~safe & F.coalesce(F.col("confidence") < hold_below, F.lit(False))
+    n = lambda c: c.cast("int")
+    r = signals.select(*keys, *order, n(safe).alias("_safe"), n(hold).alias("_hold"), n(~safe & ~hold & on).alias("_on"), n(~safe & ~hold & ~on).alias("_off"))
+    r = r.withColumns({"_offs": F.sum("_off").over(upto), "_ons": F.sum("_on").over(upto)})
+    run = lambda flag, island: F.sum(flag).over(W.partitionBy(*keys, island).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)).cast("int")
+    r = r.withColumns({"persistence": run("_on", "_offs"), "_calm": run("_off", "_ons")})
+    r = r.withColumn("_reset", n((F.col("_off") == 1) & (F.col("_calm") >= recover))).withColumn("_era", F.sum("_reset").over(upto))
+    rise = F.when(F.col("_on") == 0, 0).when(F.col("persistence") >= critical, 3).when(F.col("persistence") >= warn, 2).otherwise(0)
+    era = W.partitionBy(*keys, "_era").orderBy(*order)
+    before = era.rowsBetween(W.unboundedPreceding, -1)
+    r = r.withColumn("_rise", rise).withColumns({"_held": F.max("_hold").over(era.rowsBetween(W.unboundedPreceding, 0)), "_top": F.max("_rise").over(era.rowsBetween(W.unboundedPreceding, 0)), "_was": F.coalesce(F.max("_rise").over(before), F.lit(0)), "_was_held": F.coalesce(F.max("_hold").over(before), F.lit(0))})
+    begins = n((F.col("_rise") > 0) & (F.col("_was") == 0) & (F.col("_was_held") == 0))
+    state = F.when(F.col("_safe") == 1, 5).when(F.col("_held") == 1, 4).otherwise(F.col("_top"))
+    return r.withColumn("_b", begins).select(*keys, *order, F.element_at(F.array(*map(F.lit, STATES)), state + 1).alias("state"), "persistence", F.sum("_b").over(upto).cast("int").alias("episode"))
 
 
 def risk_trajectory(windows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
@@ -39,18 +47,36 @@ def risk_trajectory(windows: DataFrame, keys: tuple[str, ...], order: tuple[str,
     return r.withColumn("total", total).select(*keys, *order, F.col("total").cast("long").alias("total"), F.when(total >= 8, "critical").when(total >= 5, "high").when(total >= 3, "elevated").otherwise("normal").alias("level"))
 
 
-def alert_gate(alerts: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], cooldown_us: int) -> DataFrame:
-    """Alerts that pass: one of the family that passed last is held back within the cooldown; another family, or a row
-    without one, opens the gate."""
-    packed = alerts.select(*keys, F.struct(*order, "family").alias("r")).groupBy(*keys).agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    start = F.struct(F.lit(None).cast("string").alias("f"), F.lit(0).cast("long").alias("t"), F.expr("CAST(array() AS array<boolean>)").alias("out"))
+# The family of alerts that a recommendation belongs to.
+FAMILIES = {"anomaly_flag": "physiological_instability", "substitution": "physiological_instability", "fatigue_alert": "physiological_instability", "positional_drift": "tactical_instability", "workload_alert": "workload_instability"}
+
 
-    def step(a, r):
-        passes = r.family.isNotNull() & ~(F.coalesce(a.f == r.family, F.lit(False)) & (r[order[0]] - a.t < cooldown_us))
-        return F.struct(F.when(r.family.isNull(), None).when(passes, r.family).otherwise(a.f).alias("f"), F.when(passes, r[order[0]]).otherwise(a.t).alias("t"), F.concat(a.out, F.array(passes)).alias("out"))
+def alert_family(recommendation: Column) -> Column:
+    """The family of a recommendation's alerts; null for a name without one."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv]), recommendation)
 
-    out = packed.withColumn("o", F.aggregate("rs", start, step, lambda a: a.out)).select(*keys, F.explode(F.arrays_zip("rs", "o")).alias("z"))
-    return out.select(*keys, *[F.col(f"z.rs.{o}").alias(o) for o in order], F.col("z.rs.family").alias("family"), F.col("z.o").alias("passed"))
+
+
+def alert_gate(alerts: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], cooldown_us: int) -> DataFrame:
+    """Alerts that pass: one of the family that passed last is held back within the cooldown; another family, or a row
+    without one, opens the gate. Whether a row passes depends on which passed before, so each group's rows are walked
+    once, in order; keys should hold the match, which bounds a group."""
+    schema = alerts.select(*keys, *order, "family").schema
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", passed boolean"
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(list(order))
+        last, at, passed = None, 0, []
+        for family, t in zip(rows["family"], rows[order[0]], strict=True):
+            if family is None:
+                last = None
+            ok = family is not None and not (family == last and t - at < cooldown_us)
+            if ok:
+                last, at = family, t
+            passed.append(ok)
+        return rows.assign(passed=passed)
+
+    return alerts.select(*keys, *order, "family").groupBy(*keys).applyInPandas(walk, out)
 
 
 def finding_transitions(findings: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], least: float = 0.55, within: int = 3) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,34 +86,56 @@ def trailing_window(ticks: DataFrame, seconds: float) -> DataFrame:
     return ticks.select(*KEYS, "event_id", "t_us", F.sum((F.col("speed_ms") >= 5.5).cast("int")).over(w).cast("long").alias("sprints"), F.round(F.avg("speed_ms").over(w), 9).alias("mean_speed"), F.round(F.when(n >= 2, s * (seconds / n)).otherwise(0.0), 5).alias("distance"))
 
 
-def ema(rows: DataFrame, value: str, keys: tuple[str, ...], order: tuple[str, ...], alpha: float = 0.25, update_if: Column | None = None) -> DataFrame:
-    """Exponential average S = alpha * x + (1 - alpha) * S from the first value on, held where update_if doesn't hold.
+#: After so many steps an older value weighs under 1e-16 of the average (at alpha = 0.25).
+MEMORY = 130
 
-    A row's average is a fold over the group's values up to it. The fold runs once per group over its sorted array and
-    keeps every step, so the work is linear in the rows; a group is one player's rows."""
-    held = update_if if update_if is not None else F.lit(True)
-    packed = rows.select(*keys, F.struct(*order, F.col(value).cast("double").alias("v"), held.alias("on")).alias("r")).groupBy(*keys).agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    start = F.struct(F.lit(None).cast("double").alias("s"), F.expr("CAST(array() AS array<double>)").alias("out"))
 
-    def step(acc: Column, r: Column) -> Column:
-        s = F.when(~r.on | r.v.isNull(), acc.s).when(acc.s.isNull(), r.v).otherwise(alpha * r.v + (1 - alpha) * acc.s)
-        return F.struct(s.alias("s"), F.concat(acc.out, F.array(s)).alias("out"))
+def ema(rows: DataFrame, value: str, keys: tuple[str, ...], order: tuple[str, ...], alpha: float = 0.25, update_if: Column | None = None) -> DataFrame:
+    """Exponential average S = alpha * x + (1 - alpha) * S from the first value on, held where update_if doesn't hold.
 
-    folded = packed.withColumn("s", F.aggregate("rs", start, step, lambda a: a.out))
-    return folded.select(*keys, F.explode(F.arrays_zip("rs", "s")).alias("z")).select(*keys, *[F.col(f"z.rs.{o}").alias(o) for o in order], F.col("z.rs.v").alias(value), F.col("z.s").alias("ema"))
+    Values fade: a row's average is the fold over the last values that count, as many as leave a trace in a double. So
+    no row depends on a whole history, work is linear in the rows, and memory is that of one frame."""
+    last = MEMORY if alpha == 0.25 else math.ceil(math.log(1e-17) / math.log(1 - alpha))
+    held = F.coalesce(update_if, F.lit(False)) if update_if is not None else F.lit(True)
+    w = W.partitionBy(*keys).orderBy(*order)
+    r = rows.select(*keys, *order, F.col(value).cast("double").alias(value), (held & F.col(value).isNotNull()).alias("_on"))
+    frame = W.partitionBy(*keys, "_on").orderBy(*order).rowsBetween(1 - last, 0)
+    s = F.aggregate(F.collect_list(value).over(frame), F.lit(None).cast("double"), lambda s, x: F.when(s.isNull(), x).otherwise(alpha * x + (1 - alpha) * s))
+    r = r.withColumn("_s", F.when(F.col("_on"), s))
+    return r.select(*keys, *order, value, F.last("_s", True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("ema"))
 
 
 def trend_signal(rows: DataFrame, value: str, keys: tuple[str, ...], order: tuple[str, ...], last: int = 50) -> DataFrame:
-    """slope (from 4 values on), population deviation of the last values, per row."""
+    """slope (from 4 values on), curvature (the quadratic coefficient by least squares, from 6 on), population deviation of
+    the last values, per row. The index is centred, and the fit follows from sums over the frame."""
     w = W.partitionBy(*keys).orderBy(*order)
     frame = w.rowsBetween(1 - last, 0)
     r = rows.withColumn("_i", F.row_number().over(w).cast("double"))
     n = F.count(value).over(frame)
     slope = F.when(n >= 4, F.expr(f"regr_slope({value}, _i)").over(frame)).otherwise(0.0)
-    return r.select(*keys, *order, F.round(slope, 9).alias("slope"), F.round(F.stddev_pop(value).over(frame), 9).alias("volatility"), n.alias("n"))
-
-
-def trend_labels(signals: DataFrame, worsening: float, recovering: float, flip: bool = False, low: float = 0.5, high: float = 1.5) -> DataFrame:
-    s = -F.col("slope") if flip else F.col("slope")
-    v = F.col("volatility")
-    return signals.withColumns({"direction": F.when(s <= -worsening, "worsening").when(s >= recovering, "recovering").otherwise("stable"), "volatility_band": F.when(v >= high, "high").when(v >= low, "medium").otherwise("low")})
+    values = F.collect_list(F.struct(F.col("_i").alias("i"), F.col(value).cast("double").alias("v"))).over(frame)
+    r = r.withColumns({"_slope": slope, "_volatility": F.stddev_pop(value).over(frame), "n": n, "_vs": F.filter(values, lambda x: x.v.isNotNull())})
+    total = lambda f: F.aggregate("_vs", F.lit(0.0), lambda s, x: s + f(x))
+    r = r.withColumn("_mid", total(lambda x: x.i) / F.col("n"))
+    power = lambda k: total(lambda x: F.pow(x.i - F.col("_mid"), k))
+    r = r.withColumns({"_s2": power(2), "_s3": power(3), "_s4": power(4), "_y": total(lambda x: x.v), "_xy": total(lambda x: (x.i - F.col("_mid")) * x.v), "_xxy": total(lambda x: F.pow(x.i - F.col("_mid"), 2) * x.v)})
+    # normal equations of v = a + b x + c x^2 with sum(x) = 0
+    top = (F.col("_xxy") - F.col("_s2") * F.col("_y") / F.col("n")) - F.col("_s3") / F.col("_s2") * F.col("_xy")
+    below = (F.col("_s4") - F.pow("_s2", 2) / F.col("n")) - F.pow("_s3", 2) / F.col("_s2")
+    curvature = F.when((F.col("n") >= 6) & (below != 0), top / below).otherwise(0.0)
+    return r.select(*keys, *order, F.round("_slope", 9).alias("slope"), F.round(curvature, 9).alias("curvature"), F.round("_volatility", 9).alias("volatility"), "n")
+
+
+# Fixed values per metric: slopes that worsen and recover, the curvature that counts, deviations of the bands.
+TREND_METRICS = {"anomaly": (0.03, -0.03, 0.01, 0.05, 0.12), "recovery": (0.005, -0.005, 0.003, 0.01, 0.03), "workload": (0.05, -0.05, 0.02, 0.15, 0.35)}
+
+
+def trend_labels(signals: DataFrame, metric: str) -> DataFrame:
+    """direction by the slope (for workload increasing or declining), acceleration by the curvature, and the band of the
+    volatility; under four values there is no direction."""
+    up, down, bend, medium, high = TREND_METRICS[metric]
+    rise, fall = ("increasing", "declining") if metric == "workload" else ("worsening", "recovering")
+    direction = F.when(F.col("n") < 4, "insufficient data").when(F.col("slope") > up, rise).when(F.col("slope") < down, fall).otherwise("stable")
+    acceleration = F.when(F.col("curvature") > bend, "accelerating_deterioration").when(F.col("curvature") < -bend, "accelerating_recovery").otherwise("steady")
+    v = F.when(F.col("n") < 4, 0.0).otherwise(F.col("volatility"))
+    return signals.withColumns({"direction": direction, "acceleration": F.when(F.col("n") < 4, "steady").otherwise(acceleration), "volatility_band": F.when(v >= high, "high").when(v >= medium, "medium").otherwise("low")})

@@ -218,8 +218,8 @@ def oracle_sql() -> dict[str, str]:
         "fairness_audit": f"""WITH ev AS ({oracle("inferences")}), lg AS (SELECT is_anomaly, 'position' attribute, position::VARCHAR AS "group" FROM ev UNION ALL SELECT is_anomaly, 'nationality', nationality::VARCHAR FROM ev), o AS (SELECT avg(is_anomaly) o FROM ev) SELECT attribute, "group", round(avg(is_anomaly), 9) rate, count(*) n, round(avg(is_anomaly) - any_value(o), 9) delta, abs(avg(is_anomaly) - any_value(o)) > 0.15 biased FROM lg, o WHERE "group" IS NOT NULL GROUP BY 1, 2""",
         "player_recalibration": f"{sc}, x AS (SELECT player_id, event_id, 'speed' feature, score / 50 v FROM ev WHERE label = 1 UNION ALL SELECT player_id, event_id, 'load', (event_id % 7)::DOUBLE FROM ev WHERE label = 1) SELECT player_id, feature, count(*) n, round(avg(v), 9) mean_value FROM x WHERE abs(v) > 2 GROUP BY 1, 2 HAVING count(*) >= 3",
         "alert_states": rec(
-            "SELECT player_id, event_id, rn, CASE WHEN c < 0.4 THEN 4 ELSE 0 END s, CASE WHEN c >= 0.4 AND o THEN 1 ELSE 0 END p, CASE WHEN c >= 0.4 AND NOT o THEN 1 ELSE 0 END r, CASE WHEN c < 0.4 THEN 1 ELSE 0 END e",
-            """SELECT player_id, event_id, rn, s, p, r, f_e + CASE WHEN f_s = 0 AND s > 0 THEN 1 ELSE 0 END FROM (SELECT q.player_id, q.event_id, q.rn, f.s f_s, f.e f_e, CASE WHEN c < 0.4 THEN f.p WHEN o THEN f.p + 1 ELSE 0 END p, CASE WHEN c < 0.4 THEN f.r WHEN o THEN 0 ELSE f.r + 1 END r,
+            "SELECT player_id, event_id, rn, CASE WHEN c < 0.4 THEN 4 ELSE 0 END s, CASE WHEN c >= 0.4 AND o THEN 1 ELSE 0 END p, CASE WHEN c >= 0.4 AND NOT o THEN 1 ELSE 0 END r, 0 e",
+            """SELECT player_id, event_id, rn, s, p, r, f_e + CASE WHEN f_s = 0 AND s > 0 AND s < 4 THEN 1 ELSE 0 END FROM (SELECT q.player_id, q.event_id, q.rn, f.s f_s, f.e f_e, CASE WHEN c < 0.4 THEN f.p WHEN o THEN f.p + 1 ELSE 0 END p, CASE WHEN c < 0.4 THEN f.r WHEN o THEN 0 ELSE f.r + 1 END r,
  CASE WHEN c < 0.4 THEN 4 WHEN o THEN greatest(f.s, CASE WHEN f.p + 1 >= 10 THEN 3 WHEN f.p + 1 >= 3 THEN 2 ELSE 0 END) WHEN f.r + 1 >= 3 THEN 0 ELSE f.s END s""",
             "SELECT player_id, event_id, ['NONE', 'WATCH', 'WARNING', 'CRITICAL', 'HOLD'][s + 1] state, p persistence, e episode FROM f",
         ).replace("{src}", "(SELECT *, score > 60 o, (event_id % 10) / 10 + 0.2::DOUBLE c FROM ev)").replace("q.rn = f.rn + 1)", "q.rn = f.rn + 1) z)"),

@@ -101,7 +101,7 @@ def ema_held(spark, d):
 
 
 def trend_signal(spark, d):
-    return X.trend_labels(X.trend_signal(_ticks(spark, d), "speed_ms", ("player_id",), ("t_us", "event_id")), 0.05, 0.05, high=7.0, low=4.0).drop("t_us")
+    return X.trend_labels(X.trend_signal(_ticks(spark, d), "speed_ms", ("player_id",), ("t_us", "event_id")), "workload").drop("t_us")
 
 
 def queries() -> dict:
@@ -155,6 +155,11 @@ def oracle_sql() -> dict[str, str]:
         "trailing_window": f"{ev} SELECT match_id, player_id, event_id, t_us, CAST(count(*) FILTER (speed_ms >= 5.5) OVER w AS BIGINT) sprints, round(avg(speed_ms) OVER w, 9) mean_speed, round(CASE WHEN count(speed_ms) OVER w >= 2 THEN sum(speed_ms) OVER w * (172800.0::DOUBLE / count(speed_ms) OVER w) ELSE 0 END, 5) distance FROM ev WINDOW w AS (PARTITION BY match_id, player_id ORDER BY t_us RANGE BETWEEN {2 * DAY} PRECEDING AND CURRENT ROW)",
         "ema": f"WITH RECURSIVE ev AS ({oracle('telemetry')}), {fold('ev', 'q.speed_ms IS NOT NULL')}",
         "ema_held": f"WITH RECURSIVE ev AS ({oracle('telemetry')}), {valid}, {fold('va', 'q.confidence >= 0.8')}",
-        "trend_signal": f"""{ev}, r AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY t_us, event_id)::DOUBLE i FROM ev), s AS (SELECT player_id, event_id, round(CASE WHEN count(speed_ms) OVER w >= 4 THEN regr_slope(speed_ms, i) OVER w ELSE 0 END, 9) slope, round(stddev_pop(speed_ms) OVER w, 9) volatility, count(speed_ms) OVER w n FROM r
- WINDOW w AS (PARTITION BY player_id ORDER BY t_us, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)) SELECT *, CASE WHEN slope <= -0.05 THEN 'worsening' WHEN slope >= 0.05 THEN 'recovering' ELSE 'stable' END direction, CASE WHEN volatility >= 7 THEN 'high' WHEN volatility >= 4 THEN 'medium' ELSE 'low' END volatility_band FROM s""",
+        "trend_signal": f"""{ev}, r AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY t_us, event_id)::DOUBLE i FROM ev), s AS (SELECT player_id, event_id, round(CASE WHEN count(speed_ms) OVER w >= 4 THEN regr_slope(speed_ms, i) OVER w ELSE 0 END, 9) slope, round(stddev_pop(speed_ms) OVER w, 9) volatility, count(speed_ms) OVER w n,
+  list_filter(list({{'x': i, 'y': speed_ms}}) OVER w, lambda q: q.y IS NOT NULL) l FROM r WINDOW w AS (PARTITION BY player_id ORDER BY t_us, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
+ m AS (SELECT *, list_avg(list_transform(l, lambda q: q.x)) mx, list_avg(list_transform(l, lambda q: q.y)) my FROM s), k AS (SELECT *, list_transform(l, lambda q: q.x - mx) xs, list_transform(l, lambda q: q.y - my) ys FROM m),
+ u AS (SELECT *, list_sum(list_transform(xs, lambda x: x * x)) s2, list_sum(list_transform(xs, lambda x: x * x * x)) s3, list_sum(list_transform(xs, lambda x: x * x * x * x)) s4, list_dot_product(xs, ys) sxy, list_dot_product(list_transform(xs, lambda x: x * x), ys) sxxy FROM k),
+ c AS (SELECT player_id, event_id, slope, round(CASE WHEN n >= 6 THEN (sxxy * s2 - sxy * s3) / ((s4 - s2 * s2 / n) * s2 - s3 * s3) ELSE 0 END, 9) curvature, volatility, n FROM u)
+ SELECT *, CASE WHEN n < 4 THEN 'insufficient data' WHEN slope > 0.05 THEN 'increasing' WHEN slope < -0.05 THEN 'declining' ELSE 'stable' END direction, CASE WHEN n < 4 THEN 'steady' WHEN curvature > 0.02 THEN 'accelerating_deterioration' WHEN curvature < -0.02 THEN 'accelerating_recovery' ELSE 'steady' END acceleration,
+  CASE WHEN n < 4 THEN 'low' WHEN volatility >= 0.35 THEN 'high' WHEN volatility >= 0.15 THEN 'medium' ELSE 'low' END volatility_band FROM c""",
     }

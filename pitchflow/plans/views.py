@@ -26,7 +26,20 @@ VIEWS = {
     "inferences": """SELECT o.o_orderkey AS inference_id, o.o_custkey AS player_id, CASE WHEN o.o_orderstatus = 'F' THEN 1 ELSE 0 END AS is_anomaly, c.c_mktsegment AS position, c.c_nationkey AS nationality
        FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey""",
 }
-TABLES = {"telemetry": "events", "tactical": "events", "coach": "events", "scored": "events", "loads": "orders lineitem", "sessions": "orders lineitem", "inferences": "orders customer"}
+_P = "(PARTITION BY player_id)"
+_O = "(PARTITION BY player_id ORDER BY bucket)"
+_Z = lambda c: f"round(({c} - avg({c}) OVER {_P}) / nullif(stddev_pop({c}) OVER {_P}, 0), 6)"
+#: Half-day windows of a player with the features and attributions that findings are made of.
+VIEWS["features"] = f"""SELECT w.*, distance_z / 10 AS a_distance, (6 - window_avg_speed_ms) / 20 AS a_speed, (heart_rate_bpm - 140) / 500 AS a_hr, hr_recovery_time_s / 3 AS a_recovery,
+       speed_drop_pct / 400 AS a_drop, (acwr - 1) / 4 AS a_acwr, (positional_drift_score - 1) / 5 AS a_drift FROM (
+ SELECT player_id, match_id, bucket, row_number() OVER {_O} AS seq, round(spd, 6) AS window_avg_speed_ms, round(dist, 6) AS window_distance_m, spr AS window_sprint_count, round(hr, 6) AS heart_rate_bpm,
+       round((hr - lag(hr) OVER {_O}) / greatest(lag(hr) OVER {_O}, 1), 6) AS hr_recovery_time_s, {_Z("dist")} AS distance_z, {_Z("spr")} AS sprint_z, {_Z("top")} AS speed_z, {_Z("hsd")} AS high_speed_z,
+       round(100 * (first_value(spd) OVER {_O} - spd) / nullif(first_value(spd) OVER {_O}, 0), 6) AS speed_drop_pct, round((dist - avg(dist) OVER {_P}) * 5, 6) AS fatigue_decay_residual,
+       round(dist / nullif(avg(dist) OVER (PARTITION BY player_id ORDER BY bucket ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 0), 6) AS acwr,
+       round(abs(x - avg(x) OVER {_P}) / nullif(stddev_pop(x) OVER {_P}, 0), 6) AS positional_drift_score, (row_number() OVER {_O}) % 8 AS persistence_windows
+ FROM (SELECT player_id, match_id, CAST(floor(t_us / CAST(43200000000 AS DOUBLE)) AS BIGINT) AS bucket, avg(speed_ms) AS spd, max(speed_ms) AS top, sum(speed_ms) * 3 AS dist, CAST(sum(CASE WHEN speed_ms >= 5.5 THEN 1 ELSE 0 END) AS BIGINT) AS spr,
+       sum(CASE WHEN speed_ms >= 4.17 THEN speed_ms ELSE 0 END) AS hsd, avg(heart_rate_bpm) AS hr, avg(x_pitch) AS x FROM ({VIEWS["telemetry"]}) GROUP BY 1, 2, 3)) w"""
+TABLES = {"features": "events", "telemetry": "events", "tactical": "events", "coach": "events", "scored": "events", "loads": "orders lineitem", "sessions": "orders lineitem", "inferences": "orders customer"}
 
 
 def importable(spark: SparkSession) -> None:

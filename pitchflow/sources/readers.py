@@ -10,7 +10,7 @@ from ..functions.thresholds import TELEMETRY, TelemetryThresholds
 from ..operators.telemetry import clean_positions
 
 # Position codes, event labels and their canonical types, the columns by which files are told.
-POSITIONS = {"TW": "goalkeeper", "KR": "pivot", "RM": "centre back", "RR": "right back", "RL": "left back", "RA": "right wing", "LA": "left wing"}
+POSITIONS = {"TW": "goalkeeper", "KR": "pivot", "RM": "centre_back", "RR": "right_back", "RL": "left_back", "RA": "right_wing", "LA": "left_wing"}
 LABELS = {
     "Acceleration": "acceleration_event", "Deceleration": "deceleration_event", "Ball Possession": "possession", "Ball Possession Recovery": "possession", "Ball Possession Lost": "turnover", "Change of Direction": "change_of_direction",
     "Exertion": "exertion_event", "Impact": "impact_event", "Jump": "jump_event", "Pass": "pass", "Shots": "shot", "Sprint": "sprint_event",
@@ -46,7 +46,7 @@ def read_roster(spark: SparkSession, path: str, own_team: str) -> DataFrame:
     raw = spark.read.csv(path, sep=";", header=True, encoding="latin1")
     pid = F.expr("try_cast(`Player ID` AS int)")
     rows = raw.filter(pid.isNotNull() & (F.coalesce("Group name", F.lit("")) != "Ball"))
-    return rows.select(pid.alias("player_id"), F.nullif(F.trim("Name"), F.lit("")).alias("name"), F.coalesce(_lookup(F.col("Position"), POSITIONS), F.col("Position")).alias("position"), F.col("Group name").alias("team"), F.when(F.col("Group name") == own_team, "OWN").otherwise("OPPONENT").alias("ownership"), F.expr("try_cast(`Session ID` AS bigint)").alias("session_id"), F.col("Description").alias("description"))
+    return rows.select(pid.alias("player_id"), F.nullif(F.trim("Name"), F.lit("")).alias("name"), F.coalesce(_lookup(F.col("Position"), POSITIONS), F.lower("Position")).alias("position"), F.col("Group name").alias("team"), F.when(F.col("Group name") == own_team, "OWN").otherwise("OPPONENT").alias("ownership"), F.expr("try_cast(`Session ID` AS bigint)").alias("session_id"), F.col("Description").alias("description"))
 
 
 def backfill_roster(roster: DataFrame, ticks: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def alert_states(signals: DataFrame, warn: int = 3, critical: int = 10, recover:
             else:
                 p, q = 0, q + 1
                 s = 0 if q >= recover else s
-            e += before == 0 and s > 0
+            e += before == 0 and 0 < s < 4  # a signal lifted NONE; HOLD begins no episode
             out.append((key[0], r.event_id, names[s], p, int(e)))
         state.update((s, p, q, int(e)))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERT.split(", ")])
