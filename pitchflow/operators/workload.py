@@ -9,10 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def workload_windows(buckets: DataFrame) -> DataFrame:
-    """Loads of each bucket; needs n_accel, mean_accel, n_decel, mean_decel, n_sprint, distance, max_speed."""
-    accel, decel = F.col("n_accel") * F.col("mean_accel"), F.col("n_decel") * F.abs("mean_decel")
-    return buckets.select("match_id", "player_id", "bucket", F.round(accel, 6).alias("acceleration_load"), F.round(decel, 6).alias("deceleration_load"), F.round(accel + decel, 6).alias("current_load"), "n_sprint", F.when(F.col("max_speed") >= 4.17, F.col("distance")).otherwise(0.0).alias("high_intensity_distance"))
+def workload_windows(buckets: DataFrame, high_intensity: float = 4.17) -> DataFrame:
+    """buckets with their loads; needs n_accel, mean_accel, n_decel, mean_decel, sprint_distance, distance, max_speed."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    accel, decel = zero("n_accel") * zero("mean_accel"), zero("n_decel") * F.abs(zero("mean_decel"))
+    return buckets.withColumns({
+        "acceleration_load": F.round(accel, 6), "deceleration_load": F.round(decel, 6), "current_load": F.round(accel + decel, 6), "sprint_load": zero("sprint_distance"),
+        "high_intensity_load": F.when(zero("max_speed") >= high_intensity, zero("distance")).otherwise(0.0), "distance_covered": zero("distance"),
+    })
 
 
 def half_split_trend(rows: DataFrame, value: str, keys: tuple[str, ...], order: tuple[str, ...], band: float = 0.05) -> DataFrame:
@@ -69,14 +73,6 @@ def acwr_daily(sessions: DataFrame, as_of: str, acute_days: int = 7, chronic_day
     return g.select("player_id", F.round(acute, 7).alias("acute"), F.round(chronic, 7).alias("chronic"), F.round(ratio, 6).alias("acwr"), F.when(ratio > 1.5, "high_risk").when(ratio < 0.8, "low_readiness").otherwise("optimal").alias("flag"))
 
 
-def match_timeline(rows: DataFrame, metrics: tuple[str, ...], segment: str, key: str = "match_id") -> DataFrame:
-    """Totals per segment and metric, distinct players, and the first three players by total (over 0), ties by id."""
-    long = rows.unpivot([key, "player_id", segment], list(metrics), "metric", "value")
-    per = long.groupBy(key, segment, "metric", "player_id").agg(F.sum("value").alias("v"))
-    leaders = F.slice(F.array_sort(F.collect_list(F.when(F.col("v") > 0, F.struct((-F.col("v")).alias("minus"), "player_id")))), 1, 3)
-    return per.groupBy(key, segment, "metric").agg(F.round(F.sum("v"), 4).alias("total"), F.count("*").alias("n_players"), F.array_join(F.transform(leaders, lambda x: x.player_id.cast("string")), ",").alias("leaders"))
-
-
 def historical_baseline(sessions: DataFrame, metrics: tuple[str, ...], least: int = 5) -> DataFrame:
     """Mean and sample deviation of each metric for players with enough sessions; a deviation of 0 or none is 1."""
     aggs = [x for m in metrics for x in (F.round(F.avg(m), 6).alias(f"{m}_mean"), F.round(F.when(F.count(m) > 1, F.stddev_samp(m)).otherwise(1.0), 6).alias(f"{m}_std"))]
@@ -143,7 +139,7 @@ def dedupe_player_match(stats: DataFrame, sums: tuple[str, ...], firsts: tuple[s
     full = F.col("description").contains(" vs. ")
     keys = ["match_id", "player_id"]
     whole = stats.filter(full).withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("description"))).filter("_n = 1").drop("_n").select(*keys, *sums, *firsts)
-    halves = stats.filter(~full).join(whole.select(*keys), keys, "left_anti").groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("description"))).alias(c) for c in firsts])
+    halves = stats.filter(~F.coalesce(full, F.lit(False))).join(whole.select(*keys), keys, "left_anti").groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("description"))).alias(c) for c in firsts])
     return whole.unionByName(halves)
 
 

@@ -42,11 +42,6 @@ def acwr_daily(spark, d):
     return L.acwr_daily(view(spark, d, "sessions"), "1998-08-01", 90, 365)
 
 
-def match_timeline(spark, d):
-    b = TQ.resample(spark, d).withColumn("segment", F.floor(F.col("bucket") / 4).cast("long"))
-    return L.match_timeline(b.select("match_id", "player_id", "segment", "distance", "max_speed"), ("distance", "max_speed"), "segment")
-
-
 def historical_baseline(spark, d):
     return L.historical_baseline(view(spark, d, "sessions"), ("total_distance_m", "sprint_count", "max_speed_ms"))
 
@@ -167,7 +162,7 @@ def journal_state(spark, d):
 
 
 def queries() -> dict:
-    names = "half_split_trend workload_status rolling_metrics acwr_matches acwr_daily match_timeline historical_baseline provisional_baseline positional_norms positional_drift fatigue_curve session_features distribution dynamic_threshold ecdf_confidence confusion auc precision_at_k merge_episodes match_episodes episode_metrics threshold_sweep fairness_audit player_recalibration alert_states risk_trajectory finding_transitions finding_state episodes alert_gate journal_state"
+    names = "half_split_trend workload_status rolling_metrics acwr_matches acwr_daily historical_baseline provisional_baseline positional_norms positional_drift fatigue_curve session_features distribution dynamic_threshold ecdf_confidence confusion auc precision_at_k merge_episodes match_episodes episode_metrics threshold_sweep fairness_audit player_recalibration alert_states risk_trajectory finding_transitions finding_state episodes alert_gate journal_state"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -193,8 +188,6 @@ def oracle_sql() -> dict[str, str]:
         "acwr_matches": f"{ld}, r AS (SELECT player_id, (acceleration_load + deceleration_load)::DOUBLE AS load, row_number() OVER (PARTITION BY player_id ORDER BY match_id DESC) rn FROM ev), a AS (SELECT player_id, max(load) FILTER (rn = 1) ac, avg(load) ch FROM r WHERE rn <= 4 GROUP BY 1) SELECT player_id, round(ac, 6) acute, round(ch, 6) chronic, round(CASE WHEN ch <> 0 THEN ac / ch END, 6) acwr FROM a",
         "acwr_daily": f"""{ss}, a AS (SELECT *, DATE '1998-08-01' - started_on age FROM ev WHERE started_on <= DATE '1998-08-01'), g AS (SELECT player_id, avg(total_distance_m) FILTER (age < 90) a, avg(total_distance_m) FILTER (age < 365) c, arg_max(total_distance_m, (-age, session_id)) l FROM a GROUP BY 1),
  h AS (SELECT player_id, coalesce(a, l) ac, coalesce(c, l) ch FROM g), k AS (SELECT *, CASE WHEN ch = 0 THEN 1 ELSE ac / ch END r FROM h) SELECT player_id, round(ac, 7) acute, round(ch, 7) chronic, round(r, 6) acwr, CASE WHEN r > 1.5 THEN 'high_risk' WHEN r < 0.8 THEN 'low_readiness' ELSE 'optimal' END flag FROM k""",
-        "match_timeline": f"""{rs}, lg AS (SELECT match_id, player_id, bucket // 4 segment, 'distance' metric, distance v FROM rsm UNION ALL SELECT match_id, player_id, bucket // 4, 'max_speed', max_speed FROM rsm), p AS (SELECT match_id, segment, metric, player_id, sum(v) v FROM lg GROUP BY ALL),
- q AS (SELECT *, row_number() OVER (PARTITION BY match_id, segment, metric ORDER BY v DESC, player_id) rn FROM p) SELECT match_id, segment, metric, round(sum(v), 4) total, count(*) n_players, coalesce(string_agg(player_id::VARCHAR, ',' ORDER BY rn) FILTER (rn <= 3 AND v > 0), '') leaders FROM q GROUP BY 1, 2, 3""",
         "historical_baseline": f"{ss} SELECT player_id, count(*) n_sessions, " + ", ".join(f"round(avg({m}), 6) {m}_mean, round(CASE WHEN count({m}) > 1 THEN stddev_samp({m}) ELSE 1 END, 6) {m}_std" for m in ("total_distance_m", "sprint_count", "max_speed_ms")) + " FROM ev GROUP BY 1 HAVING count(*) >= 5",
         "provisional_baseline": f"""{tel}, b AS (SELECT *, (t_us - min(t_us) OVER (PARTITION BY match_id, player_id)) // {2 * DAY} w FROM ev), c AS (SELECT *, speed_ms * least(3600.0::DOUBLE, greatest(0::DOUBLE, (lead(t_us) OVER (PARTITION BY match_id, player_id, w ORDER BY t_us, event_id) - t_us) / 1e6::DOUBLE)) d, lead(t_us) OVER (PARTITION BY match_id, player_id, w ORDER BY t_us, event_id) l FROM b),
  p AS (SELECT match_id, player_id, w, sum(CASE WHEN l IS NOT NULL THEN d END) distance, max(speed_ms) top, count(*) n FROM c GROUP BY 1, 2, 3 HAVING count(*) >= 3) SELECT player_id, count(*) n_windows, round(avg(distance), 6) distance_mean, round(stddev_pop(distance), 6) distance_std, round(avg(top), 6) top_mean FROM p GROUP BY 1 HAVING count(*) >= 3""",

@@ -39,7 +39,22 @@ VIEWS["features"] = f"""SELECT w.*, distance_z / 10 AS a_distance, (6 - window_a
        round(abs(x - avg(x) OVER {_P}) / nullif(stddev_pop(x) OVER {_P}, 0), 6) AS positional_drift_score, (row_number() OVER {_O}) % 8 AS persistence_windows
  FROM (SELECT player_id, match_id, CAST(floor(t_us / CAST(43200000000 AS DOUBLE)) AS BIGINT) AS bucket, avg(speed_ms) AS spd, max(speed_ms) AS top, sum(speed_ms) * 3 AS dist, CAST(sum(CASE WHEN speed_ms >= 5.5 THEN 1 ELSE 0 END) AS BIGINT) AS spr,
        sum(CASE WHEN speed_ms >= 4.17 THEN speed_ms ELSE 0 END) AS hsd, avg(heart_rate_bpm) AS hr, avg(x_pitch) AS x FROM ({VIEWS["telemetry"]}) GROUP BY 1, 2, 3)) w"""
-TABLES = {"features": "events", "telemetry": "events", "tactical": "events", "coach": "events", "scored": "events", "loads": "orders lineitem", "sessions": "orders lineitem", "inferences": "orders customer"}
+#: Quarter-day buckets of a player in a match, told as if each took ten minutes, with what loads are made of.
+VIEWS["buckets"] = f"""SELECT match_id, player_id, bucket, bucket * 600 AS elapsed_s, CAST(count(*) AS BIGINT) AS n_ticks, round(avg(speed_ms), 6) AS mean_speed, max(speed_ms) AS max_speed, round(sum(speed_ms), 6) AS distance,
+       CAST(sum(CASE WHEN acceleration_ms2 > 5 THEN 1 ELSE 0 END) AS DOUBLE) AS n_accel, avg(CASE WHEN acceleration_ms2 > 5 THEN acceleration_ms2 END) AS mean_accel, CAST(sum(CASE WHEN acceleration_ms2 < -5 THEN 1 ELSE 0 END) AS DOUBLE) AS n_decel,
+       avg(CASE WHEN acceleration_ms2 < -5 THEN acceleration_ms2 END) AS mean_decel, round(sum(CASE WHEN speed_ms >= 5.5 THEN speed_ms ELSE 0 END), 6) AS sprint_distance
+ FROM (SELECT *, CAST(floor((t_us - min(t_us) OVER (PARTITION BY match_id, player_id)) / CAST(21600000000 AS DOUBLE)) AS BIGINT) AS bucket FROM ({VIEWS["telemetry"]})) GROUP BY 1, 2, 3"""
+#: Statistics of players by match, in whole sessions ("A vs. B") or halves.
+VIEWS["stats"] = """SELECT CAST(floor(o.o_orderkey / CAST(256 AS DOUBLE)) AS BIGINT) AS match_id, CASE WHEN o.o_custkey % 37 = 0 THEN NULL ELSE o.o_custkey % 20 END AS player_id,
+       CASE WHEN l.l_linenumber = 1 AND o.o_custkey % 3 = 0 THEN concat('A vs. B ', CAST(o.o_orderkey AS VARCHAR(20))) WHEN l.l_linenumber = 7 THEN NULL ELSE concat('half ', CAST(l.l_linenumber AS VARCHAR(20)), ' of ', CAST(o.o_orderkey AS VARCHAR(20))) END AS description,
+       o.o_orderkey * CAST(1000000000000 AS BIGINT) + l.l_linenumber * CAST(100000000000 AS BIGINT) + l.l_partkey * CAST(100000 AS BIGINT) + l.l_suppkey AS begin_us, CASE WHEN l.l_linenumber = 5 THEN NULL ELSE CAST(l.l_quantity * 10 AS DOUBLE) END AS distance_m, CAST(l.l_linenumber AS DOUBLE) AS sprints, CAST(l.l_suppkey % 9 AS DOUBLE) AS accelerations,
+       CAST(l.l_partkey % 7 AS DOUBLE) AS decelerations, CAST(l.l_quantity AS DOUBLE) AS distance_high_m, CASE WHEN l.l_quantity > 40 THEN NULL ELSE CAST(l.l_quantity / 4 AS DOUBLE) END AS distance_very_high_m, CAST(l.l_partkey % 3600 AS DOUBLE) AS time_on_field_s,
+       CASE WHEN l.l_suppkey % 5 = 0 THEN NULL ELSE concat('pos', CAST(o.o_custkey % 4 AS VARCHAR(20))) END AS position, CASE WHEN o.o_custkey % 2 = 0 THEN 'A' ELSE 'B' END AS team, CASE WHEN o.o_custkey % 2 = 0 THEN 'OWN' ELSE 'OPPONENT' END AS ownership
+       FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey"""
+#: Matches of the tracking data; some dates can't be read where the player is odd.
+VIEWS["matches"] = f"""SELECT match_id, concat('dir', CAST(match_id % 3 AS VARCHAR(20))) AS match_dir, CAST(date_add(DATE '2024-01-01', CAST(match_id % 50 AS INT)) AS VARCHAR(30)) AS date, CAST(count(*) AS BIGINT) AS n_events FROM ({VIEWS["telemetry"]}) GROUP BY 1, 2, 3"""
+VIEWS["matches"] = VIEWS["matches"].replace("date_add(DATE '2024-01-01', CAST(match_id % 50 AS INT))", "{DAY_OF_MATCH}")
+TABLES = {"buckets": "events", "stats": "orders lineitem", "matches": "events", "features": "events", "telemetry": "events", "tactical": "events", "coach": "events", "scored": "events", "loads": "orders lineitem", "sessions": "orders lineitem", "inferences": "orders customer"}
 
 
 def importable(spark: SparkSession) -> None:
@@ -53,11 +68,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over the Parquet tables in sf_dir; timestamps without a zone are read as UTC."""
     importable(spark)
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES[name].split()}
-    sql = VIEWS[name].replace("{T_US}", "unix_micros(CAST(ts AS TIMESTAMP))")
+    sql = VIEWS[name].replace("{T_US}", "unix_micros(CAST(ts AS TIMESTAMP))").replace("{DAY_OF_MATCH}", "date_add(DATE '2024-01-01', CAST(match_id % 50 AS INT))")
     for t in tables:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
     return spark.sql(sql, **tables)
 
 
 def oracle(name: str) -> str:
-    return VIEWS[name].replace("{T_US}", "epoch_us(ts)")
+    return VIEWS[name].replace("{T_US}", "epoch_us(ts)").replace("{DAY_OF_MATCH}", "DATE '2024-01-01' + CAST(match_id % 50 AS INT)")
