@@ -19,9 +19,13 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (driver and
+    executor in one process, as in tests) gets one of its own; a cluster's executors would each write to their own disks,
+    so there that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="pitchflow-"))
         base = _own[0]
@@ -45,6 +49,34 @@ def dropped(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A key is heavy if more than this share of all rows have it, so there are fewer heavy keys than its inverse.
+HEAVY = 1 / 1024
+
+
+def joined_by(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows left-joined to table (a row a key; `count`: how many of the `total` rows have it). Rows of heavy keys never
+    meet in one task: fewer than 1 / HEAVY rows of table are broadcast to them; the others are joined by a shuffle."""
+    least = max(1.0, total * HEAVY)
+    heavy, rest = table.filter(F.col(count) > least), table.filter(F.col(count) <= least)
+    here = rows.join(F.broadcast(heavy), key)
+    others = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(rest, key, "left")
+    return here.unionByName(others)
+
+
+#: Bits of the map by which rows are told that a set of keys can't concern: 2^(FLAG_BITS - 6) rows, whatever its keys.
+FLAG_BITS = 24
+
+
+def flagged(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is not among keys, rows whose key may be). The latter are all that must be shuffled to be sure: a
+    broadcast map of the keys' hashes, of fixed size, tells most rows apart where they lie."""
+    at = F.xxhash64(key).bitwiseAND(F.lit((1 << FLAG_BITS) - 1))
+    words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("_bits"))
+    told = rows.withColumn("_word", F.shiftright(at, 6)).withColumn("_bit", at.bitwiseAND(F.lit(63)).cast("int")).join(F.broadcast(words), "_word", "left")
+    told = told.withColumn("_hit", F.expr("coalesce(shiftright(_bits, _bit) & 1, 0) = 1"))
+    return told.filter(~F.col("_hit")).select(rows.columns), told.filter("_hit").select(rows.columns)
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers that start from now on find this package where the driver found it."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
@@ -101,13 +133,12 @@ class Memo:
         self._long = []
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        young, old, out = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                if (v := old.get(k)) is None:
-                    out.append(k)
-                    if len(k) > self.longest:
-                        self._long.append(k)
-                else:
-                    young[k] = v
-        return out
+        young, old = self.young, self.old
+        out = set(keys)
+        out.difference_update(young)
+        if old:
+            again = [k for k in out if k in old]
+            young.update(zip(again, map(old.__getitem__, again), strict=True))
+            out.difference_update(again)
+        self._long = [k for k in out if len(k) > self.longest]
+        return list(out)
