@@ -326,17 +326,96 @@ def test_secret_rules(spark, odd):
     assert secrets_scan.scan(odd.limit(0)).count() == 0
 
 
-def test_secret_models_and_redaction(spark):
-    rng = random.Random(4)
-    key = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
-    words = ["the", "option", "thinner", "relation", "nation", "internationalisation_of_things", "request_handler_factory_2", "statement"]
-    rows = [(i, " ".join(rng.choice(words) for _ in range(60)) + f" token = {key(32)}") for i in range(60)]
-    planted = key(40) + "7a"
-    rows += [(500, f"the nation {planted} relation"), (501, "the request_handler_factory_2 internationalisation_of_things")]
-    spans = {r.doc_id: r.spans for r in secrets_scan.scan(frame(spark, rows)).collect()}
-    assert spans[500] == f"markov:11:{11 + len(planted)}" and spans[501] == ""
-    clean = {r.doc_id: r.text for r in secrets_scan.redact(frame(spark, rows)).collect()}
-    assert clean[500] == "the nation [SECRET] relation" and clean[501] == rows[-1][1] and clean[3].endswith("token = [SECRET]")
+def with_keys(n, seed):
+    """Documents of words, some with labelled keys; then n with an unlabelled key each, its place, and n with identifiers."""
+    rng = random.Random(seed)
+    alphabets = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789-_")
+    syllables = ["th", "er", "on", "an", "re", "ti", "en", "at", "lich", "keit", "mento", "tion", "que", "aux", "ber"]
+    word = lambda k: "".join(rng.choice(syllables) for _ in range(k))
+    key = lambda: "".join(rng.choice(a) for a in [rng.choice(alphabets)] for _ in range(rng.randint(16, 40)))
+    prose = lambda: [word(rng.choice([1, 2, 3, 7])) for _ in range(50)]
+    rows = [(i, " ".join(prose() + [f"token = {key()}"] * (i % 2) + [f"api_key: '{key()}'"] * (i % 3 == 0))) for i in range(400)]
+    planted = []
+    for i in range(1000, 1000 + n):
+        k = key()
+        while not (any(c.isdigit() for c in k) and any(c.isalpha() for c in k)):
+            k = key()
+        text = prose()
+        start = len(" ".join(text)) + 1
+        rows.append((i, " ".join([*text, k, *prose()])))
+        planted.append((i, start, start + len(k)))
+    rows += [(i, " ".join([*prose(), f"{word(3)}_{word(3)}_{rng.randint(1, 9)}", f"{word(2)}-{word(2)}-{word(2)}{i % 10}", word(4) + word(4).capitalize()])) for i in range(2000, 2000 + n)]
+    return rows, planted
+
+
+def test_secret_models_find_planted_keys(spark):
+    rows, planted = with_keys(300, 4)
+    docs = frame(spark, rows)
+    models = secrets_scan.train(docs)
+    assert models.recall >= 0.9 and models.false_hits <= secrets_scan.FALSE_HITS
+    out = {r.doc_id: r for r in secrets_scan.scan(docs, models).collect()}
+    assert sum(out[i].spans == f"markov:{a}:{b}" for i, a, b in planted) >= 0.95 * len(planted)
+    assert sum(out[i].spans != "" for i in range(2000, 2300)) <= 3
+    clean = {r.doc_id: r.text for r in secrets_scan.redact(docs, models).collect()}
+    source = dict(rows)
+    for i, a, b in planted:
+        assert clean[i] == (source[i][:a] + "[SECRET]" + source[i][b:] if out[i].spans else source[i])
+    for i, text in rows[:400]:
+        assert out[i].base_spans == out[i].spans and clean[i] == re.sub("(token = |api_key: ')[A-Za-z0-9_-]+", r"\1[SECRET]", text)
+
+
+def brute_log_ratio(random_, ordinary):
+    """Each bigram's ratio from plain counts of strings."""
+    chars = secrets_scan.CHARACTERS
+    tables = []
+    for strings, even in ((ordinary, secrets_scan.EVEN_ORDINARY), (random_, secrets_scan.EVEN_RANDOM)):
+        pairs, single = Counter((a, b) for s in strings for a, b in zip("^" + s, s, strict=False)), Counter("".join(strings))
+        total = sum(single.values()) + 0.5 * len(chars)
+        before = Counter()
+        for (a, _), n in pairs.items():
+            before[a] += n
+        k = secrets_scan.BACK_OFF
+        tables.append(lambda a, b, p=pairs, s=single, t=total, f=before, e=even: (1 - e) * (p[a, b] + k * (s[b] + 0.5) / t) / (f[a] + k) + e / len(chars))
+    return lambda s: [math.log(tables[1](a, b) / tables[0](a, b)) for a, b in zip("^" + s, s, strict=False)]
+
+
+def test_secret_scan_equals_brute_force(spark):
+    """Counting, models, bounds and spans, step by step in plain Python."""
+    rows = with_keys(40, 5)[0] + [(5000, None), (5001, ""), (None, "token = abcdef0123456789"), (5002, "x" * 5000 + " é" * 10)]
+    held = lambda b: zlib.crc32(b) % secrets_scan.FOLDS == 0
+    labelled, ordinary, held_random, held_ordinary = [], [], [], []
+    for _, t in rows:
+        t = t or ""
+        base = sorted(secrets_scan.base_spans(t))
+        values = [secrets_scan.secret_value(t, *s) for s in base]
+        labelled += [v for v in values if not held(v.encode())]
+        held_random += [v for v in values if held(v.encode())]
+        covered = set().union(*[range(a, b) for a, _, b in base])
+        if held(t.encode()):
+            runs = [m for m in re.finditer("[A-Za-z0-9+/_=-]{12,}", t) if not covered & set(range(*m.span()))]
+            held_ordinary += [m[0] for m in runs if not secrets_scan.mixed(m[0])]
+        else:
+            for m in re.finditer("[A-Za-z0-9+/_=-]{12,}", t):
+                if not covered & set(range(*m.span())) and secrets_scan.mixed(m[0]):
+                    covered |= set(range(*m.span()))
+            left = "".join("\0" if i in covered else c for i, c in enumerate(t))
+            ordinary += re.findall("[A-Za-z0-9+/_=.-]{4,}", left)
+    logs = brute_log_ratio(labelled, ordinary)
+    models = secrets_scan.train(frame(spark, rows))
+    for s in ("abc", "Zq7", *held_random[:5]):
+        assert np.allclose(models.ratio[secrets_scan.bigrams(s.encode())], logs(s))
+    mean = lambda s: sum(logs(s)) / len(s)
+    assert models.recall == pytest.approx(sum(mean(s) >= models.per_char - 1e-9 for s in held_random) / len(held_random))
+    assert models.false_hits == pytest.approx(sum(mean(s) >= models.per_char - 1e-9 for s in held_ordinary) / len(held_ordinary))
+    want = []
+    for i, t in rows:
+        base = sorted(secrets_scan.base_spans(t or ""))
+        covered = set().union(*[range(a, b) for a, _, b in base])
+        for m in re.finditer("[A-Za-z0-9+/_=-]+", t or ""):
+            if len(m[0]) >= 12 and secrets_scan.mixed(m[0]) and not covered & set(range(*m.span())) and sum(logs(m[0])) >= secrets_scan.LEAST_SUM and mean(m[0]) >= models.per_char:
+                base.append((m.start(), 3, m.end()))
+        want.append((i, ",".join(f"{secrets_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base))))
+    assert sorted(((r.doc_id, r.spans) for r in secrets_scan.scan(frame(spark, rows)).collect()), key=repr) == sorted(want, key=repr)
 
 
 # 9 quality
