@@ -55,11 +55,6 @@ def counterfactual(attribution: Column, threshold: float = 0.0) -> Column:
     return F.when(best.v > threshold, F.format_string("Without the change of %s the loss were lower by %.3f.", best.k, best.v))
 
 
-def decide(scored: DataFrame, thresholds: DataFrame, by: str) -> DataFrame:
-    """is_anomaly: the loss exceeds the group's threshold; groups without one are never flagged."""
-    return scored.join(thresholds.select(by, "threshold"), by, "left").withColumn("is_anomaly", F.coalesce(F.col("loss") > F.col("threshold"), F.lit(False)))
-
-
 def regime_threshold(losses: DataFrame, regime: str, by: str, value: str) -> DataFrame:
     """Each (group, regime)'s threshold, the group's own where the regime has too few losses."""
     key = F.concat_ws("|", F.col(by).cast("string"), F.col(regime))
