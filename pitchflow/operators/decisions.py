@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .evaluation import dynamic_threshold
+from .evaluation import dynamic_threshold, with_sums_above
 from .scoring import regime_threshold, top_features
 from .windows import ema
 
@@ -68,24 +68,6 @@ def fp_budget_threshold(scored: DataFrame, by: str | None = None, budget: float
     return j.groupBy(*key).agg(F.coalesce(F.min(F.when(fits, F.col("score"))), F.max("highest")).alias("threshold"))
 
 
-def with_sums_above(per: DataFrame, key: list[str], order: str, columns: list[str]) -> DataFrame:
-    """per with {column}_above: the sum over rows of the same key from a row's order value on. With a key that is a
-    window; over a whole table rows are parted by ranges, and each adds the totals of the ranges above its own: two
-    numbers a range go to one task, never the rows."""
-    if key:
-        w = W.partitionBy(*key).orderBy(F.col(order).desc()).rangeBetween(W.unboundedPreceding, 0)
-        return per.select("*", *[F.sum(c).over(w).alias(f"{c}_above") for c in columns])
-    spark = per.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = per.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
-    totals = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
-    higher = W.orderBy(F.col("_part").desc()).rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("_part", *[F.coalesce(F.sum(f"_{c}").over(higher), F.lit(0)).alias(f"_{c}") for c in columns])  # a row a partition
-    w = W.partitionBy("_part").orderBy(F.col(order).desc()).rangeBetween(W.unboundedPreceding, 0)
-    out = ranged.join(F.broadcast(offsets), "_part")
-    return out.select(*per.columns, *[(F.sum(c).over(w) + F.col(f"_{c}")).alias(f"{c}_above") for c in columns])
-
-
 def evaluate_decisions(scored: DataFrame, calibration: DataFrame, order: tuple[str, ...], alpha: float = 0.25, newest: int = 5000, least: int = 20) -> DataFrame:
     """scored (player_id, regime, loss) smoothed per player and held against the larger of the regime's threshold and the
     99.9th percentile of the regime's calibration losses (at most its newest 5000) where there are 20 or more of them.

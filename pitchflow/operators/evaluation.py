@@ -36,13 +36,49 @@ def confusion(scored: DataFrame) -> DataFrame:
     return c.withColumns({"precision": F.round(precision, 9), "recall": F.round(recall, 9), "f1": F.round(F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0), 9)})
 
 
+def with_sums_above(per: DataFrame, key: list[str], order: str, columns: list[str]) -> DataFrame:
+    """per with {column}_above: the sum over rows of the same key from a row's order value on. With a key that is a
+    window; over a whole table rows are parted by ranges of the value, and each range adds the totals of those above it:
+    a number a range and column goes to one task, never the rows. Ranges lie between approximate quantiles, which the
+    driver holds (a number a shuffle partition); which range a row is in depends on its value alone."""
+    if key:
+        w = W.partitionBy(*key).orderBy(F.col(order).desc()).rangeBetween(W.unboundedPreceding, 0)
+        return per.select("*", *[F.sum(c).over(w).alias(f"{c}_above") for c in columns])
+    parts = int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = sorted(set(per.approxQuantile(order, [i / parts for i in range(1, parts)], 0.5 / parts))) if parts > 1 else []
+    part = F.size(F.filter(F.lit(edges), lambda e: e <= F.col(order))) if edges else F.lit(0)
+    ranged = per.withColumn("_part", part)
+    totals = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    higher = W.orderBy(F.col("_part").desc()).rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("_part", *[F.coalesce(F.sum(f"_{c}").over(higher), F.lit(0)).alias(f"_{c}") for c in columns])  # a row a range
+    w = W.partitionBy("_part").orderBy(F.col(order).desc()).rangeBetween(W.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(offsets), "_part")
+    return out.select(*per.columns, *[(F.sum(c).over(w) + F.col(f"_{c}")).alias(f"{c}_above") for c in columns])
+
+
+def quantiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> DataFrame:
+    """One row (q: array): exact quantiles of a column, between ranks linearly. Values are counted first, counts are
+    parted by ranges, and only the rows that hold a wanted rank (two a quantile) meet in one task."""
+    per = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    total = per.agg(F.sum("n").alias("all"))
+    wanted = total.select("all", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("s")) for i, s in enumerate(shares)])).alias("w"))
+    rank = F.col("w.s") * (F.col("all") - 1)
+    wanted = wanted.select(F.col("w.i").alias("i"), rank.alias("r"), "all")  # a row a quantile
+    above = with_sums_above(per, [], "v", ["n"])
+    j = above.crossJoin(F.broadcast(wanted)).withColumn("below", F.col("all") - F.col("n_above"))
+    holds = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
+    at = j.filter(holds(F.floor("r")) | holds(F.ceil("r")))
+    one = at.groupBy("i", "r").agg(F.max(F.when(holds(F.floor("r")), F.col("v"))).alias("lo"), F.max(F.when(holds(F.ceil("r")), F.col("v"))).alias("hi"))
+    q = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("r") - F.floor("r"))
+    return one.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", q.alias("q")))), lambda x: x.q).alias("q"))
+
+
 def auc(scored: DataFrame) -> DataFrame:
-    """ROC area (ties count half) and average precision, from counts per distinct score: those are aggregated first, and
-    only they are ordered."""
+    """ROC area (ties count half) and average precision, from counts per distinct score, which are parted by ranges of the
+    score: no task holds more than its range."""
     per = scored.groupBy("score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    down = W.orderBy(F.col("score").desc())
-    c = per.withColumns({"tp": F.sum("pos").over(down), "all": F.sum("n").over(down)}).withColumn("neg", F.col("n") - F.col("pos"))
-    total = c.agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum((F.col("tp") - F.col("pos") / 2) * F.col("neg")).alias("u"), F.sum(F.col("pos") * F.col("tp") / F.col("all")).alias("ap"))
+    c = with_sums_above(per, [], "score", ["pos", "n"]).withColumn("neg", F.col("n") - F.col("pos"))
+    total = c.agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum((F.col("pos_above") - F.col("pos") / 2) * F.col("neg")).alias("u"), F.sum(F.col("pos") * F.col("pos_above") / F.col("n_above")).alias("ap"))
     return total.select(F.round(F.when(F.col("p") * F.col("q") > 0, F.col("u") / (F.col("p") * F.col("q"))), 9).alias("roc_auc"), F.round(F.when(F.col("p") > 0, F.col("ap") / F.col("p")), 9).alias("average_precision"))
 
 
@@ -82,7 +118,7 @@ def episode_metrics(predicted: DataFrame, truth: DataFrame, by: str) -> DataFram
 def threshold_sweep(scored: DataFrame, points: int = 50, low: float = 0.8, high: float = 0.995) -> DataFrame:
     """False and true positives at evenly spaced thresholds between two percentiles of the scores: each score is counted
     at the last threshold that it exceeds, then counts are added up from above."""
-    cut = scored.agg(F.percentile("score", F.array(F.lit(low), F.lit(high))).alias("c")).select(F.col("c")[0].alias("a"), F.col("c")[1].alias("b"))
+    cut = quantiles(scored, "score", (low, high)).select(F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
     step = (F.col("b") - F.col("a")) / (points - 1)
     th = cut.select(F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"), "a", "b").withColumn("threshold", F.col("a") + F.col("k") * step)
     grid = F.broadcast(th.agg(F.array_sort(F.collect_list("threshold")).alias("ths")))  # `points` numbers
@@ -93,6 +129,13 @@ def threshold_sweep(scored: DataFrame, points: int = 50, low: float = 0.8, high:
     return full.select("k", F.round("threshold", 9).alias("threshold"), F.sum("fp").over(w).alias("fp"), F.sum("tp").over(w).alias("tp"))
 
 
+def budget_pick(sweep: DataFrame, normals: DataFrame, budget: float = 2.0, interval_s: float = 120.0, minutes: float = 90.0) -> DataFrame:
+    """The first threshold of a sweep whose false alerts stay within the budget of a match; none, if none does. normals: one
+    row (windows)."""
+    per_match = F.col("fp") * (minutes * 60 / interval_s) / F.greatest(F.col("windows"), F.lit(1))
+    return sweep.crossJoin(F.broadcast(normals)).filter(per_match <= budget).agg(F.min_by(F.struct("k", "threshold", "fp", "tp"), "k").alias("r")).filter("r IS NOT NULL").select("r.*")
+
+
 def fairness_audit(inferences: DataFrame, attributes: tuple[str, ...], limit: float = 0.15) -> DataFrame:
     """Flag rate of each attribute's groups against all inferences; null groups are left out."""
     overall = inferences.agg(F.avg("is_anomaly").alias("overall"))
@@ -123,11 +166,12 @@ def split_sessions(sessions: DataFrame, key: str, seed: int = 42, train: float =
     return sessions.withColumn("split", F.when(u < train, "train").when(u < train + validate, "validate").otherwise("test"))
 
 
-def normaliser(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """One row: mean and population deviation (1 where it is next to nothing) of each column."""
-    return rows.agg(*[x for c in columns for x in (F.avg(c).alias(f"{c}_mean"), F.when(F.stddev_pop(c) > 1e-6, F.stddev_pop(c)).otherwise(1.0).alias(f"{c}_std"))])
+def normaliser(rows: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean and population deviation (1 where it is next to nothing) of each column, one row per `by` (players), or one."""
+    return rows.groupBy(*by).agg(*[x for c in columns for x in (F.avg(c).alias(f"{c}_mean"), F.when(F.stddev_pop(c) > 1e-6, F.stddev_pop(c)).otherwise(1.0).alias(f"{c}_std"))])
 
 
-def normalised(rows: DataFrame, fitted: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    j = rows.crossJoin(F.broadcast(fitted))  # one row
+def normalised(rows: DataFrame, fitted: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """columns in deviations from the mean; 0 where a value or the fit is missing."""
+    j = rows.join(fitted, list(by), "left") if by else rows.crossJoin(F.broadcast(fitted))  # one row
     return j.select(*[c for c in rows.columns if c not in columns], *[F.round(F.coalesce((F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std"), F.lit(0.0)), 6).alias(c) for c in columns])

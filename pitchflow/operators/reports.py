@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .evaluation import quantiles
+from .state import alert_states
+
 
 def score_summary(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count("*").alias("n"), F.round(F.avg("pred"), 9).alias("breach_rate"), F.count_distinct("player_id").alias("n_players"), F.count_distinct(F.when(F.col("pred") == 1, F.col("player_id"))).alias("n_flagged_players"))
@@ -23,11 +28,17 @@ def window_report(scored: DataFrame, dims: tuple[str, ...]) -> DataFrame:
 
 
 def occupancy_sweep(ticks: DataFrame, window_us: int, gates: tuple[int, ...]) -> DataFrame:
-    """For each least number of rows: valid windows, players with any, and their median windows."""
+    """For each least number of rows: valid windows, players with any, their median and mean windows, the mean's standard
+    error, and a histogram (players by windows, as text)."""
     t0 = F.min("t_us").over(W.partitionBy("match_id", "player_id"))
     per = ticks.withColumn("w", F.floor((F.col("t_us") - t0) / window_us)).groupBy("match_id", "player_id", "w").agg(F.count("*").alias("n"))
     at = per.withColumn("gate", F.explode(F.array(*map(F.lit, gates)))).filter(F.col("n") >= F.col("gate")).groupBy("gate", "player_id").agg(F.count("*").alias("windows"))
-    return at.groupBy("gate").agg(F.sum("windows").alias("n_windows"), F.count("*").alias("n_players"), F.round(F.median("windows"), 6).alias("median_windows"))
+    sizes = at.groupBy("gate", "windows").agg(F.count("*").alias("players"))  # as many rows as there are different counts
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("windows", "players"))), lambda x: F.concat_ws(":", x.windows.cast("string"), x.players.cast("string"))), ",")
+    bars = sizes.groupBy("gate").agg(text.alias("histogram"))
+    sem = F.when(F.count("*") > 1, F.stddev_samp("windows") / F.sqrt(F.count("*")))
+    got = at.groupBy("gate").agg(F.sum("windows").alias("n_windows"), F.count("*").alias("n_players"), F.round(F.median("windows"), 6).alias("median_windows"), F.round(F.avg("windows"), 6).alias("mean_windows"), F.round(sem, 6).alias("standard_error"))
+    return got.join(bars, "gate")
 
 
 def regime_coverage(calibration: DataFrame, least: int = 30) -> DataFrame:
@@ -68,12 +79,15 @@ def episode_patterns(episodes: DataFrame, least: int = 2) -> DataFrame:
 
 
 def persistence_sweep(signals: DataFrame, values: tuple[int, ...]) -> DataFrame:
-    """Alerts (runs of positives that reach a length) for several lengths, from the runs' lengths alone."""
-    w = W.partitionBy("player_id").orderBy("t_us", "event_id")
-    on = F.col("pred") == 1
-    r = signals.withColumn("_b", F.sum((~on).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))).filter(on)
-    runs = r.groupBy("player_id", "_b").agg(F.count("*").alias("len"))
-    return runs.withColumn("min_persistence", F.explode(F.array(*map(F.lit, values)))).filter("len >= min_persistence").groupBy("min_persistence").agg(F.count("*").alias("n_alerts"), F.count_distinct("player_id").alias("n_players"))
+    """For each least persistence: windows in a raised state of the alert machine, alerts (episodes) and players with any.
+    signals: player_id, t_us, event_id, active, confidence."""
+    parts = []
+    for v in values:
+        s = alert_states(signals, ("player_id",), ("t_us", "event_id"), warn=v)
+        raised = s.filter(F.col("state").isin("WARNING", "CRITICAL"))
+        per = raised.groupBy("player_id").agg(F.count("*").alias("n"), F.count_distinct("episode").alias("e"))
+        parts.append(per.agg(F.lit(v).alias("min_persistence"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_windows"), F.coalesce(F.sum("e"), F.lit(0)).alias("n_alerts"), F.count("*").alias("n_players")))
+    return reduce(DataFrame.union, parts)
 
 
 def aggregate_metrics(per_player: DataFrame) -> DataFrame:
@@ -84,8 +98,13 @@ def aggregate_metrics(per_player: DataFrame) -> DataFrame:
     return per_player.agg(F.round(F.avg(p), 9).alias("macro_precision"), F.round(F.avg(r), 9).alias("macro_recall"), F.round(tp / (tp + fp), 9).alias("micro_precision"), F.round(tp / (tp + fn), 9).alias("micro_recall"))
 
 
-def override_summary(overrides: DataFrame) -> DataFrame:
-    return overrides.groupBy("recommendation_type").agg(F.count("*").alias("n"), F.round(F.avg((F.col("decision") == "override").cast("int")), 9).alias("override_rate"))
+def override_summary(overrides: DataFrame, since_us: int | None = None, player_id: int | None = None, kind: str | None = None) -> DataFrame:
+    """Override rate of each recommendation type, of the rows that pass the filters."""
+    o = overrides
+    for c, v, test in (("t_us", since_us, "__ge__"), ("player_id", player_id, "__eq__"), ("recommendation_type", kind, "__eq__")):
+        if v is not None:
+            o = o.filter(getattr(F.col(c), test)(F.lit(v)))
+    return o.groupBy("recommendation_type").agg(F.count("*").alias("n"), F.round(F.avg((F.col("decision") == "override").cast("int")), 9).alias("override_rate"))
 
 
 def match_metadata(events: DataFrame) -> DataFrame:
@@ -100,8 +119,15 @@ def validate_match(events: DataFrame, roster: DataFrame) -> DataFrame:
 
 
 def quality_report(ticks: DataFrame) -> DataFrame:
-    """One row: lag-1 autocorrelation of speed, mean and 99th percentile of absolute acceleration, shares of missing heart
-    rates and of sprints."""
+    """One row: lag-1 autocorrelation of speed, mean and 99th percentile of absolute acceleration and of its change from
+    tick to tick, shares of missing heart rates and of sprints, of ticks out of order, of standing still, mean and
+    deviation of speed, mean and deviation of the time between ticks."""
     w = W.partitionBy("match_id", "player_id").orderBy("t_us", "event_id")
-    t = ticks.withColumn("_l", F.lag("speed_ms").over(w))
-    return t.agg(F.round(F.corr("speed_ms", "_l"), 6).alias("autocorrelation"), F.round(F.avg(F.abs("acceleration_ms2")), 9).alias("mean_accel"), F.round(F.percentile(F.abs("acceleration_ms2"), F.lit(0.99)), 9).alias("p99_accel"), F.round(F.avg(F.col("heart_rate_bpm").isNull().cast("int")), 9).alias("missing_hr"), F.round(F.avg((F.col("speed_ms") >= 5.5).cast("int")), 9).alias("sprint_share"))
+    arrival = W.partitionBy("match_id", "player_id").orderBy("event_id")
+    t = ticks.withColumns({"_l": F.lag("speed_ms").over(w), "_jerk": F.abs(F.col("acceleration_ms2") - F.lag("acceleration_ms2").over(w)), "_dt": (F.col("t_us") - F.lag("t_us").over(w)) / 1e6, "_late": (F.col("t_us") < F.lag("t_us").over(arrival)).cast("int"), "_a": F.abs("acceleration_ms2")})
+    share = lambda c: F.round(F.avg(F.coalesce(c.cast("int"), F.lit(0))), 9)
+    one = t.agg(
+        F.round(F.corr("speed_ms", "_l"), 6).alias("autocorrelation"), F.round(F.avg("_a"), 9).alias("mean_accel"), F.round(F.avg("_jerk"), 9).alias("mean_jerk"), share(F.col("heart_rate_bpm").isNull()).alias("missing_hr"), share(F.col("speed_ms") >= 5.5).alias("sprint_share"),
+        share(F.col("_late")).alias("late_share"), share(F.col("speed_ms") < 0.5).alias("still_share"), F.round(F.avg("speed_ms"), 9).alias("mean_speed"), F.round(F.stddev_pop("speed_ms"), 6).alias("speed_spread"), F.round(F.avg("_dt"), 3).alias("mean_dt"), F.round(F.stddev_pop("_dt"), 3).alias("dt_spread"),
+    )
+    return one.crossJoin(F.broadcast(quantiles(t, "_a", (0.99,)).select(F.round(F.col("q")[0], 9).alias("p99_accel"))))  # one row each

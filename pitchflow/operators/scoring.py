@@ -16,9 +16,9 @@ class Reconstructor:
     """Principal components as a linear autoencoder. Its weights are a matrix of features, so every row is scored by an
     expression over columns: no Python in the tasks."""
 
-    def __init__(self, training: DataFrame, columns: tuple[str, ...] = FEATURES, k: int = 3):
-        self.columns, self.fitted = columns, normaliser(training, columns)
-        z = normalised(training, self.fitted, columns)
+    def __init__(self, training: DataFrame, columns: tuple[str, ...] = FEATURES, k: int = 3, by: tuple[str, ...] = ("player_id",)):
+        self.columns, self.by, self.fitted = columns, by, normaliser(training, columns, by)
+        z = normalised(training, self.fitted, columns, by)
         model = PCA(k=k, inputCol="v", outputCol="p").fit(VectorAssembler(inputCols=list(columns), outputCol="v").transform(z))
         self.weights = model.pc.toArray()
 
@@ -29,12 +29,12 @@ class Reconstructor:
         return sum(((v - b) * (v - b) for v, b in zip(values, back, strict=True)), F.lit(0.0)) / len(values)
 
     def score(self, rows: DataFrame) -> DataFrame:
-        z = normalised(rows, self.fitted, self.columns)
+        z = normalised(rows, self.fitted, self.columns, self.by)
         return z.withColumn("loss", F.round(self.error([F.col(c) for c in self.columns]), 6))
 
     def ablation(self, rows: DataFrame) -> DataFrame:
         """loss, and for each feature how much of it goes when the feature is replaced by its mean (0, normalised)."""
-        z = normalised(rows, self.fitted, self.columns)
+        z = normalised(rows, self.fitted, self.columns, self.by)
         full = self.error([F.col(c) for c in self.columns])
         shares = []
         for i, c in enumerate(self.columns):

@@ -136,11 +136,36 @@ def session_summary(buckets: DataFrame, t: TelemetryThresholds = TELEMETRY) -> D
     )
 
 
-def event_window_features(events: DataFrame, t0: DataFrame, bucket_us: int, kinds: tuple[str, ...]) -> DataFrame:
-    """Counts of each kind per (match, player, bucket) since the player's t0; players without one and events before it
-    are dropped; a bucket of other events alone is a row of zeros."""
+# A feature's label, how it is aggregated, and its slot (value_i) and factor; speeds come in km/h.
+EVENT_FEATURES = {
+    "accel_event_count": ("Acceleration", "count", 0, 1.0), "accel_mean_ms2": ("Acceleration", "mean", 5, 1.0), "accel_max_ms2": ("Acceleration", "max", 4, 1.0),
+    "decel_event_count": ("Deceleration", "count", 0, 1.0), "decel_mean_ms2": ("Deceleration", "mean_abs", 5, 1.0), "decel_max_ms2": ("Deceleration", "max_abs", 4, 1.0),
+    "sprint_event_count": ("Sprint", "count", 0, 1.0), "sprint_distance_m": ("Sprint", "sum", 2, 1.0), "sprint_duration_s": ("Sprint", "sum", 1, 1.0), "sprint_max_speed_ms": ("Sprint", "max", 3, 1 / 3.6),
+    "jump_event_count": ("Jump", "count", 0, 1.0), "jump_avg_height_m": ("Jump", "mean", 2, 1.0), "jump_max_height_m": ("Jump", "max", 2, 1.0),
+    "cod_event_count": ("Change of Direction", "count", 0, 1.0), "cod_angle_sum_deg": ("Change of Direction", "sum_abs", 1, 1.0), "cod_angle_mean_deg": ("Change of Direction", "mean_abs", 1, 1.0),
+    "possession_event_count": ("Ball Possession", "count", 0, 1.0), "possession_duration_s": ("Ball Possession", "sum", 1, 1.0),
+    "pass_event_count": ("Pass", "count", 0, 1.0), "pass_avg_distance_m": ("Pass", "mean", 1, 1.0), "pass_avg_ball_speed_ms": ("Pass", "mean", 2, 1 / 3.6),
+    "shot_event_count": ("Shots", "count", 0, 1.0), "shot_avg_speed_ms": ("Shots", "mean", 2, 1 / 3.6), "shot_avg_distance_m": ("Shots", "mean", 1, 1.0),
+}
+
+
+def event_window_features(events: DataFrame, t0: DataFrame, bucket_us: int) -> DataFrame:
+    """24 features of the events (match_id, player_id, t_us, label, value_1 to value_5 as text) per (match, player, bucket)
+    since the player's t0: players without one and events before it are dropped; text that is no number counts as 0, a
+    slot that lacks is left out; a bucket of other events alone is a row of zeros. One pass, combined before the shuffle."""
     e = events.join(t0, ["match_id", "player_id"]).filter("t_us >= t0_us").withColumn("bucket", F.floor((F.col("t_us") - F.col("t0_us")) / bucket_us).cast("long"))
-    return e.groupBy("match_id", "player_id", "bucket").agg(*[F.count_if(F.col("event_type") == k).alias(f"n_{k}") for k in kinds])
+
+    def feature(name: str) -> Column:
+        label, how, slot, factor = EVENT_FEATURES[name]
+        here = F.col("label") == label
+        if how == "count":
+            return F.count_if(here).cast("double").alias(name)
+        v = F.when(here & F.col(f"value_{slot}").isNotNull(), F.coalesce(F.expr(f"try_cast(value_{slot} AS double)"), F.lit(0.0)) * factor)
+        v = F.abs(v) if how.endswith("_abs") else v
+        total = {"mean": F.avg, "max": F.max, "sum": F.sum}[how.split("_")[0]](v)
+        return F.round(F.coalesce(total, F.lit(0.0)), 9).alias(name)
+
+    return e.groupBy("match_id", "player_id", "bucket").agg(*[feature(n) for n in EVENT_FEATURES])
 
 
 def merge_event_features(buckets: DataFrame, features: DataFrame) -> DataFrame:

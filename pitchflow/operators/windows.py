@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .telemetry import ORDER, player_window
+from .telemetry import EVENT_FEATURES, ORDER, player_window
 
 KEYS = ("match_id", "player_id")
 
@@ -69,14 +69,24 @@ def sliding_buffer(ticks: DataFrame, steps: int = 8, gap_us: int = 60_000_000) -
     return t.filter(F.col("n") >= steps).select(*KEYS, "event_id", "t_us", "start_us", "mean_speed")
 
 
-def tick_features(ticks: DataFrame, step_s: float = 15.0) -> DataFrame:
-    """Changes since the last tick that has a speed: acceleration in +-10, relative heart-rate recovery in +-1."""
+def tick_features(ticks: DataFrame, step_s: float = 15.0, length_m: float = 40.0, width_m: float = 20.0) -> DataFrame:
+    """The 32 channels of a tick: speed, acceleration against the last tick that has a speed (in +-10), heart rate, sprint,
+    place, way since then in metres (the axes scaled apart), relative heart-rate recovery (in +-1), and the features of
+    the tick's events, 0 where ticks doesn't have them."""
     before = player_window().rowsBetween(W.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("speed_ms").isNotNull(), F.struct("speed_ms", "heart_rate_bpm")), ignorenulls=True).over(before)
+    last = F.last(F.when(F.col("speed_ms").isNotNull(), F.struct("speed_ms", "heart_rate_bpm", "x_pitch", "y_pitch")), ignorenulls=True).over(before)
     clip = lambda c, a: F.when(c.isNotNull(), F.greatest(F.lit(-a), F.least(F.lit(a), c)))
-    accel = F.coalesce(clip((F.col("speed_ms") - last.speed_ms) / step_s, 10.0), F.lit(0.0))
-    recovery = F.coalesce(clip((last.heart_rate_bpm - F.col("heart_rate_bpm")) / F.greatest(last.heart_rate_bpm, F.lit(1)), 1.0), F.lit(0.0))
-    return ticks.select(*KEYS, "event_id", "t_us", F.round(accel, 9).alias("accel"), F.round(recovery, 9).alias("hr_recovery"), F.coalesce("x_pitch", F.lit(50.0)).alias("x"), F.coalesce("y_pitch", F.lit(50.0)).alias("y"), F.coalesce(F.col("speed_ms") >= 5.5, F.lit(False)).alias("is_sprint"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    accel = zero(clip((F.col("speed_ms") - last.speed_ms) / step_s, 10.0))
+    recovery = zero(clip((last.heart_rate_bpm - F.col("heart_rate_bpm")) / F.greatest(last.heart_rate_bpm, F.lit(1)), 1.0))
+    x, y = F.coalesce("x_pitch", F.lit(50.0)), F.coalesce("y_pitch", F.lit(50.0))
+    dx, dy = (x - F.coalesce(last.x_pitch, x)) / 100 * width_m, (y - F.coalesce(last.y_pitch, y)) / 100 * length_m
+    moved = F.when(last.isNotNull(), F.sqrt(dx * dx + dy * dy)).otherwise(0.0)
+    events = [(zero(F.col(c).cast("double")) if c in ticks.columns else F.lit(0.0)).alias(c) for c in EVENT_FEATURES]
+    return ticks.select(
+        *KEYS, "event_id", "t_us", zero(F.col("speed_ms")).alias("speed_ms"), F.round(accel, 9).alias("acceleration_ms2"), zero(F.col("heart_rate_bpm").cast("double")).alias("heart_rate_bpm"), F.coalesce(F.col("speed_ms") >= 5.5, F.lit(False)).cast("double").alias("sprint_flag"),
+        x.alias("x_pitch"), y.alias("y_pitch"), F.round(moved, 9).alias("distance_delta_m"), F.round(recovery, 9).alias("hr_recovery_rate"), *events,
+    )
 
 
 def trailing_window(ticks: DataFrame, seconds: float) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .evaluation import quantiles
+
 
 def workload_windows(buckets: DataFrame, high_intensity: float = 4.17) -> DataFrame:
     """buckets with their loads; needs n_accel, mean_accel, n_decel, mean_decel, sprint_distance, distance, max_speed."""
@@ -147,7 +149,7 @@ def distribution(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """min, quartiles, 90th percentile, max and mean of columns, exact."""
     parts = []
     for c in columns:
-        p = F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9))))
-        a = df.agg(F.min(c).cast("double").alias("min"), p.alias("p"), F.max(c).cast("double").alias("max"), F.round(F.avg(c), 9).alias("mean"))
-        parts.append(a.select(F.lit(c).alias("column"), "min", *[F.round(F.col("p")[i], 9).alias(n) for i, n in enumerate(("p25", "median", "p75", "p90"))], "max", "mean"))
+        a = df.agg(F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.round(F.avg(c), 9).alias("mean"))
+        a = a.crossJoin(F.broadcast(quantiles(df, c, (0.25, 0.5, 0.75, 0.9))))  # one row each
+        parts.append(a.select(F.lit(c).alias("column"), "min", *[F.round(F.col("q")[i], 9).alias(n) for i, n in enumerate(("p25", "median", "p75", "p90"))], "max", "mean"))
     return reduce(DataFrame.union, parts)

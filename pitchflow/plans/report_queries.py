@@ -49,7 +49,7 @@ def episode_patterns(spark, d):
 
 
 def persistence_sweep(spark, d):
-    return R.persistence_sweep(_scored(spark, d), (1, 2, 3))
+    return R.persistence_sweep(_scored(spark, d).withColumns({"active": F.col("score") > 60, "confidence": F.lit(1.0)}), (1, 2, 3))
 
 
 def aggregate_metrics(spark, d):
@@ -87,16 +87,19 @@ def oracle_sql() -> dict[str, str]:
     return {
         "score_summary": f"{sc} SELECT count(*) n, round(avg(pred), 9) breach_rate, count(DISTINCT player_id) n_players, count(DISTINCT CASE WHEN pred = 1 THEN player_id END) n_flagged_players FROM ev",
         "window_report": f"{sc} SELECT 'player_id' dimension, player_id::VARCHAR AS value, count(*) n, round(avg(pred), 9) flag_rate, max(score) max_score FROM ev GROUP BY player_id UNION ALL SELECT 'segment', (event_id % 6)::VARCHAR, count(*), round(avg(pred), 9), max(score) FROM ev GROUP BY event_id % 6",
-        "occupancy_sweep": f"{tel}, p AS (SELECT match_id, player_id, (t_us - t0) // {2 * DAY} w, count(*) n FROM (SELECT *, min(t_us) OVER (PARTITION BY match_id, player_id) t0 FROM ev) GROUP BY 1, 2, 3), a AS (SELECT gate, player_id, count(*) c FROM p, (VALUES (1), (3), (5)) g(gate) WHERE n >= gate GROUP BY 1, 2) SELECT gate, CAST(sum(c) AS BIGINT) n_windows, count(*) n_players, round(median(c), 6) median_windows FROM a GROUP BY 1",
+        "occupancy_sweep": f"{tel}, p AS (SELECT match_id, player_id, (t_us - t0) // {2 * DAY} w, count(*) n FROM (SELECT *, min(t_us) OVER (PARTITION BY match_id, player_id) t0 FROM ev) GROUP BY 1, 2, 3), a AS (SELECT gate, player_id, count(*) c FROM p, (VALUES (1), (3), (5)) g(gate) WHERE n >= gate GROUP BY 1, 2) SELECT a.gate AS gate, CAST(sum(c) AS BIGINT) n_windows, count(*) n_players, round(median(c), 6) median_windows, round(avg(c), 6) mean_windows, round(stddev_samp(c) / sqrt(count(*)), 6) standard_error, (SELECT string_agg(c || ':' || k, ',' ORDER BY c) FROM (SELECT c, count(*) k FROM a x WHERE x.gate = a.gate GROUP BY c)) histogram FROM a GROUP BY a.gate",
         "regime_coverage": f"{sc} SELECT player_id, CASE WHEN event_id % 3 = 0 THEN 'defensive__low' ELSE 'middle__high' END regime, count(*) n, count(*) >= 30 calibrated FROM ev GROUP BY 1, 2",
         "example_windows": f"{sc} SELECT player_id, arg_min(event_id, (score, event_id)) lowest, arg_min(event_id, (-score, event_id)) FILTER (pred = 1) highest_flagged, arg_min(event_id, (abs(score - 100), event_id)) borderline FROM ev GROUP BY 1",
         "dominant_finding": f"{find} SELECT player_id, minute, finding, severity FROM fi QUALIFY row_number() OVER (PARTITION BY player_id, minute ORDER BY severity DESC, confidence DESC, finding DESC) = 1",
         "salient_episodes": f"{eps}, r AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY end_minute DESC, episode DESC) rn FROM eps), s AS (SELECT *, round(5 * (finding = 'cardio')::INT + 2 * (severity >= 2)::INT + 2 * (n_windows >= 3)::INT + (20 - rn + 1) / 20, 6) salience FROM r WHERE rn <= 20), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY player_id ORDER BY salience DESC, rn) AS INT) AS rank FROM s) SELECT player_id, rank, episode, finding, salience FROM k WHERE rank <= 3",
         "episode_patterns": f"{eps}, n AS (SELECT *, lead(finding) OVER (PARTITION BY player_id ORDER BY episode) nx FROM eps) SELECT player_id, finding pattern, count(*) n FROM n GROUP BY 1, 2 HAVING count(*) >= 2 UNION ALL SELECT player_id, finding || '>' || nx, count(*) FROM n WHERE nx IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2",
-        "persistence_sweep": f"{sc}, r AS (SELECT *, sum(1 - pred) OVER ({pw}) b FROM ev), u AS (SELECT player_id, b, count(*) len FROM r WHERE pred = 1 GROUP BY 1, 2) SELECT g.v min_persistence, count(*) n_alerts, count(DISTINCT player_id) n_players FROM u JOIN (VALUES (1), (2), (3)) g(v) ON len >= g.v GROUP BY 1",
+        "persistence_sweep": f"""WITH RECURSIVE ev AS ({oracle("scored")}), q AS (SELECT player_id, v, score > 60 o, row_number() OVER (PARTITION BY player_id, v ORDER BY t_us, event_id) rn FROM ev, (VALUES (1), (2), (3)) g(v)),
+ f AS (SELECT player_id, v, 0::BIGINT rn, 0 p, 0 r, false up, 0 e FROM (SELECT DISTINCT player_id, v FROM q) UNION ALL SELECT q.player_id, q.v, q.rn, CASE WHEN o THEN p + 1 ELSE 0 END, CASE WHEN o THEN 0 ELSE r + 1 END, CASE WHEN o THEN up OR p + 1 >= q.v ELSE up AND r + 1 < 3 END, e + CASE WHEN o AND NOT up AND p + 1 >= q.v THEN 1 ELSE 0 END FROM f JOIN q ON q.player_id = f.player_id AND q.v = f.v AND q.rn = f.rn + 1)
+ SELECT v min_persistence, CAST(sum(n) AS BIGINT) n_windows, CAST(sum(e) AS BIGINT) n_alerts, count(*) n_players FROM (SELECT player_id, v, count(*) n, count(DISTINCT e) e FROM f WHERE up GROUP BY 1, 2) GROUP BY 1""",
         "aggregate_metrics": f"{sc}, p AS (SELECT player_id, count(*) FILTER (label = 1 AND pred = 1) tp, count(*) FILTER (label = 0 AND pred = 1) fp, count(*) FILTER (label = 1 AND pred = 0) fn FROM ev GROUP BY 1) SELECT round(avg(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END), 9) macro_precision, round(avg(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END), 9) macro_recall, round(sum(tp) / (sum(tp) + sum(fp)), 9) micro_precision, round(sum(tp) / (sum(tp) + sum(fn)), 9) micro_recall FROM p",
         "override_summary": f"{sc} SELECT 'type' || (event_id % 3) recommendation_type, count(*) n, round(avg(label), 9) override_rate FROM ev GROUP BY 1",
         "match_metadata": f"{tac} SELECT match_id, count(*) n_events, count(DISTINCT player_id) n_players, string_agg(DISTINCT team_id, ' vs. ' ORDER BY team_id) teams, min(t_us) begin_us, max(t_us) end_us FROM ev GROUP BY 1",
         "validate_match": f"{tac} SELECT match_id, count(*) FILTER (player_id % 7 = 0) not_in_roster, count(*) FILTER (team_id IS NULL) without_team, count(*) n FROM ev GROUP BY 1",
-        "quality_report": f"{tel}, t AS (SELECT *, lag(speed_ms) OVER (PARTITION BY match_id, player_id ORDER BY t_us, event_id) l FROM ev) SELECT round(corr(speed_ms, l), 6) autocorrelation, round(avg(abs(acceleration_ms2)), 9) mean_accel, round(quantile_cont(abs(acceleration_ms2), 0.99), 9) p99_accel, round(avg((heart_rate_bpm IS NULL)::INT), 9) missing_hr, round(avg((speed_ms >= 5.5)::INT), 9) sprint_share FROM t",
+        "quality_report": f"""{tel}, t AS (SELECT *, lag(speed_ms) OVER w l, abs(acceleration_ms2 - lag(acceleration_ms2) OVER w) j, (t_us - lag(t_us) OVER w) / 1e6::DOUBLE dt, t_us < lag(t_us) OVER (PARTITION BY match_id, player_id ORDER BY event_id) late FROM ev WINDOW w AS (PARTITION BY match_id, player_id ORDER BY t_us, event_id)) SELECT round(corr(speed_ms, l), 6) autocorrelation, round(avg(abs(acceleration_ms2)), 9) mean_accel, round(avg(j), 9) mean_jerk, round(quantile_cont(abs(acceleration_ms2), 0.99), 9) p99_accel, round(avg((heart_rate_bpm IS NULL)::INT), 9) missing_hr, round(avg(coalesce(speed_ms >= 5.5, false)::INT), 9) sprint_share,
+ round(avg(coalesce(late, false)::INT), 9) late_share, round(avg(coalesce(speed_ms < 0.5, false)::INT), 9) still_share, round(avg(speed_ms), 9) mean_speed, round(stddev_pop(speed_ms), 6) speed_spread, round(avg(dt), 3) mean_dt, round(stddev_pop(dt), 3) dt_spread FROM t""",
     }

@@ -51,12 +51,13 @@ def session_summary(spark, d):
 
 def event_features(spark, d):
     t = _ticks(spark, d)
-    t0 = t.groupBy("match_id", "player_id").agg(F.min("t_us").alias("t0_us"))
-    return T.event_window_features(view(spark, d, "tactical"), t0, BUCKET, ("pass", "shot", "turnover"))
+    t0 = t.filter("player_id % 13 > 0").groupBy("match_id", "player_id").agg((F.min("t_us") + BUCKET // 2).alias("t0_us"))
+    return T.event_window_features(view(spark, d, "labelled"), t0, BUCKET)
 
 
 def merged_features(spark, d):
-    return T.merge_event_features(resample(spark, d).select("match_id", "player_id", "bucket", "n_ticks"), event_features(spark, d))
+    f = event_features(spark, d).select("match_id", "player_id", "bucket", "pass_event_count", "shot_event_count", "sprint_distance_m")
+    return T.merge_event_features(resample(spark, d).select("match_id", "player_id", "bucket", "n_ticks"), f)
 
 
 def enrich_fatigue(spark, d):
@@ -117,8 +118,18 @@ def oracle_sql() -> dict[str, str]:
  (t_us - min(t_us) OVER (PARTITION BY match_id, player_id)) // {BUCKET} bucket FROM ev)"""
     res = f"""{dist}, rs AS (SELECT match_id, player_id, bucket, round(avg(speed_ms), 9) mean_speed, max(speed_ms) max_speed, round(coalesce(avg(acceleration_ms2), 0), 9) mean_accel, round(avg(x_pitch), 9) mean_x, round(avg(y_pitch), 9) mean_y,
  round(sum(dist), 9) distance, bool_or(speed_ms >= 5.5) any_sprint, round(avg(heart_rate_bpm), 9) mean_hr, count(speed_ms) n_ticks FROM dd GROUP BY 1, 2, 3)"""
-    feats = f"""t0 AS (SELECT match_id, player_id, min(t_us) t0 FROM ev GROUP BY 1, 2), tac AS ({oracle("tactical")}),
- fe AS (SELECT match_id, player_id, (t_us - t0) // {BUCKET} bucket, count(*) FILTER (event_type = 'pass') n_pass, count(*) FILTER (event_type = 'shot') n_shot, count(*) FILTER (event_type = 'turnover') n_turnover FROM tac JOIN t0 USING (match_id, player_id) WHERE t_us >= t0 GROUP BY 1, 2, 3)"""
+    num = lambda i: f"CASE WHEN value_{i} IS NOT NULL THEN coalesce(TRY_CAST(value_{i} AS DOUBLE), 0) END"
+    agg = {"mean": "avg", "max": "max", "sum": "sum"}
+
+    def feat(name: str) -> str:
+        label, how, slot, factor = T.EVENT_FEATURES[name]
+        if how == "count":
+            return f"(count(*) FILTER (label = '{label}'))::DOUBLE {name}"
+        v = f"({num(slot)}) {'/ 3.6::DOUBLE' if factor != 1 else ''}"
+        return f"round(coalesce({agg[how.split('_')[0]]}({f'abs({v})' if how.endswith('_abs') else v}) FILTER (label = '{label}'), 0), 9) {name}"
+
+    feats = f"""t0 AS (SELECT match_id, player_id, min(t_us) + {BUCKET // 2} t0 FROM ev WHERE player_id % 13 > 0 GROUP BY 1, 2), lab AS ({oracle("labelled")}),
+ fe AS (SELECT match_id, player_id, (t_us - t0) // {BUCKET} bucket, {', '.join(feat(n) for n in T.EVENT_FEATURES)} FROM lab JOIN t0 USING (match_id, player_id) WHERE t_us >= t0 GROUP BY 1, 2, 3)"""
     valid = f"""b AS (SELECT *, (speed_ms IS NOT NULL)::INT + (heart_rate_bpm IS NOT NULL)::INT + (x_pitch IS NOT NULL)::INT + (acceleration_ms2 IS NOT NULL)::INT >= 3 w, lag(t_us) OVER ({aw}) bt FROM ev),
  v1 AS (SELECT *, CASE WHEN abs(acceleration_ms2) > 12 THEN 0 ELSE 1 END::DOUBLE c FROM b), v2 AS (SELECT * REPLACE (CASE WHEN speed_ms > 16.2 THEN 0 WHEN speed_ms > 13.5 THEN c - 0.25 ELSE c END AS c) FROM v1),
  v3 AS (SELECT * REPLACE (CASE WHEN heart_rate_bpm IS NULL THEN c - 0.2 WHEN heart_rate_bpm NOT BETWEEN 30 AND 220 THEN 0 ELSE c END AS c) FROM v2),
@@ -145,13 +156,15 @@ def oracle_sql() -> dict[str, str]:
         "resample": f"{ev}, {res} SELECT * FROM rs WHERE n_ticks > 0",
         "session_summary": f"{ev}, {res} SELECT match_id, player_id, min(bucket) first_bucket, max(bucket) last_bucket, round(sum(distance), 9) total_distance, count(*) FILTER (any_sprint) sprint_buckets, max(max_speed) max_speed, round(sum(CASE WHEN max_speed >= 4.17 THEN distance ELSE 0 END), 9) high_speed_distance, count(*) n_buckets FROM rs GROUP BY 1, 2",
         "event_features": f"{ev}, {feats} SELECT * FROM fe",
-        "merged_features": f"{ev}, {res}, {feats} SELECT r.match_id, r.player_id, r.bucket, n_ticks, coalesce(n_pass, 0) n_pass, coalesce(n_shot, 0) n_shot, coalesce(n_turnover, 0) n_turnover FROM rs r LEFT JOIN fe USING (match_id, player_id, bucket)",
+        "merged_features": f"{ev}, {res}, {feats} SELECT r.match_id, r.player_id, r.bucket, n_ticks, coalesce(pass_event_count, 0) pass_event_count, coalesce(shot_event_count, 0) shot_event_count, coalesce(sprint_distance_m, 0) sprint_distance_m FROM rs r LEFT JOIN fe USING (match_id, player_id, bucket)",
         "enrich_fatigue": f"{ev}, bl AS (SELECT player_id, round(max(speed_ms), 4) beta FROM ev WHERE player_id % 2 = 0 GROUP BY 1) SELECT event_id, round(coalesce(beta, speed_ms * 1.3::DOUBLE) * exp(-(CASE WHEN beta IS NULL THEN 0.005::DOUBLE ELSE 0.001::DOUBLE END) * ((t_us - min(t_us) OVER (PARTITION BY match_id, player_id)) / 6e7::DOUBLE)), 4) expected_speed FROM ev LEFT JOIN bl USING (player_id)",
         "build_windows": f"""{ev}, {wins(8, 4)} SELECT match_id, player_id, "window", start_us, end_us, mean_speed, max_gap_us, max_gap_us > {DAY} has_gap, CASE WHEN mx < 33 THEN 'defensive' WHEN mx > 67 THEN 'attacking' ELSE 'middle' END || '__' || CASE WHEN ss >= 0.15 THEN 'high' WHEN ss >= 0.04 THEN 'medium' ELSE 'low' END regime FROM w""",
         "gap_filter": f"""{ev}, {wins(4, 4)} SELECT match_id, player_id, "window", max_gap_us FROM w WHERE max_gap_us <= {2 * DAY}""",
         "accumulate_windows": f"{ev}, {isl} SELECT a.match_id, a.player_id, CAST(a.island AS BIGINT) island, a.event_id first_event_id, max(b.event_id) last_event_id, a.t_us start_us, max(b.t_us) end_us, round(avg(b.speed_ms), 9) mean_speed FROM i3 a JOIN i3 b ON a.match_id = b.match_id AND a.player_id = b.player_id AND a.island = b.island AND b.k BETWEEN a.k AND a.k + 3 WHERE a.k % 2 = 0 AND a.k + 4 <= a.m GROUP BY a.match_id, a.player_id, a.island, a.event_id, a.t_us",
         "sliding_buffer": f"{ev}, {isl} SELECT a.match_id, a.player_id, a.event_id, a.t_us, min(b.t_us) start_us, round(avg(b.speed_ms), 9) mean_speed FROM i3 a JOIN i3 b ON a.match_id = b.match_id AND a.player_id = b.player_id AND a.island = b.island AND b.k BETWEEN a.k - 3 AND a.k WHERE a.k >= 3 GROUP BY a.match_id, a.player_id, a.event_id, a.t_us",
-        "tick_features": f"{ev} SELECT match_id, player_id, event_id, t_us, round(coalesce(CASE WHEN speed_ms IS NULL OR lag(speed_ms) OVER w IS NULL THEN NULL ELSE greatest(-10.0::DOUBLE, least(10.0::DOUBLE, (speed_ms - lag(speed_ms) OVER w) / 15.0::DOUBLE)) END, 0), 9) accel, round(coalesce(CASE WHEN heart_rate_bpm IS NULL OR lag(heart_rate_bpm) OVER w IS NULL THEN NULL ELSE greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (lag(heart_rate_bpm) OVER w - heart_rate_bpm) / greatest(lag(heart_rate_bpm) OVER w, 1))) END, 0), 9) hr_recovery, x_pitch x, y_pitch y, speed_ms >= 5.5 is_sprint FROM ev WINDOW w AS ({pw})",
+        "tick_features": f"""{ev}, l AS (SELECT *, lag(speed_ms) OVER w ls, lag(heart_rate_bpm) OVER w lh, lag(x_pitch) OVER w lx, lag(y_pitch) OVER w ly, lag(event_id) OVER w le FROM ev WINDOW w AS ({pw})), k AS (SELECT *, coalesce(x_pitch, 50) x, coalesce(y_pitch, 50) y FROM l)
+ SELECT match_id, player_id, event_id, t_us, coalesce(speed_ms, 0) speed_ms, round(coalesce(CASE WHEN speed_ms IS NULL OR ls IS NULL THEN NULL ELSE greatest(-10.0::DOUBLE, least(10.0::DOUBLE, (speed_ms - ls) / 15.0::DOUBLE)) END, 0), 9) acceleration_ms2, coalesce(heart_rate_bpm, 0)::DOUBLE heart_rate_bpm, coalesce(speed_ms >= 5.5, false)::INT::DOUBLE sprint_flag, x x_pitch, y y_pitch,
+ round(CASE WHEN le IS NULL THEN 0 ELSE sqrt(pow((x - coalesce(lx, x)) / 100 * 20, 2) + pow((y - coalesce(ly, y)) / 100 * 40, 2)) END, 9) distance_delta_m, round(coalesce(CASE WHEN heart_rate_bpm IS NULL OR lh IS NULL THEN NULL ELSE greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (lh - heart_rate_bpm) / greatest(lh, 1))) END, 0), 9) hr_recovery_rate, {', '.join(f'0::DOUBLE {n}' for n in T.EVENT_FEATURES)} FROM k""",
         "trailing_window": f"{ev} SELECT match_id, player_id, event_id, t_us, CAST(count(*) FILTER (speed_ms >= 5.5) OVER w AS BIGINT) sprints, round(avg(speed_ms) OVER w, 9) mean_speed, round(CASE WHEN count(speed_ms) OVER w >= 2 THEN sum(speed_ms) OVER w * (172800.0::DOUBLE / count(speed_ms) OVER w) ELSE 0 END, 5) distance FROM ev WINDOW w AS (PARTITION BY match_id, player_id ORDER BY t_us RANGE BETWEEN {2 * DAY} PRECEDING AND CURRENT ROW)",
         "ema": f"WITH RECURSIVE ev AS ({oracle('telemetry')}), {fold('ev', 'q.speed_ms IS NOT NULL')}",
         "ema_held": f"WITH RECURSIVE ev AS ({oracle('telemetry')}), {valid}, {fold('va', 'q.confidence >= 0.8')}",

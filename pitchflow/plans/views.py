@@ -15,7 +15,7 @@ VIEWS = {
        CASE WHEN user_id % 10 = 9 THEN NULL WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS team_id,
        CASE event_type WHEN 'signup' THEN 'possession' WHEN 'error' THEN 'turnover' WHEN 'purchase' THEN 'shot' WHEN 'click' THEN 'pass' ELSE 'sprint_event' END AS event_type
        FROM events""",
-    "coach": """SELECT event_id AS coach_event_id, user_id AS player_id, {T_US} + ((event_id % 7) - 3) * 1200000000 AS t_us, CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS team_id,
+    "coach": f"""SELECT event_id AS coach_event_id, {WEEK}, user_id AS player_id, {{T_US}} + ((event_id % 7) - 3) * 1200000000 AS t_us, CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS team_id,
        CASE event_id % 4 WHEN 0 THEN 'goal' WHEN 1 THEN 'shot' WHEN 2 THEN 'save' ELSE 'timeout' END AS event_type FROM events WHERE event_type = 'purchase' AND event_id % 3 = 0""",
     "scored": """SELECT event_id, user_id AS player_id, {T_US} AS t_us, value AS score, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label, CASE WHEN value > 100 THEN 1 ELSE 0 END AS pred FROM events""",
     "loads": """SELECT o.o_custkey AS player_id, o.o_orderkey AS match_id, sum(l.l_quantity) AS acceleration_load, sum(l.l_discount) * 100 AS deceleration_load,
@@ -54,7 +54,11 @@ VIEWS["stats"] = """SELECT CAST(floor(o.o_orderkey / CAST(256 AS DOUBLE)) AS BIG
 #: Matches of the tracking data; some dates can't be read where the player is odd.
 VIEWS["matches"] = f"""SELECT match_id, concat('dir', CAST(match_id % 3 AS VARCHAR(20))) AS match_dir, CAST(date_add(DATE '2024-01-01', CAST(match_id % 50 AS INT)) AS VARCHAR(30)) AS date, CAST(count(*) AS BIGINT) AS n_events FROM ({VIEWS["telemetry"]}) GROUP BY 1, 2, 3"""
 VIEWS["matches"] = VIEWS["matches"].replace("date_add(DATE '2024-01-01', CAST(match_id % 50 AS INT))", "{DAY_OF_MATCH}")
-TABLES = {"buckets": "events", "stats": "orders lineitem", "matches": "events", "features": "events", "telemetry": "events", "tactical": "events", "coach": "events", "scored": "events", "loads": "orders lineitem", "sessions": "orders lineitem", "inferences": "orders customer"}
+#: Tracked events with the labels and text slots of an export; some slots lack, some hold no number.
+VIEWS["labelled"] = f"""SELECT event_id, user_id AS player_id, {{T_US}} AS t_us, {WEEK}, CASE event_id % 9 WHEN 0 THEN 'Acceleration' WHEN 1 THEN 'Deceleration' WHEN 2 THEN 'Sprint' WHEN 3 THEN 'Jump' WHEN 4 THEN 'Change of Direction' WHEN 5 THEN 'Ball Possession' WHEN 6 THEN 'Pass' WHEN 7 THEN 'Shots' ELSE 'Exertion' END AS label,
+       CAST((event_id * 7) % 50 - 10 AS VARCHAR(20)) AS value_1, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST((event_id * 11) % 60 AS VARCHAR(20)) END AS value_2, CASE WHEN event_id % 4 = 0 THEN 'none' ELSE CAST((event_id * 3) % 35 AS VARCHAR(20)) END AS value_3,
+       CAST((event_id * 13) % 17 - 8 AS VARCHAR(20)) AS value_4, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST((event_id * 5) % 9 - 4 AS VARCHAR(20)) END AS value_5 FROM events"""
+TABLES = {"labelled": "events", "buckets": "events", "stats": "orders lineitem", "matches": "events", "features": "events", "telemetry": "events", "tactical": "events", "coach": "events", "scored": "events", "loads": "orders lineitem", "sessions": "orders lineitem", "inferences": "orders customer"}
 
 
 def importable(spark: SparkSession) -> None:
