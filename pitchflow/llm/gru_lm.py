@@ -17,9 +17,9 @@ from .common import fresh, stored, text_slices
 
 HIDDEN, VOCABULARY, CLASSES = 24, 2048, 40
 #: Truncated backpropagation: so many steps a window, so many streams side by side.
-STEPS, STREAMS, RATE, DAMP, WARM = 32, 64, 0.05, 1e-3, 50
+STEPS, STREAMS, RATE, DAMP, WARM = 32, 128, 0.05, 1e-3, 50
 #: A task of a round learns about so many tokens; each training document is learned from in one of so many rounds.
-TASK_TOKENS, ROUNDS = 1_000_000, 2
+TASK_TOKENS, ROUNDS = 2_000_000, 2
 #: Texts of about so many bytes are scored side by side.
 SCORE_BYTES, SCORE_STREAMS, SCORE_STEPS = 8 << 20, 512, 64
 #: Counts of at most so many frequent tokens go to every task; the others are joined by a shuffle.
@@ -88,54 +88,69 @@ class Gru:
         return self
 
     def states(self, x: np.ndarray, reset: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(states of each step, last state) for inputs x (steps, streams); reset: a document begins there."""
+        """(states of each step, last state) for inputs x (steps, streams); reset: a document begins there. keep gets the
+        states before each step, gates and candidates, as arrays over the steps."""
         zr_of, h_of, k = self.p["zr"], self.p["h"], HIDDEN
-        inputs, out = self.p["x"][x], np.empty((*x.shape, k), np.float32)
+        inputs, out = self.p["x"].take(x, 0), np.empty((*x.shape, k), h.dtype)
+        if keep is not None:
+            keep += [np.empty_like(out), np.empty((*x.shape, 2 * k), h.dtype), np.empty_like(out)]
+        begins = reset.any(1)
         for t in range(len(x)):
-            if reset[t].any():
+            if begins[t]:
                 h = h * ~reset[t][:, None]
             a = inputs[t]
-            zr = 1 / (1 + np.exp(-(a[:, : 2 * k] + h @ zr_of)))
+            zr = np.matmul(h, zr_of, out=None if keep is None else keep[1][t])
+            zr += a[:, : 2 * k]
+            np.exp(np.negative(zr, out=zr), out=zr)
+            np.reciprocal(np.add(zr, 1, out=zr), out=zr)
             z, r = zr[:, :k], zr[:, k:]
-            c = np.tanh(a[:, 2 * k :] + (r * h) @ h_of)
-            new = h + z * (c - h)
+            c = (r * h) @ h_of
+            c += a[:, 2 * k :]
+            np.tanh(c, out=c)
             if keep is not None:
-                keep.append((h, z, r, c))
-            out[t] = h = new
+                keep[0][t], keep[2][t] = h, c
+            new = np.subtract(c, h, out=out[t])
+            new *= z
+            new += h
+            h = new
         return out, h
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of words y after states h; with grads also the gradient of their sum, negated, by h."""
         p, cls = self.p, self.class_of[y]
-        logits = h @ p["oc"] + p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        rows = np.arange(len(y))
-        out = logits[rows, cls] - np.log(total)
+        # states lie within -1 and 1, which bounds the logits; small ones need no shift before they are raised
+        small = max(float((np.abs(p["oc"]).sum(0) + np.abs(p["bc"])).max()), float((np.abs(p["ow"]).sum(1) + np.abs(p["bw"])).max())) < 60
+
+        def softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(log probability of column at[i] in row i, exponentials, their sums); logits are overwritten."""
+            if not small:
+                logits -= logits.max(1, keepdims=True)
+            own = logits[np.arange(len(at)), at]
+            e = np.exp(logits, out=logits)
+            total = e.sum(1)
+            return own - np.log(total), e, total
+
+        out, e, total = softmax(h @ p["oc"] + p["bc"], cls)
         dh = None
         if grads is not None:
             e /= total[:, None]
-            e[rows, cls] -= 1
+            e[np.arange(len(y)), cls] -= 1
             grads["oc"] += h.T @ e
             grads["bc"] += e.sum(0)
             dh = e @ p["oc"].T
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.uint8), kind="stable")  # CLASSES < 256: a radix sort
         edges = np.searchsorted(cls[order], np.arange(len(self.starts)))
         for c in range(len(self.starts) - 1):
             a, b = self.starts[c], self.starts[c + 1]
             if b - a < 2 or edges[c] == edges[c + 1]:
                 continue
             at = order[edges[c] : edges[c + 1]]
-            sub = h[at]
-            logits = sub @ p["ow"][a:b].T + p["bw"][a:b]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total, k = e.sum(1), np.arange(len(at))
-            out[at] += logits[k, y[at] - a] - np.log(total)
+            sub, word = h.take(at, 0), y[at] - a
+            logs, e, total = softmax(sub @ p["ow"][a:b].T + p["bw"][a:b], word)
+            out[at] += logs
             if grads is not None:
                 e /= total[:, None]
-                e[k, y[at] - a] -= 1
+                e[np.arange(len(at)), word] -= 1
                 grads["ow"][a:b] += e.T @ sub
                 grads["bw"][a:b] += e.sum(0)
                 dh[at] += e @ p["ow"][a:b]
@@ -145,27 +160,32 @@ class Gru:
         """Gradients of the mean loss over one window, back to its first step only, and the state to carry on."""
         k, keep, g = HIDDEN, [], {n: np.zeros_like(a) for n, a in self.p.items()}
         out, last = self.states(x, reset, h, keep)
+        before, zr, c = keep
+        z, r = zr[..., :k], zr[..., k:]
         _, dflat = self.log_probs(out[valid], y[valid], g)
         d_out = np.zeros_like(out)
         d_out[valid] = dflat
-        d_in = np.empty((*x.shape, 3 * k), np.float32)
+        # what doesn't depend on the gradients of later steps, for all steps at once
+        of_c, of_z, of_r, stay = z * (1 - c * c), (c - before) * z * (1 - z), before * r * (1 - r), 1 - z
+        d_in = np.empty((*x.shape, 3 * k), out.dtype)
         dh = np.zeros_like(h)
+        h_back, zr_back, begins = np.ascontiguousarray(self.p["h"].T), np.ascontiguousarray(self.p["zr"].T), reset.any(1)
         for t in range(len(x) - 1, -1, -1):
-            hp, z, r, c = keep[t]
-            dh = dh + d_out[t]
-            dc = dh * z * (1 - c * c)
-            drh = dc @ self.p["h"].T
-            d_in[t, :, :k] = dh * (c - hp) * z * (1 - z)
-            d_in[t, :, k : 2 * k] = drh * hp * r * (1 - r)
-            d_in[t, :, 2 * k :] = dc
-            dh = dh * (1 - z) + drh * r + d_in[t, :, : 2 * k] @ self.p["zr"].T
-            if reset[t].any():
-                dh = dh * ~reset[t][:, None]
-        before = np.stack([s[0] for s in keep]).reshape(-1, k)
-        gated = np.stack([s[0] * s[2] for s in keep]).reshape(-1, k)
+            dh += d_out[t]
+            d = d_in[t]
+            dc = np.multiply(dh, of_c[t], out=d[:, 2 * k :])
+            drh = dc @ h_back
+            np.multiply(dh, of_z[t], out=d[:, :k])
+            np.multiply(drh, of_r[t], out=d[:, k : 2 * k])
+            dh *= stay[t]
+            drh *= r[t]
+            dh += drh
+            dh += d[:, : 2 * k] @ zr_back
+            if begins[t]:
+                dh *= ~reset[t][:, None]
         flat = d_in.reshape(-1, 3 * k)
-        g["zr"] += before.T @ flat[:, : 2 * k]
-        g["h"] += gated.T @ flat[:, 2 * k :]
+        g["zr"] += before.reshape(-1, k).T @ flat[:, : 2 * k]
+        g["h"] += (before * r).reshape(-1, k).T @ flat[:, 2 * k :]
         order = np.argsort(x, axis=None, kind="stable")
         words, first = np.unique(x.ravel()[order], return_index=True)
         g["x"][words] = np.add.reduceat(flat[order], first)
@@ -210,30 +230,26 @@ class Streams:
             lanes[s].append(i)
             heapq.heappush(heap, (length + len(documents[i]), s))
         lanes.sort(key=lambda lane: -sum(len(documents[i]) for i in lane))
-        self.lanes = []
-        for lane in lanes:
-            docs = [documents[i] for i in lane]
-            sizes = [len(d) for d in docs]
-            y = np.concatenate(docs) if docs else np.zeros(0, np.int32)
-            x, first = np.empty_like(y), np.zeros(len(y), bool)
-            x[1:] = y[:-1]
-            at = np.cumsum([0, *sizes[:-1]]) if sizes else np.zeros(0, int)
-            x[at], first[at] = begin, True
-            self.lanes.append((x, y, first, np.repeat(np.array(lane, np.int32), sizes)))
-        self.lengths = np.array([len(lane[1]) for lane in self.lanes])
+        order = [i for lane in lanes for i in lane]
+        docs = [documents[i] for i in order]
+        sizes = np.array([len(d) for d in docs], np.int64)
+        self.y = np.concatenate(docs) if docs else np.zeros(0, np.int32)
+        self.x, self.first = np.empty_like(self.y), np.zeros(len(self.y), bool)
+        self.x[1:] = self.y[:-1]
+        at = np.cumsum(sizes) - sizes
+        self.x[at], self.first[at] = begin, True
+        self.owner = np.repeat(np.array(order, np.int32), sizes)
+        self.lengths = np.array([sum(len(documents[i]) for i in lane) for lane in lanes], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.steps, self.width = int(self.lengths.max(initial=0)), width
 
     def window(self, a: int, steps: int) -> tuple[np.ndarray, ...]:
         """(input, target, first of a document, document, valid) arrays of (step, stream) of the streams longer than a."""
         live = int((self.lengths > a).sum())
-        n = min(steps, self.steps - a)
-        out = tuple(np.zeros((live, n), kind) for kind in (np.int32, np.int32, bool, np.int32))
-        valid = np.arange(a, a + n)[None] < self.lengths[:live, None]
-        for s in range(live):
-            for to, of in zip(out, self.lanes[s], strict=True):
-                part = of[a : a + n]
-                to[s, : len(part)] = part
-        return tuple(np.ascontiguousarray(o.T) for o in (*out, valid))
+        step = np.arange(a, a + min(steps, self.steps - a))[:, None]
+        valid = step < self.lengths[:live]
+        at = np.minimum(step, self.lengths[:live] - 1) + self.starts[:live]
+        return self.x.take(at), self.y.take(at), self.first.take(at) & valid, self.owner.take(at), valid
 
 
 def ids_of(words: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
