@@ -58,24 +58,45 @@ def dominant_finding(findings: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return findings.groupBy(*keys).agg(F.max(F.struct("severity", "confidence", "finding")).alias("m")).select(*keys, F.col("m.finding").alias("finding"), F.col("m.severity").alias("severity"))
 
 
-def salient_episodes(episodes: DataFrame, current: str, k: int = 3, pool: int = 20) -> DataFrame:
-    """The k most salient of each player's newest `pool` episodes: same finding 5, severity of two or more 2, unresolved
-    2, and recency (newer is higher), ties to newer ones."""
+def salient_episodes(episodes: DataFrame, current: str, k: int = 3, pool: int = 20, trend: str | None = None) -> DataFrame:
+    """The k most salient of each player's newest `pool` episodes: same finding 5, same trend 3 (where episodes have one),
+    severity of two or more 2, unresolved 2, and recency (newer is higher), ties to newer ones."""
     w = W.partitionBy("player_id").orderBy(F.col("end_minute").desc(), F.col("episode").desc())
     e = episodes.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= pool)
-    score = 5 * (F.col("finding") == current).cast("int") + 2 * (F.col("severity") >= 2).cast("int") + 2 * (F.col("n_windows") >= 3).cast("int") + (pool - F.col("rn") + 1) / pool
+    same_trend = F.coalesce(F.col("trend") == trend, F.lit(False)).cast("int") if trend is not None and "trend" in episodes.columns else F.lit(0)
+    score = 5 * (F.col("finding") == current).cast("int") + 3 * same_trend + 2 * (F.col("severity") >= 2).cast("int") + 2 * (F.col("n_windows") >= 3).cast("int") + (pool - F.col("rn") + 1) / pool
     e = e.withColumn("salience", F.round(score, 6))
     top = F.row_number().over(W.partitionBy("player_id").orderBy(F.col("salience").desc(), "rn"))
     return e.withColumn("rank", top).filter(F.col("rank") <= k).select("player_id", "rank", "episode", "finding", "salience")
 
 
-def episode_patterns(episodes: DataFrame, least: int = 2) -> DataFrame:
-    """Finding types of `least` or more episodes of a player, and how often one type follows another."""
+def episode_patterns(episodes: DataFrame, least: int = 2, top: int = 4) -> DataFrame:
+    """The `top` finding types of `least` or more episodes of a player, and the `top` that follow one another so often."""
     w = W.partitionBy("player_id").orderBy("episode")
     e = episodes.withColumn("next", F.lead("finding").over(w))
-    recurring = e.groupBy("player_id", F.col("finding").alias("pattern")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    pairs = e.filter("next IS NOT NULL").groupBy("player_id", F.concat_ws(">", "finding", "next").alias("pattern")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return recurring.unionByName(pairs)
+    recurring = e.groupBy("player_id", F.lit("recurring").alias("kind"), F.col("finding").alias("pattern")).agg(F.count("*").alias("n"))
+    pairs = e.filter("next IS NOT NULL").groupBy("player_id", F.lit("transition").alias("kind"), F.concat_ws(">", "finding", "next").alias("pattern")).agg(F.count("*").alias("n"))
+    rank = F.row_number().over(W.partitionBy("player_id", "kind").orderBy(F.col("n").desc(), "pattern"))
+    return recurring.unionByName(pairs).filter(F.col("n") >= least).withColumn("_rank", rank).filter(F.col("_rank") <= top).drop("_rank")
+
+
+def context_summary(episodes: DataFrame, patterns: DataFrame, salient: DataFrame, last: int = 3) -> DataFrame:
+    """One row a player: how its episodes went on (findings in order, repeats once), the last of them in words, what
+    recurs and what follows what, the salient ones, and the active pattern. A player's episodes are few; of long histories
+    the newest 50 are told."""
+    rn = F.row_number().over(W.partitionBy("player_id").orderBy(F.col("episode").desc()))
+    e = episodes.withColumn("_rn", rn).filter("_rn <= 50")
+    in_order = F.array_sort(F.collect_list(F.struct("episode", "finding")))
+    steps = F.transform(in_order, lambda x: x.finding)
+    once = F.filter(steps, lambda f, i: (i == 0) | (f != F.get(steps, i - 1)))
+    words = F.format_string("%s (severity %d, minutes %d-%d)", F.col("finding"), F.col("severity"), F.col("start_minute"), F.col("end_minute"))
+    newest = F.transform(F.array_sort(F.collect_list(F.when(F.col("_rn") <= last, F.struct("episode", words.alias("t"))))), lambda x: x.t)
+    g = e.groupBy("player_id").agg(F.array_join(once, " -> ").alias("trajectory"), F.array_join(newest, "; ").alias("recent"), F.max_by("finding", "episode").alias("active_pattern"), F.count("*").alias("n_episodes"))
+    named = lambda kind: F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("pattern")))), ",")
+    p = patterns.groupBy("player_id").agg(named("recurring").alias("recurring"), named("transition").alias("transitions"))
+    r = salient.groupBy("player_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "finding"))), lambda x: x.finding), ",").alias("relevant"))
+    out = g.join(p, "player_id", "left").join(r, "player_id", "left")
+    return out.select("player_id", "n_episodes", "trajectory", "recent", *[F.coalesce(c, F.lit("")).alias(c) for c in ("recurring", "transitions", "relevant")], "active_pattern")
 
 
 def persistence_sweep(signals: DataFrame, values: tuple[int, ...]) -> DataFrame:

@@ -66,11 +66,12 @@ def regime_threshold(losses: DataFrame, regime: str, by: str, value: str) -> Dat
 
 
 def kmeans_background(rows: DataFrame, k: int, columns: tuple[str, ...] = FEATURES, seed: int = 7) -> DataFrame:
-    """Centres of k-means over distinct rows; no more centres than rows."""
+    """Centres of k-means over distinct rows; no more centres than rows, of which a few stand for themselves."""
     d = VectorAssembler(inputCols=list(columns), outputCol="v", handleInvalid="skip").transform(rows.select(*columns).distinct())
-    n = d.limit(k).count()
-    model = KMeans(k=max(2, min(k, n)), seed=seed, featuresCol="v").fit(d)
-    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    few = d.select(*columns).limit(k + 1).collect()  # k + 1 rows tell whether there are more than k
+    if len(few) <= k:
+        centres = [(i, [float(x) for x in r]) for i, r in enumerate(sorted(few))]
+    else:
+        model = KMeans(k=k, seed=seed, featuresCol="v").fit(d)
+        centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return rows.sparkSession.createDataFrame(centres, "centre int, v array<double>").select("centre", *[F.col("v")[i].alias(c) for i, c in enumerate(columns)])
-
-

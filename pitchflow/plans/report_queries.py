@@ -41,7 +41,15 @@ def dominant_finding(spark, d):
 
 
 def salient_episodes(spark, d):
-    return R.salient_episodes(PQ.episodes(spark, d), "cardio")
+    return R.salient_episodes(_trended(spark, d), "cardio", trend="worsening")
+
+
+def _trended(spark, d):
+    return PQ.episodes(spark, d).withColumn("trend", F.when(F.col("start_minute") % 3 == 0, "worsening").otherwise("stable"))
+
+
+def context_summary(spark, d):
+    return R.context_summary(PQ.episodes(spark, d), episode_patterns(spark, d), salient_episodes(spark, d))
 
 
 def episode_patterns(spark, d):
@@ -76,12 +84,14 @@ def quality_report(spark, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (score_summary, window_report, occupancy_sweep, regime_coverage, example_windows, dominant_finding, salient_episodes, episode_patterns, persistence_sweep, aggregate_metrics, override_summary, match_metadata, validate_match, quality_report)}
+    return {f.__name__: f for f in (score_summary, window_report, occupancy_sweep, regime_coverage, example_windows, dominant_finding, salient_episodes, episode_patterns, context_summary, persistence_sweep, aggregate_metrics, override_summary, match_metadata, validate_match, quality_report)}
 
 
 def oracle_sql() -> dict[str, str]:
     tel, tac, sc = (f"WITH ev AS ({oracle(n)})" for n in ("telemetry", "tactical", "scored"))
     eps = f"WITH eps AS ({PQ.oracle_sql()['episodes']})"
+    sal = "sr AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY end_minute DESC, episode DESC) rn FROM eps), ss AS (SELECT *, round(5 * (finding = 'cardio')::INT + 3 * (start_minute % 3 = 0)::INT + 2 * (severity >= 2)::INT + 2 * (n_windows >= 3)::INT + (20 - rn + 1) / 20, 6) salience FROM sr WHERE rn <= 20), sk AS (SELECT *, CAST(row_number() OVER (PARTITION BY player_id ORDER BY salience DESC, rn) AS INT) AS rank FROM ss), sal AS (SELECT player_id, rank, episode, finding, salience FROM sk WHERE rank <= 3)"
+    pat = "pn AS (SELECT *, lead(finding) OVER (PARTITION BY player_id ORDER BY episode) nx FROM eps), pp AS (SELECT player_id, 'recurring' kind, finding pattern, count(*) n FROM pn GROUP BY 1, 2, 3 UNION ALL SELECT player_id, 'transition', finding || '>' || nx, count(*) FROM pn WHERE nx IS NOT NULL GROUP BY 1, 2, 3), pat AS (SELECT player_id, kind, pattern, n FROM (SELECT *, row_number() OVER (PARTITION BY player_id, kind ORDER BY n DESC, pattern) k FROM pp WHERE n >= 2) WHERE k <= 4)"
     find = PQ.oracle_sql()["episodes"].split(", r AS (")[0]
     pw = "PARTITION BY player_id ORDER BY t_us, event_id"
     return {
@@ -91,8 +101,13 @@ def oracle_sql() -> dict[str, str]:
         "regime_coverage": f"{sc} SELECT player_id, CASE WHEN event_id % 3 = 0 THEN 'defensive__low' ELSE 'middle__high' END regime, count(*) n, count(*) >= 30 calibrated FROM ev GROUP BY 1, 2",
         "example_windows": f"{sc} SELECT player_id, arg_min(event_id, (score, event_id)) lowest, arg_min(event_id, (-score, event_id)) FILTER (pred = 1) highest_flagged, arg_min(event_id, (abs(score - 100), event_id)) borderline FROM ev GROUP BY 1",
         "dominant_finding": f"{find} SELECT player_id, minute, finding, severity FROM fi QUALIFY row_number() OVER (PARTITION BY player_id, minute ORDER BY severity DESC, confidence DESC, finding DESC) = 1",
-        "salient_episodes": f"{eps}, r AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY end_minute DESC, episode DESC) rn FROM eps), s AS (SELECT *, round(5 * (finding = 'cardio')::INT + 2 * (severity >= 2)::INT + 2 * (n_windows >= 3)::INT + (20 - rn + 1) / 20, 6) salience FROM r WHERE rn <= 20), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY player_id ORDER BY salience DESC, rn) AS INT) AS rank FROM s) SELECT player_id, rank, episode, finding, salience FROM k WHERE rank <= 3",
-        "episode_patterns": f"{eps}, n AS (SELECT *, lead(finding) OVER (PARTITION BY player_id ORDER BY episode) nx FROM eps) SELECT player_id, finding pattern, count(*) n FROM n GROUP BY 1, 2 HAVING count(*) >= 2 UNION ALL SELECT player_id, finding || '>' || nx, count(*) FROM n WHERE nx IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2",
+        "salient_episodes": f"{eps}, {sal} SELECT * FROM sal",
+        "episode_patterns": f"{eps}, {pat} SELECT * FROM pat",
+        "context_summary": f"""{eps}, {sal}, {pat}, e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY episode DESC) rn, lag(finding) OVER (PARTITION BY player_id ORDER BY episode) bf FROM eps) WHERE rn <= 50),
+ t AS (SELECT player_id, string_agg(finding, ' -> ' ORDER BY episode) trajectory FROM (SELECT *, lag(finding) OVER (PARTITION BY player_id ORDER BY episode) b FROM e) WHERE b IS NULL OR b <> finding GROUP BY 1),
+ g AS (SELECT player_id, count(*) n_episodes, arg_max(finding, episode) active_pattern, string_agg(finding || ' (severity ' || severity || ', minutes ' || start_minute || '-' || end_minute || ')', '; ' ORDER BY episode) FILTER (rn <= 3) recent FROM e GROUP BY 1),
+ p AS (SELECT player_id, string_agg(pattern, ',' ORDER BY pattern) FILTER (kind = 'recurring') a, string_agg(pattern, ',' ORDER BY pattern) FILTER (kind = 'transition') b FROM pat GROUP BY 1), r AS (SELECT player_id, string_agg(finding, ',' ORDER BY rank) c FROM sal GROUP BY 1)
+ SELECT player_id, n_episodes, trajectory, recent, coalesce(a, '') recurring, coalesce(b, '') transitions, coalesce(c, '') relevant, active_pattern FROM g JOIN t USING (player_id) LEFT JOIN p USING (player_id) LEFT JOIN r USING (player_id)""",
         "persistence_sweep": f"""WITH RECURSIVE ev AS ({oracle("scored")}), q AS (SELECT player_id, v, score > 60 o, row_number() OVER (PARTITION BY player_id, v ORDER BY t_us, event_id) rn FROM ev, (VALUES (1), (2), (3)) g(v)),
  f AS (SELECT player_id, v, 0::BIGINT rn, 0 p, 0 r, false up, 0 e FROM (SELECT DISTINCT player_id, v FROM q) UNION ALL SELECT q.player_id, q.v, q.rn, CASE WHEN o THEN p + 1 ELSE 0 END, CASE WHEN o THEN 0 ELSE r + 1 END, CASE WHEN o THEN up OR p + 1 >= q.v ELSE up AND r + 1 < 3 END, e + CASE WHEN o AND NOT up AND p + 1 >= q.v THEN 1 ELSE 0 END FROM f JOIN q ON q.player_id = f.player_id AND q.v = f.v AND q.rn = f.rn + 1)
  SELECT v min_persistence, CAST(sum(n) AS BIGINT) n_windows, CAST(sum(e) AS BIGINT) n_alerts, count(*) n_players FROM (SELECT player_id, v, count(*) n, count(DISTINCT e) e FROM f WHERE up GROUP BY 1, 2) GROUP BY 1""",

@@ -43,7 +43,7 @@ def read_positions(spark: SparkSession, path: str, t: TelemetryThresholds = TELE
 
 def read_roster(spark: SparkSession, path: str, own_team: str) -> DataFrame:
     """Players of a statistics export, the ball dropped, with their position's name and whose team they are in."""
-    raw = spark.read.csv(path, sep=";", header=True, encoding="latin1")
+    raw = spark.read.csv(path, sep=";", header=True, encoding="iso-8859-1")
     pid = F.expr("try_cast(`Player ID` AS int)")
     rows = raw.filter(pid.isNotNull() & (F.coalesce("Group name", F.lit("")) != "Ball"))
     return rows.select(pid.alias("player_id"), F.nullif(F.trim("Name"), F.lit("")).alias("name"), F.coalesce(_lookup(F.col("Position"), POSITIONS), F.lower("Position")).alias("position"), F.col("Group name").alias("team"), F.when(F.col("Group name") == own_team, "OWN").otherwise("OPPONENT").alias("ownership"), F.expr("try_cast(`Session ID` AS bigint)").alias("session_id"), F.col("Description").alias("description"))
@@ -139,19 +139,51 @@ def parse_telemetry(lines: DataFrame) -> DataFrame:
     return parsed.filter("player_external_id IS NOT NULL").withColumn("ts", F.try_to_timestamp("ts"))
 
 
+def read_telemetry_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """A stream of the telemetry lines that land in a folder."""
+    return parse_telemetry(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path))
+
+
+def replay_source(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """A recorded match as a stream, a file after the other in order of their times; how fast is up to the trigger."""
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("latestFirst", "false").parquet(path)
+
+
 def encode_records(df: DataFrame, kind: str, version: str = "1") -> DataFrame:
     """schema_version, type, match_id, payload: the wire form of a table's rows."""
     return df.select(F.lit(version).alias("schema_version"), F.lit(kind).alias("type"), F.col("match_id").cast("string").alias("match_id"), F.to_json(F.struct(*df.columns)).alias("payload"))
 
 
-def decode_records(wire: DataFrame, kind: str, schema: str, version: str = "1") -> DataFrame:
-    """Rows of one type; other versions and types are left out."""
-    return wire.filter((F.col("schema_version") == version) & (F.col("type") == kind)).select(F.from_json("payload", schema).alias("r")).select("r.*")
+def rejected_records(wire: DataFrame, kinds: dict[str, str], version: str = "1") -> DataFrame:
+    """wire rows that no reader takes, and why: an unknown version or type, or a payload that is no JSON of its type."""
+    known = F.col("type").isin(*kinds)
+    broken = F.lit(False)
+    for kind, schema in kinds.items():
+        read = F.from_json("payload", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+        broken = F.when(F.col("type") == kind, read.isNull() | read["_corrupt"].isNotNull()).otherwise(broken)
+    reason = F.when(~F.coalesce(F.col("schema_version") == version, F.lit(False)), "unknown version").when(~F.coalesce(known, F.lit(False)), "unknown type").when(broken, "malformed payload")
+    return wire.withColumn("reason", reason).filter("reason IS NOT NULL")
 
 
-def replay_export(events: DataFrame, path: str, max_elapsed: float | None = None) -> None:
-    """Newline-delimited JSON in global order (elapsed, time, player), nulls kept."""
-    e = events if max_elapsed is None else events.filter(F.col("elapsed_seconds") <= max_elapsed)
+def decode_records(wire: DataFrame, kind: str, schema: str, version: str = "1") -> DataFrame:
+    """Rows of one type; what rejected_records() names is left out."""
+    read = F.from_json("payload", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    fine = wire.filter((F.col("schema_version") == version) & (F.col("type") == kind)).select(read.alias("r")).filter("r IS NOT NULL AND r._corrupt IS NULL")
+    return fine.select("r.*").drop("_corrupt")
+
+
+def replay_export(events: DataFrame, path: str, players: list[str] | None = None, max_elapsed: float | None = None) -> None:
+    """Newline-delimited JSON in global order (elapsed, time, player), nulls kept: of some players, up to a time, or all.
+    Without a column of external ids they follow from player_id (p007)."""
+    missing = {"ts", "elapsed_seconds"} - set(events.columns)
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
+    e = events if "player_external_id" in events.columns else events.withColumn("player_external_id", F.format_string("p%03d", F.col("player_id").cast("int")))
+    if players is not None:
+        e = e.filter(F.col("player_external_id").isin(*players))
+    if max_elapsed is not None:
+        e = e.filter(F.col("elapsed_seconds") <= max_elapsed)
     e.orderBy("elapsed_seconds", "ts", "player_external_id").write.option("ignoreNullFields", "false").json(path)
 
 

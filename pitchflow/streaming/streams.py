@@ -66,6 +66,47 @@ def alert_states(signals: DataFrame, warn: int = 3, critical: int = 10, recover:
     return signals.select("player_id", "event_id", "active", "confidence").groupBy("player_id").applyInPandasWithState(step, ALERT, "s int, p int, q int, e int", "append", GroupStateTimeout.NoTimeout)
 
 
+MATCH_STATE = "player_id bigint, event_id bigint, n_windows bigint, n_alerts bigint, consecutive_alerts bigint, mean_score double, peak_score double, peak_hr double, sprints bigint, recent_scores array<double>"
+RECENT = 50
+
+
+def match_state(scored: DataFrame) -> DataFrame:
+    """A player's running state after each scored window (player_id, event_id, score, alert, heart_rate, sprints): counts,
+    peaks and the last 50 scores. The state is a few numbers and one bounded list; checkpoints keep it over restarts."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, alerts, run, total, peak, hr, sprints, recent = state.get if state.exists else (0, 0, 0, 0.0, 0.0, 0.0, 0, [])
+        recent, out = list(recent), []
+        for r in pd.concat(list(batches)).sort_values("event_id").itertuples(index=False):
+            n, total, peak = n + 1, total + float(r.score), max(peak, float(r.score))
+            alerts, run = (alerts + 1, run + 1) if r.alert else (alerts, 0)
+            hr = hr if r.heart_rate is None or pd.isna(r.heart_rate) else max(hr, float(r.heart_rate))
+            sprints += int(r.sprints)
+            recent = [*recent, float(r.score)][-RECENT:]
+            out.append((key[0], int(r.event_id), n, alerts, run, round(total / n, 9), peak, hr, sprints, list(recent)))
+        state.update((n, alerts, run, total, peak, hr, sprints, recent))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in MATCH_STATE.split(", ")])
+
+    kept = "n bigint, alerts bigint, run bigint, total double, peak double, hr double, sprints bigint, recent array<double>"
+    narrow = scored.select("player_id", "event_id", "score", "alert", "heart_rate", "sprints")
+    return narrow.groupBy("player_id").applyInPandasWithState(step, MATCH_STATE, kept, "append", GroupStateTimeout.NoTimeout)
+
+
+TOPICS = ("possessions", "team_state", "trends", "insights", "situations", "players", "workload")
+
+
+def publish(outputs: dict[str, DataFrame], path: str, checkpoint: str, keys: dict[str, list[str]]) -> list:
+    """A query a topic: each streaming output's rows go to a folder of their own, once by their keys."""
+    unknown = set(outputs) - set(TOPICS)
+    if unknown:
+        raise ValueError(f"no topics: {', '.join(sorted(unknown))}")
+
+    def sink(topic: str) -> Callable[[DataFrame, int], None]:
+        return lambda batch, _: publish_new(batch.dropDuplicates(keys[topic]), f"{path}/{topic}", keys[topic])
+
+    return [df.writeStream.foreachBatch(sink(t)).option("checkpointLocation", f"{checkpoint}/{t}").trigger(availableNow=True).start() for t, df in outputs.items()]
+
+
 def publish_new(batch: DataFrame, path: str, keys: list[str]) -> None:
     """Appends the rows whose keys the sink lacks: a final row is published once."""
     spark = batch.sparkSession
@@ -86,8 +127,8 @@ def team_chain(events: DataFrame, store: str, sink: str, chain: Callable[[DataFr
 
     def each(batch: DataFrame, _: int) -> None:
         batch.write.mode("append").partitionBy("match_id").parquet(store)
-        touched = batch.select("match_id").distinct()
-        landed = batch.sparkSession.read.parquet(store).dropDuplicates(["event_id"]).join(touched, "match_id", "left_semi")
+        touched = [r[0] for r in batch.select("match_id").distinct().collect()]  # matches of one micro-batch
+        landed = batch.sparkSession.read.parquet(store).filter(F.col("match_id").isin(touched)).dropDuplicates(["event_id"])  # the filter prunes folders
         publish_new(chain(landed), sink, keys)
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

@@ -133,7 +133,7 @@ def test_squad_recalibration():
 
 def test_fusion_claims_each_event_once(spark):
     tracked = events(spark, [(100, "A", "shot"), (103, "A", "shot"), (500, "B", "shot")])
-    coach = spark.createDataFrame([(1, 1, 101 * S, "A", "goal"), (2, 1, 101 * S, "A", "shot"), (3, 1, 900 * S, "A", "goal"), (4, 1, 501 * S, "A", "save")], "coach_event_id bigint, player_id bigint, t_us bigint, team_id string, event_type string")
+    coach = spark.createDataFrame([(1, 1, 1, 101 * S, "A", "goal"), (2, 1, 1, 101 * S, "A", "shot"), (3, 1, 1, 900 * S, "A", "goal"), (4, 1, 1, 501 * S, "A", "save")], "coach_event_id bigint, match_id bigint, player_id bigint, t_us bigint, team_id string, event_type string")
     rows = fusion.fuse_events(tracked, coach, {"A": "B", "B": "A"}).collect()
     assert sorted((r.t_us // S, r.source, r.shot_outcome) for r in rows) == [(100, "tracked", "GOAL"), (103, "tracked", "MISSED"), (500, "tracked", "SAVED"), (900, "backend", "GOAL")]
 
