@@ -21,13 +21,19 @@ def hash_bits(key, text):
 
 def directory(sized: DataFrame, low: int, high: int, limit: int) -> tuple[DataFrame, DataFrame]:
     """Of rows (h, n_bytes): which leaf each `high`-bit prefix lies in, where depths low to high are tried, and the
-    prefixes that exceed the limit even at `high` bits. A leaf is the shortest prefix whose bytes fit."""
+    prefixes that exceed the limit even at `high` bits.
+
+    A leaf is a prefix whose bytes fit under a parent whose bytes don't (or at depth low). A parent has two children at
+    most, so no join has a hot key; sums by prefix are combined before they are shuffled. Each leaf is spread over the
+    `high`-bit prefixes below it."""
     fine = sized.groupBy(F.shiftright("h", BITS - high).alias("fine")).agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n"))
-    deep = fine.select("fine", "n_bytes", "n", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(fine, {high} - depth)"))
-    fits = deep.groupBy("depth", "prefix").agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n").alias("shard_docs")).filter(F.col("shard_bytes") <= limit)
-    first = F.min(F.struct("depth", "prefix", "shard_bytes", "shard_docs"))
-    leaves = deep.select("fine", "depth", "prefix").join(fits, ["depth", "prefix"]).groupBy("fine").agg(first.alias("leaf")).select("fine", "leaf.*")
-    return leaves, fine.filter(F.col("n_bytes") > limit)
+    deep = fine.select("n_bytes", "n", "fine", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
+    sums = deep.groupBy("depth", F.expr(f"shiftright(fine, {high} - depth)").alias("prefix")).agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
+    above = sums.select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"), F.col("shard_bytes").alias("parent_bytes"))
+    j = sums.withColumn("parent", F.shiftright("prefix", 1)).join(above, ["depth", "parent"], "left")
+    leaves = j.filter((F.col("shard_bytes") <= limit) & (F.col("parent_bytes").isNull() | (F.col("parent_bytes") > limit)))
+    below = F.expr(f"sequence(shiftleft(prefix, {high} - depth), shiftleft(prefix + 1, {high} - depth) - 1)")
+    return leaves.select(F.explode(below).alias("fine"), "depth", "prefix", "shard_bytes", "shard_docs"), fine.filter(F.col("n_bytes") > limit)
 
 
 def shard_documents(docs: DataFrame, max_bytes: int, id_col: str = "doc_id", text_col: str = "text", headroom_bits: int = 6) -> DataFrame:
