@@ -42,8 +42,13 @@ def occurrences(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "off"))
     prefix = placed.join(near(seen) if small else seen, "key", "left").groupBy("win", "size").agg(rarest.alias("r"))
     prefix = prefix.filter("r.n > 0").select("win", "size", F.col("r.key").alias("key"), F.col("r.off").alias("off"))
-    found = docs.select("doc_id", "h", "w", F.posexplode("w").alias("pos", "tok")).withColumn("key", F.lower("tok")).drop("tok").join(near(prefix), "key")
-    found = found.withColumn("at", F.col("pos") - F.col("off")).filter((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.size("w")))
+    if small:
+        found = docs.select("doc_id", "h", "w", F.posexplode("w").alias("pos", "tok")).withColumn("key", F.lower("tok")).drop("tok").join(F.broadcast(prefix), "key")
+        found = found.withColumn("at", F.col("pos") - F.col("off"))
+    else:  # what is shuffled is a place, not the document around it; documents with any are brought back by their hash
+        placed = docs.select("h", F.posexplode("w").alias("pos", "tok")).select("h", "pos", F.lower("tok").alias("key")).join(prefix, "key")
+        found = placed.select("h", (F.col("pos") - F.col("off")).alias("at"), "size", "win").filter("at >= 0").distinct().join(docs, "h")
+    found = found.filter((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.size("w")))
     return found.filter(ascii_lower(F.array_join(F.slice("w", F.col("at") + 1, F.col("size")), " ")) == F.col("win")).select("doc_id", "h", "at", "size", "win")
 
 
@@ -61,13 +66,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), words(F.col(text_col)).alias("w"))
     windows = stored(item_windows(benchmark, width, item_col, item_text_col), fresh(spark, "windows"))
-    small = windows.count() <= BROADCAST_WINDOWS
+    n_windows, n_items = windows.agg(F.count("*"), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
+    small, few_items = n_windows <= BROADCAST_WINDOWS, n_items <= BROADCAST_WINDOWS
     occ = stored(occurrences(d, windows, small), fresh(spark, "occurrences"))
     spans = occ.groupBy("doc_id", "h", "at").agg(F.max("size").alias("size")).groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("at", (F.col("at") + F.col("size")).alias("end")))).alias("spans"))
     n_hit = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, s: F.struct((a.n + F.greatest(F.lit(0), s.end - F.greatest(s.at, a.end))).alias("n"), F.greatest(a.end, s.end).alias("end")), lambda a: a.n)
     spans = spans.select("doc_id", "h", n_hit.cast("long").alias("n_hit"))
     win_items = windows.select("win", F.explode("items").alias("item"))
-    items = occ.select("doc_id", "h", "win").distinct().join(F.broadcast(win_items) if small else win_items, "win").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items = occ.select("doc_id", "h", "win").distinct().join(F.broadcast(win_items) if few_items else win_items, "win").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("item")).alias("items"))
     hits = spans.join(items, (spans.doc_id.eqNullSafe(items.doc_id)) & (spans.h == items.h)).select(spans.doc_id.alias("hit_id"), spans.h.alias("hit_h"), "n_hit", "items")
     sized = d.select("doc_id", "h", F.size("w").cast("long").alias("n_words"))
     out = sized.join(hits, sized.doc_id.eqNullSafe(F.col("hit_id")) & (sized.h == F.col("hit_h")), "left")
