@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import encoder, tokenizer_version
-from .common import fresh, text_slices
+from .common import fresh, joined_by, stored, text_slices
 
 CACHE_SCHEMA = "digest binary, n_tokens bigint"
 
@@ -51,16 +51,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
         if "PATH_NOT_FOUND" not in str(e):
             raise
         known = None
-    first = keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    if known is not None:
-        first = first.join(known, "digest", "left_anti")
+    texts = stored(keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), fresh(spark, "digests"))
+    first = texts if known is None else texts.join(known, "digest", "left_anti")
     k = keyed.alias("k")
     f = first.hint("shuffle_hash").alias("f")
     misses = k.join(f, (F.col("k.digest") == F.col("f.digest")) & F.col("k.doc_id").eqNullSafe(F.col("f.first_id"))).select("k.digest", "k.text")
     misses.mapInArrow(partial(_counts, path=tokenizer), CACHE_SCHEMA).write.mode("append").parquet(path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return (
-        keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-        .join(counts, "digest", "left")
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+    rows = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
+    total = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counted = joined_by(rows, texts.select("digest", "n").join(counts, "digest"), "digest", "n", total)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
