@@ -77,11 +77,21 @@ def flagged(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, Data
     return told.filter(~F.col("_hit")).select(rows.columns), told.filter("_hit").select(rows.columns)
 
 
+#: Batches between Spark and Python hold at most so many bytes and rows: with long texts the default of 10,000 rows alone
+#: takes up more of an executor than a task's own work.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers that start from now on find this package where the driver found it."""
+    """Lets Python workers that start from now on find this package where the driver found it, and bounds the session's
+    batches for them where they are not bounded more tightly."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -156,6 +156,7 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
     for part, texts in text_slices(batches, "text"):
         scores = [fm.score(*f) for f in _featurise(texts)]
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
+    _buckets.cache_clear()
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
@@ -171,3 +172,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id
     schema = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double"
     scored = narrow.mapInArrow(partial(_score, model=model), schema)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def _keep(batches: Iterator[pa.RecordBatch], model, threshold: float, text_col: str) -> Iterator[pa.RecordBatch]:
+    fm: FactorisationMachine = model.value
+    for part, texts in text_slices(batches, text_col):
+        yield part.filter(pa.array([fm.score(*f) >= threshold for f in _featurise(texts)], pa.bool_()))
+    _buckets.cache_clear()  # the worker lives on, for stages that need the memory
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that score_quality() predicts 1, with all their columns. Each row is judged where it lies, by its
+    own text: repeated and null ids don't matter, and no text is shuffled."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col))
+    return docs.mapInArrow(partial(_keep, model=model, threshold=threshold, text_col=text_col), docs.schema)

@@ -166,7 +166,7 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
 
-def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch], path: str, forget: bool = False) -> Iterator[pa.RecordBatch]:
     bpe = trie_bpe(path)
     for part, texts in text_slices(batches, "text"):
         cut, known = bpe.fill(texts)
@@ -177,6 +177,8 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
             ids_of.append(hashlib.sha256(" ".join([v[1] for v in found]).encode()).hexdigest())
             text_of.append(hashlib.sha256(" ".join([v[2] for v in found]).encode()).hexdigest())
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_of), pa.array(text_of)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    if forget:
+        bpe.word_ids, bpe.chunk_memo = Memo(200_000), Memo(300_000)
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -195,11 +197,12 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     return narrow.mapInArrow(partial(_decode, path=tokenizer), f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", forget: bool = False) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids' decimal text and of the decoded text, per row of docs.
 
     A map without any shuffle: every task encodes its own documents, and a worker keeps a bounded memo of words, so
-    prefixes that many words share are worked out once. Null and empty text have no tokens and the digests of "".
+    prefixes that many words share are worked out once (with forget, each task begins anew and leaves the memory to what
+    runs after it in the same worker). Null and empty text have no tokens and the digests of "".
     Rows with equal or null ids each keep a row; an empty table gives an empty result; other columns are not read."""
     narrow = _narrow(docs, id_col, text_col)
-    return narrow.mapInArrow(partial(_digests, path=tokenizer), SCHEMA.format(id=narrow.schema["doc_id"].dataType.simpleString()))
+    return narrow.mapInArrow(partial(_digests, path=tokenizer, forget=forget), SCHEMA.format(id=narrow.schema["doc_id"].dataType.simpleString()))
