@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchflow.llm.common import fresh, importable, stored, table
+from pitchflow.llm.common import flagged, fresh, importable, stored, table
 from pitchflow.llm.decontaminate import contamination
 from pitchflow.llm.jaccard_join import link_classes
-from pitchflow.llm.quality_fm import score_quality
+from pitchflow.llm.quality_fm import good_documents
 from pitchflow.llm.queries import _word_tokenizer
 from pitchflow.llm.secrets_scan import redact
 from pitchflow.llm.trie_bpe import encode_digests
@@ -30,32 +30,33 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
 
 
-def _kept(keyed: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of keyed whose key is among keys (doc_id), without the key."""
-    return keyed.join(keys.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_semi").drop("_key")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    keyed = _keyed(docs)
-    scored = score_quality(keyed, table(spark, sf_dir, "labels"), key_col="_key")
-    return _kept(keyed, scored.filter("predicted = 1"))
+    return good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of linked documents one row stays: that of the smallest id, among equal ids of the smallest hash of
-    the text. Texts without words are in no class and stay."""
+    the text. Texts without words are in no class and stay. Texts of rows that are neither linked nor repeated are not
+    shuffled."""
     importable(spark)
     blank = F.coalesce("text", F.lit("")).rlike(BLANK)
     keyed = _keyed(docs.filter(~blank))
-    heads = link_classes(keyed, id_col="_key").filter("doc_id = component_id")
-    return _kept(keyed.dropDuplicates(["_key"]), heads).select(docs.columns).union(docs.filter(blank))
+    classes = link_classes(keyed, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id")
+    followers = classes.filter("_key <> component_id").select("_key")
+    repeated = classes.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").select("_key")
+    clear, maybe = flagged(keyed, followers.union(repeated), "_key")
+    heads = maybe.dropDuplicates(["_key"]).join(followers.distinct(), "_key", "left_anti")
+    return clear.select(docs.columns).union(heads.select(docs.columns)).union(docs.filter(blank))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated with benchmark items go."""
     keyed = _keyed(docs)
-    return _kept(keyed, contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").filter("NOT contaminated"))
+    found = contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").filter("contaminated").select(F.col("doc_id").alias("_key"))
+    found = stored(found.distinct(), fresh(spark, "contaminated"))
+    clear, maybe = flagged(keyed, found, "_key")
+    return clear.union(maybe.join(found, "_key", "left_anti").select(clear.columns)).select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +69,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the documents' ids and of their decoded texts."""
     importable(spark)
-    return encode_digests(docs, _word_tokenizer())
+    return encode_digests(docs, _word_tokenizer(), forget=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
