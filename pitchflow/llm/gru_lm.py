@@ -18,6 +18,8 @@ from .common import fresh, stored, text_slices
 HIDDEN, VOCABULARY, CLASSES = 24, 2048, 40
 #: Truncated backpropagation: so many steps a window, so many streams side by side.
 STEPS, STREAMS, RATE, DAMP, WARM = 32, 128, 0.05, 1e-3, 50
+#: A task with few tokens learns from fewer streams at once, so that it takes so many steps at least.
+UPDATES = 300
 #: A task of a round learns about so many tokens; each training document is learned from in one of so many rounds.
 TASK_TOKENS, ROUNDS = 2_000_000, 2
 #: Texts of about so many bytes are scored side by side.
@@ -195,15 +197,18 @@ class Gru:
     def learn(self, documents: list[np.ndarray], begin: int) -> None:
         """One pass of truncated backpropagation with Adam steps; documents follow each other in streams."""
         m, v = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}
-        lanes = Streams(documents, begin, STREAMS)
+        width = min(STREAMS, max(8, sum(map(len, documents)) // (STEPS * UPDATES)))
+        lanes = Streams(documents, begin, width)
         h = np.zeros((lanes.width, HIDDEN), np.float32)
+        total = max(1, -(-lanes.steps // STEPS))
         for step, a in enumerate(range(0, lanes.steps, STEPS), 1):
             x, y, reset, _, valid = lanes.window(a, STEPS)
             g, h = self.gradients(x, y, valid, reset, h[: x.shape[1]])
+            rate = RATE * min(1, step / WARM) * (1 - (step - 1) / total)  # ends at nothing, so that the weights settle
             for k, d in g.items():
                 m[k] += 0.1 * (d - m[k])
                 v[k] += 0.01 * (d * d - v[k])
-                self.p[k] -= RATE * min(1, step / WARM) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + DAMP)  # rare words' small gradients take small steps
+                self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + DAMP)  # rare words' small gradients take small steps
 
     def score(self, documents: list[np.ndarray], begin: int) -> np.ndarray:
         """Natural log probability of each document: its state is carried from window to window to its end."""
