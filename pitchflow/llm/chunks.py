@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import Memo
 
@@ -20,9 +22,12 @@ SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 NOT_SPACE = tuple("\x1c\x1d\x1e\x1f")
 #: A space that does not begin a chunk: white space follows, or nothing.
 LOOSE = re.compile(r" (?=\s)| \Z")
+#: The same by plain search, for texts of ASCII only.
+LOOSE_ASCII = tuple(" " + c for c in " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f")
 BEFORE_SPACE = re.compile(r"(?= \S)")
 #: A chunk of letters and marks, as a key; the byte-level pattern always cuts between the two.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%&#|]+)")
+MARKS = frozenset(".,!?;:*$%&#|")
 
 
 def tokenizer_version(path: str) -> str:
@@ -40,6 +45,12 @@ def _library(path: str):
     return f"{lib.__name__} {lib.__version__}", lib
 
 
+def is_loose(text: str) -> bool:
+    if text.isascii():
+        return text.endswith(" ") or any(x in text for x in LOOSE_ASCII)
+    return LOOSE.search(text) is not None
+
+
 def split_words(text: str) -> list[str]:
     """The runs between white space, by the tokenizers' notion of it."""
     if any(c in text for c in NOT_SPACE):
@@ -47,6 +58,42 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
+class Known:
+    """Chunks that a worker has met and their ids, as arrays: chunk i has ids[bounds[i]:bounds[i + 1]]. Forgotten as a whole
+    when they take up some LIMIT bytes, as whatever is frequent comes back with the next slice."""
+
+    LIMIT = 14 << 20
+
+    def __init__(self, width: int):
+        self.keys, self.ids, self.bounds = pa.array([""], pa.string()), np.zeros(0, f"<u{width}"), np.zeros(2, np.int64)
+
+    def find(self, keys: list[str]) -> dict[str, bytes]:
+        at = pc.index_in(pa.array(keys, pa.string()), value_set=self.keys)
+        found = at.is_valid().to_numpy(zero_copy_only=False)
+        rows = at.drop_null().to_numpy()
+        data, w = memoryview(self.ids.tobytes()), self.ids.itemsize
+        return {k: bytes(data[a * w : b * w]) for k, a, b in zip((k for k, f in zip(keys, found.tolist(), strict=True) if f), self.bounds[rows].tolist(), self.bounds[rows + 1].tolist(), strict=True)}
+
+    def codes(self, words: pa.Array, encoder: ChunkEncoder) -> np.ndarray:
+        """The number of each word; new ones are encoded, each once."""
+        if self.keys.nbytes + self.ids.nbytes + self.bounds.nbytes > self.LIMIT:
+            self.__init__(self.ids.itemsize)
+        at = pc.index_in(words, value_set=self.keys)
+        if not at.null_count:
+            return at.to_numpy()
+        unknown = words.filter(at.is_null())
+        found = encoder.encoded(unknown.unique().to_numpy(zero_copy_only=False).tolist(), self)
+        ids = np.frombuffer(b"".join(found.values()), self.ids.dtype)
+        sizes = np.fromiter(map(len, found.values()), np.int64, len(found)) // self.ids.itemsize
+        new, first = pa.array(list(found), pa.string()), len(self.keys)
+        self.keys = pa.concat_arrays([self.keys, new])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids])
+        out = at.fill_null(-1).to_numpy().copy()
+        out[out < 0] = pc.index_in(unknown, value_set=new).to_numpy() + first
+        return out
+
+
 class ChunkEncoder:
     """ids of texts as the library gives them, without added special tokens; special strings in texts as it handles them.
 
@@ -57,6 +104,7 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _, lib = _library(path)
         self.memo, self.specials = Memo(cache), []
+        self.known: Known | None = None
         if path.endswith(".model"):
             self.mode, self.model = "whole", lib.SentencePieceProcessor(model_file=path)
             self.encode_all = lambda texts: self.model.encode(texts, num_threads=1)
@@ -64,7 +112,8 @@ class ChunkEncoder:
         self.model = lib.Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.encode_all = lambda texts: [e.ids for e in self.model.encode_batch(texts, add_special_tokens=False)]
+        encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)  # the same ids, without offsets
+        self.encode_all = lambda texts: [e.ids for e in encode(texts, add_special_tokens=False)]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
@@ -92,7 +141,7 @@ class ChunkEncoder:
             return []
         if self.mode == "whole" or any(s in text for s in self.specials):
             return [" " + text]
-        if LOOSE.search(text):
+        if is_loose(text):
             first, *rest = [x for x in BEFORE_SPACE.split(text) if x]
             return [first[1:] if BEFORE_SPACE.match(first) else " " + first, *(x[1:] for x in rest)]
         out = text.split(" ")
@@ -105,12 +154,71 @@ class ChunkEncoder:
         """Each text's chunks, and a map with the ids of every chunk among them: how many they are, or (width > 0) the ids
         themselves as little-endian integers of so many bytes."""
         cut = [self.chunks(t) for t in texts]
-        missing = self.memo.missing(set(chain.from_iterable(cut)))
+        return cut, self.lookup(set(chain.from_iterable(cut)), width)
+
+    def coded(self, column: pa.Array, texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, ends, ids, bounds) of a slice of texts (the column without nulls, and the same as a list): each text's
+        chunks as codes, ends[i] being where those of text i end; the ids of code c are ids[bounds[c]:bounds[c + 1]].
+        Chunks are cut and told apart by Arrow; Python sees each distinct one once."""
+        if self.mode == "byte":
+            easy = np.array([not is_loose(t) and not any(s in t for s in self.specials) for t in texts], bool)
+        else:
+            easy = np.zeros(len(texts), bool)
+        hard = [self.chunks(t) for t, e in zip(texts, easy.tolist(), strict=True) if not e]
+        counts = np.zeros(len(texts), np.int64)
+        counts[~easy] = [len(c) for c in hard]
+        keys = [pa.array(list(chain.from_iterable(hard)), pa.string())]
+        if easy.any():
+            cut = pc.split_pattern(column if easy.all() else column.filter(pa.array(easy)), " ")
+            sizes = pc.list_value_length(cut).to_numpy(zero_copy_only=False)
+            counts[easy] = sizes
+            words = cut.flatten()
+            first = np.zeros(len(words), bool)
+            first[np.cumsum(sizes) - sizes] = True
+            head = words.filter(pa.array(first))  # empty where the text begins with its space, else a chunk without one
+            head = pc.if_else(pc.equal(head, ""), "", pc.binary_join_element_wise(" ", head, ""))
+            keys += [head, words.filter(pa.array(~first))]
+        flat = self._known(width).codes(pa.concat_arrays([k.cast(pa.string()) for k in keys]), self)
+        n = len(keys[0])
+        codes = np.empty(int(counts.sum()), np.int64)
+        of_easy = np.repeat(easy, counts)
+        codes[~of_easy] = flat[:n]
+        if easy.any():
+            some = np.empty(len(flat) - n, np.int64)
+            some[first], some[~first] = flat[n : n + len(head)], flat[n + len(head) :]
+            codes[of_easy] = some
+        known = self._known(width)
+        return codes, np.cumsum(counts), known.ids, known.bounds
+
+    def _known(self, width: int) -> Known:
+        if self.known is None or self.known.ids.itemsize != width:
+            self.known = Known(width)
+        return self.known
+
+    def encoded(self, keys: list[str], known: Known) -> dict[str, bytes]:
+        """The ids of new chunks, and of the parts by which some of them were encoded, as bytes."""
+        out: dict[str, bytes] = {}
+        if self.mode == "byte":
+            whole = [(k, m[1], " " + m[2]) for k in keys if k[-1] in MARKS and (m := PLAIN.fullmatch(k))]
+            if whole:  # letters and marks are cut apart by the tokenizer: each is looked up alone
+                plain = {k for k, _, _ in whole}
+                rest = [k for k in keys if k not in plain]
+                parts = list({x for _, a, b in whole for x in (a, b)} - plain)
+                old = known.find(parts)
+                self._into(out, list({*rest, *(x for x in parts if x not in old)}), known.ids.itemsize)
+                out.update((k, (out.get(a) or old[a]) + (out.get(b) or old[b])) for k, a, b in whole)
+                return out
+        self._into(out, keys, known.ids.itemsize)
+        return out
+
+    def lookup(self, keys, width: int) -> dict:
+        """A map with the ids of all these chunks: how many they are, or (width > 0) the ids as bytes."""
+        missing = self.memo.missing(keys)
         young = self.memo.young
         if self.mode == "byte":
             whole = []
             for key in missing:
-                if m := PLAIN.fullmatch(key):  # letters and marks are cut apart by the tokenizer: each is looked up alone
+                if key[-1] in MARKS and (m := PLAIN.fullmatch(key)):  # letters and marks are cut apart by the tokenizer: each is looked up alone
                     whole.append((key, m[1], " " + m[2]))
             if whole:
                 plain = {k for k, _, _ in whole}
@@ -119,9 +227,9 @@ class ChunkEncoder:
                 self._into(young, missing, width)
                 for key, a, b in whole:
                     young[key] = young[a] + young[b]
-                return cut, young
+                return young
         self._into(young, missing, width)
-        return cut, young
+        return young
 
     def _into(self, to: dict, keys: list[str], width: int) -> None:
         for part, ids, bounds in self._encode(keys):

@@ -3,8 +3,9 @@
 Layout under a store's path, all Parquet:
   staged/kind=0/ key (BLAKE2b-128 of data), data (ids, little-endian, `width` bytes each): each distinct chunk once
   recipes/       part, seq, doc_id, n_tokens, digests (a document's chunk digests in a row), root: in ascending doc_id order
-  manifest/      part, first_id, last_id, n_docs, n_ids, root: a hash over the part's document roots, themselves hashes over
-            chunk digests, so that the manifest vouches for every id
+  manifest/      part, first_id, last_id, n_docs, n_ids, root: a Merkle tree over the part's documents, whose leaves are
+            hashes over id, length and chunk digests
+  top/           root: of the tree over the manifest's rows, so that it vouches for every id, every place and every part
 """
 
 from __future__ import annotations
@@ -28,12 +29,16 @@ from .common import dropped, text_slices
 DIGEST = 16
 #: Chunks end where the rolling hash of the last 16 ids has zeros under MASK (one place in 512), within these lengths.
 MASK, LEAST, MOST = 0x1FF << 15, 64, 4096
+#: A node of the Merkle trees has so many bits of children.
+FAN_BITS = 8
+#: Texts of about so many bytes are encoded at once.
+ENCODE_BYTES = 4 << 20
 CHUNKS = "kind int, key binary, data binary"
 STAGED = "kind int, key binary, data binary, doc_id {id}, n_tokens bigint"
 CRC_POLYNOMIAL = np.uint32(0xEDB88320)
 
 
-def digest_of(data: bytes) -> bytes:
+def digest_of(data: bytes | memoryview) -> bytes:
     return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
 
@@ -43,57 +48,76 @@ def gear(size: int = 1 << 17) -> np.ndarray:
     return np.random.default_rng(20240229).integers(0, 1 << 32, size, np.uint32)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of a stream. The hash of the 16 ids before a place is summed by doubling: each step joins two
-    neighbouring runs, the older shifted. Equal runs of ids are cut alike wherever they stand."""
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which a chunk may end. The hash of the 16 ids before a place is summed by doubling: each step joins two
+    neighbouring runs, the older shifted. Equal runs of ids are cut alike wherever they stand; no chunk is shorter than
+    16, so several streams may follow each other."""
     h = gear()[ids]
     for step in (1, 2, 4, 8):
         shifted = np.zeros_like(h)
         shifted[step:] = h[:-step] << np.uint32(step)
-        h = h + shifted
-    out, last = [], 0
-    for end in (np.flatnonzero((h & np.uint32(MASK)) == 0) + 1).tolist():
+        h += shifted
+    return np.flatnonzero((h & np.uint32(MASK)) == 0) + 1
+
+
+def cuts(places: list[int], start: int, stop: int) -> list[int]:
+    """Ends of the chunks of the stream from start to stop, given the places in it where they may end."""
+    out, last = [], start
+    for end in places:
         while end - last > MOST:
             last += MOST
             out.append(last)
         if end - last >= LEAST:
             out.append(end)
             last = end
-    while len(ids) - last > MOST:
+    while stop - last > MOST:
         last += MOST
         out.append(last)
-    if last < len(ids):
-        out.append(len(ids))
+    if last < stop:
+        out.append(stop)
     return out
 
 
+def streams(enc, column: pa.Array, texts: list[str], end_id: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in a row, each followed by end_id; where each text's end)."""
+    codes, ends, table, bounds = enc.coded(column, texts, width)
+    codes = np.insert(codes, ends, len(bounds) - 1)  # one more code: the end
+    table = np.append(table, np.array([end_id], table.dtype))
+    starts, n = bounds[codes], np.diff(np.append(bounds, len(table)))[codes]
+    through = np.cumsum(n)
+    ids = table[np.repeat(starts - through + n, n) + np.arange(int(through[-1]) if len(through) else 0)]
+    return ids, through[ends + np.arange(len(ends))]
+
+
 def _stage(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
     enc = encoder(path, "store")
-    kind = f"<u{width}"
-    stop = np.array([end_id], kind).tobytes()
     seen: set[bytes] = set()  # a chunk leaves a task once, unless the set was emptied meanwhile
     serial = 0
-    for part, texts in text_slices(batches, "text"):
-        cut, data = enc.fill(texts, width)
-        rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
+    for part, texts in text_slices(batches, "text", ENCODE_BYTES):
+        ids, ends = streams(enc, pc.fill_null(part.column("text"), ""), texts, end_id, width)
+        places, data = marks(ids), memoryview(ids.tobytes())
+        of_doc = np.split(places, np.searchsorted(places, ends, "right"))
+        pieces: tuple[list, list] = ([], [])
+        recipes, keys, start = [], [], 0
         if len(seen) > 500_000:
             seen.clear()
-        for doc_id, chunks in zip(part.column("doc_id").to_pylist(), cut, strict=True):
-            stream = b"".join([*map(data.__getitem__, chunks), stop])
-            ends = cuts(np.frombuffer(stream, kind))
-            recipe, start = [], 0
-            for e in ends:
-                piece = stream[start * width : e * width]
+        for doc_id, mine, stop in zip(part.column("doc_id").to_pylist(), of_doc, ends.tolist(), strict=False):
+            recipe = []
+            for e in cuts(mine.tolist(), start, stop):
+                piece = data[start * width : e * width]
                 recipe.append(d := digest_of(piece))
                 if d not in seen:
                     seen.add(d)
-                    for col, v in zip(rows, (0, d, piece, None, None), strict=True):
-                        col.append(v)
+                    pieces[0].append(d)
+                    pieces[1].append(piece)
                 start = e
             serial += 1
-            for col, v in zip(rows, (1, digest_of(f"{doc_id}/{serial}".encode()), b"".join(recipe), doc_id, len(stream) // width), strict=True):
-                col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary()), pa.array(rows[3], part.schema.field("doc_id").type), pa.array(rows[4], pa.int64())], ["kind", "key", "data", "doc_id", "n_tokens"])
+            keys.append(digest_of(f"{doc_id}/{serial}".encode()))
+            recipes.append(b"".join(recipe))
+        kind = part.schema.field("doc_id").type
+        n = len(pieces[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n), pa.int32()), pa.array(pieces[0], pa.binary()), pa.array(pieces[1], pa.binary()), pa.nulls(n, kind), pa.nulls(n, pa.int64())], ["kind", "key", "data", "doc_id", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys)), pa.int32()), pa.array(keys, pa.binary()), pa.array(recipes, pa.binary()), part.column("doc_id"), pa.array(np.diff(ends, prepend=0), pa.int64())], ["kind", "key", "data", "doc_id", "n_tokens"])
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,16 +147,38 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     rows = spark.read.schema(schema).parquet(f"{path}/staged").filter("kind = 1")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows.select("doc_id", "n_tokens", F.col("data").alias("digests")).repartitionByRange(n, "doc_id", "digests").sortWithinPartitions("doc_id", "digests").select(
-        F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("seq"), "doc_id", "n_tokens", "digests", F.sha2("digests", 256).alias("root"),
+        F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("seq"), "doc_id", "n_tokens", "digests",
     ).write.parquet(f"{path}/recipes")
-    recipes = spark.read.parquet(f"{path}/recipes")
-    manifest_of(recipes).write.parquet(f"{path}/manifest")
+    manifest_of(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    top_of(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{path}/top")
     spark.createDataFrame([(width,)], "width int").write.parquet(f"{path}/format")
 
 
+def tree_roots(leaves: DataFrame, key: list[str]) -> DataFrame:
+    """key, root of the Merkle trees over leaves (key, seq, root) in order of seq: a node hashes at most 2^FAN_BITS below
+    it, so no group is larger, and each level is a fraction of the one before."""
+    highest = leaves.agg(F.max("seq")).first()[0] or 0
+    while True:
+        children = F.array_sort(F.collect_list(F.struct("seq", "root")))
+        leaves = leaves.groupBy(*key, F.shiftright("seq", FAN_BITS).alias("_up")).agg(F.sha2(F.array_join(F.transform(children, lambda x: x.root), ""), 256).alias("root")).withColumnRenamed("_up", "seq")
+        highest >>= FAN_BITS
+        if not highest:
+            return leaves.select(*key, "root")
+
+
+def _leaf(*columns: str):
+    return F.sha2(F.to_json(F.struct(*columns)), 256).alias("root")
+
+
 def manifest_of(recipes: DataFrame) -> DataFrame:
-    roots = F.transform(F.array_sort(F.collect_list(F.struct("seq", "root"))), lambda x: x.root)
-    return recipes.groupBy("part").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_ids"), F.sha2(F.array_join(roots, ""), 256).alias("root"))
+    per = recipes.groupBy("part").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_ids"))
+    return per.join(tree_roots(recipes.select("part", "seq", _leaf("doc_id", "n_tokens", "digests")), ["part"]), "part")
+
+
+def top_of(manifest: DataFrame) -> DataFrame:
+    """root: one row; parts are leaves in their order, an empty store has none."""
+    leaves = manifest.select(F.lit(0).alias("all"), F.col("part").cast("long").alias("seq"), _leaf("part", "first_id", "last_id", "n_docs", "n_ids", "root"))
+    return tree_roots(leaves, ["all"]).select("root")
 
 
 def crc_times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -192,12 +238,16 @@ def _join_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("seq"), pa.array(total, pa.int64()), pa.array(joined.astype(np.int64))], ["part", "seq", "n_read", "ids_crc32"])
 
 
+def verified(recipes: DataFrame, manifest: DataFrame, top: DataFrame) -> None:
+    """Raises unless the manifest is that of the recipes, in every field, and the top root that of the manifest."""
+    have, want = manifest_of(recipes).select(sorted(manifest.columns)), manifest.select(sorted(manifest.columns))
+    same_top = top_of(manifest).exceptAll(top).limit(1).count() + top.exceptAll(top_of(manifest)).limit(1).count()
+    if same_top or have.exceptAll(want).limit(1).count() + want.exceptAll(have).limit(1).count():
+        raise ValueError("the recipes differ from the manifest, or the manifest from its root")
+
+
 def verify_manifest(spark: SparkSession, path: str) -> None:
-    """Raises unless the recipes are those that the manifest was made of."""
-    have, want = manifest_of(spark.read.parquet(f"{path}/recipes").withColumn("root", F.sha2("digests", 256))), spark.read.parquet(f"{path}/manifest")
-    bad = have.select("part", "root").exceptAll(want.select("part", "root")).limit(1).count() + want.select("part", "root").exceptAll(have.select("part", "root")).limit(1).count()
-    if bad:
-        raise ValueError(f"the recipes of {path} differ from the manifest")
+    verified(*(spark.read.parquet(f"{path}/{t}") for t in ("recipes", "manifest", "top")))
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
