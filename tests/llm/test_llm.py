@@ -180,11 +180,31 @@ def test_id_store_round_trip(spark, texts):
     assert keys.count() == keys.select("key").distinct().count()
     n = spark.read.parquet(f"{path}/recipes").selectExpr("sum(length(digests) / 16)").first()[0]
     assert n > keys.count()  # chunks that documents share are stored once
-    spark.createDataFrame([(0, 0, 1, 1, bytearray(16), "x")], "part int, seq bigint, doc_id bigint, n_tokens bigint, digests binary, root string").write.mode("append").parquet(f"{path}/recipes")
+    spark.createDataFrame([(0, 0, 1, 1, bytearray(16))], "part int, seq bigint, doc_id bigint, n_tokens bigint, digests binary").write.mode("append").parquet(f"{path}/recipes")
     with pytest.raises(ValueError):
         id_store.verify_manifest(spark, path)
 
 
+def test_manifest_vouches_for_every_field(spark, texts, monkeypatch):
+    monkeypatch.setattr(id_store, "FAN_BITS", 2)  # several levels
+    path = token_counts.fresh(spark, "store")
+    id_store.write_store(frame(spark, texts), path, BYTE, 2)
+    id_store.verify_manifest(spark, path)
+    whole = {t: spark.read.parquet(f"{path}/{t}") for t in ("manifest", "recipes", "top")}
+    part = whole["manifest"].filter("n_docs > 0").first().part
+    broken = {
+        "manifest": [whole["manifest"].selectExpr("* EXCEPT (n_ids)", "n_ids + 7 AS n_ids"), whole["manifest"].selectExpr("* EXCEPT (first_id)", "first_id + 1 AS first_id"), whole["manifest"].filter(f"part <> {part}"), whole["manifest"].selectExpr("* EXCEPT (root)", "reverse(root) AS root")],
+        "recipes": [whole["recipes"].selectExpr("* EXCEPT (n_tokens)", "n_tokens + 1 AS n_tokens"), whole["recipes"].filter("doc_id <> 5"), whole["recipes"].selectExpr("* EXCEPT (digests)", "reverse(digests) AS digests")],
+    }
+    for name, tables in broken.items():
+        for bad in tables:
+            with pytest.raises(ValueError):
+                id_store.verified(**{**whole, name: bad})
+    gone = {t: whole[t].filter(f"part <> {part}") for t in ("manifest", "recipes")}  # a part that both tables lack
+    with pytest.raises(ValueError):
+        id_store.verified(**{**whole, **gone})
+
+
 def test_id_store_empty_and_repeated(spark, odd):
     for df in (odd, odd.limit(0)):
         path = token_counts.fresh(spark, "store")
@@ -221,6 +241,36 @@ def test_language_model_learns():
     assert total == pytest.approx(1, abs=1e-5)
 
 
+def test_language_model_scores_step_by_step():
+    """score() against a plain GRU, one word at a time, with whole softmaxes."""
+    rng = np.random.default_rng(2)
+    m = gru_lm.Gru(np.array([9.0, 40, 30, 20, 10, 5, 3, 2, 1, 8]))
+    m.p = {k: (a + rng.normal(0, 0.3, a.shape)).astype(np.float32) for k, a in m.p.items()}
+    docs = [rng.integers(0, 10, n).astype(np.int32) for n in (1, 7, 150, 3, 64, 65)]
+    got, k, sigmoid = m.score(docs, 9), gru_lm.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    for doc, score in zip(docs, got, strict=True):
+        h, before, total = np.zeros(k), 9, 0.0
+        for w in doc.tolist():
+            a = m.p["x"][before].astype(float)
+            z, r = sigmoid(a[:k] + h @ m.p["zr"][:, :k]), sigmoid(a[k : 2 * k] + h @ m.p["zr"][:, k:])
+            h = (1 - z) * h + z * np.tanh(a[2 * k :] + (r * h) @ m.p["h"])
+            classes = h @ m.p["oc"] + m.p["bc"]
+            c = int(m.class_of[w])
+            members = np.flatnonzero(m.class_of == c)
+            words = m.p["ow"][members] @ h + m.p["bw"][members]
+            total += classes[c] - np.log(np.exp(classes).sum()) + (words[members == w][0] - np.log(np.exp(words).sum()) if len(members) > 1 else 0)
+            before = w
+        assert score == pytest.approx(total, rel=1e-4)
+
+
+def test_language_model_beats_counting(spark):
+    """By a margin a token, on held-out and on training documents."""
+    out = gru_lm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    for held in (True, False):
+        rows = [r for r in out if r.held_out == held]
+        assert sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows) > 0.02
+
+
 def test_language_model_gradients():
     m = gru_lm.Gru(np.array([5.0, 4, 3, 2, 6]))
     m.p = {k: (a + np.random.default_rng(1).normal(0, 0.1, a.shape)).astype(np.float64) for k, a in m.p.items()}
@@ -507,6 +557,40 @@ def test_classes_of_odd_rows(spark, odd):
     assert jaccard_join.link_classes(odd.limit(0)).count() == 0
 
 
+def test_blocks_are_skipped_only_without_partners():
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(40), rng.randint(5, 60)) for _ in range(600))
+    shingle, size = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    pos = np.array([rng.randrange(n - (80 * n + 99) // 100 + 1) for n in size])
+    stay, blocks, skipped = jaccard_join.live_blocks(shingle, size, pos, 80)
+    for i in range(len(rows)):
+        may = [j for j in range(len(rows)) if i != j and shingle[i] == shingle[j] and 100 * min(size[i], size[j]) >= 80 * max(size[i], size[j]) and 180 * min(size[i] - pos[i], size[j] - pos[j]) >= 80 * (size[i] + size[j])]
+        assert stay[i] or not may
+    assert 0 < skipped < blocks and not stay.all()
+
+
+def test_leaders_answers_decide_pairs(spark):
+    """Of pairs whose sets were not compared, those stay that the distances to a leader can't rule out."""
+    rng = random.Random(8)
+    base = list(range(60))
+    sets = {i: frozenset(base[:60]) - {rng.randrange(60) for _ in range(rng.choice([1, 2, 12]))} | {1000 + 100 * i + k for k in range(rng.choice([0, 1, 20]))} for i in range(1, 25)}
+    far = lambda a, b: 1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    done = [(1, i, far(1, i)) for i in range(2, 25) if i % 4]
+    pairs = [(a, b) for a in range(2, 25) for b in range(a + 1, 25)]
+    left = {tuple(r) for r in jaccard_join.undecided(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(done, "a long, b long, far double"), 80).collect()}
+    assert all((a, b) in left for a, b in pairs if far(a, b) <= 0.2)
+    assert 0 < len(left) < len(pairs)
+
+
+def test_rows_of_a_heavy_key(spark):
+    from pitchflow.llm.common import joined_by
+
+    rows = spark.createDataFrame([(i, 7 if i % 3 else i, "x") for i in range(3000)] + [(9999, None, "x")], "id int, k int, v string")
+    counts = rows.filter("k IS NOT NULL AND k <> 6").groupBy("k").count().selectExpr("*", "'w' AS w")
+    out = joined_by(rows, counts, "k", "count", 3001).collect()
+    assert len(out) == 3001 and all((r.w == "w") == (r.k is not None and r.k != 6) for r in out)
+
+
 def test_components(spark):
     rng = random.Random(6)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
@@ -573,6 +657,64 @@ def test_pipeline_judges_rows_not_ids(spark):
     assert [(i, (t or "").strip()[:1]) for i, t in left] == [(4, ""), (4, ""), (4, "b"), (4, "c"), (None, ""), (None, ""), (None, "a")]
 
 
+def pipeline_folder(spark, tmp_path, rows):
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    return str(tmp_path)
+
+
+def brute_pipeline(spark, sf_dir, rows):
+    """Every stage in plain Python, rows by row; only the trained models come from the library."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_fm.train(frame(spark, rows), labels)
+    rows = [r for r, f in zip(rows, quality_fm._featurise([t or "" for _, t in rows]), strict=True) if model.score(*f) >= 0.3]
+    blank = lambda t: not (t or "").strip("\x20\t\n\x0b\x0c\r")
+    keyed = sorted({(i is None, i or 0, t) for i, t in rows if not blank(t)})
+    groups = {}
+    classes = brute_classes([(k, t) for k, (_, _, t) in enumerate(keyed)])
+    for k, _, comp in classes:
+        groups.setdefault(comp, []).append(k)
+    kept = []
+    for members in groups.values():
+        ids = {(keyed[k][0], keyed[k][1]) for k in members}
+        heads = [k for k in members if (keyed[k][0], keyed[k][1]) == min(ids)]
+        kept.append(([(None if keyed[k][0] else keyed[k][1], keyed[k][2]) for k in heads]))
+    return kept, [r for r in rows if blank(r[1])]
+
+
+def test_pipeline_run(spark, tmp_path):
+    """run() on repeated and null ids, odd texts and clashing columns: every stage's decision against brute force."""
+    import corpus_pipeline
+
+    source = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    rows = [(None if i % 19 == 0 else i - i % 2 if i % 5 == 0 else i, t) for i, t in source] + ODD
+    folder = pipeline_folder(spark, tmp_path, rows)
+    out = sorted(((r.doc_id, r.ids_sha256, r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, folder).collect()), key=repr)
+    groups, blanks = brute_pipeline(spark, folder, rows)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    # of each class one row stays; of equal ids in it the one of the smallest hash, which Spark tells
+    heads = []
+    for g in groups:
+        order = {r.i: r.h for r in spark.createDataFrame([(k, t) for k, (_, t) in enumerate(g)], "i int, t string").selectExpr("i", "xxhash64(t) AS h").collect()} if len(g) > 1 else {0: 0}
+        heads.append(g[min(order, key=order.get)])
+    heads += blanks
+    dirty = {i for i, *_, c in brute_contamination(list(enumerate(t for _, t in heads)), items) if c}
+    clean = [r for k, r in enumerate(heads) if k not in dirty]
+    models, lib = secrets_scan.train(frame(spark, clean)), Tokenizer.from_file(WORD)
+    want = []
+    for i, t in clean:
+        ids = lib.encode(secrets_scan.redacted(t, models, "[SECRET]") if t else "", add_special_tokens=False).ids
+        want.append((i, hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), len(ids), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert 0 < len(dirty) < len(heads) < len(rows) and out == sorted(want, key=repr)
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, pipeline_folder(spark, tmp_path, [])).count() == 0
+
+
 def test_json_spec_is_what_the_trie_assumes():
     with open(WORD, encoding="utf-8") as f:
         spec = json.load(f)
