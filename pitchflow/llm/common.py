@@ -67,14 +67,27 @@ def joined_by(rows: DataFrame, table: DataFrame, key: str, count: str, total: in
 FLAG_BITS = 24
 
 
-def flagged(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+def flagged(rows: DataFrame, keys: DataFrame, key: str, bits: int = FLAG_BITS) -> tuple[DataFrame, DataFrame]:
     """(rows whose key is not among keys, rows whose key may be). The latter are all that must be shuffled to be sure: a
-    broadcast map of the keys' hashes, of fixed size, tells most rows apart where they lie."""
-    at = F.xxhash64(key).bitwiseAND(F.lit((1 << FLAG_BITS) - 1))
-    words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("_bits"))
-    told = rows.withColumn("_word", F.shiftright(at, 6)).withColumn("_bit", at.bitwiseAND(F.lit(63)).cast("int")).join(F.broadcast(words), "_word", "left")
-    told = told.withColumn("_hit", F.expr("coalesce(shiftright(_bits, _bit) & 1, 0) = 1"))
-    return told.filter(~F.col("_hit")).select(rows.columns), told.filter("_hit").select(rows.columns)
+    broadcast map of the keys' hashes, of 2^bits bits, tells most rows apart where they lie. Helper columns take names
+    that rows lacks."""
+    word, bit, held = (unused(rows, x) for x in ("word", "bit", "held"))
+    at = F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))
+    words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias(word)).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias(held))
+    told = rows.withColumn(word, F.shiftright(at, 6)).withColumn(bit, at.bitwiseAND(F.lit(63)).cast("int")).join(F.broadcast(words), word, "left")
+    hit = F.coalesce(F.call_function("shiftright", F.col(held), F.col(bit)).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    names = [quoted(c) for c in rows.columns]
+    return told.filter(~hit).select(names), told.filter(hit).select(names)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df lacks, in either case of letters."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{k}" for k in range(len(taken) + 1))) if n.lower() not in taken)
 
 
 #: Batches between Spark and Python hold at most so many bytes and rows: with long texts the default of 10,000 rows alone

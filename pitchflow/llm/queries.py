@@ -83,11 +83,17 @@ def op10_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_classes(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit_filters
+
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, jaccard_join, sharding, topk
+    from . import decontaminate, filter_audit, jaccard_join, sharding, topk
 
-    return {"op1_maxscore_topk": topk.ORACLE, "op4_extendible_shards": sharding.oracle(SHARD_BYTES), "op7_decontamination": decontaminate.oracle(), "op10_jaccard_classes": jaccard_join.oracle()}
+    return {"op1_maxscore_topk": topk.ORACLE, "op4_extendible_shards": sharding.oracle(SHARD_BYTES), "op7_decontamination": decontaminate.oracle(), "op10_jaccard_classes": jaccard_join.oracle(), "op13_filter_audit": filter_audit.ORACLE}
