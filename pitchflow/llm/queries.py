@@ -83,6 +83,13 @@ def op10_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_classes(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import looped, periodic_runs, run_digests
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return run_digests(periodic_runs(docs.select("doc_id", looped(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .filter_audit import audit_filters
 
