@@ -83,6 +83,12 @@ def op10_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .adaptive_scan import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .periodic_runs import looped, periodic_runs, run_digests
 
