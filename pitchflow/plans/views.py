@@ -58,7 +58,12 @@ VIEWS["matches"] = VIEWS["matches"].replace("date_add(DATE '2024-01-01', CAST(ma
 VIEWS["labelled"] = f"""SELECT event_id, user_id AS player_id, {{T_US}} AS t_us, {WEEK}, CASE event_id % 9 WHEN 0 THEN 'Acceleration' WHEN 1 THEN 'Deceleration' WHEN 2 THEN 'Sprint' WHEN 3 THEN 'Jump' WHEN 4 THEN 'Change of Direction' WHEN 5 THEN 'Ball Possession' WHEN 6 THEN 'Pass' WHEN 7 THEN 'Shots' ELSE 'Exertion' END AS label,
        CAST((event_id * 7) % 50 - 10 AS VARCHAR(20)) AS value_1, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST((event_id * 11) % 60 AS VARCHAR(20)) END AS value_2, CASE WHEN event_id % 4 = 0 THEN 'none' ELSE CAST((event_id * 3) % 35 AS VARCHAR(20)) END AS value_3,
        CAST((event_id * 13) % 17 - 8 AS VARCHAR(20)) AS value_4, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST((event_id * 5) % 9 - 4 AS VARCHAR(20)) END AS value_5 FROM events"""
-TABLES = {"labelled": "events", "buckets": "events", "stats": "orders lineitem", "matches": "events", "features": "events", "telemetry": "events", "tactical": "events", "coach": "events", "scored": "events", "loads": "orders lineitem", "sessions": "orders lineitem", "inferences": "orders customer"}
+#: A player's findings in order: stretches of one type with others between them, jumps of the clock, some missing minutes.
+VIEWS["symptoms"] = """SELECT event_id, player_id, t_us, score, CASE (CAST(floor(rn / CAST(8 AS DOUBLE)) AS BIGINT) * 2 + CASE WHEN event_id % 12 = 0 THEN 1 ELSE 0 END + CASE WHEN rn > 40 THEN rn % 3 ELSE 0 END) % 3 WHEN 0 THEN 'cardiovascular_overload' WHEN 1 THEN 'locomotor_overload' ELSE 'recovery_degradation' END AS finding,
+       CASE WHEN event_id % 17 = 0 AND event_id % 23 > 0 AND event_id % 29 > 0 THEN NULL ELSE rn + 4 * CAST(floor(rn / CAST(21 AS DOUBLE)) AS BIGINT) END AS minute, CASE WHEN event_id % 29 = 0 THEN 'critical' WHEN event_id % 23 = 0 THEN 'high' WHEN event_id % 2 = 0 THEN 'medium' ELSE 'low' END AS severity,
+       CASE WHEN event_id % 31 = 0 THEN 'escalating' WHEN event_id % 37 = 0 THEN 'resolving' WHEN event_id % 3 = 0 THEN 'stabilizing' ELSE 'active' END AS state, (event_id % 7) / CAST(10 AS DOUBLE) AS confidence
+ FROM (SELECT event_id, user_id AS player_id, {T_US} AS t_us, value AS score, row_number() OVER (PARTITION BY user_id ORDER BY {T_US}, event_id) AS rn FROM events)"""
+TABLES = {"symptoms": "events", "labelled": "events", "buckets": "events", "stats": "orders lineitem", "matches": "events", "features": "events", "telemetry": "events", "tactical": "events", "coach": "events", "scored": "events", "loads": "orders lineitem", "sessions": "orders lineitem", "inferences": "orders customer"}
 
 
 def importable(spark: SparkSession) -> None:
