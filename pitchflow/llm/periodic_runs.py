@@ -216,7 +216,9 @@ def looped(doc_id: Column, text: Column) -> Column:
     n = F.size(words)
     a = (g % n).cast("int")
     p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
-    made = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
+    unit = F.slice(words, a + 1, p)
+    made = F.slice(F.concat(F.slice(words, F.lit(1), a), F.flatten(F.array_repeat(unit, F.ceil((n - a) / p).cast("int")))), F.lit(1), n)
+    made = F.array_join(made, " ")
     return F.when(F.coalesce(h % 10 == 0, F.lit(False)) & (n > 0), made).otherwise(text)
 
 
