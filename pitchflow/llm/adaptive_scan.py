@@ -23,6 +23,8 @@ SEEDS, TUNED, PROBED = 512, 128, 0.97
 GROUP, BLOCK = 8192, 1 << 16
 #: Columns of a block; chance that a test abandons a candidate as near as the bound.
 COLUMNS, ALPHA = 16, 1e-3
+#: Pairs of queries and rows that are scanned at a time, and the share of them below which those that are left are gathered.
+PAIRS, GATHER = 1 << 19, 0.25
 #: Tasks that groups and blocks are dealt to, at most.
 TASKS = 20_000
 ROW = "list int, vec_id bigint, h bigint, copies bigint, v array<double>"
@@ -110,6 +112,7 @@ class Group:
         self.index, self.ids, self.h, self.copies, self.rows = index, ids[order], h[order], copies[order], rows[order]
         self.of = {int(x): (int(a), int(b)) for x, a, b in zip(*self._spans(lists[order]), strict=True)}
         turned = (self.rows / index.scale) @ index.rotation
+        self.turned = turned
         self.blocks = [np.ascontiguousarray(turned[:, a : a + COLUMNS].T) for a in range(0, index.dims, COLUMNS)]
         before = np.cumsum([(b * b).sum(0) for b in self.blocks], axis=0)  # squared length of the first blocks
         self.before, self.square = before, before[-1]
@@ -123,52 +126,78 @@ class Group:
         at = np.flatnonzero(np.append(True, lists[1:] != lists[:-1])) if len(lists) else np.zeros(0, np.int64)
         return lists[at], at, np.append(at[1:], len(lists))
 
-    def search(self, query: np.ndarray, query_id: int, query_h: int, lists: list[int], bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores) of the k best rows of the lists that the scan finds, ties to smaller ids.
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, query_h: np.ndarray, probed: list[list[int]], bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's row, place, score) of the k best rows of its lists that the scan finds for each query, ties to smaller
+        ids. A list is scanned for all queries that probe it, in pieces of at most PAIRS pairs.
 
-        A list's rows add one block of columns at a time to their inner products. The partial squared distance to the
-        query, q^2 + x^2 - 2qx over the columns so far, is tested against the distance of a row whose inner product is
-        the bound (the k-th best so far): a row goes where a rotation would leave so much in so few columns with a chance
-        of ALPHA only, or where even the rest's lengths can't lift it to the bound. Seeds only go by the latter."""
+        A piece adds one block of columns at a time to its inner products. A pair's partial squared distance,
+        q^2 + x^2 - 2qx over the columns so far, is tested against the distance of a row whose inner product is the
+        query's bound (the k-th best so far): the row goes where a rotation would leave so much in so few columns with a
+        chance of ALPHA only, or where even the rest's lengths can't lift it to the bound. Seeds only go by the latter.
+        While many pairs stay they are a matrix product, then the pairs that are left are gathered."""
         ix = self.index
-        q = (query / ix.scale) @ ix.rotation
-        parts = [q[a : a + COLUMNS] for a in range(0, ix.dims, COLUMNS)]
-        before = np.cumsum([float(p @ p) for p in parts])
+        q = (queries / ix.scale) @ ix.rotation
+        edges = range(0, ix.dims, COLUMNS)
+        before = np.cumsum([(q[:, a : a + COLUMNS] ** 2).sum(1) for a in edges], axis=0)
         rest = np.sqrt(np.maximum(0, before[-1] - before))
-        slack = 1e-10 * float(np.sqrt(before[-1])) * self.longest
-        best, score = np.zeros(0, np.int64), np.zeros(0)
-        for x in lists:
+        slack = 1e-10 * np.sqrt(before[-1]) * self.longest
+        bounds = bounds.astype(float).copy()
+        asking: dict[tuple[bool, int], list[int]] = {}  # a query's nearest list gives it a bound before the others
+        for i, lists in enumerate(probed):
+            for x in lists:
+                asking.setdefault((x != lists[0], x), []).append(i)
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for later, x in sorted(asking):
             if x not in self.of:
                 continue
             a, b = self.of[x]
-            at, ip = slice(a, b), np.zeros(b - a)
-            self.tested += (b - a) * ix.dims
-            for j, (block, part) in enumerate(zip(self.blocks, parts, strict=True)):
-                ip = ip + part @ block[:, at]
-                self.scanned += len(ip) * len(part)
-                if j == len(parts) - 1:
-                    keep = ip >= bound - slack
-                else:
-                    radius = before[-1] + self.square[at] - 2 * bound + slack
-                    keep = before[j] + self.before[j][at] - 2 * ip <= radius * ix.shares[j]
-                    keep |= self.is_seed[at]
-                    keep &= ip + rest[j] * self.rest[j][at] >= bound - slack
-                if isinstance(at, slice):
-                    at = np.arange(a, b)
-                if not keep.all():
-                    at, ip = at[keep], ip[keep]
-                if not len(at):
-                    break
-            if not len(at):
-                continue
-            own = (self.ids[at] == query_id) & (self.h[at] == query_h) & (self.copies[at] == 1)
-            at = at[~own]
-            best, score = np.concatenate([best, at]), np.concatenate([score, inner(self.rows[at], query)])
-            top = np.lexsort((self.ids[best], -score))[:k]
-            best, score = best[top], score[top]
-            if len(best) == k:
-                bound = max(bound, float(score[-1] / ix.scale / ix.scale))
-        return best, score
+            rows = np.array(asking[later, x], np.int64)
+            step = max(1, PAIRS // (b - a))
+            for c in range(0, len(rows), step):
+                r, at = self._piece(q, rows[c : c + step], a, b, before, rest, slack, bounds)
+                own = (self.ids[at] == query_ids[r]) & (self.h[at] == query_h[r]) & (self.copies[at] == 1)
+                r, at = r[~own], at[~own]
+                if not len(r):
+                    continue
+                mine = np.isin(best[0], r)
+                r, at, score = np.concatenate([best[0][mine], r]), np.concatenate([best[1][mine], at]), np.concatenate([best[2][mine], inner(self.rows[at], queries[r])])
+                order = np.lexsort((self.ids[at], -score, r))
+                r, at, score = r[order], at[order], score[order]
+                first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+                rank = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
+                full = rank == k - 1
+                bounds[r[full]] = np.maximum(bounds[r[full]], score[full] / ix.scale / ix.scale)
+                keep = rank < k
+                best = tuple(np.concatenate([u[~mine], v[keep]]) for u, v in zip(best, (r, at, score), strict=True))
+        return best
+
+    def _piece(self, q: np.ndarray, rows: np.ndarray, a: int, b: int, before: np.ndarray, rest: np.ndarray, slack: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query rows, places) of the pairs of rows and the list at a to b that no test abandons."""
+        ix, last = self.index, len(self.blocks) - 1
+        self.tested += len(rows) * (b - a) * ix.dims
+        r, at = rows[:, None], np.arange(a, b)[None, :]
+        ip: np.ndarray = np.zeros((len(rows), b - a))
+        for j, block in enumerate(self.blocks):
+            part = q[:, j * COLUMNS : j * COLUMNS + block.shape[0]]
+            if ip.ndim == 2:
+                ip = ip + part[rows] @ block[:, a:b]
+            else:
+                ip = ip + np.einsum("ij,ij->i", part[r], self.turned[at, j * COLUMNS : j * COLUMNS + block.shape[0]])
+            self.scanned += ip.size * block.shape[0]
+            bound = bounds[r] - slack[r]
+            if j == last:
+                keep = ip >= bound
+            else:
+                radius = before[-1][r] + self.square[at] - 2 * bound
+                keep = before[j][r] + self.before[j][at] - 2 * ip <= radius * ix.shares[j]
+                keep |= self.is_seed[at]
+                keep &= ip + rest[j][r] * self.rest[j][at] >= bound
+            if ip.ndim == 2 and (j == last or keep.mean() < GATHER):
+                i, c = np.nonzero(keep)
+                ip, r, at = ip[i, c], rows[i], c + a
+            elif ip.ndim == 1:
+                ip, r, at = ip[keep], r[keep], at[keep]
+        return r, at
 
 
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -283,12 +312,8 @@ def _scan(batches: Iterator[pa.RecordBatch], index, k: int) -> Iterator[pa.Recor
                 t = pa.Table.from_batches(gathered)
                 lists = t["lists"].combine_chunks().flatten().to_numpy()
                 group, gathered = Group(ix, lists, t["vec_id"].to_numpy(), t["h"].to_numpy(), t["copies"].to_numpy(), matrix(t["v"], ix.dims)), []
-            q = matrix(part.column("v"), ix.dims)
-            found = []
-            for i, (qid, qh, lists, bound) in enumerate(zip(*(part.column(c).to_pylist() for c in ("vec_id", "h", "lists", "bound")), strict=True)):
-                at, score = group.search(q[i], qid, qh, lists, bound, k)
-                found.append((np.full(len(at), i), at, score))
-            row, at, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            ids, h, bounds = (part.column(c).to_numpy() for c in ("vec_id", "h", "bound"))
+            row, at, score = group.search(matrix(part.column("v"), ix.dims), ids, h, part.column("lists").to_pylist(), bounds, k)
             qid, qh, qn = (part.column(c).to_numpy()[row] for c in ("vec_id", "h", "copies"))
             copies = group.copies[at] - ((group.ids[at] == qid) & (group.h[at] == qh))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qid, qh, qn, group.ids[at], copies, score)], ["query_id", "query_h", "query_copies", "vec_id", "copies", "score"])

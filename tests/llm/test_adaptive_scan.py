@@ -106,14 +106,16 @@ def test_scan_abandons_and_agrees():
     ix = adaptive_scan.Index(96, 1.0, np.linalg.qr(rng.normal(size=(96, 96)))[0], adaptive_scan.centres_of(x[:2000], 64), adaptive_scan.share_quantiles(96, 16, 1e-3), x[:0], np.zeros(0, np.int64), np.zeros(0, np.int64))
     lists = ix.nearest_list(x)
     g = adaptive_scan.Group(ix, lists, np.arange(8000), np.arange(8000), np.ones(8000, np.int64), x)
+    asked = np.arange(0, 400, 10)
+    order = np.argsort(-(adaptive_scan.units(x[asked]) @ ix.centres.T), axis=1)
+    row, at, score = g.search(x[asked], asked, asked, order.tolist(), np.full(len(asked), -np.inf), 20)
     hits = 0
-    for q in range(0, 400, 10):
-        order = np.argsort(-(adaptive_scan.units(x[q : q + 1]) @ ix.centres.T)[0])
-        at, score = g.search(x[q], q, q, order.tolist(), -np.inf, 20)
+    for i, q in enumerate(asked):
         s = adaptive_scan.inner(x, x[q])
-        assert score.tolist() == s[g.ids[at]].tolist()
+        mine = g.ids[at[row == i]]
+        assert len(mine) == 20 and score[row == i].tolist() == s[mine].tolist()
         s[q] = -np.inf
-        hits += len(set(g.ids[at].tolist()) & set(np.argsort(-s)[:20].tolist()))
+        hits += len(set(mine.tolist()) & set(np.argsort(-s)[:20].tolist()))
     assert hits >= 0.99 * 800 and g.scanned < 0.6 * g.tested
 
 
