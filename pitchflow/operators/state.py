@@ -91,14 +91,18 @@ def finding_transitions(findings: DataFrame, keys: tuple[str, ...], order: tuple
 
 
 def finding_state(findings: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], last: int = 50) -> DataFrame:
-    """Each finding against the last one of its type among the player's last 50: escalating, resolving, stabilizing or
-    active."""
+    """Each finding against the last one of its type among the player's last 50: escalating where its severity, or its
+    confidence by over 0.1, is above; resolving where its confidence is below by over 0.1; stabilizing where the severity
+    is the same and the confidence within 0.05; else, and without such a finding, active."""
     w = W.partitionBy(*keys).orderBy(*order)
     r = findings.withColumn("_rn", F.row_number().over(w))
     p = F.lag(F.struct("severity", "confidence", "_rn")).over(W.partitionBy(*keys, "finding").orderBy(*order))
     r = r.withColumn("_p", p)
-    near = F.col("_rn") - F.col("_p._rn") <= last
-    state = F.when(~F.coalesce(near, F.lit(False)), "active").when(F.col("severity") > F.col("_p.severity"), "escalating").when(F.col("severity") < F.col("_p.severity"), "resolving").when(F.abs(F.col("confidence") - F.col("_p.confidence")) < 0.05, "stabilizing").otherwise("active")
+    near = F.coalesce(F.col("_rn") - F.col("_p._rn") <= last, F.lit(False))
+    more = F.col("confidence") - F.col("_p.confidence")
+    up = (F.col("severity") > F.col("_p.severity")) | (F.col("confidence") > F.col("_p.confidence") + 0.1)
+    same = (F.col("severity") == F.col("_p.severity")) & (F.abs(more) < 0.05)
+    state = F.when(~near, "active").when(up, "escalating").when(F.col("confidence") < F.col("_p.confidence") - 0.1, "resolving").when(same, "stabilizing").otherwise("active")
     return r.select(*keys, *order, "finding", state.alias("state"))
 
 

@@ -218,7 +218,7 @@ def oracle_sql() -> dict[str, str]:
         ).replace("{src}", "(SELECT *, score > 60 o, (event_id % 10) / 10 + 0.2::DOUBLE c FROM ev)").replace("q.rn = f.rn + 1)", "q.rn = f.rn + 1) z)"),
         "risk_trajectory": f"{sc}, r AS (SELECT *, coalesce((pred = 0 AND lag(pred) OVER ({pw}) = 0)::INT, 0) z FROM ev), i AS (SELECT *, sum(z) OVER ({pw}) isl FROM r), t AS (SELECT player_id, event_id, CAST(sum(pred) OVER (PARTITION BY player_id, isl ORDER BY t_us, event_id) AS BIGINT) total FROM i) SELECT *, CASE WHEN total >= 8 THEN 'critical' WHEN total >= 5 THEN 'high' WHEN total >= 3 THEN 'elevated' ELSE 'normal' END AS level FROM t",
         "finding_transitions": f"{find}, r AS (SELECT *, lag(finding) OVER w b, lag(confidence) OVER w c, lag(minute) OVER w m FROM fi WINDOW w AS ({pw})), n AS (SELECT b AS source, finding AS target, count(*) n FROM r WHERE c >= 0.55 AND confidence >= 0.55 AND minute - m BETWEEN 0 AND 3 GROUP BY 1, 2) SELECT source, target, n, CAST(sum(n) OVER (PARTITION BY source) AS BIGINT) total, round((n + 1) / (sum(n) OVER (PARTITION BY source) + 2), 9) probability FROM n",
-        "finding_state": f"{find}, r AS (SELECT *, row_number() OVER ({pw}) rn FROM fi), p AS (SELECT *, lag(severity) OVER w ps, lag(confidence) OVER w pc, lag(rn) OVER w pr FROM r WINDOW w AS (PARTITION BY player_id, finding ORDER BY t_us, event_id)) SELECT player_id, event_id, finding, CASE WHEN pr IS NULL OR rn - pr > 50 THEN 'active' WHEN severity > ps THEN 'escalating' WHEN severity < ps THEN 'resolving' WHEN abs(confidence - pc) < 0.05 THEN 'stabilizing' ELSE 'active' END state FROM p",
+        "finding_state": f"{find}, r AS (SELECT *, row_number() OVER ({pw}) rn FROM fi), p AS (SELECT *, lag(severity) OVER w ps, lag(confidence) OVER w pc, lag(rn) OVER w pr FROM r WINDOW w AS (PARTITION BY player_id, finding ORDER BY t_us, event_id)) SELECT player_id, event_id, finding, CASE WHEN pr IS NULL OR rn - pr > 50 THEN 'active' WHEN severity > ps OR confidence > pc + 0.1 THEN 'escalating' WHEN confidence < pc - 0.1 THEN 'resolving' WHEN severity = ps AND abs(confidence - pc) < 0.05 THEN 'stabilizing' ELSE 'active' END state FROM p",
         "episodes": f"{find}, r AS (SELECT *, CASE WHEN lag(finding) OVER w = finding AND abs(minute - lag(minute) OVER w) <= 4 THEN 0 ELSE 1 END z FROM fi WINDOW w AS ({pw})), e AS (SELECT *, sum(z) OVER ({pw}) ep FROM r) SELECT player_id, CAST(ep AS BIGINT) episode, any_value(finding) finding, min(minute) start_minute, max(minute) end_minute, count(*) n_windows, max(severity) severity, round(avg(confidence), 9) confidence FROM e GROUP BY 1, 2 HAVING count(*) >= 2",
         "alert_gate": rec(
             "SELECT player_id, event_id, rn, fam f, CASE WHEN fam IS NULL THEN 0 ELSE t_us END t, fam IS NOT NULL ok",

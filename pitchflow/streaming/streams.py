@@ -1,4 +1,5 @@
-"""Structured Streaming forms of the stateful operators."""
+"""Structured Streaming forms of the stateful operators for rows that arrive in order; see ordered.py for those that don't,
+and ticked.py for the team chain."""
 
 from __future__ import annotations
 
@@ -102,33 +103,24 @@ def publish(outputs: dict[str, DataFrame], path: str, checkpoint: str, keys: dic
         raise ValueError(f"no topics: {', '.join(sorted(unknown))}")
 
     def sink(topic: str) -> Callable[[DataFrame, int], None]:
-        return lambda batch, _: publish_new(batch.dropDuplicates(keys[topic]), f"{path}/{topic}", keys[topic])
+        return lambda batch, _: publish_new(batch.dropDuplicates(keys[topic]), f"{path}/{topic}", keys[topic], "match_id" if "match_id" in keys[topic] else None)
 
     return [df.writeStream.foreachBatch(sink(t)).option("checkpointLocation", f"{checkpoint}/{t}").trigger(availableNow=True).start() for t, df in outputs.items()]
 
 
-def publish_new(batch: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends the rows whose keys the sink lacks: a final row is published once."""
+def publish_new(batch: DataFrame, path: str, keys: list[str], by: str | None = None) -> None:
+    """Appends the rows whose keys the sink lacks: a final row is published once. With `by`, one of the keys, the sink lies
+    in a folder for each of its values, and only those of the batch's values are read."""
     spark = batch.sparkSession
     try:
-        known = spark.read.parquet(path).select(*keys)
+        known = spark.read.parquet(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-        known = batch.select(*keys).limit(0)
-    b, k = batch.alias("b"), known.alias("k")
+        known = batch.limit(0)
+    if by:
+        known = known.join(F.broadcast(batch.select(by).distinct()), by, "left_semi")  # values of one micro-batch
+    b, k = batch.alias("b"), known.select(*keys).alias("k")
     on = [F.col(f"b.{c}").eqNullSafe(F.col(f"k.{c}")) for c in keys]
-    b.join(k, on, "left_anti").write.mode("append").parquet(path)
-
-
-def team_chain(events: DataFrame, store: str, sink: str, chain: Callable[[DataFrame], DataFrame], keys: list[str], checkpoint: str):
-    """Lands events by match, and after each micro-batch recomputes the chain for the matches that it touched and
-    publishes their rows that are final and new."""
-
-    def each(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append").partitionBy("match_id").parquet(store)
-        touched = [r[0] for r in batch.select("match_id").distinct().collect()]  # matches of one micro-batch
-        landed = batch.sparkSession.read.parquet(store).filter(F.col("match_id").isin(touched)).dropDuplicates(["event_id"])  # the filter prunes folders
-        publish_new(chain(landed), sink, keys)
-
-    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = b.join(k, on, "left_anti").write.mode("append")
+    (writer.partitionBy(by) if by else writer).parquet(path)

@@ -176,6 +176,10 @@ def test_publish_new_once(spark, tmp_path):
     streams.publish_new(a, path, ["k", "t"])
     streams.publish_new(a.union(spark.createDataFrame([(3, "y")], a.schema)), path, ["k", "t"])
     assert spark.read.parquet(path).count() == 3
+    by_match = spark.createDataFrame([(1, "x"), (2, "z")], "match_id bigint, t string")
+    for df in (by_match, by_match.union(spark.createDataFrame([(2, "y")], by_match.schema))):
+        streams.publish_new(df, path + "2", ["match_id", "t"], "match_id")
+    assert spark.read.parquet(path + "2").count() == 3
 
 
 def test_readers(spark, tmp_path):
