@@ -67,6 +67,12 @@ def joined_by(rows: DataFrame, table: DataFrame, key: str, count: str, total: in
 FLAG_BITS = 24
 
 
+def bits_for(keys: int, least: int = 20, most: int = 27) -> int:
+    """Bits of a map that tells most rows apart from so many keys: 16 a key and at most 2^most, beyond which it lets more
+    pass."""
+    return min(most, max(least, (16 * max(1, keys) - 1).bit_length()))
+
+
 def flagged(rows: DataFrame, keys: DataFrame, key: str, bits: int = FLAG_BITS) -> tuple[DataFrame, DataFrame]:
     """(rows whose key is not among keys, rows whose key may be). The latter are all that must be shuffled to be sure: a
     broadcast map of the keys' hashes, of 2^bits bits, tells most rows apart where they lie. Helper columns take names

@@ -8,15 +8,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, dropped, flagged, fresh, joined_by, stored
+from .common import UPPER, bits_for, dropped, flagged, fresh, joined_by, stored
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
 #: Counters of a sketch for each text, and positions of a text in it.
 COUNTERS, POSITIONS = 16, 2
 #: A sketch of at most so many words (32 counters each) is broadcast; a larger one meets hashes by a shuffle.
 BROADCAST_WORDS = 1 << 20
-#: Bits of the map that lets possible repeats through the second scan: enough for so many, and these at most.
-LEAST_MAP, MOST_MAP = 20, 27
 
 
 def text_filters(text: Column) -> dict[str, Column]:
@@ -60,7 +58,7 @@ def repeated(facts: DataFrame, texts: DataFrame, total: int) -> tuple[DataFrame,
     spark = facts.sparkSession
     paths = [fresh(spark, "possible"), fresh(spark, "least")]
     maybe = stored(possible_repeats(facts.select("h"), total), paths[0])
-    bits = min(MOST_MAP, max(LEAST_MAP, math.ceil(math.log2(max(1, 16 * maybe.count())))))
+    bits = bits_for(maybe.count())
     _, passed = flagged(texts, maybe, "h", bits)
     same = passed.groupBy("text").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1")
     same = stored(same.select(F.unhex(F.sha2("text", 256)).alias("digest"), "least", "n"), paths[1])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import encoder, tokenizer_version
-from .common import fresh, joined_by, stored, text_slices
+from .common import bits_for, dropped, flagged, fresh, joined_by, stored, text_slices
 
 CACHE_SCHEMA = "digest binary, n_tokens bigint"
 
@@ -35,9 +35,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     """Per row of docs: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     The counts table at `cache` (a fresh one if None) holds one count per content digest in a folder per tokenizer
-    version. Digests of docs that it lacks are found by an anti-join, one row of each is encoded, and the new counts
-    are appended; then docs take their counts by digest. Only digests and ids are grouped, so a text with many copies
-    is encoded once and never gathers in one task; texts move once, those of a digest's first document.
+    version. Digests of docs that it lacks are found by an anti-join; one row of each is encoded, and the new counts are
+    appended; then docs take their counts by digest. Digests are counted first, combined before the shuffle. Texts of
+    digests that one row has are encoded where they lie; of those that several rows have (told by a broadcast map of their
+    hashes), each task brings one row a digest to a shuffle that leaves one in all, however many copies
+    there are, with equal ids or not.
 
     Null text is empty (0 bytes, 0 tokens). Rows with equal or null ids each keep a row. An empty table gives an empty
     result. Other columns of docs are not read. A task that is run again may append a digest twice: reads take one."""
@@ -51,14 +53,25 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
         if "PATH_NOT_FOUND" not in str(e):
             raise
         known = None
-    texts = stored(keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), fresh(spark, "digests"))
-    first = texts if known is None else texts.join(known, "digest", "left_anti")
-    k = keyed.alias("k")
-    f = first.hint("shuffle_hash").alias("f")
-    misses = k.join(f, (F.col("k.digest") == F.col("f.digest")) & F.col("k.doc_id").eqNullSafe(F.col("f.first_id"))).select("k.digest", "k.text")
+    paths = [fresh(spark, "digests"), fresh(spark, "counted")]
+    texts = stored(keyed.groupBy("digest").agg(F.count("*").alias("n")), paths[0])
+    left = texts if known is None else texts.join(known, "digest", "left_anti")
+    pairs = keyed.select("digest", "text")
+    if known is not None:  # rows of known digests stay behind as far as the map tells them
+        pairs = flagged(pairs, left.select("digest"), "digest", bits_for(left.count()))[1]
+    repeats = left.filter("n > 1").select("digest")
+    single, several = flagged(pairs, repeats, "digest", bits_for(repeats.count()))
+    # what the map lets through wrongly, of a known digest or of one row only, is grouped too and costs no more than that
+    heads = several.groupBy("digest").agg(F.max("text").alias("text"))
+    misses = single.union(heads)
+    if known is not None:
+        misses = misses.join(left.select("digest"), "digest", "left_semi")
     misses.mapInArrow(partial(_counts, path=tokenizer), CACHE_SCHEMA).write.mode("append").parquet(path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     rows = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     total = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counted = joined_by(rows, texts.select("digest", "n").join(counts, "digest"), "digest", "n", total)
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counted = stored(counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")), paths[1])
+    for p in (paths[0], *([] if cache else [path])):
+        dropped(spark, p)
+    return counted

@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a shard, queries of a block: what one task holds of each.
-SHARD, BLOCK = 8192, 256
+from .common import dropped, fresh, stored
+
+#: Vectors of a shard, which a task holds, and queries of a block, which it streams past them; tasks at most.
+SHARD, BLOCK, TASKS = 8192, 1 << 16, 20_000
 #: Documents of a shard are worked through in ranges of so many, the threshold rising from one to the next.
 RANGE = 2048
 #: Vectors with larger components have postings of their own in a shard, so that the others' bounds stay low.
 LARGEST = 1 << 24
 #: Doubles hold whole numbers up to this exactly; scores that may be larger are computed in Python's integers.
 EXACT = 1 << 53
-RESULT = "query_id bigint, vec_id bigint, score bigint"
+RESULT = "query_id bigint, query_h bigint, query_copies bigint, vec_id bigint, copies bigint, score bigint"
 
 
 class Postings:
-    """A shard's vectors by component: documents (in order of id) and weights where the weight isn't zero."""
+    """A shard's vectors by component: documents (in order of id) and weights where the weight isn't zero. h tells rows of
+    one id apart, copies says how many rows one stands for."""
 
-    def __init__(self, ids: np.ndarray, vectors: list[np.ndarray], kind: type = float):
+    def __init__(self, ids: np.ndarray, vectors: list[np.ndarray], kind: type = float, h: np.ndarray | None = None, copies: np.ndarray | None = None):
         order = np.argsort(ids, kind="stable")
         self.ids, self.kind = ids[order], kind
+        self.h, self.copies = (ids if h is None else h)[order], (np.ones(len(ids), np.int64) if copies is None else copies)[order]
         self.dims = max((len(v) for v in vectors), default=0)
         self.rows = np.full((len(ids), self.dims), kind(0), kind)
         for at, k in enumerate(order):
@@ -38,18 +43,18 @@ class Postings:
     def whole(self) -> Postings:
         """The same in Python's integers."""
         if self._whole is None:
-            self._whole = Postings(self.ids, [np.array([int(x) for x in r], object) for r in self.rows], int) if self.kind is float else self
+            self._whole = Postings(self.ids, [np.array([int(x) for x in r], object) for r in self.rows], int, self.h, self.copies) if self.kind is float else self
         return self._whole
 
-    def exact(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def exact(self, query_id: int, query_h: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """search() in doubles where all sums are exact in them, else in integers."""
         n = min(len(query), self.dims)
         if self.kind is float and np.abs(query[:n]) @ np.maximum(-self.low, self.high)[:n] < EXACT:
-            return self.search(query_id, query, k)
-        return self.whole().search(query_id, np.array([int(x) for x in query], object), k)
+            return self.search(query_id, query_h, query, k)
+        return self.whole().search(query_id, query_h, np.array([int(x) for x in query], object), k)
 
-    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k highest scores, ties to smaller ids, the query's own id left out.
+    def search(self, query_id: int, query_h: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores) of the k highest scores, ties to smaller ids, without the query's own row if it has no copies.
 
         A term's bound is the most that it can add, 0 at least. Terms in ascending order of bounds are non-essential
         while their bounds together stay below the threshold (the k-th best score so far): a document in none of the
@@ -62,7 +67,7 @@ class Postings:
         bound = np.maximum(0, np.maximum(q * self.low, q * self.high))
         order = np.argsort(bound, kind="stable")
         together = np.cumsum(bound[order])  # of the terms up to and with this one
-        best_ids, best = np.empty(0, np.int64), np.empty(0, self.kind)
+        places, best = np.empty(0, np.int64), np.empty(0, self.kind)
         for a in range(0, len(self.ids), RANGE):
             b = min(a + RANGE, len(self.ids))
             threshold = best[-1] if len(best) >= k else -np.inf
@@ -91,26 +96,41 @@ class Postings:
                 if not len(at):
                     break
                 score = score + q[order[t]] * self.columns[order[t], at]
-            keep = (score >= threshold) & (self.ids[at] != query_id)
-            best_ids, best = np.concatenate([best_ids, self.ids[at[keep]]]), np.concatenate([best, score[keep]])
-            top = np.lexsort((best_ids, -best))[:k]
-            best_ids, best = best_ids[top], best[top]
-        return best_ids, best
-
-
-def _search(key, postings: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-    if len(postings) and len(queries):
-        ids, vectors = postings["vec_id"].to_numpy(np.int64), [np.asarray(v, float) for v in postings["v"]]
-        large = np.array([np.abs(v).max(initial=0) >= LARGEST for v in vectors], bool)
-        parts = [Postings(ids[at], [vectors[i] for i in np.flatnonzero(at)]) for at in (~large, large) if at.any()]
-        for query_id, v in zip(queries["vec_id"], queries["v"], strict=True):
-            for part in parts:
-                found, scores = part.exact(query_id, np.asarray(v, float), k)
-                out["query_id"] += [query_id] * len(found)
-                out["vec_id"] += found.tolist()
-                out["score"] += [int(s) for s in scores]  # beyond 64 bits the result's column fails, as SQL's cast does
-    return pd.DataFrame(out).astype("int64")
+            keep = (score >= threshold) & ~((self.ids[at] == query_id) & (self.h[at] == query_h) & (self.copies[at] == 1))
+            places, best = np.concatenate([places, at[keep]]), np.concatenate([best, score[keep]])
+            top = np.lexsort((self.ids[places], -best))[:k]
+            places, best = places[top], best[top]
+        return places, best
+
+
+def _shard(rows: list[pd.DataFrame]) -> list[Postings]:
+    p = pd.concat(rows)
+    ids, h, copies, vectors = p["vec_id"].to_numpy(np.int64), p["h"].to_numpy(np.int64), p["copies"].to_numpy(np.int64), [np.asarray(v, float) for v in p["v"]]
+    large = np.array([np.abs(v).max(initial=0) >= LARGEST for v in vectors], bool)
+    return [Postings(ids[at], [vectors[i] for i in np.flatnonzero(at)], float, h[at], copies[at]) for at in (~large, large) if at.any()]
+
+
+def _search(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """Rows come in order of key, a key's vectors before its queries: the shard is held, the queries pass."""
+    key, gathered, shard = None, [], None
+    for batch in batches:
+        for mine, rows in batch.groupby("key", sort=True):
+            if mine != key:
+                key, gathered, shard = mine, [], None
+            gathered.append(rows[~rows["is_query"]])
+            queries = rows[rows["is_query"]]
+            if not len(queries):
+                continue
+            shard = shard or _shard(gathered)
+            gathered = []
+            out: list[tuple] = []
+            for query_id, h, n, v in zip(queries["vec_id"], queries["h"], queries["copies"], queries["v"], strict=True):
+                for part in shard:
+                    at, scores = part.exact(query_id, h, np.asarray(v, float), k)
+                    copies = part.copies[at] - ((part.ids[at] == query_id) & (part.h[at] == h))
+                    out += zip([query_id] * len(at), [h] * len(at), [n] * len(at), part.ids[at].tolist(), copies.tolist(), [int(s) for s in scores], strict=True)
+            # beyond 64 bits the result's column fails, as SQL's cast does
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")]).astype("int64")
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -126,31 +146,37 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_
     """query_id, rank, vec_id, score: for each vector whose id is divisible by `every`, the k others of highest integer
     inner product, ties to smaller ids.
 
-    Vectors are dealt to shards and queries to blocks by hashed id; a task meets one shard and one block, both of about
-    fixed size, and gives k rows a query at most, which are merged by query. Scores are exact: where a query's
-    sums may pass 2^53 they are computed in Python's integers. A score beyond 64 bits is an error.
+    Vectors are dealt to shards and queries to blocks by a hash of id and vector. A task holds a shard and streams a block's
+    queries past it, so queries go to every shard (8192 vectors) and vectors only to every block (65,536 queries); k rows
+    a query and shard are merged by query. Scores are exact: where a query's sums may pass 2^53 they are computed in
+    Python's integers. A score beyond 64 bits is an error.
 
-    Missing components of shorter vectors are 0. Rows with equal ids and vectors each stand for themselves as
-    candidates but their id is one query; different vectors of one id are each searched for and share the id's ranks. Empty tables
-    give an empty result; other columns are not read."""
+    Missing components of shorter vectors are 0. Rows of equal ids are each queries and candidates: a row leaves out itself
+    only. Rows equal in id and vector are searched once and returned as often as they occur. Empty tables give an empty
+    result; other columns are not read."""
     v = integer_vectors(vectors, scale, id_col, vector_col)
-    rows = v.count()
-    shards, blocks = max(1, -(-rows // SHARD)), max(1, -(-rows // (every * BLOCK)))
-    shard, block = F.pmod(F.xxhash64("vec_id"), F.lit(shards)), F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks))
-    documents = v.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = v.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    keys = ["shard", "block"]
-    documents, queries = documents.select(F.col("shard").cast("int"), F.col("block").cast("int"), "vec_id", "v"), queries.select(F.col("shard").cast("int"), F.col("block").cast("int"), "vec_id", "v")
-    found = documents.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(partial(_search, k=k), RESULT)
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k)
-    ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "b"))
-    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.minus")).alias("score"))
+    paths = [fresh(v.sparkSession, "vectors"), fresh(v.sparkSession, "ranked")]
+    v = stored(v.groupBy("vec_id", "v").agg(F.count("*").alias("copies")).withColumn("h", F.xxhash64("vec_id", "v")), paths[0])
+    queries = v.filter(F.col("vec_id") % every == 0)
+    shards, blocks = max(1, -(-v.count() // SHARD)), max(1, -(-queries.count() // BLOCK))
+    every_one = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    columns = ["key", "is_query", "vec_id", "h", "copies", "v"]
+    candidates = v.withColumn("block", every_one(blocks)).withColumn("key", F.pmod("h", F.lit(shards)) * blocks + F.col("block")).withColumn("is_query", F.lit(False))
+    asked = queries.withColumn("shard", every_one(shards)).withColumn("key", F.col("shard") * blocks + F.pmod(F.xxhash64("h", F.lit("block")), F.lit(blocks))).withColumn("is_query", F.lit(True))
+    tasks = min(TASKS, shards * blocks)
+    dealt = candidates.select(columns).unionByName(asked.select(columns)).repartitionById(tasks, F.pmod("key", F.lit(tasks)).cast("int")).sortWithinPartitions("key", "is_query")
+    found = dealt.mapInPandas(partial(_search, k=k), RESULT)
+    found = found.withColumn("_", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k).cast("long")).cast("int"))))
+    best = Window.partitionBy("query_id", "query_h", "query_copies").orderBy(F.desc("score"), "vec_id")
+    ranked = stored(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "query_copies", "rank", "vec_id", "score"), paths[1])
+    dropped(v.sparkSession, paths[0])
+    return ranked.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("query_copies").cast("int")))).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score
-      FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+s AS (SELECT q.rid, q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.rid <> d.rid),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""

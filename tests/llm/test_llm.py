@@ -62,15 +62,23 @@ def test_query_matches_sql(spark, name):
 
 
 def brute_topk(vectors, k=5, every=50):
-    v = {i: [math.floor(256 * float(np.float32(x))) for x in e] for i, e in vectors if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)}
+    v = [(i, [math.floor(256 * float(np.float32(x))) for x in e]) for i, e in vectors if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
     out = []
-    for q in v:
+    for at, (q, x) in enumerate(v):
         if q % every == 0:
-            s = sorted((-sum(a * b for a, b in zip(v[q], v[d], strict=False)), d) for d in v if d != q)[:k]
+            s = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), d) for j, (d, y) in enumerate(v) if j != at)[:k]
             out += [(q, r, d, -score) for r, (score, d) in enumerate(s, 1)]
     return sorted(out)
 
 
+def test_topk_leaves_out_the_row_and_not_its_id(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-0.5, 0.0, 0.25, 0.5]) for _ in range(4)]) for i in range(120)]
+    rows += [(50, [1.0] * 4), (50, [2.0] * 4), (50, [2.0] * 4), (100, rows[100][1]), (51, [2.0] * 4)] + [(7, [2.0] * 4)] * 9
+    df = spark.createDataFrame([(i, e, 1, 2) for i, e in rows], "vec_id bigint, embedding array<float>, copies int, key int")
+    assert sorted(map(tuple, topk.top_k(df).collect())) == brute_topk(rows)
+
+
 def test_topk_ties_nulls_and_ranges(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, [rng.choice([-0.5, 0.0, 0.25, 0.5]) for _ in range(6)]) for i in range(400)]
@@ -95,7 +103,8 @@ def test_topk_prunes_and_agrees():
     rows = rng.integers(-60, 60, (5000, 16)).astype(float)
     p = topk.Postings(np.arange(5000), list(rows))
     for q in range(0, 40, 4):
-        ids, s = p.search(q, rows[q], 5)
+        at, s = p.search(q, q, rows[q], 5)
+        ids = p.ids[at]
         full = rows @ rows[q]
         full[q] = -1e18
         want = np.lexsort((np.arange(5000), -full))[:5]
@@ -117,6 +126,18 @@ def test_token_counts(spark, odd, tmp_path):
     assert token_counts.count_tokens(odd.limit(0), WORD).count() == 0
 
 
+def test_token_counts_encode_each_digest_once(spark, tmp_path):
+    rows = [(5, "the same text of many rows")] * 40 + [(6, "the  same text of many rows "), (None, "another"), (7, "another"), (8, "single"), (9, None)]
+    cache = "file://" + str(tmp_path / "cache")
+    lib = Tokenizer.from_file(WORD)
+    want = sorted(((i, len((t or "").encode()), n := len(lib.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in rows), key=repr)
+    assert by_text(token_counts.count_tokens(frame(spark, rows), WORD, cache)) == want
+    assert spark.read.parquet(cache).count() == 4
+    more = [*rows, (10, "a new one"), (11, "a new one"), (12, "single")]
+    assert len(by_text(token_counts.count_tokens(frame(spark, more), WORD, cache))) == len(more)
+    assert spark.read.parquet(cache).count() == 5
+
+
 @pytest.mark.parametrize("path", [BYTE, public_tokenizers.path("piece_bpe_32k.model")])
 def test_token_counts_of_other_tokenizers(spark, odd, path):
     if path.endswith(".model"):
@@ -657,6 +678,17 @@ def test_pipeline_judges_rows_not_ids(spark):
     assert [(i, (t or "").strip()[:1]) for i, t in left] == [(4, ""), (4, ""), (4, "b"), (4, "c"), (None, ""), (None, ""), (None, "a")]
 
 
+def test_pipeline_keeps_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    rows = [(1, "some plain text of a few words here", 11, 3, 5, "k", 7, 1.5), (2, "other words that make a text of their own", 13, 4, 6, "l", 8, 2.5), (2, "other words that make a text of their own", 13, 4, 6, "l", 8, 2.5)]
+    for names in (("_word", "_bit", "_bits", "_key", "_hit", "x.y"), ("word", "bit", "held", "key", "h", "component_id")):
+        docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+        assert sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, SF).collect())) == rows[:2]
+        out = corpus_pipeline.decontaminate(spark, docs, SF)
+        assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == rows
+
+
 def pipeline_folder(spark, tmp_path, rows):
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     for t in ("benchmark", "labels"):
