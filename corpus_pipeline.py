@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchflow.llm.common import flagged, fresh, importable, stored, table
+from pitchflow.llm.common import dropped, flagged, fresh, importable, quoted, stored, table, unused
 from pitchflow.llm.decontaminate import contamination
 from pitchflow.llm.jaccard_join import link_classes
 from pitchflow.llm.quality_fm import good_documents
@@ -24,10 +24,11 @@ from pitchflow.llm.trie_bpe import encode_digests
 BLANK = "\\A[\\x20\\x09-\\x0D]*\\z"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a column _key of id and text, by which rows are judged: ids may repeat or be null. In order of ids, null
-    ones last."""
-    return docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name, which docs lacks: id and text, by which rows are judged, as ids may repeat
+    or be null. In order of ids, null ones last."""
+    key = unused(docs, "key")
+    return docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))), key
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,22 +42,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     shuffled."""
     importable(spark)
     blank = F.coalesce("text", F.lit("")).rlike(BLANK)
-    keyed = _keyed(docs.filter(~blank))
-    classes = link_classes(keyed, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id")
-    followers = classes.filter("_key <> component_id").select("_key")
-    repeated = classes.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").select("_key")
-    clear, maybe = flagged(keyed, followers.union(repeated), "_key")
-    heads = maybe.dropDuplicates(["_key"]).join(followers.distinct(), "_key", "left_anti")
-    return clear.select(docs.columns).union(heads.select(docs.columns)).union(docs.filter(blank))
+    columns = [quoted(c) for c in docs.columns]
+    keyed, key = _keyed(docs.filter(~blank))
+    classes = link_classes(keyed, id_col=key).select(F.col("doc_id").alias(key), "component_id")
+    followers = classes.filter(F.col(key) != F.col("component_id")).select(key)
+    repeated = classes.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key)
+    clear, maybe = flagged(keyed, followers.union(repeated), key)
+    heads = maybe.dropDuplicates([key]).join(followers.distinct(), key, "left_anti")
+    return clear.select(columns).union(heads.select(columns)).union(docs.filter(blank))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated with benchmark items go."""
-    keyed = _keyed(docs)
-    found = contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").filter("contaminated").select(F.col("doc_id").alias("_key"))
+    columns = [quoted(c) for c in docs.columns]
+    keyed, key = _keyed(docs)
+    found = contamination(keyed, table(spark, sf_dir, "benchmark"), id_col=key).filter("contaminated").select(F.col("doc_id").alias(key))
     found = stored(found.distinct(), fresh(spark, "contaminated"))
-    clear, maybe = flagged(keyed, found, "_key")
-    return clear.union(maybe.join(found, "_key", "left_anti").select(clear.columns)).select(docs.columns)
+    clear, maybe = flagged(keyed, found, key)
+    return clear.select(columns).union(maybe.join(found, key, "left_anti").select(columns))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,7 +88,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's table is removed once the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), fresh(spark, f"stage{k}"))
+        path = fresh(spark, f"stage{k}")
+        docs = stored(stage(spark, docs, sf_dir), path)
+        if before:
+            dropped(spark, before)
+        before = path
     return docs
