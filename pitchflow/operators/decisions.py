@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .evaluation import dynamic_threshold, with_sums_above
 from .scoring import regime_threshold, top_features
+from .walks import Walk, ordered_walk
 from .windows import ema
 
 # Which channel's attribution a coach's feature takes, and the coach's features.
@@ -87,48 +90,58 @@ def evaluate_decisions(scored: DataFrame, calibration: DataFrame, order: tuple[s
 ADAPTED = "player_id bigint, event_id bigint, version int, threshold double, adapted boolean"
 
 
-def adapt_thresholds(losses: DataFrame, quarantine: int = 20, cooldown_us: int = 3_600_000_000, drift: float = 0.15, rise: float = 0.2, fall: float = 0.5, most_rises: int = 3, cap: int = 500, floor: float = 0.0, ceiling: float = float("inf")) -> DataFrame:
-    """Each player's threshold as it adapts to losses (player_id, event_id, t_us, loss, confidence), a row whenever the
-    quarantine was full and the cooldown over.
+def _threshold(values: np.ndarray) -> float:
+    clean = values[values <= np.quantile(values, 0.95)]
+    return float(np.quantile(clean, 0.995))
+
+
+def _statistic(a: np.ndarray, b: np.ndarray) -> float:
+    """Kolmogorov-Smirnov: the largest distance of two empirical distributions."""
+    x = np.concatenate([a, b])
+    return float(np.abs(np.searchsorted(np.sort(a), x, "right") / len(a) - np.searchsorted(np.sort(b), x, "right") / len(b)).max())
 
-    A loss over five times the window's median is left out. A full quarantine's healthy losses (confidence 0.7 or more)
-    join the window of at most `cap` unless their distribution drifts (Kolmogorov-Smirnov) or the threshold they would
-    give moves too far, or rises once too often; time is that of the events. The walk is sequential by nature: state is
-    bounded by quarantine and cap, rows of one player are walked once."""
 
-    def threshold(values: np.ndarray) -> float:
-        clean = values[values <= np.quantile(values, 0.95)]
-        return float(np.quantile(clean, 0.995))
+class _Adaptation(Walk):
+    def __init__(self, quarantine: int, cooldown_us: int, drift: float, rise: float, fall: float, most_rises: int, cap: int, floor: float, ceiling: float):
+        self.quarantine, self.cooldown_us, self.drift, self.rise, self.fall, self.most_rises, self.cap, self.floor, self.ceiling = quarantine, cooldown_us, drift, rise, fall, most_rises, cap, floor, ceiling
+        self.window, self.waiting, self.rises, self.version, self.prior, self.last = np.zeros(0), [], 0, 0, None, None
 
-    def statistic(a: np.ndarray, b: np.ndarray) -> float:
-        x = np.concatenate([a, b])
-        return float(np.abs(np.searchsorted(np.sort(a), x, "right") / len(a) - np.searchsorted(np.sort(b), x, "right") / len(b)).max())
+    def _proposed(self, fit: np.ndarray) -> float | None:
+        if not len(fit) or len(self.window) and _statistic(self.window, fit) > self.drift:
+            return None
+        t, p = max(self.floor, _threshold(np.concatenate([self.window, fit])[-self.cap :])), self.prior
+        far = p is not None and p > 0 and not p * (1 - self.fall) <= t <= p * (1 + self.rise)
+        return None if t > self.ceiling or far or (p is not None and t > p and self.rises >= self.most_rises) else t
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        window, waiting, rises, version, prior, last = np.zeros(0), [], 0, 0, None, None
+    def step(self, rows: pd.DataFrame) -> list[tuple]:
         out = []
-        for r in rows.sort_values(["t_us", "event_id"]).itertuples(index=False):
-            if len(window) and r.loss > 5 * np.median(window):
+        for event_id, t_us, loss, confidence in zip(rows["event_id"], rows["t_us"], rows["loss"], rows["confidence"], strict=True):
+            if len(self.window) and loss > 5 * np.median(self.window):
                 continue
-            waiting.append((r.loss, r.confidence >= 0.7))
-            if len(waiting) < quarantine or (last is not None and r.t_us - last < cooldown_us):
+            self.waiting.append((loss, confidence >= 0.7))
+            if len(self.waiting) < self.quarantine or (self.last is not None and t_us - self.last < self.cooldown_us):
                 continue
-            fit = np.array([v for v, healthy in waiting if healthy])
-            proposed = None
-            if len(fit) and not (len(window) and statistic(window, fit) > drift):
-                proposed = max(floor, threshold(np.concatenate([window, fit])[-cap:]))
-                moved = prior is not None and prior > 0 and not prior * (1 - fall) <= proposed <= prior * (1 + rise)
-                if proposed > ceiling or moved or (prior is not None and proposed > prior and rises >= most_rises):
-                    proposed = None
-            waiting = []
+            fit = np.array([v for v, healthy in self.waiting if healthy])
+            proposed = self._proposed(fit)
+            self.waiting = []
             if proposed is not None:
-                window = np.concatenate([window, fit])[-cap:]
-                rises = rises + 1 if prior is not None and proposed > prior else 0
-                prior, version, last = proposed, version + 1, r.t_us
-            out.append((r.player_id, r.event_id, version, None if prior is None else round(prior, 9), proposed is not None))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in ADAPTED.split(", ")])
+                self.window = np.concatenate([self.window, fit])[-self.cap :]
+                self.rises = self.rises + 1 if self.prior is not None and proposed > self.prior else 0
+                self.prior, self.version, self.last = proposed, self.version + 1, int(t_us)
+            out.append((int(event_id), self.version, None if self.prior is None else round(self.prior, 9), proposed is not None))
+        return out
 
-    return losses.select("player_id", "event_id", "t_us", "loss", "confidence").groupBy("player_id").applyInPandas(walk, ADAPTED)
+
+def adapt_thresholds(losses: DataFrame, quarantine: int = 20, cooldown_us: int = 3_600_000_000, drift: float = 0.15, rise: float = 0.2, fall: float = 0.5, most_rises: int = 3, cap: int = 500, floor: float = 0.0, ceiling: float = float("inf")) -> DataFrame:
+    """Each player's threshold as it adapts to losses (player_id, event_id, t_us, loss, confidence), a row whenever the
+    quarantine was full and the cooldown over.
+
+    A loss over five times the window's median is left out. A full quarantine's healthy losses (confidence 0.7 or more)
+    join the window of at most `cap` unless their distribution drifts (Kolmogorov-Smirnov) or the threshold they would
+    give moves too far, or rises once too often; time is that of the events. The walk is sequential by nature; it holds
+    the window, the quarantine and a few numbers, and a batch of a player's rows at a time."""
+    make = partial(_Adaptation, quarantine, cooldown_us, drift, rise, fall, most_rises, cap, floor, ceiling)
+    return ordered_walk(losses.select("player_id", "t_us", "event_id", "loss", "confidence"), ("player_id",), ("t_us", "event_id"), make, ADAPTED.split(", ", 1)[1])
 
 
 def coach_attribution(attribution: Column, drift_score: Column) -> Column:

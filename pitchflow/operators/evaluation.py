@@ -100,10 +100,17 @@ def merge_episodes(rows: DataFrame, flag: str, by: str, order: tuple[str, ...],
 
 
 def match_episodes(predicted: DataFrame, truth: DataFrame, by: str) -> DataFrame:
-    """Each predicted episode with the first true one that it overlaps, or none."""
-    p, t = predicted.alias("p"), truth.alias("t")
-    j = p.join(t, (F.col(f"p.{by}") == F.col(f"t.{by}")) & (F.col("p.start") <= F.col("t.end")) & (F.col("p.end") >= F.col("t.start")), "left")
-    return j.groupBy(F.col(f"p.{by}").alias(by), F.col("p.start").alias("start"), F.col("p.end").alias("end")).agg(F.min("t.start").alias("true_start"))
+    """Each predicted episode with the first true one that it overlaps, or none.
+
+    Of the true episodes that end at a prediction's start or later, the one of least start is the first overlapping one if
+    it starts by the prediction's end, and else none overlaps. So one running minimum over both in order tells it; no pair
+    is formed."""
+    t = truth.select(by, F.col("end").alias("_at"), F.col("start").alias("_true"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
+    p = predicted.select(by, F.col("start").alias("_at"), F.lit(None).cast(truth.schema["start"].dataType).alias("_true"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    later = W.partitionBy(by).orderBy(F.desc("_at")).rangeBetween(W.unboundedPreceding, 0)
+    m = p.unionByName(t).withColumn("true_start", F.min("_true").over(later)).filter(F.col("start").isNotNull())
+    kinds = predicted.schema
+    return m.select(by, *[F.col(c).cast(kinds[c].dataType).alias(c) for c in ("start", "end")], F.when(F.col("true_start") <= F.col("end"), F.col("true_start")).alias("true_start"))
 
 
 def episode_metrics(predicted: DataFrame, truth: DataFrame, by: str) -> DataFrame:
@@ -160,10 +167,28 @@ def player_recalibration(overrides: DataFrame, least: int = 3, size: float = 2.0
     return x.groupBy("player_id", "feature").agg(F.count_distinct("override_id").alias("n"), F.round(F.avg("value"), 9).alias("mean_value")).filter(F.col("n") >= least)
 
 
+def ranked_by_hash(keys: DataFrame, key: str, seed: int) -> DataFrame:
+    """key, rank (from 0) and n of distinct keys, in order of a seeded hash, ties by key. Keys are parted by ranges of the
+    hash, numbered in their range, and the totals of the ranges before are added: no task holds all keys."""
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
+    # the hash is even over 52 bits, so equal ranges are about equally full
+    d = keys.select(key).distinct().withColumn("_h", h).withColumn("_part", F.floor(F.col("_h") / F.lit((1 << 52) / parts)))
+    totals = d.groupBy("_part").agg(F.count("*").alias("_m"))
+    w = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("_part", F.coalesce(F.sum("_m").over(w), F.lit(0)).alias("_before"), F.sum("_m").over(W.partitionBy(F.lit(1))).alias("n"))  # a row a range
+    at = F.row_number().over(W.partitionBy("_part").orderBy("_h", key)) - 1
+    return d.withColumn("_at", at).join(F.broadcast(offsets), "_part").select(key, (F.col("_at") + F.col("_before")).cast("long").alias("rank"), "n")
+
+
 def split_sessions(sessions: DataFrame, key: str, seed: int = 42, train: float = 0.7, validate: float = 0.15) -> DataFrame:
-    """train, validate or test by a hash of the session: no session lies in two splits, and none moves when others come."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000)) / 10_000
-    return sessions.withColumn("split", F.when(u < train, "train").when(u < train + validate, "validate").otherwise("test"))
+    """sessions with split: train, validate or calibrate, by the sessions' ranks by a seeded hash. The first
+    floor(train * n) sessions (one at least) train, the next floor(validate * n) (one at least) validate. All rows of a
+    session are in one split; a null session is in none."""
+    ranks = ranked_by_hash(sessions.filter(F.col(key).isNotNull()), key, seed)
+    a, b = F.greatest(F.floor(F.col("n") * train), F.lit(1)), F.greatest(F.floor(F.col("n") * validate), F.lit(1))
+    split = F.when(F.col("rank") < a, "train").when(F.col("rank") < a + b, "validate").otherwise("calibrate")
+    return sessions.join(ranks.select(key, split.alias("split")), key, "left")
 
 
 def normaliser(rows: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .walks import Walk, ordered_walk
+
 STATES = ("NONE", "WATCH", "WARNING", "CRITICAL", "HOLD", "SAFE_MODE")
 
 
@@ -56,27 +60,29 @@ def alert_family(recommendation: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv]), recommendation)
 
 
+class _Gate(Walk):
+    def __init__(self, order: tuple[str, ...], cooldown_us: int):
+        self.order, self.cooldown_us, self.last, self.at = list(order), cooldown_us, None, 0
 
-def alert_gate(alerts: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], cooldown_us: int) -> DataFrame:
-    """Alerts that pass: one of the family that passed last is held back within the cooldown; another family, or a row
-    without one, opens the gate. Whether a row passes depends on which passed before, so each group's rows are walked
-    once, in order; keys should hold the match, which bounds a group."""
-    schema = alerts.select(*keys, *order, "family").schema
-    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", passed boolean"
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order))
-        last, at, passed = None, 0, []
-        for family, t in zip(rows["family"], rows[order[0]], strict=True):
+    def step(self, rows: pd.DataFrame) -> list[tuple]:
+        out = []
+        for *at, family in rows[[*self.order, "family"]].itertuples(index=False, name=None):
             if family is None:
-                last = None
-            ok = family is not None and not (family == last and t - at < cooldown_us)
+                self.last = None
+            ok = family is not None and not (family == self.last and at[0] - self.at < self.cooldown_us)
             if ok:
-                last, at = family, t
-            passed.append(ok)
-        return rows.assign(passed=passed)
+                self.last, self.at = family, at[0]
+            out.append((*at, family, ok))
+        return out
 
-    return alerts.select(*keys, *order, "family").groupBy(*keys).applyInPandas(walk, out)
+
+def alert_gate(alerts: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], cooldown_us: int) -> DataFrame:
+    """Alerts that pass: one of the family that passed last is held back within the cooldown; another family, or a row
+    without one, opens the gate. Whether a row passes depends on which passed before, so rows are walked in order; the
+    state is the last family and its time."""
+    kinds = {f.name: f.dataType.simpleString() for f in alerts.schema}
+    out = ", ".join([*(f"{c} {kinds[c]}" for c in order), "family string", "passed boolean"])
+    return ordered_walk(alerts.select(*keys, *order, "family"), keys, order, partial(_Gate, order, cooldown_us), out)
 
 
 def finding_transitions(findings: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], least: float = 0.55, within: int = 3) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decision_queries, episode_queries, insight_queries, matchday_queries, player_queries, report_queries, scoring_queries, team_queries, telemetry_queries
+from . import dataset_queries, decision_queries, episode_queries, insight_queries, matchday_queries, player_queries, report_queries, scoring_queries, team_queries, telemetry_queries
 
-MODULES = (team_queries, telemetry_queries, player_queries, scoring_queries, report_queries, insight_queries, matchday_queries, decision_queries, episode_queries)
+MODULES = (team_queries, telemetry_queries, player_queries, scoring_queries, report_queries, insight_queries, matchday_queries, decision_queries, episode_queries, dataset_queries)
 
 
 def queries() -> dict:
