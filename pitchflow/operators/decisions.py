@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .evaluation import dynamic_threshold, with_sums_above
 from .scoring import regime_threshold, top_features
+from .state import alert_states
 from .walks import Walk, ordered_walk
 from .windows import ema
 
@@ -31,29 +32,44 @@ def calibration_losses(scored: DataFrame, player: str, order: tuple[str, ...], l
     return r.drop("_rn", "_n").join(smoothed, [player, *order])
 
 
-def score_decisions(scored: DataFrame, context: DataFrame, key: str, half_s: float = 1800.0, match_s: float = 3600.0) -> DataFrame:
-    """scored (key, player_id, smoothed, threshold, confidence, speed_ms, sprint_flag, elapsed_s) with the flags and
-    signals of each window. context (player_id): distance_mean of the baseline, drift_score, drift_flagged, acwr.
+ALERTS = ("anomaly", "fatigue", "drift", "workload")
 
-    anomaly: the smoothed loss exceeds the threshold (never without one); fatigue: an anomaly late in the match with a
-    speed under 0.55 of the baseline's or without a sprint; workload: a ratio over 1.5 or under 0.8. signals: category,
-    subtype, severity and confidence of each flag that is up."""
+
+def score_decisions(scored: DataFrame, context: DataFrame, key: str, order: tuple[str, ...] = ("elapsed_s",), half_s: float = 1800.0, match_s: float = 3600.0) -> DataFrame:
+    """scored (key, player_id, smoothed, threshold, confidence, speed_ms, sprint_flag, elapsed_s) with each window's alerts.
+    context (player_id): distance_mean of the baseline, drift_score, drift_flagged, acwr.
+
+    What is up: an anomaly where the smoothed loss exceeds the threshold (never without one); fatigue where an anomaly is
+    late in the match with a speed under 0.55 of the baseline's or without a sprint; drift as flagged; workload at a ratio
+    over 1.5 or under 0.8. Each goes through the alert machine of its player and kind, in the given order, and is an alert
+    in WARNING or CRITICAL, so from the third window in a row on and until three quiet ones. signals: category, subtype,
+    severity and confidence of each alert, by the window's own values; alert_level and persistence are the anomaly's."""
     r = scored.join(context, "player_id", "left")
     usual = F.when(F.col("distance_mean") > 0, F.col("distance_mean") / match_s).otherwise(3.5)
     slow = F.coalesce(F.col("speed_ms") / F.greatest(usual, F.lit(0.1)) < 0.55, F.lit(False))
     no_sprint, late = F.coalesce(F.col("sprint_flag") == 0, F.lit(False)), F.coalesce(F.col("elapsed_s") > half_s, F.lit(False))
     anomaly = F.coalesce((F.col("smoothed") > F.col("threshold")) & (F.col("threshold") < float("inf")), F.lit(False))
     acwr = F.coalesce("acwr", F.lit(1.0))
-    r = r.withColumns({"is_anomaly": anomaly, "fatigue_flag": anomaly & (slow | no_sprint) & late, "drift_flag": F.coalesce("drift_flagged", F.lit(False)), "workload_flag": (acwr > 1.5) | (acwr < 0.8)})
+    up = (anomaly, anomaly & (slow | no_sprint) & late, F.coalesce("drift_flagged", F.lit(False)), (acwr > 1.5) | (acwr < 0.8))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("_kind"), u.alias("active")) for k, u in zip(ALERTS, up, strict=True)]))
+    flat = r.select("player_id", *order, key, kinds.alias("_u")).select("player_id", *order, key, "_u._kind", "_u.active", F.lit(1.0).alias("confidence"))
+    states = alert_states(flat, ("player_id", "_kind"), (*order, key))
+    alert = lambda k: F.coalesce(F.bool_or((F.col("_kind") == k) & F.col("state").isin("WARNING", "CRITICAL")), F.lit(False)).alias(f"_{k}")
+    of = lambda c: F.max(F.when(F.col("_kind") == "anomaly", F.col(c)))
+    told = states.groupBy("player_id", *order, key).agg(*map(alert, ALERTS), of("state").alias("alert_level"), of("persistence").alias("persistence"))
+    w, t = r.alias("w"), told.alias("t")
+    on = [F.col(f"w.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("player_id", *order, key)]
+    r = w.join(t, on).select("w.*", *[f"t._{k}" for k in ALERTS], "t.alert_level", "t.persistence")
     c = F.round(F.coalesce("confidence", F.lit(0.0)), 9)
     s = lambda when, category, subtype, severity, conf: F.when(when, F.struct(F.lit(category).alias("category"), subtype.alias("subtype"), severity.alias("severity"), conf.cast("double").alias("confidence")))
     signals = F.array_compact(F.array(
-        s(F.col("is_anomaly"), "anomaly", F.lit(None).cast("string"), F.when(c > 0.85, "high").otherwise("medium"), c),
-        s(F.col("fatigue_flag"), "fatigue", F.when(slow & no_sprint, "speed_sprint_decline").when(slow, "speed_decline").otherwise("sprint_decline"), F.when(late, "high").otherwise("medium"), c),
-        s(F.col("drift_flag"), "drift", F.lit("positional_zone_violation"), F.lit("medium"), F.coalesce("drift_score", F.lit(0.0))),
-        s(F.col("workload_flag"), "workload", F.when(acwr > 1.5, "acwr_overload").otherwise("acwr_underload"), F.when((acwr > 1.8) | (acwr < 0.6), "high").otherwise("medium"), F.lit(1.0)),
+        s(F.col("_anomaly"), "anomaly", F.lit(None).cast("string"), F.when(c > 0.85, "high").otherwise("medium"), c),
+        s(F.col("_fatigue"), "fatigue", F.when(slow & no_sprint, "speed_sprint_decline").when(slow, "speed_decline").otherwise("sprint_decline"), F.when(late, "high").otherwise("medium"), c),
+        s(F.col("_drift"), "drift", F.lit("positional_zone_violation"), F.lit("medium"), F.coalesce("drift_score", F.lit(0.0))),
+        s(F.col("_workload"), "workload", F.when(acwr > 1.5, "acwr_overload").otherwise("acwr_underload"), F.when((acwr > 1.8) | (acwr < 0.6), "high").otherwise("medium"), F.lit(1.0)),
     ))
-    return r.select(key, "player_id", "is_anomaly", "fatigue_flag", "drift_flag", "workload_flag", signals.alias("signals"))
+    names = {"_anomaly": "is_anomaly", "_fatigue": "fatigue_flag", "_drift": "drift_flag", "_workload": "workload_flag"}
+    return r.select(key, "player_id", *[F.col(a).alias(b) for a, b in names.items()], signals.alias("signals"), "alert_level", "persistence")
 
 
 def fp_budget_threshold(scored: DataFrame, by: str | None = None, budget: float = 2.0, interval_s: float = 120.0, minutes: float = 90.0) -> DataFrame:

@@ -124,11 +124,14 @@ def oracle_sql() -> dict[str, str]:
     fa = f"""WITH ev AS ({oracle("inferences")}), lg AS (SELECT is_anomaly, 'position' attribute, position::VARCHAR AS g FROM ev UNION ALL SELECT is_anomaly, 'nationality', nationality::VARCHAR FROM ev), o AS (SELECT avg(is_anomaly) o FROM ev), au AS (SELECT attribute, g, round(avg(is_anomaly), 9) rate, count(*) n, round(avg(is_anomaly) - any_value(o), 9) delta, abs(avg(is_anomaly) - any_value(o)) > 0.02 biased FROM lg, o WHERE g IS NOT NULL GROUP BY 1, 2)"""
     return {
         "calibration_losses": f"WITH RECURSIVE {ls}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY t_us, event_id) r0, count(*) OVER (PARTITION BY player_id) n FROM ls) WHERE r0 > floor(n * 0.8::DOUBLE)), {fold('k', 'SELECT event_id, round(s, 9) smoothed FROM fo')}",
-        "score_decisions": f"""WITH {ft}, cx AS (SELECT player_id, round(avg(window_distance_m) * 1000, 6) distance_mean, max(positional_drift_score) drift_score, max(positional_drift_score) > 2 drift_flagged, max(acwr) q0 FROM ft WHERE player_id % 11 > 0 GROUP BY 1),
- s AS (SELECT player_id || '|' || bucket AS "window", f.player_id, window_distance_m, seq, round(least(1, window_distance_m / 100), 6) c, window_avg_speed_ms speed_ms, window_sprint_count % 2 sprint_flag, seq * 300 elapsed_s, distance_mean, coalesce(drift_score, 0) ds, coalesce(drift_flagged, false) df, coalesce(q0, 1) q FROM ft f LEFT JOIN cx USING (player_id)),
- a AS (SELECT *, seq % 9 > 0 AND window_distance_m > 45 an, ({slow}) sl, ({nos}) ns, ({late}) la FROM s), b AS (SELECT *, an AND (sl OR ns) AND la fa, q > 1.5 OR q < 0.8 wf FROM a)
- SELECT "window", player_id, an is_anomaly, fa fatigue_flag, df drift_flag, wf workload_flag, coalesce(array_to_string([CASE WHEN an THEN 'anomaly:-:' || CASE WHEN c > 0.85 THEN 'high' ELSE 'medium' END || ':' || {conf('c')} END, CASE WHEN fa THEN 'fatigue:' || CASE WHEN sl AND ns THEN 'speed_sprint_decline' WHEN sl THEN 'speed_decline' ELSE 'sprint_decline' END || ':high:' || {conf('c')} END,
-  CASE WHEN df THEN 'drift:positional_zone_violation:medium:' || {conf('ds')} END, CASE WHEN wf THEN 'workload:' || CASE WHEN q > 1.5 THEN 'acwr_overload' ELSE 'acwr_underload' END || ':' || CASE WHEN q > 1.8 OR q < 0.6 THEN 'high' ELSE 'medium' END || ':1.0000' END], ';'), '') signals FROM b""",
+        "score_decisions": f"""WITH RECURSIVE {ft}, cx AS (SELECT player_id, round(avg(window_distance_m) * 1000, 6) distance_mean, max(positional_drift_score) drift_score, max(positional_drift_score) > 2 drift_flagged, max(acwr) q0 FROM ft WHERE player_id % 11 > 0 GROUP BY 1),
+ s AS (SELECT player_id || '|' || bucket AS "window", f.player_id, bucket, window_distance_m, seq, round(least(1, window_distance_m / 100), 6) c, window_avg_speed_ms speed_ms, window_sprint_count % 2 sprint_flag, seq * 300 elapsed_s, distance_mean, coalesce(drift_score, 0) ds, coalesce(drift_flagged, false) df, coalesce(q0, 1) q FROM ft f LEFT JOIN cx USING (player_id)),
+ a AS (SELECT *, seq % 9 > 0 AND window_distance_m > 45 an, ({slow}) sl, ({nos}) ns, ({late}) la FROM s), b AS (SELECT *, an AND (sl OR ns) AND la fa, q > 1.5 OR q < 0.8 wf FROM a),
+ u AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY seq, "window") rn FROM b), l AS (SELECT player_id, rn, unnest([{{k: 'anomaly', a: an}}, {{k: 'fatigue', a: fa}}, {{k: 'drift', a: df}}, {{k: 'workload', a: wf}}], recursive := true) FROM u),
+ m AS (SELECT DISTINCT player_id, k, CAST(0 AS BIGINT) rn, 0 s, 0 p, 0 q FROM l UNION ALL SELECT l.player_id, l.k, l.rn, CASE WHEN l.a THEN greatest(m.s, CASE WHEN m.p + 1 >= 10 THEN 3 WHEN m.p + 1 >= 3 THEN 2 ELSE 0 END) WHEN m.q + 1 >= 3 THEN 0 ELSE m.s END, CASE WHEN l.a THEN m.p + 1 ELSE 0 END, CASE WHEN l.a THEN 0 ELSE m.q + 1 END FROM m JOIN l ON l.player_id = m.player_id AND l.k = m.k AND l.rn = m.rn + 1),
+ v AS (SELECT player_id, rn, bool_or(k = 'anomaly' AND s >= 2) x1, bool_or(k = 'fatigue' AND s >= 2) x2, bool_or(k = 'drift' AND s >= 2) x3, bool_or(k = 'workload' AND s >= 2) x4, max(s) FILTER (k = 'anomaly') s, max(p) FILTER (k = 'anomaly') p FROM m WHERE rn > 0 GROUP BY 1, 2)
+ SELECT "window", player_id, x1 is_anomaly, x2 fatigue_flag, x3 drift_flag, x4 workload_flag, ['NONE', 'WATCH', 'WARNING', 'CRITICAL'][s + 1] alert_level, p persistence, coalesce(array_to_string([CASE WHEN x1 THEN 'anomaly:-:' || CASE WHEN c > 0.85 THEN 'high' ELSE 'medium' END || ':' || {conf('c')} END, CASE WHEN x2 THEN 'fatigue:' || CASE WHEN sl AND ns THEN 'speed_sprint_decline' WHEN sl THEN 'speed_decline' ELSE 'sprint_decline' END || CASE WHEN la THEN ':high:' ELSE ':medium:' END || {conf('c')} END,
+  CASE WHEN x3 THEN 'drift:positional_zone_violation:medium:' || {conf('ds')} END, CASE WHEN x4 THEN 'workload:' || CASE WHEN q > 1.5 THEN 'acwr_overload' ELSE 'acwr_underload' END || ':' || CASE WHEN q > 1.8 OR q < 0.6 THEN 'high' ELSE 'medium' END || ':1.0000' END], ';'), '') signals FROM u JOIN v USING (player_id, rn)""",
         "fp_budget_threshold": f"WITH {ls}, {budget('')}",
         "fp_budget_by_player": f"WITH {ls}, {budget('player_id,')}",
         "evaluate_decisions": f"""WITH RECURSIVE {ls}, ca AS (SELECT *, player_id || '|' || regime k FROM ls WHERE event_id % 3 > 0), ev AS (SELECT * FROM ls WHERE event_id % 3 = 0), {fold('ev', '')}, fk AS ({thr('ca', 'k')}), gk AS ({thr('ca', 'player_id')}),

@@ -285,3 +285,17 @@ def test_publishing_by_topic(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out/trends")).collect())) == [(1, "x"), (2, "y")]
     with pytest.raises(ValueError):
         streams.publish({"nothing": None}, "", "", {})
+
+
+def test_signals_wait_for_the_alert_machine(spark):
+    """An anomaly is a signal from the third window in a row on, and until three quiet ones; fatigue only late."""
+    losses = [9, 9, 0, 9, 9, 9, 0, 0, 9, 0, 0, 0, 0]
+    rows = [(f"w{k:02d}", 1, float(v), 5.0, 0.9, 1.0 if v else 9.0, 1, 1700 + 30 * k) for k, v in enumerate(losses)]
+    scored = spark.createDataFrame(rows, "window string, player_id bigint, smoothed double, threshold double, confidence double, speed_ms double, sprint_flag int, elapsed_s bigint")
+    context = spark.createDataFrame([(1, 18000.0, 0.0, False, 1.0)], "player_id bigint, distance_mean double, drift_score double, drift_flagged boolean, acwr double")
+    out = {r.window: r for r in decisions.score_decisions(scored, context, "window").collect()}
+    assert [k for k in range(13) if out[f"w{k:02d}"].is_anomaly] == [5, 6, 7, 8, 9, 10]
+    assert [out[f"w{k:02d}"].persistence for k in range(7)] == [1, 2, 0, 1, 2, 3, 0]
+    # seconds over 1800 begin with the fifth window: fatigue is up in 4 and 5 only, so never an alert
+    assert not any(r.fatigue_flag or r.workload_flag for r in out.values())
+    assert [(x.category, x.subtype, x.severity) for x in out["w06"].signals] == [("anomaly", None, "high")]
