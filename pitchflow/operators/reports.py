@@ -59,12 +59,14 @@ def dominant_finding(findings: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def salient_episodes(episodes: DataFrame, current: str, k: int = 3, pool: int = 20, trend: str | None = None) -> DataFrame:
-    """The k most salient of each player's newest `pool` episodes: same finding 5, same trend 3 (where episodes have one),
-    severity of two or more 2, unresolved 2, and recency (newer is higher), ties to newer ones."""
+    """The k most salient of each player's newest `pool` episodes (finding, trend, severity, response, end_minute): same
+    finding 5, same trend 3, unresolved (persisted or unknown) 2, severity critical 4, high 2, medium 1, and the place in
+    the pool from the newest on as a share of it; ties to newer ones."""
     w = W.partitionBy("player_id").orderBy(F.col("end_minute").desc(), F.col("episode").desc())
-    e = episodes.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= pool)
-    same_trend = F.coalesce(F.col("trend") == trend, F.lit(False)).cast("int") if trend is not None and "trend" in episodes.columns else F.lit(0)
-    score = 5 * (F.col("finding") == current).cast("int") + 3 * same_trend + 2 * (F.col("severity") >= 2).cast("int") + 2 * (F.col("n_windows") >= 3).cast("int") + (pool - F.col("rn") + 1) / pool
+    e = episodes.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= pool).withColumn("_n", F.count("*").over(W.partitionBy("player_id")))
+    yes = lambda c, n: F.when(c, n).otherwise(0)
+    severity = F.when(F.col("severity") == "critical", 4).when(F.col("severity") == "high", 2).when(F.col("severity") == "medium", 1).otherwise(0)
+    score = yes(F.col("finding") == current, 5) + yes(F.col("trend") == trend, 3) + yes(F.col("response").isin("persisted", "unknown"), 2) + severity + F.col("rn") / F.col("_n")
     e = e.withColumn("salience", F.round(score, 6))
     top = F.row_number().over(W.partitionBy("player_id").orderBy(F.col("salience").desc(), "rn"))
     return e.withColumn("rank", top).filter(F.col("rank") <= k).select("player_id", "rank", "episode", "finding", "salience")

@@ -185,14 +185,6 @@ def enrich_fatigue(ticks: DataFrame, baselines: DataFrame) -> DataFrame:
     return e.withColumns({"expected_speed": F.round(expected, 4), "residual": F.round((s - expected) * 15, 2), "speed_drop_pct": F.round(F.when(start > 0, (start - s) / start * 100).otherwise(0.0), 1)}).drop("_min", "alpha", "beta", "start_speed")
 
 
-def window_quality(rows: DataFrame, hr_rule: bool = True) -> DataFrame:
-    """issues of scored windows that say how far findings on them can be trusted."""
-    rules = [F.when(F.col("mean_speed") < 0, "negative_speed"), F.when(F.col("max_speed") > 12.0, "speed_out_of_range"), F.when(F.col("distance") < 0, "negative_distance")]
-    if hr_rule:
-        rules.append(F.when((F.coalesce("mean_hr", F.lit(0.0)) == 0) & (F.col("mean_speed") > 1), "heart_rate_absent"))
-    return rows.withColumn("issues", F.array_compact(F.array(*rules))).withColumn("degraded", F.size("issues") > 0)
-
-
 def inject_faults(ticks: DataFrame, seed: int, dropout: float = 0.05, freeze: float = 0.05, spike: float = 0.02) -> DataFrame:
     """Sensor faults by a hash of the tick's key, so that the same ticks fail wherever they run."""
     u = F.pmod(F.xxhash64("match_id", "player_id", "event_id", F.lit(seed)), F.lit(1_000_000)) / 1e6

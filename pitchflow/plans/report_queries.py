@@ -45,7 +45,8 @@ def salient_episodes(spark, d):
 
 
 def _trended(spark, d):
-    return PQ.episodes(spark, d).withColumn("trend", F.when(F.col("start_minute") % 3 == 0, "worsening").otherwise("stable"))
+    e = PQ.episodes(spark, d).withColumns({"trend": F.when(F.col("start_minute") % 3 == 0, "worsening").otherwise("stable"), "response": F.when(F.col("n_windows") >= 3, "persisted").otherwise("resolved")})
+    return e.withColumn("severity", F.element_at(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), (F.col("severity") + 1).cast("int")))
 
 
 def context_summary(spark, d):
@@ -90,7 +91,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     tel, tac, sc = (f"WITH ev AS ({oracle(n)})" for n in ("telemetry", "tactical", "scored"))
     eps = f"WITH eps AS ({PQ.oracle_sql()['episodes']})"
-    sal = "sr AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY end_minute DESC, episode DESC) rn FROM eps), ss AS (SELECT *, round(5 * (finding = 'cardio')::INT + 3 * (start_minute % 3 = 0)::INT + 2 * (severity >= 2)::INT + 2 * (n_windows >= 3)::INT + (20 - rn + 1) / 20, 6) salience FROM sr WHERE rn <= 20), sk AS (SELECT *, CAST(row_number() OVER (PARTITION BY player_id ORDER BY salience DESC, rn) AS INT) AS rank FROM ss), sal AS (SELECT player_id, rank, episode, finding, salience FROM sk WHERE rank <= 3)"
+    sal = "sr AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY end_minute DESC, episode DESC) rn FROM eps), ss AS (SELECT *, round(5 * (finding = 'cardio')::INT + 3 * (start_minute % 3 = 0)::INT + [0, 1, 2, 4][severity + 1] + 2 * (n_windows >= 3)::INT + rn / least(20, count(*) OVER (PARTITION BY player_id)), 6) salience FROM sr WHERE rn <= 20), sk AS (SELECT *, CAST(row_number() OVER (PARTITION BY player_id ORDER BY salience DESC, rn) AS INT) AS rank FROM ss), sal AS (SELECT player_id, rank, episode, finding, salience FROM sk WHERE rank <= 3)"
     pat = "pn AS (SELECT *, lead(finding) OVER (PARTITION BY player_id ORDER BY episode) nx FROM eps), pp AS (SELECT player_id, 'recurring' kind, finding pattern, count(*) n FROM pn GROUP BY 1, 2, 3 UNION ALL SELECT player_id, 'transition', finding || '>' || nx, count(*) FROM pn WHERE nx IS NOT NULL GROUP BY 1, 2, 3), pat AS (SELECT player_id, kind, pattern, n FROM (SELECT *, row_number() OVER (PARTITION BY player_id, kind ORDER BY n DESC, pattern) k FROM pp WHERE n >= 2) WHERE k <= 4)"
     find = PQ.oracle_sql()["episodes"].split(", r AS (")[0]
     pw = "PARTITION BY player_id ORDER BY t_us, event_id"

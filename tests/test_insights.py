@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitchflow.operators import decisions, evaluation, findings, fusion, matchday, scoring, state, windows
+from pitchflow.operators import decisions, evaluation, findings, fusion, matchday, reports, scoring, state, windows
 from pitchflow.sources import payloads, readers
 from pitchflow.streaming import streams
 
@@ -299,3 +299,10 @@ def test_signals_wait_for_the_alert_machine(spark):
     # seconds over 1800 begin with the fifth window: fatigue is up in 4 and 5 only, so never an alert
     assert not any(r.fatigue_flag or r.workload_flag for r in out.values())
     assert [(x.category, x.subtype, x.severity) for x in out["w06"].signals] == [("anomaly", None, "high")]
+
+
+def test_salience_by_the_fixed_weights(spark):
+    rows = [(1, 1, "x", 10, "worsening", "critical", "resolved"), (1, 2, "y", 20, "stable", "high", "persisted"), (1, 3, "x", 30, "stable", "low", "unknown"), (1, 4, "z", 40, "worsening", "medium", "escalated")]
+    e = spark.createDataFrame(rows, "player_id int, episode int, finding string, end_minute int, trend string, severity string, response string")
+    got = [(r.rank, r.episode, r.salience) for r in reports.salient_episodes(e, "x", 4, trend="worsening").orderBy("rank").collect()]
+    assert got == [(1, 1, 13.0), (2, 3, 7.5), (3, 2, 4.75), (4, 4, 4.25)]
