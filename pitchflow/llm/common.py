@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -101,12 +105,28 @@ def unused(df: DataFrame, name: str) -> str:
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 
 
+def releasing(f):
+    """f, a function of a task's batches, which in the end gives back to the system what its worker has freed: workers are
+    used again, and what they hold on to would add up with what the next stage needs."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator, *args, **options) -> Iterator:
+        yield from f(batches, *args, **options)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers that start from now on find this package where the driver found it, and bounds the session's
     batches for them where they are not bounded more tightly."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    env.setdefault("MALLOC_ARENA_MAX", "2")  # each of a worker's threads would keep freed memory of its own
     rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if not 0 < rows <= BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

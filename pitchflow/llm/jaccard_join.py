@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, fresh, joined_by, stored, text_slices
+from .common import dropped, fresh, joined_by, releasing, stored, text_slices
 
 #: Frequent shingles are told apart by at most so many counts (16 bytes each); they go to all tasks.
 HOT = 1 << 18
@@ -110,6 +110,7 @@ def node_of(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) if len(s) else 0
 
 
+@releasing
 def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, node, size) of documents, and (shingle, n) of shingles that several of the task's sets have."""
     seen: set[int] = set()
@@ -183,6 +184,7 @@ def _home(block: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(block.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
 
 
+@releasing
 def _spread(batches: Iterator[pa.RecordBatch], width: int, percent: int, hot, parts: int) -> Iterator[pa.RecordBatch]:
     """Each set's shingles, dealt to buckets by their ids: 6 bytes each, packed by the bucket. A set is known by its task's
     block of sets and its number (off) in it."""
@@ -246,6 +248,7 @@ def _spread(batches: Iterator[pa.RecordBatch], width: int, percent: int, hot, pa
         yield from flush()
 
 
+@releasing
 def _recurring(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """All shingles of a bucket are in one partition: those that more than one set has go back to the sets' blocks."""
     key, uid = [], []
@@ -282,6 +285,7 @@ def _recurring(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Rec
 POSTINGS = "shingle bigint, node bigint, size int, pos int, is_hot boolean"
 
 
+@releasing
 def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """All that concerns a set is in one partition: the recurring shingles of its prefix, with their places in the order.
     Those that nothing else has come first in it and need no rows."""
@@ -348,6 +352,7 @@ def live_blocks(shingle: np.ndarray, size: np.ndarray, pos: np.ndarray, percent:
     return rows, len(starts), int((~live).sum())
 
 
+@releasing
 def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """All rows of a recurring shingle are in one partition: rows of blocks that are not skipped stay, and of lists with
     the same members one, with the least positions. Rows of frequent shingles pass."""
@@ -380,6 +385,7 @@ def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(members[z]), pa.array(node[z]), pa.array(n[z], pa.int32()), pa.array(p[z], pa.int32()), pa.array([False] * len(z))], ["shingle", "node", "size", "pos", "is_hot"])
 
 
+@releasing
 def _sets(batches: Iterator[pa.RecordBatch], width: int, bits) -> Iterator[pa.RecordBatch]:
     words: np.ndarray = bits.value
     mask = len(words) * 64 - 1

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, text_slices
+from .common import Memo, releasing, text_slices
 
 BUCKETS = 1 << 14
 #: Structure statistics and metadata come before the hashed words among the features.
@@ -117,6 +117,7 @@ def _featurise(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield features(t, w, bucket)
 
 
+@releasing
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in text_slices(batches, "text"):
         rows = list(_featurise(texts))
@@ -151,6 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return model
 
 
+@releasing
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     fm: FactorisationMachine = model.value
     for part, texts in text_slices(batches, "text"):
@@ -174,6 +176,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+@releasing
 def _keep(batches: Iterator[pa.RecordBatch], model, threshold: float, text_col: str) -> Iterator[pa.RecordBatch]:
     fm: FactorisationMachine = model.value
     for part, texts in text_slices(batches, text_col):

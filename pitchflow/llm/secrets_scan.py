@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import releasing, text_slices
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -93,6 +93,7 @@ def held_back(sample: bytes) -> bool:
     return zlib.crc32(sample) % FOLDS == 0
 
 
+@releasing
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bigrams of both labelled samples, held-back strings aside: values of the rules' secrets, and the other runs."""
     ordinary, random = np.zeros(K * K, np.int64), np.zeros(K * K, np.int64)
@@ -126,6 +127,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.bool_()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["random", "bigram", "n"])
 
 
+@releasing
 def _held(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.RecordBatch]:
     """How often held-back strings of each label have which mean ratio, in steps."""
     n = np.zeros((2, 2 * STEPS * WIDEST + 1), np.int64)
@@ -216,6 +218,7 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+@releasing
 def _scan(batches: Iterator[pa.RecordBatch], models: Models | None) -> Iterator[pa.RecordBatch]:
     for part, texts in text_slices(batches, "text"):
         found = [spans_of(t, models) for t in texts]
@@ -235,6 +238,7 @@ def redacted(text: str, models: Models | None, mark: str) -> str:
     return "".join([*out, text[end:]])
 
 
+@releasing
 def _redact(batches: Iterator[pa.RecordBatch], models: Models | None, mark: str) -> Iterator[pa.RecordBatch]:
     for part, texts in text_slices(batches, "text"):
         there = part.column("text").is_valid().to_pylist()

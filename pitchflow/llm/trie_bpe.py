@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import split_words
-from .common import Memo, text_slices
+from .common import Memo, releasing, text_slices
 
 #: Stands for the end-of-word mark inside words; it can't occur in byte-level characters.
 END = "\x00"
@@ -166,6 +166,7 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
 
+@releasing
 def _digests(batches: Iterator[pa.RecordBatch], path: str, forget: bool = False) -> Iterator[pa.RecordBatch]:
     bpe = trie_bpe(path)
     for part, texts in text_slices(batches, "text"):
