@@ -154,3 +154,38 @@ def quality_report(ticks: DataFrame) -> DataFrame:
         share(F.col("_late")).alias("late_share"), share(F.col("speed_ms") < 0.5).alias("still_share"), F.round(F.avg("speed_ms"), 9).alias("mean_speed"), F.round(F.stddev_pop("speed_ms"), 6).alias("speed_spread"), F.round(F.avg("_dt"), 3).alias("mean_dt"), F.round(F.stddev_pop("_dt"), 3).alias("dt_spread"),
     )
     return one.crossJoin(F.broadcast(quantiles(t, "_a", (0.99,)).select(F.round(F.col("q")[0], 9).alias("p99_accel"))))  # one row each
+
+
+def quality_details(ticks: DataFrame, roster: DataFrame, sessions: DataFrame, most_lag: int = 5, high_ms: float = 5.5, walk_ms: float = 2.0) -> DataFrame:
+    """figure, name, value: what a quality report has beyond quality_report().
+
+    x_mean and x_spread (sample deviation) by position, of positions with more than 10 places; speed_share over high_ms and
+    under walk_ms; sprint_fano, the variance by the mean of the lengths of a player's sprints in ticks (over 1.2 they
+    cluster); phase_share of each phase; hr_lag, the correlation of speed with the heart rate so many ticks later, and
+    best_hr_lag, the lag of the highest; xg mean and max of matches; dropout, the share of ticks without a speed.
+
+    ticks: match_id, player_id, t_us, event_id, speed_ms, heart_rate_bpm, x_pitch, phase. roster: player_id, position.
+    sessions: is_match, xg. Sprints are islands and all lags leads of one window, so ticks are sorted once for either;
+    every figure is an aggregate that is combined before it is shuffled."""
+    w = W.partitionBy("match_id", "player_id").orderBy("t_us", "event_id")
+    row = lambda df, figure, name, value: df.select(F.lit(figure).alias("figure"), name.cast("string").alias("name"), value.cast("double").alias("value"))
+    placed = ticks.filter("x_pitch IS NOT NULL").join(roster.dropDuplicates(["player_id"]), "player_id").groupBy("position").agg(F.avg("x_pitch").alias("m"), F.stddev_samp("x_pitch").alias("s"), F.count("*").alias("n")).filter("n > 10")
+    out = [row(placed, "x_mean", F.col("position"), F.round("m", 6)), row(placed, "x_spread", F.col("position"), F.round("s", 6))]
+    share = lambda c: F.round(F.avg(c.cast("int")), 9)
+    known = ticks.filter("speed_ms IS NOT NULL").agg(share(F.col("speed_ms") > high_ms).alias("high"), share(F.col("speed_ms") < walk_ms).alias("walk"))
+    out += [row(known, "speed_share", F.lit(n), F.col(n)) for n in ("high", "walk")]
+    sprint = F.coalesce(F.col("speed_ms") >= high_ms, F.lit(False))
+    runs = ticks.withColumn("_s", sprint).withColumn("_before", F.sum((~F.col("_s")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))).filter("_s").groupBy("match_id", "player_id", "_before").agg(F.count("*").alias("n"))
+    fano = runs.agg(F.round(F.var_pop("n") / F.greatest(F.avg("n"), F.lit(1e-6)), 6).alias("v")).filter("v IS NOT NULL")
+    out.append(row(fano, "sprint_fano", F.lit(None), F.col("v")))
+    total = F.sum("n").over(W.partitionBy(F.lit(1)))
+    phases = ticks.groupBy("phase").agg(F.count("*").alias("n")).withColumn("v", F.round(F.col("n") / total, 9))  # a row a phase
+    out.append(row(phases.filter("phase IS NOT NULL"), "phase_share", F.col("phase"), F.col("v")))
+    both = ticks.filter("speed_ms IS NOT NULL AND heart_rate_bpm IS NOT NULL").select("speed_ms", *[F.lead("heart_rate_bpm", k).over(w).alias(f"h{k}") for k in range(1, most_lag + 1)])
+    lags = both.agg(*[F.round(F.corr("speed_ms", f"h{k}"), 6).alias(f"c{k}") for k in range(1, most_lag + 1)])
+    pairs = F.array(*[F.struct((-F.coalesce(f"c{k}", F.lit(-2.0))).alias("minus"), F.lit(k).alias("k")) for k in range(1, most_lag + 1)])
+    out += [row(lags, "hr_lag", F.lit(k), F.col(f"c{k}")) for k in range(1, most_lag + 1)] + [row(lags, "best_hr_lag", F.lit(None), F.array_min(pairs)["k"])]
+    xg = sessions.filter("is_match AND xg IS NOT NULL").agg(F.round(F.avg("xg"), 6).alias("mean"), F.max("xg").alias("max"))
+    out += [row(xg.filter(F.col(n).isNotNull()), "xg", F.lit(n), F.col(n)) for n in ("mean", "max")]
+    out.append(row(ticks.agg(share(F.col("speed_ms").isNull()).alias("v")), "dropout", F.lit(None), F.col("v")))
+    return reduce(DataFrame.unionByName, out)

@@ -84,8 +84,15 @@ def quality_report(spark, d):
     return R.quality_report(view(spark, d, "telemetry"))
 
 
+def quality_details(spark, d):
+    t = view(spark, d, "telemetry").withColumn("speed_ms", F.when(F.col("event_id") % 13 > 0, F.col("speed_ms"))).withColumn("phase", F.get(F.array(F.lit("LOW_TEMPO"), F.lit("COUNTER"), F.lit("SETTLED")), (F.col("event_id") % 4).cast("int")))
+    roster = t.select("player_id", F.concat(F.lit("pos"), (F.col("player_id") % 4).cast("string")).alias("position")).distinct()
+    sessions = view(spark, d, "sessions").select((F.col("session_id") % 3 > 0).alias("is_match"), F.when(F.col("session_id") % 5 > 0, F.col("sprint_count") / F.lit(2)).alias("xg"))
+    return R.quality_details(t, roster, sessions)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (score_summary, window_report, occupancy_sweep, regime_coverage, example_windows, dominant_finding, salient_episodes, episode_patterns, context_summary, persistence_sweep, aggregate_metrics, override_summary, match_metadata, validate_match, quality_report)}
+    return {f.__name__: f for f in (score_summary, window_report, occupancy_sweep, regime_coverage, example_windows, dominant_finding, salient_episodes, episode_patterns, context_summary, persistence_sweep, aggregate_metrics, override_summary, match_metadata, validate_match, quality_report, quality_details)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -116,6 +123,15 @@ def oracle_sql() -> dict[str, str]:
         "override_summary": f"{sc} SELECT 'type' || (event_id % 3) recommendation_type, count(*) n, round(avg(label), 9) override_rate FROM ev GROUP BY 1",
         "match_metadata": f"{tac} SELECT match_id, count(*) n_events, count(DISTINCT player_id) n_players, string_agg(DISTINCT team_id, ' vs. ' ORDER BY team_id) teams, min(t_us) begin_us, max(t_us) end_us FROM ev GROUP BY 1",
         "validate_match": f"{tac} SELECT match_id, count(*) FILTER (player_id % 7 = 0) not_in_roster, count(*) FILTER (team_id IS NULL) without_team, count(*) n FROM ev GROUP BY 1",
+        "quality_details": f"""WITH t AS (SELECT event_id, match_id, player_id, t_us, x_pitch, heart_rate_bpm, CASE WHEN event_id % 13 > 0 THEN speed_ms END AS speed_ms, ['LOW_TEMPO', 'COUNTER', 'SETTLED'][event_id % 4 + 1] AS phase FROM ({oracle("telemetry")})),
+p AS (SELECT 'pos' || player_id % 4 AS name, avg(x_pitch) m, stddev_samp(x_pitch) s FROM t WHERE x_pitch IS NOT NULL GROUP BY 1 HAVING count(*) > 10),
+r AS (SELECT *, sum(CASE WHEN coalesce(speed_ms >= 5.5, false) THEN 0 ELSE 1 END) OVER (PARTITION BY match_id, player_id ORDER BY t_us, event_id) g FROM t), n AS (SELECT count(*) n FROM r WHERE speed_ms >= 5.5 GROUP BY match_id, player_id, g),
+l AS (SELECT speed_ms, {", ".join(f"lead(heart_rate_bpm, {k}) OVER w h{k}" for k in range(1, 6))} FROM t WHERE speed_ms IS NOT NULL AND heart_rate_bpm IS NOT NULL WINDOW w AS (PARTITION BY match_id, player_id ORDER BY t_us, event_id)),
+c AS ({" UNION ALL ".join(f"SELECT {k} k, round(corr(speed_ms, h{k}), 6) v FROM l" for k in range(1, 6))}),
+x AS (SELECT sprint_count / 2::DOUBLE xg FROM ({oracle("sessions")}) WHERE session_id % 3 > 0 AND session_id % 5 > 0)
+SELECT 'x_mean' figure, name, round(m, 6) AS value FROM p UNION ALL SELECT 'x_spread', name, round(s, 6) FROM p UNION ALL SELECT 'speed_share', 'high', round(avg((speed_ms > 5.5)::INT), 9) FROM t UNION ALL SELECT 'speed_share', 'walk', round(avg((speed_ms < 2)::INT), 9) FROM t
+UNION ALL SELECT 'sprint_fano', NULL, round(var_pop(n) / avg(n), 6) FROM n UNION ALL SELECT 'phase_share', phase, round(count(*) / (SELECT count(*) FROM t), 9) FROM t WHERE phase IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'hr_lag', k::VARCHAR, v FROM c UNION ALL SELECT 'best_hr_lag', NULL, arg_max(k, v)::DOUBLE FROM c UNION ALL SELECT 'xg', 'mean', round(avg(xg), 6) FROM x UNION ALL SELECT 'xg', 'max', max(xg) FROM x UNION ALL SELECT 'dropout', NULL, round(avg((speed_ms IS NULL)::INT), 9) FROM t""",
         "quality_report": f"""{tel}, t AS (SELECT *, lag(speed_ms) OVER w l, abs(acceleration_ms2 - lag(acceleration_ms2) OVER w) j, (t_us - lag(t_us) OVER w) / 1e6::DOUBLE dt, t_us < lag(t_us) OVER (PARTITION BY match_id, player_id ORDER BY event_id) late FROM ev WINDOW w AS (PARTITION BY match_id, player_id ORDER BY t_us, event_id)) SELECT round(corr(speed_ms, l), 6) autocorrelation, round(avg(abs(acceleration_ms2)), 9) mean_accel, round(avg(j), 9) mean_jerk, round(quantile_cont(abs(acceleration_ms2), 0.99), 9) p99_accel, round(avg((heart_rate_bpm IS NULL)::INT), 9) missing_hr, round(avg(coalesce(speed_ms >= 5.5, false)::INT), 9) sprint_share,
  round(avg(coalesce(late, false)::INT), 9) late_share, round(avg(coalesce(speed_ms < 0.5, false)::INT), 9) still_share, round(avg(speed_ms), 9) mean_speed, round(stddev_pop(speed_ms), 6) speed_spread, round(avg(dt), 3) mean_dt, round(stddev_pop(dt), 3) dt_spread FROM t""",
     }
