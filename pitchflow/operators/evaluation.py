@@ -122,25 +122,47 @@ def episode_metrics(predicted: DataFrame, truth: DataFrame, by: str) -> DataFram
     return a.crossJoin(b)  # one row each
 
 
+def event_report(predicted: DataFrame, truth: DataFrame, windows: DataFrame, by: str, interval_s: float = 120.0, minutes: float = 90.0) -> DataFrame:
+    """One row on episodes: tp and fp predictions (with and without an overlapping true episode), fn true ones that are no
+    prediction's first overlapping one, precision, recall, f1, false positives for each `minutes` of play, fragmentation
+    (predicted to true episodes) and its inverse, stability, and the mean lead in seconds (negative: before the truth).
+    windows: one row (windows), how many were evaluated, interval_s each."""
+    m = match_episodes(predicted, truth, by)
+    a = m.agg(F.count_if(F.col("true_start").isNotNull()).alias("tp"), F.count_if(F.col("true_start").isNull()).alias("fp"), F.round(F.avg((F.col("start") - F.col("true_start")) * interval_s), 6).alias("mean_lead_s"))
+    b = m.filter("true_start IS NOT NULL").select(by, "true_start").distinct().agg(F.count("*").alias("_matched"))
+    c = truth.agg(F.count("*").alias("_true"))
+    one = a.crossJoin(b).crossJoin(c).crossJoin(windows)  # one row each
+    n = lambda x, y: F.col(x) / F.greatest(y, F.lit(1))
+    one = one.withColumn("fn", F.col("_true") - F.col("_matched"))
+    one = one.withColumns({"precision": n("tp", F.col("tp") + F.col("fp")), "recall": n("tp", F.col("tp") + F.col("fn")), "fragmentation": (F.col("tp") + F.col("fp")) / F.greatest("_true", F.lit(1))})
+    f1 = 2 * F.col("precision") * F.col("recall") / F.greatest(F.col("precision") + F.col("recall"), F.lit(1e-12))
+    per = F.col("fp") * (minutes * 60) / F.greatest(F.col("windows") * interval_s, F.lit(1.0))
+    rounded = {"precision": F.col("precision"), "recall": F.col("recall"), "f1": f1, "fp_per_match": per, "fragmentation": F.col("fragmentation"), "stability": 1 / F.greatest(F.col("fragmentation"), F.lit(1e-6))}
+    return one.select("tp", "fp", "fn", *[F.round(v, 6).alias(k) for k, v in rounded.items()], "mean_lead_s")
+
+
 def threshold_sweep(scored: DataFrame, points: int = 50, low: float = 0.8, high: float = 0.995) -> DataFrame:
     """False and true positives at evenly spaced thresholds between two percentiles of the scores: each score is counted
-    at the last threshold that it exceeds, then counts are added up from above."""
+    at the last threshold that it reaches, then counts are added up from above."""
     cut = quantiles(scored, "score", (low, high)).select(F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
     step = (F.col("b") - F.col("a")) / (points - 1)
     th = cut.select(F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"), "a", "b").withColumn("threshold", F.col("a") + F.col("k") * step)
     grid = F.broadcast(th.agg(F.array_sort(F.collect_list("threshold")).alias("ths")))  # `points` numbers
-    k = F.size(F.filter("ths", lambda x: x < F.col("score"))) - 1
+    k = F.size(F.filter("ths", lambda x: x <= F.col("score"))) - 1
     per = scored.crossJoin(grid).withColumn("k", k).filter("k >= 0").groupBy("k").agg(F.count_if(F.col("label") == 0).alias("fp"), F.count_if(F.col("label") == 1).alias("tp"))
     w = W.orderBy(F.col("k").desc())
     full = th.join(per, "k", "left").fillna(0, ["fp", "tp"])
     return full.select("k", F.round("threshold", 9).alias("threshold"), F.sum("fp").over(w).alias("fp"), F.sum("tp").over(w).alias("tp"))
 
 
-def budget_pick(sweep: DataFrame, normals: DataFrame, budget: float = 2.0, interval_s: float = 120.0, minutes: float = 90.0) -> DataFrame:
-    """The first threshold of a sweep whose false alerts stay within the budget of a match; none, if none does. normals: one
-    row (windows)."""
-    per_match = F.col("fp") * (minutes * 60 / interval_s) / F.greatest(F.col("windows"), F.lit(1))
-    return sweep.crossJoin(F.broadcast(normals)).filter(per_match <= budget).agg(F.min_by(F.struct("k", "threshold", "fp", "tp"), "k").alias("r")).filter("r IS NOT NULL").select("r.*")
+def budget_pick(sweep: DataFrame, totals: DataFrame, budget: float = 2.0, interval_s: float = 120.0, minutes: float = 90.0) -> DataFrame:
+    """The first threshold of a sweep whose false positives for each `minutes` of play stay within the budget, with its
+    false positives for them, precision and recall; no row, if none does. totals: one row (windows, positives)."""
+    per = F.col("fp") * (minutes * 60) / F.greatest(F.col("windows") * interval_s, F.lit(1.0))
+    r = sweep.crossJoin(F.broadcast(totals)).withColumn("fp_per_match", F.round(per, 6)).filter(per <= budget)
+    r = r.agg(F.min_by(F.struct("k", "threshold", "fp", "tp", "fp_per_match", "positives"), "k").alias("r")).filter("r IS NOT NULL").select("r.*")
+    share = lambda x: F.round(F.col("tp") / F.greatest(x, F.lit(1)), 6)
+    return r.select("k", "threshold", "fp", "tp", "fp_per_match", share(F.col("tp") + F.col("fp")).alias("precision"), share(F.col("positives")).alias("recall"))
 
 
 def fairness_audit(inferences: DataFrame, attributes: tuple[str, ...], limit: float = 0.15) -> DataFrame:

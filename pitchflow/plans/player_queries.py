@@ -107,6 +107,15 @@ def match_episodes(spark, d):
     return E.match_episodes(*_episodes(spark, d), "player_id")
 
 
+def event_report(spark, d):
+    return E.event_report(*_episodes(spark, d), _scored(spark, d).agg(F.count("*").alias("windows")), "player_id")
+
+
+def threshold_pick(spark, d):
+    s = _scored(spark, d)
+    return E.budget_pick(E.threshold_sweep(s), s.agg(F.count("*").alias("windows"), F.sum("label").alias("positives")), 3.0)
+
+
 def episode_metrics(spark, d):
     return E.episode_metrics(*_episodes(spark, d), "player_id")
 
@@ -162,7 +171,7 @@ def journal_state(spark, d):
 
 
 def queries() -> dict:
-    names = "half_split_trend workload_status rolling_metrics acwr_matches acwr_daily historical_baseline provisional_baseline positional_norms positional_drift fatigue_curve session_features distribution dynamic_threshold ecdf_confidence confusion auc precision_at_k merge_episodes match_episodes episode_metrics threshold_sweep fairness_audit player_recalibration alert_states risk_trajectory finding_transitions finding_state episodes alert_gate journal_state"
+    names = "half_split_trend workload_status rolling_metrics acwr_matches acwr_daily historical_baseline provisional_baseline positional_norms positional_drift fatigue_curve session_features distribution dynamic_threshold ecdf_confidence confusion auc precision_at_k merge_episodes match_episodes episode_metrics event_report threshold_pick threshold_sweep fairness_audit player_recalibration alert_states risk_trajectory finding_transitions finding_state episodes alert_gate journal_state"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -207,7 +216,12 @@ def oracle_sql() -> dict[str, str]:
         "merge_episodes": f"{sc}, {ep('pred', 'pe')} SELECT * FROM pe",
         "match_episodes": f'{sc}, {ep("pred", "pe")}, {ep("label", "te")} SELECT p.player_id, p."start", p."end", min(t."start") true_start FROM pe p {ov.format(t="te")} GROUP BY 1, 2, 3',
         "episode_metrics": f'{sc}, {ep("pred", "pe")}, {ep("label", "te")}, a AS (SELECT p.player_id, p."start" s, min(t."start") x FROM pe p {ov.format(t="te")} GROUP BY p.player_id, p."start"), b AS (SELECT p.player_id, p."start" s, min(t."start") x FROM te p {ov.format(t="pe")} GROUP BY p.player_id, p."start") SELECT (SELECT count(x) FROM a) tp, (SELECT count(*) - count(x) FROM a) fp, (SELECT round(avg(x - s), 9) FROM a) mean_lead, (SELECT count(*) - count(x) FROM b) fn, (SELECT count(*) FROM b) n_true',
-        "threshold_sweep": f"{sc}, {th} SELECT k, round(threshold, 9) threshold, count(*) FILTER (label = 0) fp, count(*) FILTER (label = 1) tp FROM linspace LEFT JOIN ev ON score > threshold GROUP BY k, threshold",
+        "event_report": f"""{sc}, {ep('pred', 'pe')}, {ep('label', 'te')}, m AS (SELECT p.player_id, p."start" s, min(t."start") x FROM pe p {ov.format(t='te')} GROUP BY p.player_id, p."start", p."end"),
+ c AS (SELECT count(x) tp, count(*) - count(x) fp, (SELECT count(*) FROM te) - count(DISTINCT (player_id, x)) FILTER (x IS NOT NULL) fn, avg((s - x) * 120::DOUBLE) lead, count(*) / greatest((SELECT count(*) FROM te), 1) fr FROM m), q AS (SELECT *, tp / greatest(tp + fp, 1) pr, tp / greatest(tp + fn, 1) re FROM c)
+ SELECT tp, fp, fn, round(pr, 6) AS precision, round(re, 6) recall, round(2 * pr * re / greatest(pr + re, 1e-12), 6) f1, round(fp * 5400::DOUBLE / ((SELECT count(*) FROM ev) * 120), 6) fp_per_match, round(fr, 6) fragmentation, round(1 / greatest(fr, 1e-6), 6) stability, round(lead, 6) mean_lead_s FROM q""",
+        "threshold_pick": f"""{sc}, {th}, w AS (SELECT k, threshold, count(*) FILTER (label = 0) fp, count(*) FILTER (label = 1) tp FROM linspace LEFT JOIN ev ON score >= threshold GROUP BY k, threshold), t AS (SELECT count(*) n, sum(label) p FROM ev)
+ SELECT k, round(threshold, 9) threshold, fp, tp, round(fp * 5400::DOUBLE / (n * 120), 6) fp_per_match, round(tp / greatest(tp + fp, 1), 6) AS precision, round(tp / greatest(p, 1), 6) recall FROM w, t WHERE fp * 5400::DOUBLE / (n * 120) <= 3 ORDER BY k LIMIT 1""",
+        "threshold_sweep": f"{sc}, {th} SELECT k, round(threshold, 9) threshold, count(*) FILTER (label = 0) fp, count(*) FILTER (label = 1) tp FROM linspace LEFT JOIN ev ON score >= threshold GROUP BY k, threshold",
         "fairness_audit": f"""WITH ev AS ({oracle("inferences")}), lg AS (SELECT is_anomaly, 'position' attribute, position::VARCHAR AS "group" FROM ev UNION ALL SELECT is_anomaly, 'nationality', nationality::VARCHAR FROM ev), o AS (SELECT avg(is_anomaly) o FROM ev) SELECT attribute, "group", round(avg(is_anomaly), 9) rate, count(*) n, round(avg(is_anomaly) - any_value(o), 9) delta, abs(avg(is_anomaly) - any_value(o)) > 0.15 biased FROM lg, o WHERE "group" IS NOT NULL GROUP BY 1, 2""",
         "player_recalibration": f"{sc}, x AS (SELECT player_id, event_id, 'speed' feature, score / 50 v FROM ev WHERE label = 1 UNION ALL SELECT player_id, event_id, 'load', (event_id % 7)::DOUBLE FROM ev WHERE label = 1) SELECT player_id, feature, count(*) n, round(avg(v), 9) mean_value FROM x WHERE abs(v) > 2 GROUP BY 1, 2 HAVING count(*) >= 3",
         "alert_states": rec(

@@ -161,3 +161,22 @@ def test_gate_holds_no_more_than_its_state(spark):
             ok = family is not None and not (last and last[0] == family and t - last[1] < 7)
             last = (family, t) if ok else last
             assert got[t] == ok
+
+
+def test_event_report_counts_first_overlaps(spark):
+    """A prediction over two true episodes finds the first; the second is missed."""
+    span = "g int, start int, end int"
+    p = spark.createDataFrame([(1, 2, 9), (1, 20, 21), (1, 40, 41)], span)
+    t = spark.createDataFrame([(1, 3, 4), (1, 8, 12), (1, 41, 44)], span)
+    r = evaluation.event_report(p, t, spark.createDataFrame([(450,)], "windows bigint"), "g").first()
+    assert (r.tp, r.fp, r.fn, r.precision, r.recall, r.fp_per_match, r.fragmentation, r.stability, r.mean_lead_s) == (2, 1, 1, 0.666667, 0.666667, 0.1, 1.0, 1.0, -120.0)
+    none = evaluation.event_report(p.limit(0), t.limit(0), spark.createDataFrame([(0,)], "windows bigint"), "g").first()
+    assert (none.tp, none.fp, none.fn, none.precision, none.f1, none.mean_lead_s) == (0, 0, 0, 0.0, 0.0, None)
+
+
+def test_budget_pick(spark):
+    sweep = spark.createDataFrame([(0, 0.1, 9, 5), (1, 0.2, 2, 4), (2, 0.3, 0, 1)], "k int, threshold double, fp int, tp int")
+    totals = spark.createDataFrame([(90, 5)], "windows bigint, positives bigint")
+    got = evaluation.budget_pick(sweep, totals, 1.0).collect()
+    assert [tuple(r) for r in got] == [(1, 0.2, 2, 4, 1.0, 0.666667, 0.8)]
+    assert evaluation.budget_pick(sweep.filter("k = 0"), totals, 1.0).count() == 0
