@@ -43,12 +43,25 @@ def alert_states(signals: DataFrame, keys: tuple[str, ...], order: tuple[str, ..
 
 
 def risk_trajectory(windows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    """Alerts since the last two clean windows in a row, and the level they give: 3, 5 and 8 are its steps."""
+    """Alerts since the last two clean windows in a row, and the level they give: 3, 5 and 8 are its steps. With a column
+    finding, also pattern, the last finding that an alert came with since then, and pattern_windows, in how many alerts on
+    end it was that one: an alert without a finding neither counts nor ends a pattern."""
     w = W.partitionBy(*keys).orderBy(*order)
     clean = (F.col("alert") == 0).cast("int")
     r = windows.withColumn("_reset", F.coalesce(clean * F.lag(clean).over(w), F.lit(0))).withColumn("_island", F.sum("_reset").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    total = F.sum("alert").over(W.partitionBy(*keys, "_island").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return r.withColumn("total", total).select(*keys, *order, F.col("total").cast("long").alias("total"), F.when(total >= 8, "critical").when(total >= 5, "high").when(total >= 3, "elevated").otherwise("normal").alias("level"))
+    island = W.partitionBy(*keys, "_island").orderBy(*order)
+    upto, before = island.rowsBetween(W.unboundedPreceding, 0), island.rowsBetween(W.unboundedPreceding, -1)
+    r = r.withColumn("total", F.sum("alert").over(upto))
+    level = F.when(F.col("total") >= 8, "critical").when(F.col("total") >= 5, "high").when(F.col("total") >= 3, "elevated").otherwise("normal")
+    out = [*keys, *order, F.col("total").cast("long").alias("total"), level.alias("level")]
+    if "finding" in windows.columns:
+        r = r.withColumn("_f", F.when(F.col("alert") != 0, F.col("finding")))
+        r = r.withColumns({"pattern": F.last("_f", True).over(upto), "_was": F.last("_f", True).over(before)})
+        r = r.withColumn("_run", F.sum((F.col("_f").isNotNull() & ~F.col("_f").eqNullSafe(F.col("_was"))).cast("int")).over(upto))
+        run = W.partitionBy(*keys, "_island", "_run").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        r = r.withColumn("_n", F.count("_f").over(run))
+        out += ["pattern", F.when(F.col("pattern").isNull(), 0).otherwise(F.col("_n")).cast("long").alias("pattern_windows")]
+    return r.select(*out)
 
 
 # The family of alerts that a recommendation belongs to.

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import episodes as E
+from ..operators import state as S
 from .views import oracle, view
 
 KEYS, ORDER = ("player_id",), ("t_us", "event_id")
@@ -16,8 +19,15 @@ def episode_gates(spark, d):
     return E.gate_counts(view(spark, d, "symptoms"), KEYS, ORDER)
 
 
+def risk_patterns(spark, d):
+    """Alerts by severity; every fifth comes without a finding."""
+    s = view(spark, d, "symptoms")
+    finding = F.when(F.col("event_id") % 5 > 0, F.col("finding"))
+    return S.risk_trajectory(s.select("player_id", *ORDER, finding.alias("finding"), F.col("severity").isin("medium", "high", "critical").cast("int").alias("alert")), KEYS, ORDER)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (episode_segments, episode_gates)}
+    return {f.__name__: f for f in (episode_segments, episode_gates, risk_patterns)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -39,7 +49,14 @@ y AS (SELECT *, upto = n_all AS is_last, (SELECT max(score) FROM r WHERE r.playe
             WHEN state = 'resolving' THEN 'resolved' WHEN state = 'escalating' THEN 'escalated' ELSE 'persisted' END AS response FROM x),
 z AS (SELECT *, last_value(CASE WHEN passes AND NOT is_last THEN finding END IGNORE NULLS) OVER (PARTITION BY player_id ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM y),
 s AS (SELECT *, CASE WHEN is_last THEN NULL WHEN level < 3 AND before = finding THEN 'cooldown' WHEN passes THEN NULL WHEN n < 5 THEN 'min_windows' ELSE 'confidence' END AS gate FROM z)"""
+    risk = "CASE WHEN total >= 8 THEN 'critical' WHEN total >= 5 THEN 'high' WHEN total >= 3 THEN 'elevated' ELSE 'normal' END"
     return {
+        # each window in turn: x the alerts, c the clean windows on end, p the pattern, n its alerts
+        "risk_patterns": f"""WITH RECURSIVE s AS (SELECT player_id, t_us, event_id, CASE WHEN event_id % 5 > 0 THEN finding END AS f, severity <> 'low' AS a, row_number() OVER ({w}) AS rn FROM ({oracle("symptoms")})),
+m AS (SELECT DISTINCT player_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS t_us, CAST(0 AS BIGINT) AS event_id, 0 AS total, 0 AS c, CAST(NULL AS VARCHAR) AS p, 0 AS n FROM s
+ UNION ALL SELECT s.player_id, s.rn, s.t_us, s.event_id, CASE WHEN a THEN total + 1 WHEN c = 1 THEN 0 ELSE total END, CASE WHEN a OR c = 1 THEN 0 ELSE c + 1 END, CASE WHEN a THEN coalesce(f, p) WHEN c = 1 THEN NULL ELSE p END,
+  CASE WHEN a AND f IS NOT NULL THEN CASE WHEN f = p THEN n + 1 ELSE 1 END WHEN NOT a AND c = 1 THEN 0 ELSE n END FROM m JOIN s ON s.player_id = m.player_id AND s.rn = m.rn + 1)
+SELECT player_id, t_us, event_id, CAST(total AS BIGINT) AS total, {risk} AS level, p AS pattern, CAST(n AS BIGINT) AS pattern_windows FROM m WHERE rn > 0""",
         "episode_gates": f"{steps} SELECT player_id, gate, count(*) AS n FROM s WHERE gate IS NOT NULL GROUP BY 1, 2",
         "episode_segments": f"""{steps}, e AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY grp) AS episode FROM s WHERE gate IS NULL),
 j AS (SELECT *, coalesce(lag(finding) OVER v = finding AND NOT is_last AND (start_minute IS NULL OR start_minute - lag(end_minute) OVER v <= 3), false) AS joins FROM e WINDOW v AS (PARTITION BY player_id ORDER BY episode)),
