@@ -183,6 +183,17 @@ def squad_recalibration(rate: float | None, n: int, current: float) -> float | N
     return max(0.01, current - 0.05) if 0 < rate < 0.05 else None
 
 
+def recalibrate_squad(decisions: DataFrame, current: float = 0.05, step: float = 0.05, least: int = 10) -> DataFrame:
+    """One row (n_overrides_analyzed, override_rate, old, new, reason) where the share of overrides among `least` or more
+    recent decisions asks for another contamination: over 0.4 a step up, to 0.2 at most; under 0.05 but not 0 a step down,
+    to 0.01 at least. Else no row."""
+    r = decisions.agg(F.count("*").alias("n"), F.avg((F.coalesce("decision", F.lit("")) == "override").cast("int")).alias("rate"))
+    many, few = F.col("rate") > 0.4, (F.col("rate") > 0) & (F.col("rate") < 0.05)
+    new = F.when(many, min(0.2, current + step)).otherwise(max(0.01, current - step))
+    reason = F.when(many, "too many overrides").otherwise("few overrides")
+    return r.filter((F.col("n") >= least) & (many | few)).select(F.col("n").alias("n_overrides_analyzed"), F.round("rate", 9).alias("override_rate"), F.lit(current).alias("old"), new.alias("new"), reason.alias("reason"))
+
+
 def player_recalibration(overrides: DataFrame, least: int = 3, size: float = 2.0) -> DataFrame:
     """Features whose snapshot value exceeds `size` in `least` or more of a player's overrides."""
     x = overrides.select("player_id", "override_id", F.explode("snapshot").alias("feature", "value")).filter(F.abs("value") > size)

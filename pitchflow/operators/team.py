@@ -208,7 +208,12 @@ def final_rows(rows: DataFrame, at: str = "tick_us") -> DataFrame:
     return rows.withColumn("_last", F.max(at).over(last)).filter(F.col(at) < F.col("_last")).drop("_last")
 
 
-def opponent_team(events: DataFrame, own: str) -> DataFrame:
-    """Per match the team other than `own` that most events name, ties to the first by name."""
+def opponent_team(events: DataFrame, own: str, context: DataFrame | None = None) -> DataFrame:
+    """Per match the opponent that its latest context (match_id, t_us, opponent_team_id) names; where that names none, the
+    team other than `own` that most events name, ties to the first by name."""
     n = events.filter(F.col("team_id").isNotNull() & (F.col("team_id") != own)).groupBy("match_id", "team_id").agg(F.count("*").alias("n"))
-    return n.groupBy("match_id").agg(F.min_by("team_id", F.struct((-F.col("n")).alias("minus"), "team_id")).alias("opponent_id"), F.max("n").alias("n_events"))
+    counted = n.groupBy("match_id").agg(F.min_by("team_id", F.struct((-F.col("n")).alias("minus"), "team_id")).alias("opponent_id"), F.max("n").alias("n_events"))
+    if context is None:
+        return counted
+    told = context.groupBy("match_id").agg(F.max(F.struct("t_us", "opponent_team_id"))["opponent_team_id"].alias("_told")).filter("_told <> ''")
+    return counted.join(told, "match_id", "full").select("match_id", F.coalesce("_told", "opponent_id").alias("opponent_id"), "n_events")

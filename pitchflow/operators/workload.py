@@ -126,7 +126,7 @@ def fatigue_curve(ticks: DataFrame, segment_us: int, least_rows: int = 30, least
     dt = F.least(F.lit(max_dt_s), (F.lead("t_us").over(w) - F.col("t_us")) / 1e6)
     seg = b.withColumn("d", F.col("speed_ms") * dt).groupBy("match_id", "player_id", "segment").agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("d"), F.count("*").alias("n")).filter(F.col("n") >= least_rows)
     fit = seg.groupBy("match_id", "player_id").agg(F.regr_slope("d", "segment").alias("slope"), F.regr_intercept("d", "segment").alias("intercept"), F.regr_r2("d", "segment").alias("r2"), F.count("*").alias("n")).filter(F.col("n") >= least_segments)
-    return fit.groupBy("player_id").agg(F.round(F.median("slope"), 6).alias("slope"), F.round(F.median("intercept"), 6).alias("intercept"), F.count("*").alias("n_sessions"))
+    return fit.groupBy("player_id").agg(F.round(F.median("slope"), 6).alias("slope"), F.round(F.median("intercept"), 6).alias("intercept"), F.round(F.median("r2"), 6).alias("r2"), F.count("*").alias("n_sessions"))
 
 
 def session_features(buckets: DataFrame, dx: float = 15.0) -> DataFrame:

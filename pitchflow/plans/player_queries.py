@@ -142,6 +142,10 @@ def risk_trajectory(spark, d):
     return S.risk_trajectory(_scored(spark, d).withColumn("alert", F.col("pred")), ("player_id",), ORDER).drop("t_us")
 
 
+def recalibrate_squad(spark, d):
+    return E.recalibrate_squad(_scored(spark, d).withColumn("decision", F.when(F.col("event_id") % 9 < 4, "override").otherwise("accept")))
+
+
 def _findings(spark, d):
     kinds = F.element_at(F.array(*map(F.lit, ("cardio", "locomotor", "recovery"))), (F.col("event_id") % 3 + 1).cast("int"))
     s = _scored(spark, d)
@@ -171,7 +175,7 @@ def journal_state(spark, d):
 
 
 def queries() -> dict:
-    names = "half_split_trend workload_status rolling_metrics acwr_matches acwr_daily historical_baseline provisional_baseline positional_norms positional_drift fatigue_curve session_features distribution dynamic_threshold ecdf_confidence confusion auc precision_at_k merge_episodes match_episodes episode_metrics event_report threshold_pick threshold_sweep fairness_audit player_recalibration alert_states risk_trajectory finding_transitions finding_state episodes alert_gate journal_state"
+    names = "half_split_trend workload_status rolling_metrics acwr_matches acwr_daily historical_baseline provisional_baseline positional_norms positional_drift fatigue_curve session_features distribution dynamic_threshold ecdf_confidence confusion auc precision_at_k merge_episodes match_episodes episode_metrics event_report threshold_pick threshold_sweep fairness_audit player_recalibration recalibrate_squad alert_states risk_trajectory finding_transitions finding_state episodes alert_gate journal_state"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -203,7 +207,7 @@ def oracle_sql() -> dict[str, str]:
         "positional_norms": f"{tel}, {norms} SELECT player_id, round(cx, 6) cx, round(cy, 6) cy, round(spread, 6) spread, n FROM ns",
         "positional_drift": f"{tel}, {norms}, j AS (SELECT e.player_id, event_id, t_us, sqrt(pow(x_pitch - cx, 2) + pow(y_pitch - cy, 2)) d, greatest(2 * spread, 5) lim FROM ev e JOIN ns USING (player_id)) SELECT player_id, event_id, round(avg(d) OVER w / lim, 6) drift, round(avg((d > lim)::INT) OVER w, 6) outside, avg((d > lim)::INT) OVER w >= 0.3 flagged FROM j WINDOW w AS ({pw} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)",
         "fatigue_curve": f"""{tel}, b AS (SELECT *, ((t_us - min(t_us) OVER (PARTITION BY match_id, player_id)) // {DAY})::DOUBLE seg FROM ev), c AS (SELECT *, speed_ms * least(3600.0::DOUBLE, (lead(t_us) OVER (PARTITION BY match_id, player_id, seg ORDER BY t_us, event_id) - t_us) / 1e6::DOUBLE) d, lead(t_us) OVER (PARTITION BY match_id, player_id, seg ORDER BY t_us, event_id) l FROM b),
- s AS (SELECT match_id, player_id, seg, coalesce(sum(CASE WHEN l IS NULL THEN speed_ms * 3600 ELSE d END), 0) d FROM c GROUP BY 1, 2, 3), f AS (SELECT match_id, player_id, regr_slope(d, seg) sl, regr_intercept(d, seg) ic FROM s GROUP BY 1, 2 HAVING count(*) >= 4) SELECT player_id, round(median(sl), 6) slope, round(median(ic), 6) intercept, count(*) n_sessions FROM f GROUP BY 1""",
+ s AS (SELECT match_id, player_id, seg, coalesce(sum(CASE WHEN l IS NULL THEN speed_ms * 3600 ELSE d END), 0) d FROM c GROUP BY 1, 2, 3), f AS (SELECT match_id, player_id, regr_slope(d, seg) sl, regr_intercept(d, seg) ic, regr_r2(d, seg) r2 FROM s GROUP BY 1, 2 HAVING count(*) >= 4) SELECT player_id, round(median(sl), 6) slope, round(median(ic), 6) intercept, round(median(r2), 6) r2, count(*) n_sessions FROM f GROUP BY 1""",
         "session_features": f"{rs}, n AS (SELECT *, (mean_speed + lead(mean_speed) OVER (PARTITION BY match_id, player_id ORDER BY bucket)) / 2 * 15.0::DOUBLE a FROM rsm) SELECT match_id, player_id, round(coalesce(sum(a), 0), 6) distance, round(avg(mean_speed), 9) mean_speed, count(*) FILTER (any_sprint) sprints, round(avg(mean_hr), 9) mean_hr FROM n GROUP BY 1, 2",
         "distribution": f"{tel} " + " UNION ALL ".join(f"SELECT '{c}' AS column, min({c}) AS min, round(quantile_cont({c}, 0.25), 9) p25, round(quantile_cont({c}, 0.5), 9) median, round(quantile_cont({c}, 0.75), 9) p75, round(quantile_cont({c}, 0.9), 9) p90, max({c}) AS max, round(avg({c}), 9) mean FROM ev" for c in ("speed_ms", "acceleration_ms2")),
         "dynamic_threshold": f"""{sc}, q AS (SELECT player_id, quantile_cont(score, 0.95) p, count(*) n FROM ev GROUP BY 1), k AS (SELECT e.*, p, n, count(*) FILTER (score <= p) OVER (PARTITION BY player_id) kept FROM ev e JOIN q USING (player_id)), c AS (SELECT * FROM k WHERE kept < 15 OR score <= p),
@@ -216,6 +220,7 @@ def oracle_sql() -> dict[str, str]:
         "merge_episodes": f"{sc}, {ep('pred', 'pe')} SELECT * FROM pe",
         "match_episodes": f'{sc}, {ep("pred", "pe")}, {ep("label", "te")} SELECT p.player_id, p."start", p."end", min(t."start") true_start FROM pe p {ov.format(t="te")} GROUP BY 1, 2, 3',
         "episode_metrics": f'{sc}, {ep("pred", "pe")}, {ep("label", "te")}, a AS (SELECT p.player_id, p."start" s, min(t."start") x FROM pe p {ov.format(t="te")} GROUP BY p.player_id, p."start"), b AS (SELECT p.player_id, p."start" s, min(t."start") x FROM te p {ov.format(t="pe")} GROUP BY p.player_id, p."start") SELECT (SELECT count(x) FROM a) tp, (SELECT count(*) - count(x) FROM a) fp, (SELECT round(avg(x - s), 9) FROM a) mean_lead, (SELECT count(*) - count(x) FROM b) fn, (SELECT count(*) FROM b) n_true',
+        "recalibrate_squad": f"""{sc}, o AS (SELECT count(*) n, count(*) FILTER (event_id % 9 < 4) / count(*) r FROM ev) SELECT n n_overrides_analyzed, round(r, 9) override_rate, 0.05::DOUBLE old, CASE WHEN r > 0.4 THEN 0.1::DOUBLE ELSE 0.01::DOUBLE END AS new, CASE WHEN r > 0.4 THEN 'too many overrides' ELSE 'few overrides' END AS reason FROM o WHERE n >= 10 AND (r > 0.4 OR (r > 0 AND r < 0.05))""",
         "event_report": f"""{sc}, {ep('pred', 'pe')}, {ep('label', 'te')}, m AS (SELECT p.player_id, p."start" s, min(t."start") x FROM pe p {ov.format(t='te')} GROUP BY p.player_id, p."start", p."end"),
  c AS (SELECT count(x) tp, count(*) - count(x) fp, (SELECT count(*) FROM te) - count(DISTINCT (player_id, x)) FILTER (x IS NOT NULL) fn, avg((s - x) * 120::DOUBLE) lead, count(*) / greatest((SELECT count(*) FROM te), 1) fr FROM m), q AS (SELECT *, tp / greatest(tp + fp, 1) pr, tp / greatest(tp + fn, 1) re FROM c)
  SELECT tp, fp, fn, round(pr, 6) AS precision, round(re, 6) recall, round(2 * pr * re / greatest(pr + re, 1e-12), 6) f1, round(fp * 5400::DOUBLE / ((SELECT count(*) FROM ev) * 120), 6) fp_per_match, round(fr, 6) fragmentation, round(1 / greatest(fr, 1e-6), 6) stability, round(lead, 6) mean_lead_s FROM q""",

@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from pitchflow.operators import evaluation, intervals, journal, state
+from pitchflow.operators import evaluation, intervals, journal, state, team
 from pitchflow.sources import readers
 
 SPAN = "id int, begin_us bigint, end_us bigint"
@@ -180,3 +180,16 @@ def test_budget_pick(spark):
     got = evaluation.budget_pick(sweep, totals, 1.0).collect()
     assert [tuple(r) for r in got] == [(1, 0.2, 2, 4, 1.0, 0.666667, 0.8)]
     assert evaluation.budget_pick(sweep.filter("k = 0"), totals, 1.0).count() == 0
+
+
+def test_opponent_by_context(spark):
+    events = spark.createDataFrame([(1, "A"), (1, "B"), (1, "C"), (1, "C"), (2, "B"), (3, None)], "match_id int, team_id string")
+    context = spark.createDataFrame([(1, 5, "X"), (1, 9, "B"), (2, 1, "Y"), (2, 2, None), (4, 1, "Z")], "match_id int, t_us bigint, opponent_team_id string")
+    assert sorted((r.match_id, r.opponent_id) for r in team.opponent_team(events, "A").collect()) == [(1, "C"), (2, "B")]
+    assert sorted((r.match_id, r.opponent_id) for r in team.opponent_team(events, "A", context).collect()) == [(1, "B"), (2, "B"), (4, "Z")]
+
+
+def test_squad_recalibration_as_rows(spark):
+    rate = lambda k, n: evaluation.recalibrate_squad(spark.createDataFrame([("override" if i < k else "accept",) for i in range(n)] + [(None,)], "decision string")).collect()
+    assert [(r.old, r.new) for r in rate(9, 12)] == [(0.05, 0.1)] and [r.new for r in rate(1, 40)] == [0.01]
+    assert rate(3, 15) == rate(0, 15) == rate(5, 6) == []
