@@ -147,3 +147,33 @@ def template_summary(findings: DataFrame) -> DataFrame:
     lasting = F.when(F.col("trend") == "persistent", " It has lasted for several windows.").otherwise("")
     text = F.concat(F.initcap(sure), F.lit(" "), F.replace(F.col("finding"), F.lit("_"), F.lit(" ")), F.format_string(" (%s severity, confidence %d %%).", F.col("severity"), F.floor(F.col("confidence") * 100 + 0.5).cast("int")), lasting)
     return findings.filter("rank = 1").select(*[c for c in ("match_id", "player_id", "bucket") if c in findings.columns], text.alias("summary"))
+
+
+# Sentences of a summary.
+ACTIONS = {"substitution": "Consider substituting ", "fatigue_alert": "Fatigue alert for ", "positional_drift": "Positional drift detected for ", "workload_warning": "Workload warning for "}
+OTHER_ACTION = "Performance anomaly — "
+LOAD_SENTENCES = {"high_risk": "Acute workload significantly exceeds chronic baseline — elevated injury risk. ", "low_readiness": "Recent load is below chronic baseline — reduced physical readiness. "}
+CLOSING = "Analysis is based on this player's own historical data, not squad averages."
+
+
+def alert_summary(alerts: DataFrame) -> DataFrame:
+    """alerts (recommendation, confidence, player_name, workload_status, findings: finding_type, summary; contributions:
+    label, value as text, effect) with the text of an alert: what to do and how sure it is, the first finding's summary and
+    the names of two more, or, without findings, up to three of the first five contributions that raise the anomaly and two
+    that lower it, then the workload and a closing sentence. All from columns."""
+    look = lambda table, key: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.coalesce(key, F.lit("")))
+    action = F.concat(F.coalesce(look(ACTIONS, F.col("recommendation")), F.lit(OTHER_ACTION)), F.coalesce("player_name", F.lit("")))
+    head = F.concat(action, F.lit(" (confidence: "), F.floor(F.coalesce("confidence", F.lit(0.0)) * 100).cast("string"), F.lit("%). "))
+    found = F.coalesce("findings", F.expr("array()").cast(alerts.schema["findings"].dataType))
+    others = F.array_join(F.transform(F.slice(found, 2, 2), lambda f: F.replace(f["finding_type"], F.lit("_"), F.lit(" "))), ", ")
+    by_findings = F.concat(F.coalesce(F.get(found, F.lit(0))["summary"], F.lit("")), F.lit(" "), F.when(F.size(found) > 1, F.concat(F.lit("Additional signals: "), others, F.lit(". "))).otherwise(""))
+    first = F.slice(F.coalesce("contributions", F.expr("array()").cast(alerts.schema["contributions"].dataType)), 1, 5)
+
+    def named(title: str, keep, n: int):
+        chosen = F.slice(F.filter(first, keep), 1, n)
+        parts = F.array_join(F.transform(chosen, lambda c: F.concat(c["label"], F.lit(" ("), c["value"], F.lit(")"))), "; ")
+        return F.when(F.size(chosen) > 0, F.concat(F.lit(title), parts, F.lit(". "))).otherwise("")
+
+    by_effects = F.concat(named("Primary anomaly contributors: ", lambda c: c["effect"] > 0, 3), named("Anomaly-dampening signals: ", lambda c: c["effect"] < 0, 2))
+    text = F.concat(head, F.when(F.size(found) > 0, by_findings).otherwise(by_effects), F.coalesce(look(LOAD_SENTENCES, F.col("workload_status")), F.lit("")), F.lit(CLOSING))
+    return alerts.withColumn("summary", F.trim(text))

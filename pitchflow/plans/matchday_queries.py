@@ -89,8 +89,20 @@ def template_summary(spark, d):
     return M.template_summary(IQ.semantic_findings(spark, d))
 
 
+def alert_summaries(spark, d):
+    """Texts of tracked events as if they were alerts."""
+    e = view(spark, d, "telemetry")
+    pick = lambda names, c: F.get(F.array(*map(F.lit, names)), c.cast("int"))
+    n = F.col("event_id")
+    finding = lambda k: F.struct(pick(("cardio_strain", "locomotor_overload", "tactical_drift"), (n + k) % 3).alias("finding_type"), F.concat(F.lit("Finding "), k.cast("string"), F.lit(".")).alias("summary"))
+    findings = F.when(n % 4 > 0, F.transform(F.sequence(F.lit(1), (n % 4).cast("int")), finding))
+    effects = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.struct(F.concat(F.lit("c"), k.cast("string")).alias("label"), ((n + k) % 9).cast("string").alias("value"), ((n * (k + 3)) % 5 - F.lit(2)).cast("double").alias("effect")))
+    a = e.select(n.alias("event_id"), pick(("substitution", "fatigue_alert", "positional_drift", "workload_warning", "other"), n % 5).alias("recommendation"), (n % 10 / 10).alias("confidence"), F.concat(F.lit("player "), F.col("player_id").cast("string")).alias("player_name"), pick(("high_risk", "low_readiness", "optimal"), n % 3).alias("workload_status"), findings.alias("findings"), effects.alias("contributions"))
+    return M.alert_summary(a).select("event_id", "summary")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (workload_windows, workload_events, player_match_loads, match_timeline, match_roster, player_match_metrics, player_trends, load_trends, first_per_match, newest_match, canonical_team, label_windows, window_stats, event_rows, template_summary)}
+    return {f.__name__: f for f in (workload_windows, workload_events, player_match_loads, match_timeline, match_roster, player_match_metrics, player_trends, load_trends, first_per_match, newest_match, canonical_team, label_windows, window_stats, event_rows, template_summary, alert_summaries)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -111,7 +123,13 @@ def oracle_sql() -> dict[str, str]:
     segs = ", ".join(f"('{a}-{b}', {a}, {b})" for a, b in M.SEGMENTS)
     lead = "concat_ws(';', " + ", ".join(f"'{c}:' || coalesce((SELECT string_agg(player_id::VARCHAR, ',' ORDER BY k) FROM (SELECT player_id, row_number() OVER (ORDER BY round({c}, 6) DESC, player_id) k FROM pp WHERE pp.match_id = g.match_id AND pp.seg = g.seg AND {c} > 0) WHERE k <= 3), '')" for c in ld) + ")"
     zz = lambda c: f"round(CASE WHEN {c}_std <> 0 AND {c} IS NOT NULL THEN ({c} - {c}_mean) / {c}_std ELSE 0 END, 6) z_{c}"
+    kept = lambda sign, n: f"list_filter(list_transform(range(0, 5), lambda k: CASE WHEN (event_id * (k + 3)) % 5 - 2 {sign} 0 THEN 'c' || k || ' (' || (event_id + k) % 9 || ')' END), lambda x: x IS NOT NULL)[:{n}]"
+    texts = f"""SELECT event_id, trim(['Consider substituting ', 'Fatigue alert for ', 'Positional drift detected for ', 'Workload warning for ', 'Performance anomaly — '][event_id % 5 + 1] || 'player ' || player_id || ' (confidence: ' || CAST(floor(event_id % 10 / 10::DOUBLE * 100) AS BIGINT) || '%). '
+ || CASE WHEN event_id % 4 > 0 THEN 'Finding 1. ' || CASE WHEN event_id % 4 > 1 THEN 'Additional signals: ' || array_to_string(list_transform(range(2, least(event_id % 4, 3) + 1), lambda k: ['cardio strain', 'locomotor overload', 'tactical drift'][(event_id + k) % 3 + 1]), ', ') || '. ' ELSE '' END
+    ELSE CASE WHEN len({kept('>', 3)}) > 0 THEN 'Primary anomaly contributors: ' || array_to_string({kept('>', 3)}, '; ') || '. ' ELSE '' END || CASE WHEN len({kept('<', 2)}) > 0 THEN 'Anomaly-dampening signals: ' || array_to_string({kept('<', 2)}, '; ') || '. ' ELSE '' END END
+ || ['Acute workload significantly exceeds chronic baseline — elevated injury risk. ', 'Recent load is below chronic baseline — reduced physical readiness. ', ''][event_id % 3 + 1] || 'Analysis is based on this player''s own historical data, not squad averages.') AS summary FROM ({oracle('telemetry')})"""
     return {
+        "alert_summaries": texts,
         "workload_windows": f"{ww} SELECT match_id, player_id, bucket, current_load, {', '.join(ld)} FROM ww",
         "workload_events": f"""{ww}, {own}, {trend('current_load', 'ta')}, {trend('mean_speed', 'tb')}, pc AS (SELECT match_id, quantile_cont(current_load, 0.33) a, quantile_cont(current_load, 0.66) b FROM ow GROUP BY 1)
  SELECT '1' schema_version, match_id, player_id, 'player ' || player_id player_name, CASE WHEN player_id % 5 > 0 THEN 'pos' || player_id % 5 ELSE 'unknown' END AS position, bucket, elapsed_s, current_load, ta.trend load_trend, {', '.join(ld)}, tb.trend performance_trend,

@@ -306,3 +306,21 @@ def test_salience_by_the_fixed_weights(spark):
     e = spark.createDataFrame(rows, "player_id int, episode int, finding string, end_minute int, trend string, severity string, response string")
     got = [(r.rank, r.episode, r.salience) for r in reports.salient_episodes(e, "x", 4, trend="worsening").orderBy("rank").collect()]
     assert got == [(1, 1, 13.0), (2, 3, 7.5), (3, 2, 4.75), (4, 4, 4.25)]
+
+
+def test_alert_texts(spark):
+    schema = "recommendation string, confidence double, player_name string, workload_status string, findings array<struct<finding_type:string,summary:string>>, contributions array<struct<label:string,value:string,effect:double>>"
+    rows = [
+        ("substitution", 0.876, "Kay", "high_risk", [("cardio_strain", "Heart rate stays high."), ("locomotor_overload", "x"), ("tactical_drift", "y"), ("z", "z")], None),
+        ("unheard_of", 0.29, "Lou", "optimal", [("cardio_strain", "Heart rate stays high.")], None),
+        ("workload_warning", 0.5, "Max", "low_readiness", None, [("Speed", "4.1 m/s", 0.2), ("Heart rate", "150", -0.1), ("Drift", "2", 0.1), ("a", "1", -1.0), ("b", "2", -1.0), ("late", "9", 5.0)]),
+        (None, None, None, None, [], []),
+    ]
+    got = [r.summary for r in matchday.alert_summary(spark.createDataFrame(rows, schema)).collect()]
+    end = "Analysis is based on this player's own historical data, not squad averages."
+    assert got == [
+        f"Consider substituting Kay (confidence: 87%). Heart rate stays high. Additional signals: locomotor overload, tactical drift. Acute workload significantly exceeds chronic baseline — elevated injury risk. {end}",
+        f"Performance anomaly — Lou (confidence: 28%). Heart rate stays high. {end}",
+        f"Workload warning for Max (confidence: 50%). Primary anomaly contributors: Speed (4.1 m/s); Drift (2). Anomaly-dampening signals: Heart rate (150); a (1). Recent load is below chronic baseline — reduced physical readiness. {end}",
+        f"Performance anomaly —  (confidence: 0%). {end}",
+    ]
