@@ -191,17 +191,34 @@ def xai_features(scored: DataFrame, baselines: DataFrame, steps: int = 8) -> Dat
     )
 
 
-def score_events(decided: DataFrame, attribution: str | None = None) -> DataFrame:
-    """Published records of scored windows: the threshold is null where the player has none, and then nothing breaches."""
+#: Measures of a record that are 0 where decided doesn't have them.
+MEASURES = ("window_distance_m", "window_avg_speed_ms", "window_sprint_ticks", "baseline_distance_z", "baseline_speed_z", "baseline_sprint_z", "session_total_distance_m", "session_high_speed_distance_m")
+
+
+def score_events(decided: DataFrame, attribution: str | None = None, measures: bool = False) -> DataFrame:
+    """Published records of scored windows: the threshold is null where the player has none, and then nothing breaches.
+    With measures, also those of the window, of the baseline and of the session."""
     t = F.when(F.col("threshold") < float("inf"), F.col("threshold"))
     breach = F.coalesce(F.col("loss") > t, F.lit(False))
     extra = [top_features(F.col(attribution), 5).alias("top_features")] if attribution else []
+    if measures:
+        kind = lambda c: "bigint" if c.endswith("ticks") else "double"
+        extra += [(F.coalesce(F.col(c).cast(kind(c)), F.lit(0).cast(kind(c))) if c in decided.columns else F.lit(0).cast(kind(c))).alias(c) for c in MEASURES]
     return decided.select(
         F.lit("1").alias("schema_version"), "player_id", F.format_string("p%03d", F.col("player_id")).alias("external_id"), F.col("match_id").cast("string").alias("match_id"), "event_id", F.col("loss").alias("reconstruction_loss"),
         "confidence", t.alias("threshold"), breach.alias("raw_threshold_breach"), "regime", "tracker_source", *extra,
     )
 
 
+def baseline_z(windows: DataFrame, baselines: DataFrame, measures: dict[str, str]) -> DataFrame:
+    """windows with baseline_{name}_z for each measure (name: column): (value - mean) / deviation by the player's baseline
+    (player_id, {name}_mean, {name}_std), 0 without one or where it doesn't vary."""
+    b = baselines.select("player_id", *[F.col(f"{n}_{x}").alias(f"_{n}_{x}") for n in measures for x in ("mean", "std")])
+    j = windows.join(b, "player_id", "left")
+    z = lambda n, c: F.coalesce(F.when(F.col(f"_{n}_std") > 1e-9, (F.col(c) - F.col(f"_{n}_mean")) / F.col(f"_{n}_std")), F.lit(0.0))
+    return j.select(*windows.columns, *[F.round(z(n, c), 6).alias(f"baseline_{n}_z") for n, c in measures.items()])
+
+
 def feature_importance(attributed: DataFrame, column: str = "attribution") -> DataFrame:
     """Mean absolute attribution of each feature, the largest first."""
     x = attributed.select(F.explode(column).alias("feature", "value")).groupBy("feature").agg(F.round(F.avg(F.abs("value")), 9).alias("importance"), F.count("*").alias("n"))

@@ -177,3 +177,13 @@ def segment_episodes(findings: DataFrame, keys: tuple[str, ...], order: tuple[st
 def gate_counts(findings: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], existing: DataFrame | None = None) -> DataFrame:
     """How many runs of a key each gate held back."""
     return episode_steps(findings, keys, order, existing).filter("gate IS NOT NULL").groupBy(*keys, "gate").agg(F.count("*").alias("n"))
+
+
+def newly_closed(episodes: DataFrame, history: DataFrame | None, keys: tuple[str, ...], least: int = 2) -> DataFrame:
+    """The closed episodes of `least` windows or more that the history (keys, episode) lacks: each is kept once, when it is
+    first seen closed."""
+    done = episodes.filter(F.col("end_minute").isNotNull() & (F.col("n_windows") >= least))
+    if history is None:
+        return done
+    known = history.select(*keys, "episode")
+    return done.join(known, _same(done, known, (*keys, "episode")), "left_anti")

@@ -75,6 +75,16 @@ def score_events(spark, d):
     return D.score_events(s)
 
 
+def score_measures(spark, d):
+    """Records with measures: windows of the features, against their players' own means."""
+    f = view(spark, d, "features")
+    names = {"distance": "window_distance_m", "speed": "window_avg_speed_ms", "sprint": "window_sprint_count"}
+    base = f.filter("player_id % 7 > 0").groupBy("player_id").agg(*[x for n, c in names.items() for x in (F.avg(c).alias(f"{n}_mean"), F.stddev_pop(c).alias(f"{n}_std"))])
+    z = D.baseline_z(f, base, names)
+    decided = z.select("player_id", "match_id", F.col("bucket").alias("event_id"), F.col("window_distance_m").alias("loss"), F.lit(0.5).alias("confidence"), F.when(F.col("seq") % 4 > 0, F.lit(45.0)).otherwise(F.lit(float("inf"))).alias("threshold"), F.lit("middle__low").alias("regime"), F.lit("per_player").alias("tracker_source"), "window_distance_m", "window_avg_speed_ms", F.col("window_sprint_count").alias("window_sprint_ticks"), *[f"baseline_{n}_z" for n in names])
+    return D.score_events(decided, measures=True)
+
+
 def feature_importance(spark, d):
     c = _channels(spark, d)
     return D.compare_importance(D.feature_importance(c), D.feature_importance(c.filter("player_id % 2 = 0")))
@@ -98,7 +108,7 @@ def audit_report(spark, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (calibration_losses, score_decisions, fp_budget_threshold, fp_budget_by_player, evaluate_decisions, adapt_thresholds, coach_attribution, magnitude_proxy, xai_features, score_events, feature_importance, inference_log, alert_payload, audit_report)}
+    return {f.__name__: f for f in (calibration_losses, score_decisions, fp_budget_threshold, fp_budget_by_player, evaluate_decisions, adapt_thresholds, coach_attribution, magnitude_proxy, xai_features, score_events, score_measures, feature_importance, inference_log, alert_payload, audit_report)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -132,6 +142,10 @@ def oracle_sql() -> dict[str, str]:
  v AS (SELECT player_id, rn, bool_or(k = 'anomaly' AND s >= 2) x1, bool_or(k = 'fatigue' AND s >= 2) x2, bool_or(k = 'drift' AND s >= 2) x3, bool_or(k = 'workload' AND s >= 2) x4, max(s) FILTER (k = 'anomaly') s, max(p) FILTER (k = 'anomaly') p FROM m WHERE rn > 0 GROUP BY 1, 2)
  SELECT "window", player_id, x1 is_anomaly, x2 fatigue_flag, x3 drift_flag, x4 workload_flag, ['NONE', 'WATCH', 'WARNING', 'CRITICAL'][s + 1] alert_level, p persistence, coalesce(array_to_string([CASE WHEN x1 THEN 'anomaly:-:' || CASE WHEN c > 0.85 THEN 'high' ELSE 'medium' END || ':' || {conf('c')} END, CASE WHEN x2 THEN 'fatigue:' || CASE WHEN sl AND ns THEN 'speed_sprint_decline' WHEN sl THEN 'speed_decline' ELSE 'sprint_decline' END || CASE WHEN la THEN ':high:' ELSE ':medium:' END || {conf('c')} END,
   CASE WHEN x3 THEN 'drift:positional_zone_violation:medium:' || {conf('ds')} END, CASE WHEN x4 THEN 'workload:' || CASE WHEN q > 1.5 THEN 'acwr_overload' ELSE 'acwr_underload' END || ':' || CASE WHEN q > 1.8 OR q < 0.6 THEN 'high' ELSE 'medium' END || ':1.0000' END], ';'), '') signals FROM u JOIN v USING (player_id, rn)""",
+        "score_measures": f"""WITH {ft}, b AS (SELECT player_id, avg(window_distance_m) m1, stddev_pop(window_distance_m) s1, avg(window_avg_speed_ms) m2, stddev_pop(window_avg_speed_ms) s2, avg(window_sprint_count) m3, stddev_pop(window_sprint_count) s3 FROM ft WHERE player_id % 7 > 0 GROUP BY 1)
+ SELECT '1' schema_version, f.player_id, format('p{{:03d}}', f.player_id) external_id, match_id::VARCHAR match_id, bucket event_id, window_distance_m reconstruction_loss, 0.5::DOUBLE confidence, CASE WHEN seq % 4 > 0 THEN 45::DOUBLE END threshold, seq % 4 > 0 AND window_distance_m > 45 raw_threshold_breach, 'middle__low' regime, 'per_player' tracker_source,
+ window_distance_m, window_avg_speed_ms, window_sprint_count::BIGINT window_sprint_ticks, round(coalesce(CASE WHEN s1 > 1e-9 THEN (window_distance_m - m1) / s1 END, 0), 6) baseline_distance_z, round(coalesce(CASE WHEN s2 > 1e-9 THEN (window_avg_speed_ms - m2) / s2 END, 0), 6) baseline_speed_z,
+ round(coalesce(CASE WHEN s3 > 1e-9 THEN (window_sprint_count - m3) / s3 END, 0), 6) baseline_sprint_z, 0::DOUBLE session_total_distance_m, 0::DOUBLE session_high_speed_distance_m FROM ft f LEFT JOIN b USING (player_id)""",
         "fp_budget_threshold": f"WITH {ls}, {budget('')}",
         "fp_budget_by_player": f"WITH {ls}, {budget('player_id,')}",
         "evaluate_decisions": f"""WITH RECURSIVE {ls}, ca AS (SELECT *, player_id || '|' || regime k FROM ls WHERE event_id % 3 > 0), ev AS (SELECT * FROM ls WHERE event_id % 3 = 0), {fold('ev', '')}, fk AS ({thr('ca', 'k')}), gk AS ({thr('ca', 'player_id')}),

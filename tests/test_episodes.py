@@ -179,3 +179,11 @@ def test_walk_hands_its_state_on(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert max(r.most for r in got) <= 7
     assert sorted((repr(r.k), r.total) for r in got) == sorted((repr(k), t) for k, n in ((None, 34), (1, 33), (2, 33)) for t in [*range(1, n + 1), -n])
+
+
+def test_closed_episodes_are_kept_once(spark):
+    made_ = spark.createDataFrame([("a", 1, 9, 5), ("a", 2, 12, 1), ("a", 3, None, 7), (None, 1, 3, 2)], "player string, episode int, end_minute int, n_windows int")
+    first = E.newly_closed(made_, None, KEYS)
+    assert sorted((repr(r.player), r.episode) for r in first.collect()) == [("'a'", 1), ("None", 1)]
+    later = made_.filter("episode <> 3").union(spark.createDataFrame([("a", 3, 20, 8)], made_.schema))
+    assert [(r.player, r.episode) for r in E.newly_closed(later, first, KEYS).collect()] == [("a", 3)]
