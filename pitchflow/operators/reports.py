@@ -130,8 +130,15 @@ def override_summary(overrides: DataFrame, since_us: int | None = None, player_i
     return o.groupBy("recommendation_type").agg(F.count("*").alias("n"), F.round(F.avg((F.col("decision") == "override").cast("int")), 9).alias("override_rate"))
 
 
-def match_metadata(events: DataFrame) -> DataFrame:
-    return events.groupBy("match_id").agg(F.count("*").alias("n_events"), F.count_distinct("player_id").alias("n_players"), F.array_join(F.array_sort(F.collect_set("team_id")), " vs. ").alias("teams"), F.min("t_us").alias("begin_us"), F.max("t_us").alias("end_us"))
+def match_metadata(events: DataFrame, positions: DataFrame | None = None, statistics: DataFrame | None = None) -> DataFrame:
+    """Events, players, teams and times per match of the events; with positions (match_id) also how many there are, with
+    statistics (match_id, date) the first date of the match, null without one."""
+    m = events.groupBy("match_id").agg(F.count("*").alias("n_events"), F.count_distinct("player_id").alias("n_players"), F.array_join(F.array_sort(F.collect_set("team_id")), " vs. ").alias("teams"), F.min("t_us").alias("begin_us"), F.max("t_us").alias("end_us"))
+    if positions is not None:
+        m = m.join(positions.groupBy("match_id").agg(F.count("*").alias("n_positions")), "match_id", "left").fillna(0, ["n_positions"])
+    if statistics is not None:
+        m = m.join(statistics.groupBy("match_id").agg(F.min("date").alias("date")), "match_id", "left")
+    return m
 
 
 def validate_match(events: DataFrame, roster: DataFrame) -> DataFrame:

@@ -84,6 +84,11 @@ def quality_report(spark, d):
     return R.quality_report(view(spark, d, "telemetry"))
 
 
+def match_details(spark, d):
+    positions = view(spark, d, "telemetry").filter("event_id % 3 = 0 AND match_id % 2 = 0")
+    return R.match_metadata(view(spark, d, "tactical"), positions, view(spark, d, "matches").filter("match_id % 5 > 0"))
+
+
 def quality_details(spark, d):
     t = view(spark, d, "telemetry").withColumn("speed_ms", F.when(F.col("event_id") % 13 > 0, F.col("speed_ms"))).withColumn("phase", F.get(F.array(F.lit("LOW_TEMPO"), F.lit("COUNTER"), F.lit("SETTLED")), (F.col("event_id") % 4).cast("int")))
     roster = t.select("player_id", F.concat(F.lit("pos"), (F.col("player_id") % 4).cast("string")).alias("position")).distinct()
@@ -92,7 +97,7 @@ def quality_details(spark, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (score_summary, window_report, occupancy_sweep, regime_coverage, example_windows, dominant_finding, salient_episodes, episode_patterns, context_summary, persistence_sweep, aggregate_metrics, override_summary, match_metadata, validate_match, quality_report, quality_details)}
+    return {f.__name__: f for f in (score_summary, window_report, occupancy_sweep, regime_coverage, example_windows, dominant_finding, salient_episodes, episode_patterns, context_summary, persistence_sweep, aggregate_metrics, override_summary, match_metadata, validate_match, quality_report, quality_details, match_details)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -123,6 +128,8 @@ def oracle_sql() -> dict[str, str]:
         "override_summary": f"{sc} SELECT 'type' || (event_id % 3) recommendation_type, count(*) n, round(avg(label), 9) override_rate FROM ev GROUP BY 1",
         "match_metadata": f"{tac} SELECT match_id, count(*) n_events, count(DISTINCT player_id) n_players, string_agg(DISTINCT team_id, ' vs. ' ORDER BY team_id) teams, min(t_us) begin_us, max(t_us) end_us FROM ev GROUP BY 1",
         "validate_match": f"{tac} SELECT match_id, count(*) FILTER (player_id % 7 = 0) not_in_roster, count(*) FILTER (team_id IS NULL) without_team, count(*) n FROM ev GROUP BY 1",
+        "match_details": f"""WITH ev AS ({oracle("tactical")}), p AS (SELECT match_id, count(*) n FROM ({oracle("telemetry")}) WHERE event_id % 3 = 0 AND match_id % 2 = 0 GROUP BY 1), s AS (SELECT match_id, min(date) AS date FROM ({oracle("matches")}) WHERE match_id % 5 > 0 GROUP BY 1)
+ SELECT match_id, count(*) n_events, count(DISTINCT player_id) n_players, coalesce(string_agg(DISTINCT team_id, ' vs. ' ORDER BY team_id), '') teams, min(t_us) begin_us, max(t_us) end_us, coalesce(any_value(p.n), 0) n_positions, any_value(s.date) AS date FROM ev LEFT JOIN p USING (match_id) LEFT JOIN s USING (match_id) GROUP BY 1""",
         "quality_details": f"""WITH t AS (SELECT event_id, match_id, player_id, t_us, x_pitch, heart_rate_bpm, CASE WHEN event_id % 13 > 0 THEN speed_ms END AS speed_ms, ['LOW_TEMPO', 'COUNTER', 'SETTLED'][event_id % 4 + 1] AS phase FROM ({oracle("telemetry")})),
 p AS (SELECT 'pos' || player_id % 4 AS name, avg(x_pitch) m, stddev_samp(x_pitch) s FROM t WHERE x_pitch IS NOT NULL GROUP BY 1 HAVING count(*) > 10),
 r AS (SELECT *, sum(CASE WHEN coalesce(speed_ms >= 5.5, false) THEN 0 ELSE 1 END) OVER (PARTITION BY match_id, player_id ORDER BY t_us, event_id) g FROM t), n AS (SELECT count(*) n FROM r WHERE speed_ms >= 5.5 GROUP BY match_id, player_id, g),
