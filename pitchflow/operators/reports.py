@@ -4,18 +4,32 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .evaluation import quantiles
 from .state import alert_states
+from .walks import Walk, ordered_walk
 
 
 def score_summary(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count("*").alias("n"), F.round(F.avg("pred"), 9).alias("breach_rate"), F.count_distinct("player_id").alias("n_players"), F.count_distinct(F.when(F.col("pred") == 1, F.col("player_id"))).alias("n_flagged_players"))
 
 
+def evaluation_summary(scored: DataFrame) -> DataFrame:
+    """figure, name, value of scored windows (player_id, raw_threshold_breach, tracker_source): how many windows, players,
+    players with a calibration of their own, breaches, their rate among windows that could breach (null without one), and
+    windows by tracker source."""
+    breach = F.col("raw_threshold_breach").cast("int")
+    own = F.count_distinct(F.when(F.col("tracker_source") == "per_player", F.col("player_id")))
+    one = scored.agg(F.count("*").alias("windows"), F.count_distinct("player_id").alias("players"), own.alias("calibrated_players"), F.coalesce(F.sum(breach), F.lit(0)).alias("breaches"), F.round(F.avg(breach), 9).alias("breach_rate"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("figure"), F.col(c).cast("double").alias("value")) for c in one.columns])).alias("p")
+    sources = scored.groupBy("tracker_source").agg(F.count("*").cast("double").alias("value"))
+    return one.select(pairs).select("p.figure", F.lit(None).cast("string").alias("name"), "p.value").unionByName(sources.select(F.lit("tracker_source").alias("figure"), F.col("tracker_source").alias("name"), "value"))
+
+
 def window_report(scored: DataFrame, dims: tuple[str, ...]) -> DataFrame:
     """Counts and flag rates of each dimension on its own, in one pass over grouping sets."""
     sets = scored.groupingSets([[F.col(d)] for d in dims], *[F.col(d) for d in dims])
@@ -196,3 +210,40 @@ def quality_details(ticks: DataFrame, roster: DataFrame, sessions: DataFrame, mo
     out += [row(xg.filter(F.col(n).isNotNull()), "xg", F.lit(n), F.col(n)) for n in ("mean", "max")]
     out.append(row(ticks.agg(share(F.col("speed_ms").isNull()).alias("v")), "dropout", F.lit(None), F.col("v")))
     return reduce(DataFrame.unionByName, out)
+
+
+class _Hull(Walk):
+    def __init__(self):
+        self.n, self.points = 0, set()
+
+    def step(self, rows: pd.DataFrame) -> list[tuple]:
+        there = rows.dropna(subset=["x_pitch", "y_pitch"])
+        self.n += len(there)
+        self.points.update(zip(there["x_pitch"].tolist(), there["y_pitch"].tolist(), strict=True))
+        return []
+
+    def end(self) -> list[tuple]:
+        area = hull_area(self.points)
+        return [(self.n, round(area, 6))] if self.n >= 4 and area > 0 else []
+
+
+def hull_area(points: set[tuple[float, float]]) -> float:
+    """Area of the smallest convex polygon around the points; 0 for points on a line."""
+    if len(points) < 3:
+        return 0.0
+    ordered = sorted(points)
+    chain: list[tuple[float, float]] = []
+    for way in (ordered, ordered[::-1]):  # the lower side from left to right, then the upper one back
+        start = len(chain)
+        for p in way:
+            while len(chain) - start >= 2 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]):
+                chain.pop()
+            chain.append(p)
+        chain.pop()
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(chain, chain[1:] + chain[:1], strict=True))) / 2
+
+
+def team_hulls(ticks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, n_players, area: how compact a team stands at a tick. keys: what the rows of a tick of a team share. Ticks of
+    fewer than 4 places, and places on a line, have no row. A tick's few places are walked, sorted by the keys."""
+    return ordered_walk(ticks.select(*keys, "x_pitch", "y_pitch"), keys, ("x_pitch",), _Hull, "n_players bigint, area double")

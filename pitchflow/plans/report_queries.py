@@ -84,6 +84,18 @@ def quality_report(spark, d):
     return R.quality_report(view(spark, d, "telemetry"))
 
 
+def evaluation_summary(spark, d):
+    s = _scored(spark, d)
+    source = F.when(F.col("player_id") % 4 == 0, "none").when(F.col("player_id") % 4 == 1, "pilot_pooled").otherwise("per_player")
+    return R.evaluation_summary(s.select("player_id", F.when(F.col("player_id") % 4 > 0, F.col("pred") == 1).alias("raw_threshold_breach"), source.alias("tracker_source")))
+
+
+def team_hulls(spark, d):
+    """A team's places in a quarter of a day as if they were one tick's."""
+    t = view(spark, d, "telemetry").select("match_id", (F.col("player_id") % 2).alias("team"), F.floor(F.col("t_us") / 21_600_000_000).cast("long").alias("tick"), "x_pitch", "y_pitch")
+    return R.team_hulls(t, ("match_id", "team", "tick"))
+
+
 def match_details(spark, d):
     positions = view(spark, d, "telemetry").filter("event_id % 3 = 0 AND match_id % 2 = 0")
     return R.match_metadata(view(spark, d, "tactical"), positions, view(spark, d, "matches").filter("match_id % 5 > 0"))
@@ -97,7 +109,7 @@ def quality_details(spark, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (score_summary, window_report, occupancy_sweep, regime_coverage, example_windows, dominant_finding, salient_episodes, episode_patterns, context_summary, persistence_sweep, aggregate_metrics, override_summary, match_metadata, validate_match, quality_report, quality_details, match_details)}
+    return {f.__name__: f for f in (score_summary, window_report, occupancy_sweep, regime_coverage, example_windows, dominant_finding, salient_episodes, episode_patterns, context_summary, persistence_sweep, aggregate_metrics, override_summary, match_metadata, validate_match, quality_report, quality_details, match_details, evaluation_summary, team_hulls)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -128,6 +140,9 @@ def oracle_sql() -> dict[str, str]:
         "override_summary": f"{sc} SELECT 'type' || (event_id % 3) recommendation_type, count(*) n, round(avg(label), 9) override_rate FROM ev GROUP BY 1",
         "match_metadata": f"{tac} SELECT match_id, count(*) n_events, count(DISTINCT player_id) n_players, string_agg(DISTINCT team_id, ' vs. ' ORDER BY team_id) teams, min(t_us) begin_us, max(t_us) end_us FROM ev GROUP BY 1",
         "validate_match": f"{tac} SELECT match_id, count(*) FILTER (player_id % 7 = 0) not_in_roster, count(*) FILTER (team_id IS NULL) without_team, count(*) n FROM ev GROUP BY 1",
+        "evaluation_summary": f"""{sc}, t AS (SELECT player_id, CASE WHEN player_id % 4 > 0 THEN pred END b, ['none', 'pilot_pooled', 'per_player', 'per_player'][player_id % 4 + 1] src FROM ev)
+ SELECT 'windows' figure, NULL AS name, count(*)::DOUBLE AS value FROM t UNION ALL SELECT 'players', NULL, count(DISTINCT player_id) FROM t UNION ALL SELECT 'calibrated_players', NULL, count(DISTINCT player_id) FILTER (src = 'per_player') FROM t
+ UNION ALL SELECT 'breaches', NULL, sum(b) FROM t UNION ALL SELECT 'breach_rate', NULL, round(avg(b), 9) FROM t UNION ALL SELECT 'tracker_source', src, count(*) FROM t GROUP BY 2""",
         "match_details": f"""WITH ev AS ({oracle("tactical")}), p AS (SELECT match_id, count(*) n FROM ({oracle("telemetry")}) WHERE event_id % 3 = 0 AND match_id % 2 = 0 GROUP BY 1), s AS (SELECT match_id, min(date) AS date FROM ({oracle("matches")}) WHERE match_id % 5 > 0 GROUP BY 1)
  SELECT match_id, count(*) n_events, count(DISTINCT player_id) n_players, coalesce(string_agg(DISTINCT team_id, ' vs. ' ORDER BY team_id), '') teams, min(t_us) begin_us, max(t_us) end_us, coalesce(any_value(p.n), 0) n_positions, any_value(s.date) AS date FROM ev LEFT JOIN p USING (match_id) LEFT JOIN s USING (match_id) GROUP BY 1""",
         "quality_details": f"""WITH t AS (SELECT event_id, match_id, player_id, t_us, x_pitch, heart_rate_bpm, CASE WHEN event_id % 13 > 0 THEN speed_ms END AS speed_ms, ['LOW_TEMPO', 'COUNTER', 'SETTLED'][event_id % 4 + 1] AS phase FROM ({oracle("telemetry")})),

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from pitchflow.functions.thresholds import TELEMETRY
-from pitchflow.operators import scoring, telemetry, workload
+from pitchflow.operators import reports, scoring, telemetry, workload
 from pitchflow.sources import payloads, readers
 from pitchflow.streaming import streams
 
@@ -101,3 +101,16 @@ def test_lines_and_ids_as_streams(spark, tmp_path):
     out = str(tmp_path / "out")
     streams.dedupe(source).writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).format("parquet").start(out).awaitTermination(120)
     assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_hulls_of_teams(spark):
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0), (2.0, 1.0), (2.0, 0.0), (None, 1.0)]
+    rows = [(1, 5, x, y) for x, y in square] + [(1, 6, float(k), 2.0 * k) for k in range(5)] + [(2, 5, x, y) for x, y in square[:3]] + [(None, 5, x, y) for x, y in square[:4]]
+    df = spark.createDataFrame(rows, "team int, tick int, x_pitch double, y_pitch double")
+    assert sorted((repr(r.team), r.tick, r.n_players, r.area) for r in reports.team_hulls(df, ("team", "tick")).collect()) == [("1", 5, 6, 12.0), ("None", 5, 4, 12.0)]
+    rng = __import__("random").Random(1)
+    points = {(rng.random(), rng.random()) for _ in range(40)}
+    inside = lambda p, hull: all((b[0] - a[0]) * (p[1] - a[1]) >= (b[1] - a[1]) * (p[0] - a[0]) for a, b in hull)
+    edges = [(a, b) for a in points for b in points if a != b and inside(a, [(a, b)]) and all(inside(p, [(a, b)]) for p in points)]
+    assert abs(reports.hull_area(points) - sum(a[0] * b[1] - b[0] * a[1] for a, b in edges) / 2) < 1e-12
+    assert reports.hull_area(set()) == reports.hull_area({(1.0, 1.0)}) == 0
