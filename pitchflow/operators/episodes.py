@@ -187,3 +187,26 @@ def newly_closed(episodes: DataFrame, history: DataFrame | None, keys: tuple[str
         return done
     known = history.select(*keys, "episode")
     return done.join(known, _same(done, known, (*keys, "episode")), "left_anti")
+
+
+NARRATIVE_LENGTH = 200
+
+
+def trajectory_narrative(episodes: DataFrame, escalation: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, narrative: a sentence of 200 characters at most on how a key's episodes went on, from the first to the last,
+    whether more of them worsened or recovered, and its level of escalation (keys, level; "normal" without a row)."""
+    end = lambda f, c: f(F.struct("episode", c))[c]
+    e = episodes.groupBy(*keys).agg(
+        F.count("*").alias("n"), *[end(f, c).alias(f"_{name}_{c}") for name, f, c in (("first", F.min, "finding"), ("first", F.min, "start_minute"), ("last", F.max, "finding"), ("last", F.max, "end_minute"))],
+        F.count_if(F.col("trend") == "worsening").alias("_worse"), F.count_if(F.col("trend") == "recovering").alias("_better"),
+    )
+    j = e.join(escalation.select(*keys, "level"), _same(e, escalation, keys), "full").select(*[F.coalesce(e[k], escalation[k]).alias(k) for k in keys], *[e[c] for c in e.columns if c not in keys], "level")
+    arc = F.when(F.col("_worse") > F.col("_better"), "progressive deterioration").when(F.col("_better") > F.col("_worse"), "improving trajectory").otherwise("fluctuating state")
+    start = F.coalesce(F.concat(F.lit("from min~"), F.col("_first_start_minute").cast("string")), F.lit("from early match"))
+    stop = F.coalesce(F.concat(F.lit("to min~"), F.col("_last_end_minute").cast("string")), F.lit("ongoing"))
+    named = lambda c: F.replace(F.col(c), F.lit("_"), F.lit(" "))
+    n, first, last, level = F.col("n").cast("string"), named("_first_finding"), named("_last_finding"), F.concat(F.lit(" Escalation: "), F.coalesce("level", F.lit("normal")), F.lit("."))
+    one = F.concat(n, F.lit(" episode(s) of "), first, F.lit(" — "), arc, F.lit(" "), start, F.lit(", "), stop, F.lit("."), level)
+    two = F.concat(n, F.lit(" episode(s): "), first, F.lit(" ("), start, F.lit(") → "), last, F.lit(" ("), stop, F.lit(") — "), arc, F.lit("."), level)
+    text = F.when(F.col("n").isNull(), "No significant episodes detected yet.").otherwise(F.substring(F.when(first == last, one).otherwise(two), 1, NARRATIVE_LENGTH))
+    return j.select(*keys, text.alias("narrative"))

@@ -26,8 +26,14 @@ def risk_patterns(spark, d):
     return S.risk_trajectory(s.select("player_id", *ORDER, finding.alias("finding"), F.col("severity").isin("medium", "high", "critical").cast("int").alias("alert")), KEYS, ORDER)
 
 
+def trajectory_narratives(spark, d):
+    """Episodes of players and the level of risk at their last finding, of four players in five."""
+    level = risk_patterns(spark, d).filter("player_id % 5 > 0").groupBy("player_id").agg(F.max_by("level", F.struct(*ORDER)).alias("level"))
+    return E.trajectory_narrative(episode_segments(spark, d).filter("player_id % 7 > 0"), level, KEYS)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (episode_segments, episode_gates, risk_patterns)}
+    return {f.__name__: f for f in (episode_segments, episode_gates, risk_patterns, trajectory_narratives)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -50,7 +56,7 @@ y AS (SELECT *, upto = n_all AS is_last, (SELECT max(score) FROM r WHERE r.playe
 z AS (SELECT *, last_value(CASE WHEN passes AND NOT is_last THEN finding END IGNORE NULLS) OVER (PARTITION BY player_id ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM y),
 s AS (SELECT *, CASE WHEN is_last THEN NULL WHEN level < 3 AND before = finding THEN 'cooldown' WHEN passes THEN NULL WHEN n < 5 THEN 'min_windows' ELSE 'confidence' END AS gate FROM z)"""
     risk = "CASE WHEN total >= 8 THEN 'critical' WHEN total >= 5 THEN 'high' WHEN total >= 3 THEN 'elevated' ELSE 'normal' END"
-    return {
+    found = {
         # each window in turn: x the alerts, c the clean windows on end, p the pattern, n its alerts
         "risk_patterns": f"""WITH RECURSIVE s AS (SELECT player_id, t_us, event_id, CASE WHEN event_id % 5 > 0 THEN finding END AS f, severity <> 'low' AS a, row_number() OVER ({w}) AS rn FROM ({oracle("symptoms")})),
 m AS (SELECT DISTINCT player_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS t_us, CAST(0 AS BIGINT) AS event_id, 0 AS total, 0 AS c, CAST(NULL AS VARCHAR) AS p, 0 AS n FROM s
@@ -65,3 +71,10 @@ SELECT player_id, min(episode) AS episode, any_value(finding) AS finding, arg_mi
        CASE WHEN bool_or(joins AND trend = 'worsening') THEN 'worsening' ELSE arg_min(trend, episode) END AS trend, ['low', 'medium', 'high', 'critical'][max(level) + 1] AS severity,
        coalesce(arg_max(response, episode) FILTER (joins AND response IN ('escalated', 'persisted')), arg_min(response, episode)) AS response, CAST(sum(n) AS BIGINT) AS n_windows, max(top) AS peak_score, max(conf) AS peak_confidence FROM k GROUP BY player_id, m""",
     }
+    found["trajectory_narratives"] = f"""WITH e AS (SELECT * FROM ({found["episode_segments"]}) WHERE player_id % 7 > 0), l AS (SELECT player_id, arg_max(level, (t_us, event_id)) AS level FROM ({found["risk_patterns"]}) WHERE player_id % 5 > 0 GROUP BY 1),
+g AS (SELECT player_id, count(*) AS n, replace(arg_min(finding, episode), '_', ' ') AS a, replace(arg_max(finding, episode), '_', ' ') AS b, coalesce('from min~' || min(start_minute) FILTER (episode = first), 'from early match') AS s, coalesce('to min~' || max(end_minute) FILTER (episode = last), 'ongoing') AS t,
+  CASE WHEN count(*) FILTER (trend = 'worsening') > count(*) FILTER (trend = 'recovering') THEN 'progressive deterioration' WHEN count(*) FILTER (trend = 'worsening') < count(*) FILTER (trend = 'recovering') THEN 'improving trajectory' ELSE 'fluctuating state' END AS arc
+  FROM (SELECT *, min(episode) OVER (PARTITION BY player_id) AS first, max(episode) OVER (PARTITION BY player_id) AS last FROM e) GROUP BY 1)
+SELECT coalesce(g.player_id, l.player_id) AS player_id, CASE WHEN n IS NULL THEN 'No significant episodes detected yet.' ELSE substr(CASE WHEN a = b THEN n || ' episode(s) of ' || a || ' — ' || arc || ' ' || s || ', ' || t || '.' ELSE n || ' episode(s): ' || a || ' (' || s || ') → ' || b || ' (' || t || ') — ' || arc || '.' END || ' Escalation: ' || coalesce(level, 'normal') || '.', 1, 200) END AS narrative
+FROM g FULL JOIN l ON g.player_id = l.player_id"""
+    return found

@@ -187,3 +187,14 @@ def test_closed_episodes_are_kept_once(spark):
     assert sorted((repr(r.player), r.episode) for r in first.collect()) == [("'a'", 1), ("None", 1)]
     later = made_.filter("episode <> 3").union(spark.createDataFrame([("a", 3, 20, 8)], made_.schema))
     assert [(r.player, r.episode) for r in E.newly_closed(later, first, KEYS).collect()] == [("a", 3)]
+
+
+def test_narratives(spark):
+    e = spark.createDataFrame([("a", 1, "locomotor_overload", 22, 30, "worsening"), ("a", 2, "cardio_strain", 40, None, "stable"), ("b", 1, "x_y", None, 9, "recovering")], "player string, episode int, finding string, start_minute int, end_minute int, trend string")
+    level = spark.createDataFrame([("a", "high"), ("c", "normal")], "player string, level string")
+    got = {r.player: r.narrative for r in E.trajectory_narrative(e, level, KEYS).collect()}
+    assert got == {
+        "a": "2 episode(s): locomotor overload (from min~22) → cardio strain (ongoing) — progressive deterioration. Escalation: high.",
+        "b": "1 episode(s) of x y — improving trajectory from early match, to min~9. Escalation: normal.",
+        "c": "No significant episodes detected yet.",
+    }
