@@ -7,7 +7,7 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .evaluation import dynamic_threshold, normalised, normaliser
+from .evaluation import dynamic_threshold, normalised, normaliser, quantiles
 
 FEATURES = ("mean_speed", "max_speed", "mean_accel", "mean_x", "mean_y", "distance")
 
@@ -65,6 +65,41 @@ def regime_threshold(losses: DataFrame, regime: str, by: str, value: str) -> Dat
     return pairs.select(by, regime, F.when(own, F.col("threshold")).otherwise(F.col("_whole")).alias("threshold"), F.when(own, "regime").otherwise("player").alias("tracker"))
 
 
+def pooled_threshold(losses: DataFrame, value: str, least: int = 30, many: int = 150) -> float:
+    """dynamic_threshold() of all losses as one group, by exact quantiles over ranges: a few numbers reach the driver, and
+    no task meets all losses."""
+    known = losses.filter(F.col(value).isNotNull()).select(value)
+    if known.count() < least:
+        return float("inf")
+    at = lambda df, c, q: quantiles(df, c, (q,)).first()["q"][0]
+    clean = known.filter(F.col(value) <= at(known, value, 0.95))
+    n = clean.count()
+    if n < 15:
+        clean, n = known, known.count()
+    if n >= many:
+        return round(at(clean, value, 0.995), 9)
+    mid = at(clean, value, 0.5)
+    return round(mid + 5 * 1.4826 * at(clean.select(F.abs(F.col(value) - mid).alias("off")), "off", 0.5), 9)
+
+
+def resolve_thresholds(losses: DataFrame, regime: str, by: str, value: str, pilot: bool = False) -> DataFrame:
+    """by, regime, threshold, source: regime_threshold() for groups with enough losses of their own (per_player). With pilot
+    the others take the threshold of all groups' losses in the regime, or in all where the regime has too few
+    (pilot_pooled); else, and without a pooled one, they have none (none, null). There are a few dozen regimes."""
+    own = regime_threshold(losses, regime, by, value)
+    whole = dynamic_threshold(losses, by, value).select(by, (F.col("threshold") < float("inf")).alias("_own"))
+    r = own.join(whole, by, "left").withColumn("_own", F.coalesce("_own", F.lit(False)))
+    pooled = F.lit(None).cast("double")
+    if pilot and (all_ := pooled_threshold(losses, value)) < float("inf"):
+        cells = [x[0] for x in losses.select(regime).distinct().collect()]
+        each = {c: pooled_threshold(losses.filter(F.col(regime) == c), value) for c in cells if c is not None}
+        pairs = [F.lit(v) for c, t in each.items() if t < float("inf") for v in (c, t)]
+        pooled = F.coalesce(F.element_at(F.create_map(*pairs), F.col(regime)), F.lit(all_)) if pairs else F.lit(all_)
+    threshold = F.when(F.col("_own"), F.col("threshold")).otherwise(pooled)
+    source = F.when(F.col("_own"), "per_player").when(pooled.isNotNull(), "pilot_pooled").otherwise("none")
+    return r.select(by, regime, threshold.alias("threshold"), source.alias("source"))
+
+
 def kmeans_background(rows: DataFrame, k: int, columns: tuple[str, ...] = FEATURES, seed: int = 7) -> DataFrame:
     """Centres of k-means over distinct rows; no more centres than rows, of which a few stand for themselves."""
     d = VectorAssembler(inputCols=list(columns), outputCol="v", handleInvalid="skip").transform(rows.select(*columns).distinct())

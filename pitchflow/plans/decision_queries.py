@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decisions as D
 from ..operators import evaluation as E
+from ..operators import scoring
 from . import insight_queries as IQ
 from .views import oracle, view
 
@@ -75,6 +76,12 @@ def score_events(spark, d):
     return D.score_events(s)
 
 
+def resolved_thresholds(spark, d):
+    """Every fourth player has few losses, and one regime is rare."""
+    few = _losses(spark, d).filter("player_id % 4 > 0 OR event_id % 5 = 0").withColumn("regime", F.when(F.col("event_id") % 997 == 0, "defensive__low").otherwise(F.col("regime")))
+    return scoring.resolve_thresholds(few, "regime", "player_id", "loss", pilot=True)
+
+
 def score_measures(spark, d):
     """Records with measures: windows of the features, against their players' own means."""
     f = view(spark, d, "features")
@@ -108,7 +115,7 @@ def audit_report(spark, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (calibration_losses, score_decisions, fp_budget_threshold, fp_budget_by_player, evaluate_decisions, adapt_thresholds, coach_attribution, magnitude_proxy, xai_features, score_events, score_measures, feature_importance, inference_log, alert_payload, audit_report)}
+    return {f.__name__: f for f in (calibration_losses, score_decisions, fp_budget_threshold, fp_budget_by_player, evaluate_decisions, adapt_thresholds, coach_attribution, magnitude_proxy, xai_features, score_events, resolved_thresholds, score_measures, feature_importance, inference_log, alert_payload, audit_report)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -142,6 +149,10 @@ def oracle_sql() -> dict[str, str]:
  v AS (SELECT player_id, rn, bool_or(k = 'anomaly' AND s >= 2) x1, bool_or(k = 'fatigue' AND s >= 2) x2, bool_or(k = 'drift' AND s >= 2) x3, bool_or(k = 'workload' AND s >= 2) x4, max(s) FILTER (k = 'anomaly') s, max(p) FILTER (k = 'anomaly') p FROM m WHERE rn > 0 GROUP BY 1, 2)
  SELECT "window", player_id, x1 is_anomaly, x2 fatigue_flag, x3 drift_flag, x4 workload_flag, ['NONE', 'WATCH', 'WARNING', 'CRITICAL'][s + 1] alert_level, p persistence, coalesce(array_to_string([CASE WHEN x1 THEN 'anomaly:-:' || CASE WHEN c > 0.85 THEN 'high' ELSE 'medium' END || ':' || {conf('c')} END, CASE WHEN x2 THEN 'fatigue:' || CASE WHEN sl AND ns THEN 'speed_sprint_decline' WHEN sl THEN 'speed_decline' ELSE 'sprint_decline' END || CASE WHEN la THEN ':high:' ELSE ':medium:' END || {conf('c')} END,
   CASE WHEN x3 THEN 'drift:positional_zone_violation:medium:' || {conf('ds')} END, CASE WHEN x4 THEN 'workload:' || CASE WHEN q > 1.5 THEN 'acwr_overload' ELSE 'acwr_underload' END || ':' || CASE WHEN q > 1.8 OR q < 0.6 THEN 'high' ELSE 'medium' END || ':1.0000' END], ';'), '') signals FROM u JOIN v USING (player_id, rn)""",
+        "resolved_thresholds": f"""WITH {ls}, fw AS (SELECT player_id, loss, CASE WHEN event_id % 997 = 0 THEN 'defensive__low' ELSE regime END AS regime, 1 AS one FROM ls WHERE player_id % 4 > 0 OR event_id % 5 = 0), fk AS (SELECT *, player_id || '|' || regime AS k FROM fw),
+ tk AS ({thr('fk', 'k')}), tp AS ({thr('fk', 'player_id')}), tr AS ({thr('fk', 'regime')}), ta AS ({thr('fk', 'one')})
+ SELECT d.player_id, d.regime, round(CASE WHEN tp.threshold IS NOT NULL THEN coalesce(tk.threshold, tp.threshold) ELSE coalesce(tr.threshold, ta.threshold) END, 9) AS threshold, CASE WHEN tp.threshold IS NOT NULL THEN 'per_player' WHEN ta.threshold IS NOT NULL THEN 'pilot_pooled' ELSE 'none' END AS source
+ FROM (SELECT DISTINCT player_id, regime, k FROM fk) d LEFT JOIN tk ON tk.k = d.k LEFT JOIN tp ON tp.player_id = d.player_id LEFT JOIN tr ON tr.regime = d.regime, ta""",
         "score_measures": f"""WITH {ft}, b AS (SELECT player_id, avg(window_distance_m) m1, stddev_pop(window_distance_m) s1, avg(window_avg_speed_ms) m2, stddev_pop(window_avg_speed_ms) s2, avg(window_sprint_count) m3, stddev_pop(window_sprint_count) s3 FROM ft WHERE player_id % 7 > 0 GROUP BY 1)
  SELECT '1' schema_version, f.player_id, format('p{{:03d}}', f.player_id) external_id, match_id::VARCHAR match_id, bucket event_id, window_distance_m reconstruction_loss, 0.5::DOUBLE confidence, CASE WHEN seq % 4 > 0 THEN 45::DOUBLE END threshold, seq % 4 > 0 AND window_distance_m > 45 raw_threshold_breach, 'middle__low' regime, 'per_player' tracker_source,
  window_distance_m, window_avg_speed_ms, window_sprint_count::BIGINT window_sprint_ticks, round(coalesce(CASE WHEN s1 > 1e-9 THEN (window_distance_m - m1) / s1 END, 0), 6) baseline_distance_z, round(coalesce(CASE WHEN s2 > 1e-9 THEN (window_avg_speed_ms - m2) / s2 END, 0), 6) baseline_speed_z,
