@@ -3,6 +3,8 @@ speed_ms, acceleration_ms2, heart_rate_bpm, x_pitch, y_pitch; null marks an abse
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -185,9 +187,17 @@ def enrich_fatigue(ticks: DataFrame, baselines: DataFrame) -> DataFrame:
     return e.withColumns({"expected_speed": F.round(expected, 4), "residual": F.round((s - expected) * 15, 2), "speed_drop_pct": F.round(F.when(start > 0, (start - s) / start * 100).otherwise(0.0), 1)}).drop("_min", "alpha", "beta", "start_speed")
 
 
-def inject_faults(ticks: DataFrame, seed: int, dropout: float = 0.05, freeze: float = 0.05, spike: float = 0.02) -> DataFrame:
-    """Sensor faults by a hash of the tick's key, so that the same ticks fail wherever they run."""
-    u = F.pmod(F.xxhash64("match_id", "player_id", "event_id", F.lit(seed)), F.lit(1_000_000)) / 1e6
+def inject_faults(ticks: DataFrame, seed: int, dropout: float = 0.05, freeze: float = 0.05, spike: float = 0.02, jitter: float = 0.0) -> DataFrame:
+    """Sensor faults by a hash of the tick's key, so that the same ticks fail wherever they run. With jitter, places of
+    ticks that didn't drop out move by that deviation (normal, on the 0 to 100 of the pitch, within it), and ts_jitter_s
+    says by how many seconds, -2 to 2, the tick's time would be off."""
+    drawn = lambda k: F.pmod(F.xxhash64("match_id", "player_id", "event_id", F.lit(seed), *([F.lit(k)] if k else [])), F.lit(1_000_000)) / 1e6
+    u = drawn(0)
     before = F.lag("speed_ms").over(player_window())
     s = F.when(u < dropout, None).when(u < dropout + freeze, F.coalesce(before, F.col("speed_ms"))).when(u < dropout + freeze + spike, F.col("speed_ms") * 3).otherwise(F.col("speed_ms"))
-    return ticks.withColumn("fault", F.when(u < dropout, "dropout").when(u < dropout + freeze, "freeze").when(u < dropout + freeze + spike, "spike")).withColumn("speed_ms", s)
+    out = ticks.withColumn("fault", F.when(u < dropout, "dropout").when(u < dropout + freeze, "freeze").when(u < dropout + freeze + spike, "spike")).withColumn("speed_ms", s)
+    if jitter > 0:
+        far, angle = F.sqrt(-2 * F.log(drawn(1) + 5e-7)) * jitter, drawn(2) * (2 * math.pi)
+        moved = lambda c, by: F.when(F.coalesce(F.col("fault") == "dropout", F.lit(False)), F.col(c)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col(c) + by)))
+        out = out.withColumns({"x_pitch": moved("x_pitch", far * F.cos(angle)), "y_pitch": moved("y_pitch", far * F.sin(angle)), "ts_jitter_s": (F.floor(drawn(3) * 5) - 2).cast("int")})
+    return out

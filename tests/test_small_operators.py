@@ -114,3 +114,15 @@ def test_hulls_of_teams(spark):
     edges = [(a, b) for a in points for b in points if a != b and inside(a, [(a, b)]) and all(inside(p, [(a, b)]) for p in points)]
     assert abs(reports.hull_area(points) - sum(a[0] * b[1] - b[0] * a[1] for a, b in edges) / 2) < 1e-12
     assert reports.hull_area(set()) == reports.hull_area({(1.0, 1.0)}) == 0
+
+
+def test_jitter_moves_places_a_little(spark):
+    rows = [(1, p, k, k * 1_000_000, 1.0, 50.0, 99.9) for p in range(5) for k in range(200)]
+    df = spark.createDataFrame(rows, TICK + ", x_pitch double, y_pitch double")
+    out = telemetry.inject_faults(df, 4, jitter=0.3).collect()
+    x = [r.x_pitch - 50 for r in out if r.fault != "dropout"]
+    mean = sum(x) / len(x)
+    assert abs(mean) < 0.04 and 0.26 < (sum((v - mean) ** 2 for v in x) / len(x)) ** 0.5 < 0.34
+    assert all(r.x_pitch == 50.0 and r.y_pitch == 99.9 for r in out if r.fault == "dropout") and all(r.y_pitch <= 100 for r in out)
+    assert {r.ts_jitter_s for r in out} == {-2, -1, 0, 1, 2}
+    assert [r.fault for r in out] == [r.fault for r in telemetry.inject_faults(df, 4).collect()]
