@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.thresholds import TELEMETRY, TelemetryThresholds
-from ..operators.intervals import overlapping
+from ..operators.intervals import best_overlaps
 from ..operators.telemetry import clean_positions
 
 # Position codes, event labels and their canonical types, the columns by which files are told.
@@ -106,14 +106,9 @@ def classify_files(spark: SparkSession, path: str) -> DataFrame:
 def pair_bundles(statistics: DataFrame, others: DataFrame, tolerance_us: int = 7_200_000_000) -> DataFrame:
     """Files (file, kind, begin_us, end_us, roster) with the session (session_id, begin_us, end_us, roster) whose time
     overlaps within the tolerance, best by shared players, then the larger session id; else orphaned. Sessions without an
-    id are skipped. Times meet in cells (intervals.overlapping)."""
+    id are skipped. No pairs are formed (intervals.best_overlaps)."""
     wide = statistics.filter("session_id IS NOT NULL").select("session_id", "roster", (F.col("begin_us") - tolerance_us).alias("begin_us"), (F.coalesce("end_us", "begin_us") + tolerance_us).alias("end_us"))
-    shared = F.coalesce(F.size(F.array_intersect("l.roster", "r.roster")), F.lit(0))
-    best = F.max(F.struct(shared.alias("shared"), F.col("r.session_id").alias("session_id"))).alias("b")
-    found = overlapping(others.select("file", "kind", "roster", "begin_us", "end_us"), wide).groupBy(F.col("l.file").alias("file"), F.col("l.kind").alias("kind")).agg(best)
-    files = others.select("file", "kind").distinct()
-    same = files["file"].eqNullSafe(found["file"]) & files["kind"].eqNullSafe(found["kind"])
-    return files.join(found, same, "left").select(files["file"], files["kind"], "b.session_id", F.coalesce("b.shared", F.lit(0)).alias("shared"))
+    return best_overlaps(others, wide, ("file", "kind"), "session_id", "roster").withColumnRenamed("id", "session_id")
 
 
 def bundle_inventory(bundles: DataFrame, existing: DataFrame) -> DataFrame:

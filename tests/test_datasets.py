@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from pitchflow.operators import evaluation, intervals, journal, state, team
 from pitchflow.sources import readers
 
@@ -49,6 +51,31 @@ def test_bundles(spark):
     assert {(r.session_id, r.status) for r in readers.bundle_inventory(got, known).collect()} == {(None, "orphaned"), (1, "incomplete"), (2, "incomplete"), (3, "duplicate")}
 
 
+def test_bundles_without_pairs(spark):
+    """The best session of each file as from all pairs; many files and sessions at one time are not paired."""
+    rng = random.Random(5)
+    roster = lambda: rng.choice([None, [], [rng.randrange(6) for _ in range(rng.randrange(5))], [1, None]])
+    s, o = [(*x, roster()) for x in spans(3, 200)], [(str(i), "events", *x, roster()) for i, *x in spans(4, 200)]
+    tol = 2 * H
+    want = []
+    for f, kind, a, b, mine in o:
+        hits = [(0, -1)]
+        for i, c, d, theirs in s:
+            if None not in (a, c) and a <= max(c - tol, (c if d is None else d) + tol) and c - tol <= max(a, a if b is None else b):
+                hits.append((len(set(mine or []) & set(theirs or [])), i))
+        shared, best = max(hits)
+        want.append((f, kind, best if best >= 0 else None, shared))
+    files, sessions = "file string, kind string, begin_us bigint, end_us bigint, roster array<int>", "session_id int, begin_us bigint, end_us bigint, roster array<int>"
+    got = readers.pair_bundles(spark.createDataFrame(s, sessions), spark.createDataFrame(o, files))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    empty = readers.pair_bundles(spark.createDataFrame([], sessions), spark.createDataFrame(o[:3], files))
+    assert {(r.session_id, r.shared) for r in empty.collect()} == {(None, 0)} and empty.count() == 3
+    dense = spark.range(20_000).select(F.col("id").cast("int").alias("session_id"), F.lit(0).cast("bigint").alias("begin_us"), F.lit(H).alias("end_us"), F.array((F.col("id") % 7).cast("int")).alias("roster"))
+    at_once = readers.pair_bundles(dense, dense.select(F.col("session_id").cast("string").alias("file"), F.lit("events").alias("kind"), "begin_us", "end_us", "roster"))
+    assert {(r.file_group, r.session_id, r.shared) for r in at_once.select((F.col("file") % 7).cast("int").alias("file_group"), "session_id", "shared").distinct().collect()} == {(g, max(i for i in range(19_990, 20_000) if i % 7 == g), 1) for g in range(7)}
+
+
 def test_ids_on_one_side(spark):
     ticks, roster = spark.createDataFrame([(1,), (2,), (2,)], "player_id int"), spark.createDataFrame([(2, "x"), (3, "y")], "player_id int, name string")
     assert sorted((r.player_id, r.issue) for r in readers.id_differences(ticks, roster).select("player_id", "issue").collect()) == [(1, "not_in_roster"), (3, "without_ticks")]
