@@ -76,6 +76,13 @@ def test_bundles_without_pairs(spark):
     assert {(r.file_group, r.session_id, r.shared) for r in at_once.select((F.col("file") % 7).cast("int").alias("file_group"), "session_id", "shared").distinct().collect()} == {(g, max(i for i in range(19_990, 20_000) if i % 7 == g), 1) for g in range(7)}
 
 
+def test_inventory_forms_no_pairs(spark):
+    from pitchflow.plans import dataset_queries
+
+    plan = dataset_queries.bundle_inventory(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "cell" in plan and plan.count("Join") == 1  # of sessions with the known ones
+
+
 def test_ids_on_one_side(spark):
     ticks, roster = spark.createDataFrame([(1,), (2,), (2,)], "player_id int"), spark.createDataFrame([(2, "x"), (3, "y")], "player_id int, name string")
     assert sorted((r.player_id, r.issue) for r in readers.id_differences(ticks, roster).select("player_id", "issue").collect()) == [(1, "not_in_roster"), (3, "without_ticks")]
