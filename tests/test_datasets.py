@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from pitchflow.operators import evaluation, intervals, journal, state, team
+from pitchflow.operators import evaluation, fusion, intervals, journal, state, team
 from pitchflow.sources import readers
 
 SPAN = "id int, begin_us bigint, end_us bigint"
@@ -227,3 +227,24 @@ def test_squad_recalibration_as_rows(spark):
     rate = lambda k, n: evaluation.recalibrate_squad(spark.createDataFrame([("override" if i < k else "accept",) for i in range(n)] + [(None,)], "decision string")).collect()
     assert [(r.old, r.new) for r in rate(9, 12)] == [(0.05, 0.1)] and [r.new for r in rate(1, 40)] == [0.01]
     assert rate(3, 15) == rate(0, 15) == rate(5, 6) == []
+
+
+def test_claims_in_parts_equal_one_walk(spark):
+    """Claims found in the smallest groups, against one walk over all pairs, with equal times and distances; no join."""
+    rng = random.Random(9)
+    for n, m, span, tol in ((150, 40, 400, 9), (60, 60, 100, 30), (40, 90, 300, 20), (200, 50, 60, 5), (5, 0, 9, 5), (0, 5, 9, 5)):
+        ids = rng.sample(range(1000), n)
+        t = [(1, i, i, rng.randrange(span), "A", "shot") for i in ids]
+        c = [(1, i, i, rng.randrange(span), "A", "goal") for i in rng.sample(range(1000), m)]
+        taken, want = set(), []
+        for _, i, _, at, _, _ in sorted(c, key=lambda x: x[1]):
+            near = min(((abs(x[3] - at), x[1]) for x in t if x[1] not in taken and abs(x[3] - at) <= tol), default=None)
+            if near:
+                taken.add(near[1])
+                want.append((i, near[1], near[0]))
+        tracked = spark.createDataFrame(t, "match_id bigint, event_id bigint, player_id bigint, t_us bigint, team_id string, event_type string")
+        expected = fusion.expected_events(spark.createDataFrame(c, "match_id bigint, coach_event_id bigint, player_id bigint, t_us bigint, team_id string, event_type string"), {})
+        for group in (1, 20_000):
+            found = fusion.claims(tracked, expected, tol, group)
+            assert sorted(found.select("coach_event_id", "event_id", "dt_us").collect()) == want
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
