@@ -137,11 +137,15 @@ def session_features(buckets: DataFrame, dx: float = 15.0) -> DataFrame:
 
 
 def dedupe_player_match(stats: DataFrame, sums: tuple[str, ...], firsts: tuple[str, ...]) -> DataFrame:
-    """One row per (match, player): the full session's, else its halves added up with their first attributes."""
+    """One row per (match, player): the full session's, else its halves added up with their first attributes. Of several
+    full sessions the first in order of description, begin (begin_us, where the table has it) and figures counts, missing
+    ones first; an attribute is that of the first half that has it, by description, then begin, then the attribute itself."""
     full = F.col("description").contains(" vs. ")
-    keys = ["match_id", "player_id"]
-    whole = stats.filter(full).withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("description"))).filter("_n = 1").drop("_n").select(*keys, *sums, *firsts)
-    halves = stats.filter(~F.coalesce(full, F.lit(False))).join(whole.select(*keys), keys, "left_anti").groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("description"))).alias(c) for c in firsts])
+    keys, begin = ["match_id", "player_id"], [c for c in ("begin_us",) if c in stats.columns]
+    order = [F.col(c).asc_nulls_first() for c in ("description", *begin, *sums, *firsts)]
+    whole = stats.filter(full).withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n").select(*keys, *sums, *firsts)
+    first = lambda c: F.min(F.when(F.col(c).isNotNull() & F.col("description").isNotNull(), F.struct("description", *begin, F.col(c).alias("value"))))["value"]
+    halves = stats.filter(~F.coalesce(full, F.lit(False))).join(whole.select(*keys), keys, "left_anti").groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[first(c).alias(c) for c in firsts])
     return whole.unionByName(halves)
 
 

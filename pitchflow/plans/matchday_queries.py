@@ -114,8 +114,8 @@ def oracle_sql() -> dict[str, str]:
  {a}1 AS (SELECT a.*, b.t / (a.rn // 2) f, (a.t - b.t) / (a.rn - a.rn // 2) s FROM {a}0 a LEFT JOIN {a}0 b ON a.match_id = b.match_id AND a.player_id = b.player_id AND b.rn = a.rn // 2),
  {a} AS (SELECT match_id, player_id, bucket, CASE WHEN rn < 2 THEN 'stable' WHEN f = 0 THEN CASE WHEN s > 0 THEN 'increasing' ELSE 'stable' END WHEN (s - f) / abs(f) > 0.05 THEN 'increasing' WHEN (s - f) / abs(f) < -0.05 THEN 'decreasing' ELSE 'stable' END trend FROM {a}1)"""
     st = f"WITH s0 AS ({oracle('stats')}), st AS (SELECT * FROM s0 WHERE player_id IS NOT NULL)"
-    ded = lambda sums, firsts: f"""fl AS (SELECT *, row_number() OVER (PARTITION BY match_id, player_id ORDER BY description) k FROM st WHERE contains(description, ' vs. ')), fw AS (SELECT * FROM fl WHERE k = 1),
- hf AS (SELECT match_id, player_id, {", ".join(f"sum({c}) {c}" for c in sums)}, {", ".join(f"arg_min({c}, CASE WHEN {c} IS NOT NULL THEN description END) {c}" for c in firsts)} FROM st ANTI JOIN fw USING (match_id, player_id) GROUP BY 1, 2),
+    ded = lambda sums, firsts: f"""fl AS (SELECT *, row_number() OVER (PARTITION BY match_id, player_id ORDER BY {", ".join(f"{c} NULLS FIRST" for c in ("description", "begin_us", *sums, *firsts))}) k FROM st WHERE contains(description, ' vs. ')), fw AS (SELECT * FROM fl WHERE k = 1),
+ hf AS (SELECT match_id, player_id, {", ".join(f"sum({c}) {c}" for c in sums)}, {", ".join(f"(min({{'d': description, 'b': begin_us, 'v': {c}}}) FILTER ({c} IS NOT NULL AND description IS NOT NULL)).v {c}" for c in firsts)} FROM st ANTI JOIN fw USING (match_id, player_id) GROUP BY 1, 2),
  dd AS (SELECT match_id, player_id, {", ".join((*sums, *firsts))} FROM fw UNION ALL SELECT * FROM hf)"""
     roll = lambda src, metrics, order: f"""lg AS ({" UNION ALL ".join(f"SELECT player_id, '{m}' metric, coalesce({m}, 0) v, {order} FROM {src}" for m in metrics)}), rr AS (SELECT *, row_number() OVER (PARTITION BY player_id, metric ORDER BY o DESC, o2 DESC, o3 DESC) k FROM lg),
  ra AS (SELECT player_id, metric, max(v) FILTER (k = 1) la, avg(v) FILTER (k <= 5) m5, avg(v) FILTER (k <= 7) m7, avg(v) FILTER (k <= 10) m10, avg(v) s, count(*) n FROM rr GROUP BY 1, 2),

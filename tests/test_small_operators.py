@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from pitchflow.functions.thresholds import TELEMETRY
-from pitchflow.operators import reports, scoring, telemetry, workload
+from pitchflow.operators import matchday, reports, scoring, telemetry, workload
 from pitchflow.sources import payloads, readers
 from pitchflow.streaming import streams
 
@@ -126,3 +126,15 @@ def test_jitter_moves_places_a_little(spark):
     assert all(r.x_pitch == 50.0 and r.y_pitch == 99.9 for r in out if r.fault == "dropout") and all(r.y_pitch <= 100 for r in out)
     assert {r.ts_jitter_s for r in out} == {-2, -1, 0, 1, 2}
     assert [r.fault for r in out] == [r.fault for r in telemetry.inject_faults(df, 4).collect()]
+
+
+STATS = "match_id int, player_id int, description string, begin_us bigint, distance_m double, sprints double, accelerations double, decelerations double, distance_high_m double, distance_very_high_m double, time_on_field_s double, position string, team string, ownership string"
+WHOLE = [(1, 1, "A vs. B", at, d, 1.0, 1.0, 1.0, d, None, d, pos, "A", "OWN") for at, d, pos in ((5, 9.0, "back"), (3, 7.0, "wing"), (3, 7.0, None), (4, 1.0, "keeper"))]
+HALVES = [(1, 2, d, at, 2.0, 1.0, 1.0, 1.0, 1.0, 1.0, 2.0, pos, "A", own) for d, at, pos, own in (("half 1", 5, "back", "OWN"), ("half 1", 3, "wing", "OPPONENT"), ("half 1", 3, "keeper", "OPPONENT"), ("half 0", 1, None, None), (None, 0, "none", None))]
+
+
+def test_roster_of_repeated_sessions(spark):
+    """Sessions and halves of equal descriptions: the earliest counts, then figures, whatever the order of the rows."""
+    for rows in (WHOLE + HALVES, (WHOLE + HALVES)[::-1]):
+        got = matchday.match_roster(spark.createDataFrame(rows, STATS)).select("player_id", "position", "time_on_field_s").orderBy("player_id").collect()
+        assert list(map(tuple, got)) == [(1, None, 7.0), (2, "keeper", 10.0)]
