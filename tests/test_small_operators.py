@@ -138,3 +138,10 @@ def test_roster_of_repeated_sessions(spark):
     for rows in (WHOLE + HALVES, (WHOLE + HALVES)[::-1]):
         got = matchday.match_roster(spark.createDataFrame(rows, STATS)).select("player_id", "position", "time_on_field_s").orderBy("player_id").collect()
         assert list(map(tuple, got)) == [(1, None, 7.0), (2, "keeper", 10.0)]
+
+
+def test_metrics_of_repeated_sessions(spark):
+    loads = spark.createDataFrame([], "match_id int, player_id int, " + ", ".join(f"{c} double" for c in matchday.LOADS))
+    for rows in (WHOLE + HALVES, (WHOLE + HALVES)[::-1]):
+        got = matchday.player_match_metrics(spark.createDataFrame(rows, STATS), loads).select("player_id", "ownership", "distance_m").orderBy("player_id").collect()
+        assert list(map(tuple, got)) == [(1, "OWN", 7.0), (2, "OPPONENT", 10.0)]
