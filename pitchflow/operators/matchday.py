@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .workload import dedupe_player_match, half_split_trend, rolling_metrics, workload_status
+from .workload import dedupe_player_match, figure, half_split_trend, rolling_metrics, workload_status
 
 # Minutes of a match's segments, the loads of a window, what is summed over a session's halves.
 SEGMENTS = ((0, 15), (15, 30), (30, 45), (45, 60), (60, 75), (75, 90))
@@ -97,7 +97,7 @@ def player_trends(stats: DataFrame) -> DataFrame:
     order = "begin_us" if "begin_us" in stats.columns else "match_id"
     metrics = ("distance_m", "sprints", "accelerations", "decelerations", "high_intensity_actions")
     r = rolling_metrics(own.fillna(0, list(metrics)).withColumn("_order", F.struct(F.col(order).alias("o"), "match_id", "description")), metrics, order="_order")
-    return r.select("player_id", "metric", *[F.round(c, 6).alias(c) for c in ("last", "mean5", "mean7", "mean10", "season")], F.col("n").alias("n_matches"), "trend")
+    return r.select("player_id", "metric", *[figure(c) for c in ("last", "mean5", "mean7", "mean10", "season")], F.col("n").alias("n_matches"), "trend")
 
 
 def load_trends(loads: DataFrame, matches: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def load_trends(loads: DataFrame, matches: DataFrame) -> DataFrame:
     a = recent.groupBy("player_id").agg(F.max(F.when(F.col("_rn") == 1, F.col("_l"))).alias("acute"), F.avg(F.when(F.col("_rn") <= 4, F.col("_l"))).alias("chronic"))
     ratio = F.when(F.col("chronic") != 0, F.round(F.col("acute") / F.col("chronic"), 6))
     a = a.select("player_id", F.round("acute", 6).alias("acute_load"), F.round("chronic", 6).alias("chronic_load"), ratio.alias("acwr"))
-    return rolled.select("player_id", "metric", *[F.round(c, 6).alias(c) for c in ("last", "mean5", "mean7", "mean10", "season")], F.col("n").alias("n_matches"), "trend").join(a, "player_id")
+    return rolled.select("player_id", "metric", *[figure(c) for c in ("last", "mean5", "mean7", "mean10", "season")], F.col("n").alias("n_matches"), "trend").join(a, "player_id")
 
 
 def label_windows(windows: DataFrame, labels: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,15 +21,21 @@ def workload_windows(buckets: DataFrame, high_intensity: float = 4.17) -> DataFr
     })
 
 
+def figure(c: str) -> Column:
+    """A mean at nine decimals, then half up to six, so that the last bits of a double decide nothing."""
+    return F.round(F.round(c, 9), 6).alias(c)
+
+
 def half_split_trend(rows: DataFrame, value: str, keys: tuple[str, ...], order: tuple[str, ...], band: float = 0.05) -> DataFrame:
     """trend of each row's prefix: the mean of its first half against that of the rest. Prefix sums give both: row n's
-    half is the running sum at row floor(n / 2), joined by row number, so the work is linear."""
+    half is the running sum at row floor(n / 2), joined by row number, so the work is linear. The change is taken at nine
+    decimals: one of exactly the band is stable, in whatever order a sum's last bits came about."""
     w = W.partitionBy(*keys).orderBy(*order)
     p = rows.select(*keys, *order, F.row_number().over(w).alias("rn"), F.sum(value).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("total"))
     half = p.select(*keys, F.col("rn").alias("h"), F.col("total").alias("half_total"))
     j = p.withColumn("h", F.floor(F.col("rn") / 2).cast("int")).join(half, [*keys, "h"], "left")
     first, rest = F.col("half_total") / F.col("h"), (F.col("total") - F.col("half_total")) / (F.col("rn") - F.col("h"))
-    change = (rest - first) / F.abs(first)
+    change = F.round((rest - first) / F.abs(first), 9)
     trend = F.when(F.col("rn") < 2, "stable").when(first == 0, F.when(rest > 0, "increasing").otherwise("stable")).when(change > band, "increasing").when(change < -band, "decreasing").otherwise("stable")
     return j.select(*keys, *order, trend.alias("trend"))
 
@@ -43,13 +49,13 @@ def workload_status(rows: DataFrame, load: str, key: str) -> DataFrame:
 
 def rolling_metrics(rows: DataFrame, metrics: tuple[str, ...], player: str = "player_id", order: str = "match_id", band: float = 0.05) -> DataFrame:
     """Per player and metric: last value, means of the last 5, 7 and 10 matches and of all, and the trend of the last 5
-    against all."""
+    against all, by a change at nine decimals."""
     long = rows.unpivot([player, order], list(metrics), "metric", "value")
     rn = F.row_number().over(W.partitionBy(player, "metric").orderBy(F.col(order).desc()))
     r = long.withColumn("rn", rn)
     mean = lambda n: F.avg(F.when(F.col("rn") <= n, F.col("value")))
     out = r.groupBy(player, "metric").agg(F.max(F.when(F.col("rn") == 1, F.col("value"))).alias("last"), mean(5).alias("mean5"), mean(7).alias("mean7"), mean(10).alias("mean10"), F.avg("value").alias("season"), F.count("*").alias("n"))
-    change = (F.col("mean5") - F.col("season")) / F.abs("season")
+    change = F.round((F.col("mean5") - F.col("season")) / F.abs("season"), 9)
     trend = F.when(F.col("season") == 0, F.when(F.col("mean5") == 0, "stable").otherwise("improving")).when(change > band, "improving").when(change < -band, "declining").otherwise("stable")
     return out.withColumn("trend", trend)
 

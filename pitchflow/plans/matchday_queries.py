@@ -112,14 +112,14 @@ def oracle_sql() -> dict[str, str]:
     own = "ow AS (SELECT w.* FROM ww w WHERE player_id % 2 = 0)"
     trend = lambda c, a: f"""{a}0 AS (SELECT match_id, player_id, bucket, row_number() OVER w rn, sum({c}) OVER (w ROWS UNBOUNDED PRECEDING) t FROM ow WINDOW w AS (PARTITION BY match_id, player_id ORDER BY bucket)),
  {a}1 AS (SELECT a.*, b.t / (a.rn // 2) f, (a.t - b.t) / (a.rn - a.rn // 2) s FROM {a}0 a LEFT JOIN {a}0 b ON a.match_id = b.match_id AND a.player_id = b.player_id AND b.rn = a.rn // 2),
- {a} AS (SELECT match_id, player_id, bucket, CASE WHEN rn < 2 THEN 'stable' WHEN f = 0 THEN CASE WHEN s > 0 THEN 'increasing' ELSE 'stable' END WHEN (s - f) / abs(f) > 0.05 THEN 'increasing' WHEN (s - f) / abs(f) < -0.05 THEN 'decreasing' ELSE 'stable' END trend FROM {a}1)"""
+ {a} AS (SELECT match_id, player_id, bucket, CASE WHEN rn < 2 THEN 'stable' WHEN f = 0 THEN CASE WHEN s > 0 THEN 'increasing' ELSE 'stable' END WHEN round((s - f) / abs(f), 9) > 0.05 THEN 'increasing' WHEN round((s - f) / abs(f), 9) < -0.05 THEN 'decreasing' ELSE 'stable' END trend FROM {a}1)"""
     st = f"WITH s0 AS ({oracle('stats')}), st AS (SELECT * FROM s0 WHERE player_id IS NOT NULL)"
     ded = lambda sums, firsts: f"""fl AS (SELECT *, row_number() OVER (PARTITION BY match_id, player_id ORDER BY {", ".join(f"{c} NULLS FIRST" for c in ("description", "begin_us", *sums, *firsts))}) k FROM st WHERE contains(description, ' vs. ')), fw AS (SELECT * FROM fl WHERE k = 1),
  hf AS (SELECT match_id, player_id, {", ".join(f"sum({c}) {c}" for c in sums)}, {", ".join(f"(min({{'d': description, 'b': begin_us, 'v': {c}}}) FILTER ({c} IS NOT NULL AND description IS NOT NULL)).v {c}" for c in firsts)} FROM st ANTI JOIN fw USING (match_id, player_id) GROUP BY 1, 2),
  dd AS (SELECT match_id, player_id, {", ".join((*sums, *firsts))} FROM fw UNION ALL SELECT * FROM hf)"""
     roll = lambda src, metrics, order: f"""lg AS ({" UNION ALL ".join(f"SELECT player_id, '{m}' metric, coalesce({m}, 0) v, {order} FROM {src}" for m in metrics)}), rr AS (SELECT *, row_number() OVER (PARTITION BY player_id, metric ORDER BY o DESC, o2 DESC, o3 DESC) k FROM lg),
  ra AS (SELECT player_id, metric, max(v) FILTER (k = 1) la, avg(v) FILTER (k <= 5) m5, avg(v) FILTER (k <= 7) m7, avg(v) FILTER (k <= 10) m10, avg(v) s, count(*) n FROM rr GROUP BY 1, 2),
- rl AS (SELECT player_id, metric, round(la, 6) AS last, round(m5, 6) mean5, round(m7, 6) mean7, round(m10, 6) mean10, round(s, 6) season, n n_matches, CASE WHEN s = 0 THEN CASE WHEN m5 = 0 THEN 'stable' ELSE 'improving' END WHEN (m5 - s) / abs(s) > 0.05 THEN 'improving' WHEN (m5 - s) / abs(s) < -0.05 THEN 'declining' ELSE 'stable' END trend FROM ra)"""
+ rl AS (SELECT player_id, metric, round(CAST(la AS DECIMAL(38, 9)), 6)::DOUBLE AS last, round(CAST(m5 AS DECIMAL(38, 9)), 6)::DOUBLE mean5, round(CAST(m7 AS DECIMAL(38, 9)), 6)::DOUBLE mean7, round(CAST(m10 AS DECIMAL(38, 9)), 6)::DOUBLE mean10, round(CAST(s AS DECIMAL(38, 9)), 6)::DOUBLE season, n n_matches, CASE WHEN s = 0 THEN CASE WHEN m5 = 0 THEN 'stable' ELSE 'improving' END WHEN round((m5 - s) / abs(s), 9) > 0.05 THEN 'improving' WHEN round((m5 - s) / abs(s), 9) < -0.05 THEN 'declining' ELSE 'stable' END trend FROM ra)"""
     segs = ", ".join(f"('{a}-{b}', {a}, {b})" for a, b in M.SEGMENTS)
     lead = "concat_ws(';', " + ", ".join(f"'{c}:' || coalesce((SELECT string_agg(player_id::VARCHAR, ',' ORDER BY k) FROM (SELECT player_id, row_number() OVER (ORDER BY round({c}, 6) DESC, player_id) k FROM pp WHERE pp.match_id = g.match_id AND pp.seg = g.seg AND {c} > 0) WHERE k <= 3), '')" for c in ld) + ")"
     zz = lambda c: f"round(CASE WHEN {c}_std <> 0 AND {c} IS NOT NULL THEN ({c} - {c}_mean) / {c}_std ELSE 0 END, 6) z_{c}"

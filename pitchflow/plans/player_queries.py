@@ -30,7 +30,7 @@ def workload_status(spark, d):
 
 def rolling_metrics(spark, d):
     r = L.rolling_metrics(view(spark, d, "loads"), METRICS)
-    return r.select("player_id", "metric", *[F.round(c, 6).alias(c) for c in ("last", "mean5", "mean7", "mean10", "season")], "n", "trend")
+    return r.select("player_id", "metric", *[L.figure(c) for c in ("last", "mean5", "mean7", "mean10", "season")], "n", "trend")
 
 
 def acwr_matches(spark, d):
@@ -194,10 +194,10 @@ def oracle_sql() -> dict[str, str]:
     rec = lambda first, rest, out: f"""WITH RECURSIVE ev AS ({oracle('scored')}), q AS (SELECT *, row_number() OVER ({pw}) rn FROM {{src}}), f AS ({first} FROM q WHERE rn = 1 UNION ALL {rest} FROM f JOIN q ON q.player_id = f.player_id AND q.rn = f.rn + 1) {out}"""
     return {
         "half_split_trend": f"""{tel}, r AS (SELECT *, row_number() OVER ({pw}) rn, sum(speed_ms) OVER ({pw} ROWS UNBOUNDED PRECEDING) t FROM ev), j AS (SELECT a.event_id, a.rn, b.t / (a.rn // 2) f, (a.t - b.t) / (a.rn - a.rn // 2) s FROM r a LEFT JOIN r b ON a.player_id = b.player_id AND b.rn = a.rn // 2)
- SELECT event_id, CASE WHEN rn < 2 THEN 'stable' WHEN f = 0 THEN CASE WHEN s > 0 THEN 'increasing' ELSE 'stable' END WHEN (s - f) / abs(f) > 0.05 THEN 'increasing' WHEN (s - f) / abs(f) < -0.05 THEN 'decreasing' ELSE 'stable' END trend FROM j""",
+ SELECT event_id, CASE WHEN rn < 2 THEN 'stable' WHEN f = 0 THEN CASE WHEN s > 0 THEN 'increasing' ELSE 'stable' END WHEN round((s - f) / abs(f), 9) > 0.05 THEN 'increasing' WHEN round((s - f) / abs(f), 9) < -0.05 THEN 'decreasing' ELSE 'stable' END trend FROM j""",
         "workload_status": f"{rs}, l AS (SELECT match_id, player_id, bucket, round(distance, 4) AS load FROM rsm), c AS (SELECT match_id, quantile_cont(load, 0.33) a, quantile_cont(load, 0.66) b FROM l GROUP BY 1) SELECT match_id, player_id, bucket, load, CASE WHEN load <= a THEN 'low' WHEN load >= b THEN 'high' ELSE 'normal' END status FROM l JOIN c USING (match_id)",
         "rolling_metrics": f"""{ld}, lg AS ({long}), r AS (SELECT *, row_number() OVER (PARTITION BY player_id, metric ORDER BY match_id DESC) rn FROM lg), a AS (SELECT player_id, metric, max(v) FILTER (rn = 1) AS last, avg(v) FILTER (rn <= 5) m5, avg(v) FILTER (rn <= 7) m7, avg(v) FILTER (rn <= 10) m10, avg(v) s, count(*) n FROM r GROUP BY 1, 2)
- SELECT player_id, metric, round(last, 6) AS last, round(m5, 6) mean5, round(m7, 6) mean7, round(m10, 6) mean10, round(s, 6) season, n, CASE WHEN s = 0 THEN CASE WHEN m5 = 0 THEN 'stable' ELSE 'improving' END WHEN (m5 - s) / abs(s) > 0.05 THEN 'improving' WHEN (m5 - s) / abs(s) < -0.05 THEN 'declining' ELSE 'stable' END trend FROM a""",
+ SELECT player_id, metric, round(CAST(last AS DECIMAL(38, 9)), 6)::DOUBLE AS last, round(CAST(m5 AS DECIMAL(38, 9)), 6)::DOUBLE mean5, round(CAST(m7 AS DECIMAL(38, 9)), 6)::DOUBLE mean7, round(CAST(m10 AS DECIMAL(38, 9)), 6)::DOUBLE mean10, round(CAST(s AS DECIMAL(38, 9)), 6)::DOUBLE season, n, CASE WHEN s = 0 THEN CASE WHEN m5 = 0 THEN 'stable' ELSE 'improving' END WHEN round((m5 - s) / abs(s), 9) > 0.05 THEN 'improving' WHEN round((m5 - s) / abs(s), 9) < -0.05 THEN 'declining' ELSE 'stable' END trend FROM a""",
         "acwr_matches": f"{ld}, r AS (SELECT player_id, (acceleration_load + deceleration_load)::DOUBLE AS load, row_number() OVER (PARTITION BY player_id ORDER BY match_id DESC) rn FROM ev), a AS (SELECT player_id, max(load) FILTER (rn = 1) ac, avg(load) ch FROM r WHERE rn <= 4 GROUP BY 1) SELECT player_id, round(ac, 6) acute, round(ch, 6) chronic, round(CASE WHEN ch <> 0 THEN ac / ch END, 6) acwr FROM a",
         "acwr_daily": f"""{ss}, a AS (SELECT *, DATE '1998-08-01' - started_on age FROM ev WHERE started_on <= DATE '1998-08-01'), g AS (SELECT player_id, avg(total_distance_m) FILTER (age < 90) a, avg(total_distance_m) FILTER (age < 365) c, arg_max(total_distance_m, (-age, session_id)) l FROM a GROUP BY 1),
  h AS (SELECT player_id, coalesce(a, l) ac, coalesce(c, l) ch FROM g), k AS (SELECT *, CASE WHEN ch = 0 THEN 1 ELSE ac / ch END r FROM h) SELECT player_id, round(ac, 7) acute, round(ch, 7) chronic, round(r, 6) acwr, CASE WHEN r > 1.5 THEN 'high_risk' WHEN r < 0.8 THEN 'low_readiness' ELSE 'optimal' END flag FROM k""",

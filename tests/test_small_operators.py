@@ -145,3 +145,10 @@ def test_metrics_of_repeated_sessions(spark):
     for rows in (WHOLE + HALVES, (WHOLE + HALVES)[::-1]):
         got = matchday.player_match_metrics(spark.createDataFrame(rows, STATS), loads).select("player_id", "ownership", "distance_m").orderBy("player_id").collect()
         assert list(map(tuple, got)) == [(1, "OWN", 7.0), (2, "OPPONENT", 10.0)]
+
+
+def test_half_split_change_of_exactly_the_band(spark):
+    """2.1 after 2.0 is a change of 0.05, not of more, whatever the last bits of doubles say."""
+    rows = spark.createDataFrame([(1, 1, 2.0), (1, 2, 2.1), (2, 1, 2.0), (2, 2, 2.100001)], "p int, i int, v double")
+    got = workload.half_split_trend(rows, "v", ("p",), ("i",)).filter("i = 2").orderBy("p").collect()
+    assert [r.trend for r in got] == ["stable", "increasing"]
