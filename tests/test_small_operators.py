@@ -152,3 +152,10 @@ def test_half_split_change_of_exactly_the_band(spark):
     rows = spark.createDataFrame([(1, 1, 2.0), (1, 2, 2.1), (2, 1, 2.0), (2, 2, 2.100001)], "p int, i int, v double")
     got = workload.half_split_trend(rows, "v", ("p",), ("i",)).filter("i = 2").orderBy("p").collect()
     assert [r.trend for r in got] == ["stable", "increasing"]
+
+
+def test_rolling_change_of_exactly_the_band(spark):
+    """2.1 against 2.0 is a change of 0.05, not of more, whatever the last bits of doubles say; means are half up."""
+    rows = spark.createDataFrame([(1, m, 2.1 if m else 1.5) for m in range(6)] + [(2, 1, 0.000001), (2, 2, 0.000002)], "player_id int, match_id int, v double")
+    got = {r.player_id: r for r in workload.rolling_metrics(rows, ("v",)).withColumn("f", workload.figure("season")).collect()}
+    assert got[1].trend == "stable" and got[2].f == 0.000002
