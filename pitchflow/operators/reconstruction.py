@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Holds a step's weights where few steps are there.
 RIDGE = 1e-6
+#: Windows are wide: tasks work through so many at once, and batches between Spark and Python hold so many.
+PIECE, BATCH_ROWS = 256, 1000
 
 
 def stacked_windows(ticks: DataFrame, channels: tuple[str, ...], keys: tuple[str, ...], order: tuple[str, ...], steps: int = 8) -> DataFrame:
@@ -62,8 +64,22 @@ class WindowModel:
         return off.sum(1) / (mask.sum(1) * n + 1e-8)
 
 
-def _read(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return np.stack(rows["values"].to_list()).astype(float), np.stack(rows["mask"].to_list()).astype(bool)
+def _pieces(batches: Iterator[pa.RecordBatch], steps: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The batches in pieces of at most PIECE rows, with values (rows x cells) and mask (rows x steps), read from Arrow's
+    buffers. A task's memory is that of a few pieces beside one batch, however many rows it has."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE):
+            rows = batch.slice(at, PIECE)
+            mask = rows.column("mask").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), steps)
+            yield rows, rows.column("values").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1), mask
+
+
+def _batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the batches that its session hands to Python where they are not bounded more tightly."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
 
 
 def fit_windows(windows: DataFrame, channels: tuple[str, ...], steps: int = 8, k: int = 8, rounds: int = 10, seed: int = 3) -> WindowModel:
@@ -84,19 +100,17 @@ def fit_windows(windows: DataFrame, channels: tuple[str, ...], steps: int = 8, k
     for _ in range(rounds):
         shared = windows.sparkSession.sparkContext.broadcast(model)
 
-        def add(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m: WindowModel = shared.value
             gram, cross = np.zeros((steps, k, k)), np.zeros((steps * n, k))
-            for rows in batches:
-                if len(rows):
-                    x, mask = _read(rows)
-                    z = m.normal(x) * np.repeat(mask, n, axis=1)
-                    c = m.codes(z, mask)
-                    gram += np.einsum("nt,ni,nj->tij", mask.astype(float), c, c)
-                    cross += z.T @ c
-            yield pd.DataFrame({"sums": [np.concatenate([gram.ravel(), cross.ravel()]).tolist()]})
-
-        parts = kept.mapInPandas(add, "sums array<double>").select(F.posexplode("sums").alias("i", "v"))
+            for _, x, mask in _pieces(batches, steps):
+                z = m.normal(x) * np.repeat(mask, n, axis=1)
+                c = m.codes(z, mask)
+                gram += np.einsum("nt,ni,nj->tij", mask.astype(float), c, c)
+                cross += z.T @ c
+            yield pa.RecordBatch.from_pydict({"sums": [np.concatenate([gram.ravel(), cross.ravel()])]})
+
+        parts = _batches(kept).mapInArrow(add, "sums array<double>").select(F.posexplode("sums").alias("i", "v"))
         total = np.zeros(steps * k * k + steps * n * k)
         for r in parts.groupBy("i").agg(F.sum("v").alias("v")).collect():  # as many numbers as a task's
             total[r["i"]] = r["v"]
@@ -111,14 +125,13 @@ def score_windows(windows: DataFrame, model: WindowModel) -> DataFrame:
     """windows with a column loss. Windows without a step have a loss of 0."""
     shared = windows.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows):
-                x, mask = _read(rows)
-                yield rows.assign(loss=shared.value.loss(shared.value.normal(x), mask))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: WindowModel = shared.value
+        for rows, x, mask in _pieces(batches, m.steps):
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(m.loss(m.normal(x), mask))], [*rows.schema.names, "loss"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema)
-    return windows.mapInPandas(run, f"{schema}, loss double")
+    return _batches(windows).mapInArrow(run, f"{schema}, loss double")
 
 
 def window_background(windows: DataFrame, model: WindowModel, k: int = 10, seed: int = 7) -> np.ndarray:
@@ -141,12 +154,9 @@ def ablate_windows(windows: DataFrame, model: WindowModel, background: np.ndarra
     shared = windows.sparkSession.sparkContext.broadcast((model, background))
     n = len(model.channels)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, back = shared.value
-        for rows in batches:
-            if not len(rows):
-                continue
-            x, mask = _read(rows)
+        for rows, x, mask in _pieces(batches, m.steps):
             z = m.normal(x)
             loss = m.loss(z, mask)
             base = m.loss(np.tile(back, (len(z), 1)), mask)
@@ -155,7 +165,9 @@ def ablate_windows(windows: DataFrame, model: WindowModel, background: np.ndarra
                 other = z.copy()
                 other[:, f::n] = back[f::n]
                 effect[:, f] = m.loss(other, mask) - loss
-            yield rows.assign(loss=loss, base_value=base, attribution=[dict(zip(m.channels, e, strict=True)) for e in effect.tolist()])
+            names = pa.array(m.channels).take(pa.array(np.tile(np.arange(n), len(z))))
+            told = pa.MapArray.from_arrays(pa.array(np.arange(len(z) + 1) * n, pa.int32()), names, pa.array(effect.ravel()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(loss), pa.array(base), told], [*rows.schema.names, "loss", "base_value", "attribution"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema)
-    return windows.mapInPandas(run, f"{schema}, loss double, base_value double, attribution map<string,double>")
+    return _batches(windows).mapInArrow(run, f"{schema}, loss double, base_value double, attribution map<string,double>")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from pitchflow.operators import reconstruction as R
 
@@ -95,3 +96,13 @@ def test_stacked_windows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     model = R.fit_windows(empty, CHANNELS, 4, 2, 2)
     assert R.score_windows(empty, model).count() == 0 and not R.window_background(empty, model).any()
+
+
+def test_pieces_bound_what_a_task_holds():
+    """One large batch is worked through in pieces that view its buffers; slices and empty batches, too."""
+    n = 3 * R.PIECE + 5
+    batch = pa.RecordBatch.from_arrays([pa.array([[float(i)] * 4 for i in range(n)]), pa.array([[i % 2 == 0, True] for i in range(n)])], ["values", "mask"])
+    got = list(R._pieces(iter([batch, batch.slice(0, 0), batch.slice(7, 2)]), 2))
+    assert [len(r) for r, _, _ in got] == [R.PIECE] * 3 + [5, 2]
+    assert np.concatenate([x for _, x, _ in got])[:, 0].tolist() == [*map(float, range(n)), 7.0, 8.0]
+    assert got[-1][2].tolist() == [[False, True], [True, True]] and np.shares_memory(got[0][1], batch.column("values").flatten().to_numpy())
