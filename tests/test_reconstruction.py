@@ -106,3 +106,19 @@ def test_pieces_bound_what_a_task_holds():
     assert [len(r) for r, _, _ in got] == [R.PIECE] * 3 + [5, 2]
     assert np.concatenate([x for _, x, _ in got])[:, 0].tolist() == [*map(float, range(n)), 7.0, 8.0]
     assert got[-1][2].tolist() == [[False, True], [True, True]] and np.shares_memory(got[0][1], batch.column("values").flatten().to_numpy())
+
+
+def test_ablation_of_many_windows_in_one_task(spark):
+    """Pieces of one task give what single windows give, and the session's batches are bounded."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=12).tolist(), [bool(i % 3), True, True, bool(i % 2)]) for i in range(R.PIECE + 40)]
+    m = R.WindowModel(CHANNELS, 4, np.zeros(3), np.ones(3), np.linalg.qr(rng.normal(size=(12, 2)))[0])
+    got = R.ablate_windows(spark.createDataFrame(rows, SCHEMA).coalesce(1), m, np.zeros(12)).orderBy("id").collect()
+    for i in (0, R.PIECE - 1, R.PIECE, R.PIECE + 39):
+        x, mask = np.array([rows[i][1]]), np.array([rows[i][2]])
+        loss = m.loss(x, mask)[0]
+        other = x.copy()
+        other[:, 1::3] = 0
+        assert abs(got[i].loss - loss) < 1e-12 and abs(got[i].attribution["b"] - (m.loss(other, mask)[0] - loss)) < 1e-12
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= R.BATCH_ROWS
