@@ -112,14 +112,19 @@ def releasing(f):
     @functools.wraps(f)
     def run(batches: Iterator, *args, **options) -> Iterator:
         yield from f(batches, *args, **options)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        given_back()
 
     return run
 
 
+def given_back() -> None:
+    """Gives freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers that start from now on find this package where the driver found it, and bounds the session's
     batches for them where they are not bounded more tightly."""

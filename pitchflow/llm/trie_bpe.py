@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import split_words
-from .common import Memo, releasing, text_slices
+from .common import SLICE_BYTES, Memo, given_back, releasing, text_slices
 
 #: Stands for the end-of-word mark inside words; it can't occur in byte-level characters.
 END = "\x00"
 SCHEMA = "doc_id {id}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+#: How many words and chunks a worker remembers and the bytes of a slice: where it has an executor to itself, and where
+#: other stages' memory lies beside it. Neither changes a result.
+ROOMY, NARROW = (200_000, 300_000, SLICE_BYTES), (60_000, 30_000, SLICE_BYTES // 4)
 
 
 class TrieBPE:
@@ -57,7 +60,11 @@ class TrieBPE:
             x, y, whole = model["vocab"][a], model["vocab"][b], model["vocab"][a + b]
             self.rank[whole], self.parts[whole], self.merges[x, y] = r, (x, y), r
         self.beside: dict[int, bool] = {}
-        self.word_ids, self.chunk_memo = Memo(200_000), Memo(300_000)
+        self.remember(*ROOMY[:2])
+
+    def remember(self, words: int, chunks: int) -> None:
+        """Forgets all words and chunks, and bounds how many of them it remembers from now on."""
+        self.word_ids, self.chunk_memo = Memo(words), Memo(chunks)
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token b may follow token a: going back in time, undo the later of the two borders' merges, and see
@@ -169,7 +176,11 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 @releasing
 def _digests(batches: Iterator[pa.RecordBatch], path: str, forget: bool = False) -> Iterator[pa.RecordBatch]:
     bpe = trie_bpe(path)
-    for part, texts in text_slices(batches, "text"):
+    words, chunks, size = NARROW if forget else ROOMY
+    if forget:
+        bpe.remember(words, chunks)
+        given_back()
+    for part, texts in text_slices(batches, "text", size):
         cut, known = bpe.fill(texts)
         n, ids_of, text_of = [], [], []
         for chunks in cut:
@@ -179,7 +190,7 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str, forget: bool = False)
             text_of.append(hashlib.sha256(" ".join([v[2] for v in found]).encode()).hexdigest())
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_of), pa.array(text_of)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     if forget:
-        bpe.word_ids, bpe.chunk_memo = Memo(200_000), Memo(300_000)
+        bpe.remember(*ROOMY[:2])
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -202,8 +213,8 @@ def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     """doc_id, n_tokens, and SHA-256 of the ids' decimal text and of the decoded text, per row of docs.
 
     A map without any shuffle: every task encodes its own documents, and a worker keeps a bounded memo of words, so
-    prefixes that many words share are worked out once (with forget, each task begins anew and leaves the memory to what
-    runs after it in the same worker). Null and empty text have no tokens and the digests of "".
+    prefixes that many words share are worked out once (with forget, each task begins anew, keeps a small memo, and leaves
+    the memory to what runs beside it and after it). Null and empty text have no tokens and the digests of "".
     Rows with equal or null ids each keep a row; an empty table gives an empty result; other columns are not read."""
     narrow = _narrow(docs, id_col, text_col)
     return narrow.mapInArrow(partial(_digests, path=tokenizer, forget=forget), SCHEMA.format(id=narrow.schema["doc_id"].dataType.simpleString()))

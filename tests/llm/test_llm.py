@@ -185,6 +185,22 @@ def test_trie_encodes_and_decodes(spark, odd, texts):
     assert sorted(((r.doc_id, r.text) for r in decoded.collect()), key=repr) == sorted(((i, lib.decode(lib.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False)) for i, t in ODD), key=repr)
 
 
+def test_trie_bpe_beside_other_stages_remembers_little():
+    """With forget, as in the pipeline, the words and chunks that a task holds stay few, and the digests are the same."""
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(240_000)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": [" ".join(words[k : k + 20_000])]}) for k in range(0, 240_000, 20_000)]
+    bpe, most, found = trie_bpe.trie_bpe(WORD), {}, {}
+    for forget in (False, True):
+        most[forget], found[forget] = 0, []
+        for out in trie_bpe._digests(iter(batches), WORD, forget=forget):
+            found[forget] += out.to_pylist()
+            most[forget] = max(most[forget], *(len(m.young) + len(m.old) for m in (bpe.word_ids, bpe.chunk_memo)))
+    assert found[True] == found[False] and most[True] <= 120_000 < most[False]
+    assert not bpe.chunk_memo.young and not bpe.chunk_memo.old
+
+
 def test_id_store_round_trip(spark, texts):
     lib = Tokenizer.from_file(BYTE)
     rows = [(i, t) for i, t in texts] + [(1000, None), (1001, LONG), (1002, LONG + " tail"), (1003, LONG)]
