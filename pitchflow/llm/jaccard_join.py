@@ -419,27 +419,25 @@ def node_filter(spark: SparkSession, nodes: DataFrame):
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, comp) of all nodes of edges (a, b): comp is the smallest node of the connected component. Large-star and
-    small-star steps in turn, each written to the shared folder, until nothing changes: about as many as the logarithm of
-    the longest path. A node with many neighbours meets them by a minimum that is combined before the shuffle."""
+    small-star steps in turn, each written to the shared folder, until every component is a star around its smallest node:
+    about as many as the logarithm of the longest path, none for edges that are such stars. A node with many neighbours
+    meets them by a minimum that is combined before the shuffle."""
     spark = edges.sparkSession
 
-    def mark(df: DataFrame) -> tuple:
-        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def stars(df: DataFrame) -> bool:
+        """No larger end has two edges or is some edge's smaller end."""
+        ends = df.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(df.select("b", F.lit(0), F.lit(1)))
+        return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).agg(F.max((F.col("up") + F.col("down") > 1) & (F.col("up") > 0))).first()[0]
 
     e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), fresh(spark, name))
-    before = mark(e)
-    while before[0]:
+    while not stars(e):
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select("b", "m").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
         e = stored(small, fresh(spark, name))
-        after = mark(e)
-        if after == before:
-            break
-        before = after
-    return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
+    return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
 def _may_link(percent: int, x: str = "x", y: str = "y"):
@@ -542,7 +540,8 @@ def link_classes(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
             pairs = undecided(pairs, done, percent)
         new = kept(compared(pairs, sets), f"compared{turn}")
         done = new if done is None else done.union(new)
-        comps = components(linked(done, percent).select("a", "b"))
+        links = linked(new, percent).select("a", "b")
+        comps = components(links if comps is None else links.union(comps.select("node", "comp")))  # what is known stays a star
     ids = members.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("n"))
     ids = ids.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     of_comp = ids.groupBy("comp").agg(F.min("smallest").alias("smallest"), F.sum("n").alias("n_all"), F.count("*").alias("n_nodes"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, releasing, text_slices
+from .common import Memo, given_back, releasing, text_slices
 
 BUCKETS = 1 << 14
 #: Structure statistics and metadata come before the hashed words among the features.
@@ -141,7 +141,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     # of repeated ids one text each, so that what is brought to the driver is as many rows at most
     picked = picked.groupBy("id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", "quality", "t.text")
     kind = picked.schema["id"].dataType.simpleString()
-    rows: pd.DataFrame = picked.mapInArrow(_sampled, f"id {kind}, quality int, idx array<int>, x array<float>").toArrow().to_pandas()
+    model = _fitted(picked.mapInArrow(_sampled, f"id {kind}, quality int, idx array<int>, x array<float>").toArrow().to_pandas())
+    given_back()  # what the sample took in the driver, which lives on
+    return model
+
+
+def _fitted(rows: pd.DataFrame) -> FactorisationMachine:
     model = FactorisationMachine()
     if len(rows):
         rows = rows.sort_values("id")

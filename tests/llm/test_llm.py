@@ -14,6 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import math  # noqa: E402
 
 import numpy as np  # noqa: E402
+import pyarrow as pa  # noqa: E402
 import public_tokenizers  # noqa: E402
 import pytest  # noqa: E402
 from oracle import assert_same  # noqa: E402
@@ -640,6 +641,15 @@ def test_components(spark):
     assert got == want
 
 
+def test_components_leave_stars_alone(spark, monkeypatch):
+    written, stored = [], jaccard_join.stored
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, path: (written.append(path), stored(df, path))[1])
+    pairs = [(1, 5), (1, 7), (9, 1), (20, 22), (4, 4)]
+    got = sorted((r.node, r.comp) for r in jaccard_join.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect())
+    assert got == [(1, 1), (5, 1), (7, 1), (9, 1), (20, 20), (22, 20)]
+    assert len(written) == 1  # the edges; no round is needed to see that nothing changes
+
+
 # pipeline
 
 
