@@ -26,8 +26,9 @@ LOOSE = re.compile(r" (?=\s)| \Z")
 LOOSE_ASCII = tuple(" " + c for c in " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f")
 BEFORE_SPACE = re.compile(r"(?= \S)")
 #: A chunk of letters and marks, as a key; the byte-level pattern always cuts between the two.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%&#|]+)")
-MARKS = frozenset(".,!?;:*$%&#|")
+LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", ".,!?;:*$%&#|"
+PLAIN = re.compile(f"({LETTERS})([{MARKS}]+)")
+PLAIN_CHUNK = f"\\A{LETTERS}[{MARKS}]+\\z"
 
 
 def tokenizer_version(path: str) -> str:
@@ -67,30 +68,55 @@ class Known:
     def __init__(self, width: int):
         self.keys, self.ids, self.bounds = pa.array([""], pa.string()), np.zeros(0, f"<u{width}"), np.zeros(2, np.int64)
 
-    def find(self, keys: list[str]) -> dict[str, bytes]:
-        at = pc.index_in(pa.array(keys, pa.string()), value_set=self.keys)
-        found = at.is_valid().to_numpy(zero_copy_only=False)
-        rows = at.drop_null().to_numpy()
-        data, w = memoryview(self.ids.tobytes()), self.ids.itemsize
-        return {k: bytes(data[a * w : b * w]) for k, a, b in zip((k for k, f in zip(keys, found.tolist(), strict=True) if f), self.bounds[rows].tolist(), self.bounds[rows + 1].tolist(), strict=True)}
+    def at(self, keys: pa.Array) -> np.ndarray:
+        """The number of each key, -1 if it is new."""
+        return pc.index_in(keys, value_set=self.keys).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def append(self, keys: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """The first number of the new keys."""
+        first = len(self.keys)
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype, copy=False)])
+        return first
 
     def codes(self, words: pa.Array, encoder: ChunkEncoder) -> np.ndarray:
         """The number of each word; new ones are encoded, each once."""
         if self.keys.nbytes + self.ids.nbytes + self.bounds.nbytes > self.LIMIT:
             self.__init__(self.ids.itemsize)
-        at = pc.index_in(words, value_set=self.keys)
-        if not at.null_count:
-            return at.to_numpy()
-        unknown = words.filter(at.is_null())
-        found = encoder.encoded(unknown.unique().to_numpy(zero_copy_only=False).tolist(), self)
-        ids = np.frombuffer(b"".join(found.values()), self.ids.dtype)
-        sizes = np.fromiter(map(len, found.values()), np.int64, len(found)) // self.ids.itemsize
-        new, first = pa.array(list(found), pa.string()), len(self.keys)
-        self.keys = pa.concat_arrays([self.keys, new])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, ids])
-        out = at.fill_null(-1).to_numpy().copy()
-        out[out < 0] = pc.index_in(unknown, value_set=new).to_numpy() + first
+        coded = words.dictionary_encode()
+        at = self.at(coded.dictionary)
+        new = at < 0
+        if new.any():
+            at[new] = self._added(coded.dictionary.filter(pa.array(new)), encoder)
+        return at[coded.indices.to_numpy()]
+
+    def _added(self, keys: pa.Array, encoder: ChunkEncoder) -> np.ndarray:
+        """Numbers of new chunks, each there once. Letters and marks are cut apart by a byte-level tokenizer: each of the two
+        is encoded alone, once, and their ids are joined."""
+        plain = pc.match_substring_regex(keys, PLAIN_CHUNK).to_numpy(zero_copy_only=False) if encoder.mode == "byte" else np.zeros(len(keys), bool)
+        whole, rest = keys.filter(pa.array(plain)), keys.filter(pa.array(~plain))
+        letters, marks = pc.utf8_rtrim(whole, MARKS), pc.replace_substring_regex(whole, f"\\A{LETTERS}", " ", max_replacements=1)
+        parts = pa.concat_arrays([rest, letters, marks]).dictionary_encode()
+        at = self.at(parts.dictionary)
+        new = at < 0
+        if new.any():
+            missing = parts.dictionary.filter(pa.array(new))
+            done, ids, sizes = [], [], []
+            for some, some_ids, bounds in encoder._encode(missing.to_numpy(zero_copy_only=False).tolist()):
+                done += some
+                ids.append(some_ids)
+                sizes.append(np.diff(bounds))
+            encoded = pa.array(done, pa.string())
+            at[new] = self.append(encoded, np.concatenate(ids), np.concatenate(sizes)) + pc.index_in(missing, value_set=encoded).to_numpy()
+        at = at[parts.indices.to_numpy()]
+        out = np.empty(len(keys), np.int64)
+        out[~plain] = at[: len(rest)]
+        if len(whole):
+            both = at[len(rest) :].reshape(2, -1).T.ravel()
+            n = self.bounds[both + 1] - self.bounds[both]
+            ids = self.ids[np.repeat(self.bounds[both] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            out[plain] = self.append(whole, ids, n.reshape(-1, 2).sum(1)) + np.arange(len(whole))
         return out
 
 
@@ -195,22 +221,6 @@ class ChunkEncoder:
             self.known = Known(width)
         return self.known
 
-    def encoded(self, keys: list[str], known: Known) -> dict[str, bytes]:
-        """The ids of new chunks, and of the parts by which some of them were encoded, as bytes."""
-        out: dict[str, bytes] = {}
-        if self.mode == "byte":
-            whole = [(k, m[1], " " + m[2]) for k in keys if k[-1] in MARKS and (m := PLAIN.fullmatch(k))]
-            if whole:  # letters and marks are cut apart by the tokenizer: each is looked up alone
-                plain = {k for k, _, _ in whole}
-                rest = [k for k in keys if k not in plain]
-                parts = list({x for _, a, b in whole for x in (a, b)} - plain)
-                old = known.find(parts)
-                self._into(out, list({*rest, *(x for x in parts if x not in old)}), known.ids.itemsize)
-                out.update((k, (out.get(a) or old[a]) + (out.get(b) or old[b])) for k, a, b in whole)
-                return out
-        self._into(out, keys, known.ids.itemsize)
-        return out
-
     def lookup(self, keys, width: int) -> dict:
         """A map with the ids of all these chunks: how many they are, or (width > 0) the ids as bytes."""
         missing = self.memo.missing(keys)

@@ -641,6 +641,18 @@ def test_components(spark):
     assert got == want
 
 
+def test_known_chunks_number_each_once():
+    enc = chunks.ChunkEncoder(str(public_tokenizers.path("byte_bpe_50k.json")))
+    known, taken = chunks.Known(2), []
+    encode, enc._encode = enc._encode, lambda keys: (taken.extend(keys), encode(keys))[1]
+    for words in (["foo,", "foo", "", "bar!?", "foo,", " the", "a1,", "été.", "x\n", "été.\n", "日本,", ","], ["bar", "!?", "foo!?", "baz!?", "foo", "日本,"]):
+        for w, c in zip(words, known.codes(pa.array(words), enc).tolist(), strict=True):
+            text = "" if not w else w[1:] if w[0] == " " else " " + w
+            assert known.keys[c].as_py() == w
+            assert known.ids[known.bounds[c] : known.bounds[c + 1]].tolist() == enc.model.encode(text, add_special_tokens=False).ids
+    assert len(taken) == len(set(taken)) and "foo," not in taken and "foo" in taken  # letters and marks, each alone and once
+
+
 def test_components_leave_stars_alone(spark, monkeypatch):
     written, stored = [], jaccard_join.stored
     monkeypatch.setattr(jaccard_join, "stored", lambda df, path: (written.append(path), stored(df, path))[1])
