@@ -8,6 +8,7 @@ import sys
 import zlib
 from collections import Counter
 from pathlib import Path
+from types import SimpleNamespace
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
@@ -309,6 +310,37 @@ def test_language_model_beats_counting(spark):
         assert sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows) > 0.02
 
 
+def test_language_model_scores_batches_side_by_side(monkeypatch):
+    """A task's batches are scored together up to a bound, however small they are; each text's words are those between ASCII
+    white space, wherever its slice of a batch begins."""
+    import pyarrow as pa
+    import pyspark
+
+    texts = [f"The  cat\t{i} \x1cof\u00c9 the \u00a0house".encode() for i in range(60)] + [b"", b" \n ", b"\xff\xfeA b \xc3"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([False]), pa.array([t])], ["doc_id", "held_out", "text"]) for i, t in enumerate(texts)]
+    monkeypatch.setattr(gru_lm, "CUT_BYTES", 50)
+    whole = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    cut = [w for _, words, n in gru_lm.cut(iter([whole])) for w in np.split(words.to_numpy(zero_copy_only=False), np.cumsum(n)[:-1])]
+    assert [w.tolist() for w in cut] == [t.lower().split() for t in texts]
+
+    calls, score = [], gru_lm.Gru.score
+    monkeypatch.setattr(gru_lm.Gru, "score", lambda self, docs, begin: calls.append(len(docs)) or score(self, docs, begin))
+    monkeypatch.setattr(gru_lm, "SCORE_TOKENS", 200)
+    monkeypatch.setattr(pyspark, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 2)))
+    common, frequency = {b"the": 70, b"": 63, b"cat": 30}, np.array([99.0, 71, 64])
+    held = lambda v: SimpleNamespace(value=v)
+    out = [r for b in gru_lm._score(iter(batches), held({b"the": 1, b"": 2}), held(common), frequency, held(gru_lm.Gru(frequency).flat())) for r in b.to_pylist()]
+    assert sum(calls) == len(texts) and 1 < len(calls) < 5
+    docs = sorted((r for r in out if r["token"] is None), key=lambda r: r["uid"])
+    assert [r["n_tokens"] for r in docs] == [len(t.split()) + 1 for t in texts]
+    assert [r["n_unknown"] for r in docs] == [sum(w != b"the" for w in t.lower().split()) for t in texts]
+    found = Counter()
+    for r in out:
+        if r["token"] is not None:
+            found[r["uid"] - (2 << 33), r["token"]] += r["n"]
+    assert found == Counter((i, w) for i, t in enumerate(texts) for w in t.lower().split() if w not in common)
+
+
 def test_language_model_gradients():
     m = gru_lm.Gru(np.array([5.0, 4, 3, 2, 6]))
     m.p = {k: (a + np.random.default_rng(1).normal(0, 0.1, a.shape)).astype(np.float64) for k, a in m.p.items()}
