@@ -248,3 +248,29 @@ def test_claims_in_parts_equal_one_walk(spark):
             found = fusion.claims(tracked, expected, tol, group)
             assert sorted(found.select("coach_event_id", "event_id", "dt_us").collect()) == want
         assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_are_whole_and_take_little_room(spark, tmp_path):
+    """All pairs against a plain loop, over lists of two rows and of the usual size; many copies of events at the same times,
+    in any order, take less than a byte a pair where they are written."""
+    rng, tol, copies = random.Random(4), 1000, 60
+    tracked_schema, coach_schema = "match_id bigint, event_id bigint, t_us bigint, team_id string, event_type string", "match_id bigint, coach_event_id bigint, player_id bigint, t_us bigint, team_id string, event_type string"
+    odd = [(None, 1, 5, "A", "shot"), (1, 2, None, "A", "shot"), (1, 3, 5, None, "shot"), (1, 4, 5, "A", None), (1, None, 5, "A", "shot"), (1, 6, 5, "A", "shot"), (1, 6, 5, "A", "shot")]
+    t = odd + [(rng.randrange(2), 10 + i, rng.randrange(-4000, 4000) // 50 * 50, rng.choice("AB"), rng.choice(["shot", "turnover", "pass"])) for i in range(400)]
+    c = [(1, 1, 1, None, "A", "goal"), (1, None, 1, 5, "A", "shot"), (None, 2, 1, 5, "A", "shot")] + [(rng.randrange(2), 10 + i, i, rng.randrange(-4000, 4000) // 50 * 50, rng.choice("AB"), rng.choice(["goal", "save", "turnover"])) for i in range(150)]
+    kind = {"goal": ("shot", "GOAL"), "shot": ("shot", "MISSED"), "save": ("shot", "SAVED"), "turnover": ("turnover", None)}
+    want = Counter()
+    for m, i, _, at, team_id, said in c:
+        team_id = team_id if said != "save" else "BA"["AB".index(team_id)]
+        want.update((m, i, e, kind[said][0], team_id, abs(us - at), kind[said][1]) for k, e, us, whose, what in t if None not in (m, k, at, us) and (k, whose, what) == (m, team_id, kind[said][0]) and abs(us - at) <= tol)
+    expected = fusion.expected_events(spark.createDataFrame(c, coach_schema), {"A": "B", "B": "A"})
+    for size in (2, 256):
+        assert len(want) > 500 and Counter(map(tuple, fusion.fusion_candidates(spark.createDataFrame(t, tracked_schema), expected, tol, size).collect())) == want
+
+    times = rng.sample(range(8 * tol), 60)
+    t, c = [(1, k * 1000 + i, us, "A", "shot") for i, us in enumerate(times) for k in range(copies)], [(1, k * 1000 + i, 1, us + 100 * (k % 7), "A", "goal") for i, us in enumerate(times) for k in range(copies // 3)]
+    rng.shuffle(t), rng.shuffle(c)
+    pairs = fusion.fusion_candidates(spark.createDataFrame(t, tracked_schema), fusion.expected_events(spark.createDataFrame(c, coach_schema), {}), tol)
+    pairs.write.parquet(str(tmp_path / "pairs"))
+    n = spark.read.parquet(str(tmp_path / "pairs")).count()
+    assert n == sum(abs(x[2] - y[3]) <= tol for x in t for y in c) and sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < n
